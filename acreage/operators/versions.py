@@ -81,7 +81,7 @@ def stage_timeline(events: DataFrame, slice_by: str = "day") -> DataFrame:
         "job_id", "__slice", F.lag("__last").over(Window.partitionBy("job_id").orderBy("__slice")).alias("__carried")
     )
     prev = F.coalesce("__prev", "__carried")
-    elapsed = (F.unix_micros("ts") - F.unix_micros(prev["ts"])) / F.lit(1000000.0)
+    elapsed = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(prev["ts"].cast("timestamp"))) / F.lit(1000000.0)
     return local.join(carried, ["job_id", "__slice"]).select(
         *events.columns, prev["stage"].alias("previous_stage"), elapsed.alias("elapsed_sec"),
         F.coalesce(F.col("progress") < prev["progress"], F.lit(False)).alias("fell_back"),

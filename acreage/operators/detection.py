@@ -9,7 +9,7 @@ from acreage.functions import rings as R
 from acreage.functions import scalars as S
 from acreage.functions.rings import floor_round
 from acreage.operators import overlay, spatial
-from acreage.session import first_per_key, numbered
+from acreage.session import first_per_key, numbered, once
 
 
 def normalize_primitives(prims: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def facing4(df: DataFrame) -> DataFrame:
 def shape_class(df: DataFrame) -> DataFrame:
     """Shape by concavity, vertex count and fill; the hull of one ring is taken in place."""
     hull = R.ring_area(overlay._chain(F.sort_array(F.array_distinct("ring"))))
-    df = df.withColumn("__b", R.bbox("ring")).withColumn("__area", R.ring_area("ring")).withColumn("__hull", hull)
+    df = once(df, __b=R.bbox("ring"), __area=R.ring_area("ring"), __hull=hull)
     n = F.size(R.opened("ring"))
     df = df.withColumn("vertex_count", n).withColumn(
         "concavity", F.coalesce(F.col("__area") / F.nullif("__hull", F.lit(0.0)), F.lit(1.0))
@@ -170,7 +170,7 @@ def road_facts(df: DataFrame) -> DataFrame:
 
 def pick_boundary(cands: DataFrame, points: DataFrame | None = None, min_area: float = 2000.0) -> DataFrame:
     """Largest candidate above the minimum area; projects without one fall back to the hull of ``points``."""
-    big = cands.withColumn("area", R.ring_area("ring")).filter(F.col("area") > min_area)
+    big = once(cands, area=R.ring_area("ring")).filter(F.col("area") > min_area)
     best = big.groupBy("project_id").agg(F.max_by(F.struct("ring", "source", "area"), F.struct("area", -F.col("ord"))).alias("b")).select(
         "project_id", "b.ring", "b.source", "b.area"
     )
@@ -186,10 +186,8 @@ def plot_candidates(prims: DataFrame, roads: DataFrame, boundary: DataFrame) ->
     """Primitives that may be plots: not the boundary, not a road, of fitting type and area."""
     keys = ["project_id", "plot_id"]
     kept = prims.join(boundary.select(*keys), keys, "left_anti").join(roads.select(*keys), keys, "left_anti")
-    area = R.ring_area("ring")
-    return kept.filter(F.col("candidate_type").isin("PLOT_CANDIDATE", "UNKNOWN")).withColumn("area", floor_round(area)).filter(
-        (F.col("area") > 100.0) & (F.col("area") < 200000.0)
-    )
+    typed = kept.filter(F.col("candidate_type").isin("PLOT_CANDIDATE", "UNKNOWN")).drop("area")
+    return once(typed, area=floor_round(R.ring_area("ring"))).filter((F.col("area") > 100.0) & (F.col("area") < 200000.0))
 
 
 def detect_plots(cands: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from acreage.functions import text as T
 from acreage.functions.rings import floor_round
 from acreage.operators import spatial as P
+from acreage.session import once
 
 # fixed values: words that mark a label as site-wide
 SITE_WORDS = r"NORTH|SURVEY|S\.NO|SY\.NO|LAYOUT|KEY PLAN"
@@ -15,10 +16,9 @@ SITE_WORDS = r"NORTH|SURVEY|S\.NO|SY\.NO|LAYOUT|KEY PLAN"
 
 def parse_labels(df: DataFrame, col: str = "text") -> DataFrame:
     """Cleaned text, its four parses and its class. Repeated texts are parsed where they are: a projection."""
-    clean = df.withColumn("clean", T.sanitize_label(col))
-    parsed = (
-        clean.withColumn("dimension", T.parse_dimension("clean")).withColumn("area_value", T.parse_area("clean"))
-        .withColumn("road", T.parse_road("clean")).withColumn("plot_no", T.parse_plot_no("clean"))
+    clean = once(df, clean=T.sanitize_label(col))
+    parsed = once(
+        clean, dimension=T.parse_dimension("clean"), area_value=T.parse_area("clean"), road=T.parse_road("clean"), plot_no=T.parse_plot_no("clean")
     )
     return parsed.withColumn("classification", T.classify_clean("clean", "dimension", "area_value", "road", "plot_no"))
 

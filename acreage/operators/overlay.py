@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from acreage.functions import rings as R
+from acreage.session import once
 
 
 def sweep_areas(polys: DataFrame, keys: list[str], strip: float = 256.0) -> DataFrame:
@@ -95,12 +96,14 @@ def overlap_with_set(plots: DataFrame, others: DataFrame, cell: float = 500.0) -
     from acreage.operators.spatial import grid_cells, shape_classes
 
     p = grid_cells(shape_classes(plots), cell)
-    o = others.select("project_id", F.col("ring").alias("o_ring")).distinct().withColumn("o_box", R.bbox("o_ring"))
+    o = others.select("project_id", F.col("ring").alias("o_ring")).distinct()
+    o = once(o, o_box=R.bbox("o_ring"))
     first_x = F.floor(F.greatest(F.col("bbox.minX"), F.col("o_box.minX")) / cell)
     first_y = F.floor(F.greatest(F.col("bbox.minY"), F.col("o_box.minY")) / cell)
     met = p.join(grid_cells(o, cell, "o_box"), ["project_id", "cx", "cy"]).filter(
         R.boxes_overlap(F.col("bbox"), F.col("o_box")) & (first_x == F.col("cx")) & (first_y == F.col("cy"))
-    ).withColumn("common", R.overlap_area("ring", "o_ring")).filter(F.col("common") > 0)
+    )
+    met = once(met, common=R.overlap_area("ring", "o_ring")).filter(F.col("common") > 0)
     counted = met.groupBy("project_id", "shape_id").agg(F.count(F.lit(1)).alias("n"), F.max("common").alias("one"))
     several = met.join(counted.filter(F.col("n") > 1).select("project_id", "shape_id"), ["project_id", "shape_id"])
     keys = ["project_id", "shape_id"]

@@ -9,6 +9,7 @@ from acreage.functions import rings as R
 from acreage.functions.rings import floor_round
 from acreage.operators import inventory, overlay, spatial
 from acreage.operators.versions import duplicate_numbers
+from acreage.session import once
 
 # fixed values: rule numbers, names and severities
 RULES = [
@@ -42,9 +43,8 @@ def _hit(df: DataFrame, rule: str, entity: Column, measure: Column, weight: Colu
 
 
 def rule_containment(plots: DataFrame, boundary: DataFrame) -> DataFrame:
-    area = R.ring_area("ring")
-    joined = plots.join(boundary.select("project_id", F.col("ring").alias("b_ring")), "project_id").withColumn("area", area)
-    outside = joined.withColumn("outside", F.col("area") - R.overlap_area("ring", "b_ring"))
+    joined = plots.select("project_id", "plot_id", "ring").join(boundary.select("project_id", F.col("ring").alias("b_ring")), "project_id")
+    outside = once(joined, area=R.ring_area("ring"), common=R.overlap_area("ring", "b_ring")).withColumn("outside", F.col("area") - F.col("common"))
     return _hit(outside.filter(F.col("outside") > tolerance(F.col("area"))), "RULE_01", F.col("plot_id"), F.col("outside"))
 
 
@@ -67,14 +67,15 @@ def rule_mutual_overlap(plots: DataFrame) -> DataFrame:
 
 def rule_min_area(plots: DataFrame, p: dict) -> DataFrame:
     area = R.ring_area("ring")
-    return _hit(plots.filter(area < p["min_plot_sqft"] * 0.90), "RULE_06", F.col("plot_id"), area)
+    small = once(plots, __area=area).filter(F.col("__area") < p["min_plot_sqft"] * 0.90)
+    return _hit(small, "RULE_06", F.col("plot_id"), F.col("__area"))
 
 
 def rule_frontage(plots: DataFrame, p: dict) -> DataFrame:
     b = R.bbox("ring")
     shorter = R.let(b, lambda v: F.least(v["maxX"] - v["minX"], v["maxY"] - v["minY"]))
     given = F.col("width_ft") if "width_ft" in plots.columns else F.lit(None).cast("double")
-    df = plots.withColumn("__w", F.when(given > 0, given).otherwise(shorter))
+    df = once(plots, __w=F.when(given > 0, given).otherwise(shorter))
     return _hit(df.filter(F.col("__w") < p["min_frontage_ft"] * 0.85), "RULE_07", F.col("plot_id"), F.col("__w"))
 
 
@@ -96,7 +97,7 @@ def rule_setback(plots: DataFrame, boundary: DataFrame, p: dict) -> DataFrame:
     """Exact for convex boundaries; others are not judged here (see ``setback_scope``)."""
     b = boundary.filter(R.is_convex("ring")).select("project_id", F.col("ring").alias("b_ring"))
     kept = R.ring_area(R.inset_clip("ring", "b_ring", F.lit(p["setback_ft"])))
-    df = plots.join(b, "project_id").withColumn("__out", R.ring_area("ring") - kept)
+    df = once(plots.select("project_id", "plot_id", "ring").join(b, "project_id"), __out=R.ring_area("ring") - kept)
     return _hit(df.filter(F.col("__out") > 5.0), "RULE_11", F.col("plot_id"), F.col("__out"))
 
 
@@ -163,7 +164,7 @@ def review_drafts(layouts: DataFrame, boundary: DataFrame, plots: DataFrame) ->
     good = state.filter("__ok").select(*plots.columns)
     bounds = boundary.withColumn("__b_ok", R.clean_ring("ring").isNotNull() & ~R.self_crossing("ring"))
     inside = good.join(bounds.filter("__b_ok").select("project_id", F.col("ring").alias("b_ring")), "project_id")
-    partly = inside.filter(R.overlap_area("ring", "b_ring") / R.ring_area("ring") < 0.85).groupBy("project_id").agg(F.count(F.lit(1)).alias("partly_outside"))
+    partly = once(inside, held=R.overlap_area("ring", "b_ring") / R.ring_area("ring")).filter(F.col("held") < 0.85).groupBy("project_id").agg(F.count(F.lit(1)).alias("partly_outside"))
     sizes = state.groupBy("project_id").agg(F.count(F.lit(1)).alias("total_plots"), F.count_if("__ok").alias("valid_plots"))
     overlaps = spatial.overlap_pairs(good).filter(F.col("overlap") > 1.0).groupBy("project_id").agg(F.sum("n_pairs").alias("overlapping_pairs"))
     dupes = duplicate_numbers(plots).groupBy("project_id").agg(F.count(F.lit(1)).alias("duplicate_numbers"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from acreage.functions import rings as R
 from acreage.functions.rings import floor_round
-from acreage.session import first_per_key
+from acreage.session import first_per_key, once
 
 VIEW_CELL = 500.0
 
@@ -62,10 +62,9 @@ def spot_hits(spots: DataFrame, shapes: DataFrame, cell: float) -> DataFrame:
     """First shape whose box holds a spot and first whose interior does, per spot."""
     pairs = _spot_cells(spots, cell).join(grid_cells(shapes, cell), ["project_id", "cx", "cy"])
     x, y = F.col("x"), F.col("y")
-    hits = pairs.filter(_in_box(x, y, F.col("bbox")))
+    hits = once(pairs.filter(_in_box(x, y, F.col("bbox"))), inside=R.point_in_ring(x, y, "ring"))
     return hits.withColumn("t", F.struct("ord", "plot_id", "c")).groupBy("project_id", "x", "y").agg(
-        F.min("t").alias("in_box"), F.min(F.when(R.point_in_ring(x, y, "ring"), F.col("t"))).alias("in_ring"),
-        F.sum(F.when(R.point_in_ring(x, y, "ring"), 1).otherwise(0)).alias("n_rings"),
+        F.min("t").alias("in_box"), F.min(F.when(F.col("inside"), F.col("t"))).alias("in_ring"), F.count_if("inside").alias("n_rings")
     )
 
 
@@ -145,7 +144,7 @@ def nearest_road(points: DataFrame, roads: DataFrame) -> DataFrame:
 def shape_classes(df: DataFrame, keys: list[str] = ("project_id",)) -> DataFrame:
     """Rows with their distinct shape: ``shape_id`` is the first id among equal rings."""
     shapes = df.groupBy(*keys, "ring").agg(F.min("plot_id").alias("shape_id"), F.count(F.lit(1)).alias("copies"))
-    return shapes.withColumn("bbox", R.bbox("ring"))
+    return once(shapes, bbox=R.bbox("ring"))
 
 
 def shape_pairs(shapes: DataFrame, reach: float = 0.0, cell: float = VIEW_CELL) -> DataFrame:
@@ -178,8 +177,11 @@ def overlap_pairs(df: DataFrame, cell: float = VIEW_CELL) -> DataFrame:
     one line of that shape with itself.
     """
     shapes = shape_classes(df)
-    cross = shape_pairs(shapes, cell=cell).withColumn("overlap", R.overlap_area("a_ring", "b_ring")).select(
-        "project_id", "a_id", "b_id", "overlap", R.ring_area("a_ring").alias("a_area"), R.ring_area("b_ring").alias("b_area"),
+    measured = once(
+        shape_pairs(shapes, cell=cell), overlap=R.overlap_area("a_ring", "b_ring"), a_area=R.ring_area("a_ring"), b_area=R.ring_area("b_ring")
+    )
+    cross = measured.select(
+        "project_id", "a_id", "b_id", "overlap", "a_area", "b_area",
         (F.col("a_copies") * F.col("b_copies")).alias("n_pairs"),
     )
     area = R.ring_area("ring")
@@ -207,11 +209,7 @@ NEIGHBOR_REACH = 50.0
 def relate(pairs: DataFrame) -> DataFrame:
     """Topological relation, distance, shared length and overlap area of polygon pairs."""
     eps = 1e-9
-    base = pairs.withColumn("overlap", R.overlap_area("a_ring", "b_ring")).withColumn(
-        "a_area", R.ring_area("a_ring")
-    ).withColumn("b_area", R.ring_area("b_ring")).withColumn(
-        "distance", F.when(F.col("overlap") > 0, F.lit(0.0)).otherwise(floor_round(R.ring_distance("a_ring", "b_ring")))
-    )
+    areas = once(pairs, overlap=R.overlap_area("a_ring", "b_ring"), a_area=R.ring_area("a_ring"), b_area=R.ring_area("b_ring"))
     o, tol = F.col("overlap"), lambda area: area * (1.0 - eps)
     touching = F.when(o <= eps, R.shared_length("a_ring", "b_ring"))
     common = R.ring_length(
@@ -222,9 +220,10 @@ def relate(pairs: DataFrame) -> DataFrame:
         .when(o > 1.0, "OVERLAPS").when((o > eps) & (F.col("shared_len") > 0.1), "SHARED_EDGE").when(o > eps, "INTERSECTS")
         .when(F.col("distance") == 0, "TOUCHES").when(F.col("distance") < NEIGHBOR_REACH, "NEIGHBOR").otherwise("DISJOINT")
     )
-    return base.withColumn("shared_len", floor_round(F.coalesce(touching, common))).withColumn("relation", relation).withColumn(
-        "overlap_area", floor_round(o)
-    )
+    gap = F.when(o > 0, F.lit(0.0)).otherwise(floor_round(R.ring_distance("a_ring", "b_ring")))
+    measured = once(areas, distance=gap)
+    lengths = once(measured, shared_len=floor_round(F.when(F.col("distance") > 0, 0.0).otherwise(F.coalesce(touching, common))))
+    return once(lengths, relation=relation).withColumn("overlap_area", floor_round(o))
 
 
 def relationship_graph(prims: DataFrame, cell: float = VIEW_CELL) -> DataFrame:
@@ -283,7 +282,7 @@ def within_distance(plots: DataFrame, roads: DataFrame, reach: float, cell: floa
     p = grid_cells(shape_classes(plots), cell, reach=reach)
     r = grid_cells(roads.select("project_id", F.col("ring").alias("road_ring"), R.bbox("ring").alias("road_box")), cell, "road_box")
     near = p.join(r, ["project_id", "cx", "cy"]).filter(R.boxes_overlap(F.col("bbox"), F.col("road_box"), reach))
-    return near.filter(R.ring_distance("ring", "road_ring") <= reach).select("project_id", "ring").distinct()
+    return once(near, gap=R.ring_distance("ring", "road_ring")).filter(F.col("gap") <= reach).select("project_id", "ring").distinct()
 
 
 def no_road_access(plots: DataFrame, roads: DataFrame, reach: float = 5.0) -> DataFrame:
@@ -333,8 +332,7 @@ def nearest_road_edge(plots: DataFrame, roads: DataFrame, cutoff: float = 500.0)
     near = shapes.join(grid_cells(lines, cutoff, "road_box"), ["project_id", "cx", "cy"]).filter(
         R.boxes_overlap(F.col("bbox"), F.col("road_box"), cutoff)
     )
-    dist = R.ring_line_distance("ring", "centerline")
-    best = near.withColumn("dist", dist).filter(F.col("dist") <= cutoff).groupBy("project_id", "ring").agg(
+    best = once(near, dist=R.ring_line_distance("ring", "centerline")).filter(F.col("dist") <= cutoff).groupBy("project_id", "ring").agg(
         F.min(F.struct("dist", "ord", "road_id", "centerline")).alias("b")
     )
     return best.select("project_id", "ring", "b.road_id", "b.centerline", F.col("b.dist").alias("distance"))
@@ -352,7 +350,7 @@ def facing8(plots: DataFrame, roads: DataFrame, rotation: Column | float = 0.0)
 
     ranked = F.transform(R.edges("ring"), lambda e, i: F.struct(rank(e, F.col("centerline")).alias("r"), i.alias("i")))
     best = F.array_min(F.transform(ranked, lambda v: F.struct(v["r"]["k"].alias("k"), v["i"].alias("i"), v["r"]["e"].alias("e"))))
-    shapes = nearest_road_edge(plots, roads).withColumn("e", best["e"]).withColumn("c", R.area_centroid("ring"))
+    shapes = once(nearest_road_edge(plots, roads), e=best["e"], c=R.area_centroid("ring"))
     e, c = F.col("e"), F.col("c")
     dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
     inward = -dy * (c["x"] - (e["x1"] + e["x2"]) / 2.0) + dx * (c["y"] - (e["y1"] + e["y2"]) / 2.0) > 0

@@ -46,11 +46,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a reused or iterated frame reliably, so lost executors do not replay it."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    """Write a reused or iterated frame to the shared folder and read it back.
+
+    The table is computed once, ends the lineage, and outlives lost executors.
+    """
+    path = fresh_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """Add columns that are worked out once per row.
+
+    A generated column is a barrier: later filters stay above it, so a costly expression is
+    neither copied into every place that reads it nor moved into a join condition.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:

@@ -21,6 +21,10 @@ def _cell(value: Column, size: float) -> Column:
     return F.floor(value / size)
 
 
+def _straight(dx: Column, dy: Column) -> Column:
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def grid_cells(df: DataFrame, size: float = VIEW_CELL, box: str = "bbox", reach: float = 0.0) -> DataFrame:
     """One row per grid cell that a bounding box, widened by ``reach``, meets."""
     b = F.col(box)
@@ -91,7 +95,7 @@ def spot_nearest(spots: DataFrame, targets: DataFrame, max_dist: float) -> DataF
         .withColumn("cy", _cell(F.col("ty"), max_dist) + F.col("w.dy"))
     )
     pairs = _spot_cells(spots, max_dist).join(near, ["project_id", "cx", "cy"])
-    dist = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
+    dist = _straight(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
     return pairs.withColumn("dist", dist).filter(F.col("dist") < max_dist).groupBy("project_id", "x", "y").agg(
         F.min(F.struct("dist", "ord", "plot_id")).alias("near")
     )
@@ -127,7 +131,7 @@ def spot_nearest_road(spots: DataFrame, roads: DataFrame) -> DataFrame:
     roads are compared spot by spot and nothing is gathered.
     """
     mids = road_mids(roads).groupBy("project_id", "mx", "my").agg(F.min(F.struct("ord", "road_id")).alias("f"))
-    dist = F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))
+    dist = _straight(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))
     return spots.join(mids, "project_id").groupBy("project_id", "x", "y").agg(
         F.min(F.struct(dist.alias("dist"), F.col("f.ord").alias("ord"), F.col("f.road_id").alias("road_id"))).alias("near")
     )

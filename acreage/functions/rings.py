@@ -380,6 +380,23 @@ def overlap_area(a, b) -> Column:
     return F.greatest(_sum(F.transform(F.transform(pairs, sample), heights), term), F.lit(0.0))
 
 
+def box_area(b: Column) -> Column:
+    return (b["maxX"] - b["minX"]) * (b["maxY"] - b["minY"])
+
+
+def is_box(ring, b) -> Column:
+    """The ring is its own bounding box."""
+    return ring_area(ring) == box_area(_c(b))
+
+
+def box_common(a: Column, b: Column) -> Column:
+    """Extent struct (w, h) common to two boxes; negative parts are gaps."""
+    return F.struct(
+        (F.least(a["maxX"], b["maxX"]) - F.greatest(a["minX"], b["minX"])).alias("w"),
+        (F.least(a["maxY"], b["maxY"]) - F.greatest(a["minY"], b["minY"])).alias("h"),
+    )
+
+
 def clip_by_convex(ring, window) -> Column:
     """The part of ``ring`` inside a convex ``window``, as a ring (right area for any ring)."""
     return _clip(ring, window, F.lit(0.0))

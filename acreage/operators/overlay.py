@@ -13,30 +13,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from acreage.functions import rings as R
-from acreage.session import once
+from acreage.session import cut, once
 
 
 def sweep_areas(polys: DataFrame, keys: list[str], strip: float = 256.0) -> DataFrame:
     """Areas per group of rows (``side`` 'A' or 'B', ``ring``): union, A, B, A∩B, A\\B."""
     distinct = polys.select(*keys, "side", "ring").distinct()
     spans = distinct.withColumn("e", F.explode(R._spans("ring"))).select(*keys, "side", "e.*")
-    cut = spans.withColumn(
+    clipped = spans.withColumn(
         "strip", F.explode(F.sequence(F.floor(F.col("xl") / strip), F.ceil(F.col("xr") / strip) - 1))
     )
     lo, hi = F.col("strip") * F.lit(strip), (F.col("strip") + 1) * F.lit(strip)
     e = F.struct("xl", "yl", "xr", "yr")
-    cut = (
-        cut.withColumn("l", F.greatest(F.col("xl"), lo)).withColumn("r", F.least(F.col("xr"), hi))
+    clipped = (
+        clipped.withColumn("l", F.greatest(F.col("xl"), lo)).withColumn("r", F.least(F.col("xr"), hi))
         .withColumn("ly", R._height(e, F.col("l"))).withColumn("ry", R._height(e, F.col("r")))
         .groupBy(*keys, "strip", "l", "r", "ly", "ry")
         .agg(F.sum(F.when(F.col("side") == "A", F.col("s")).otherwise(0.0)).alias("wa"), F.sum(F.when(F.col("side") == "B", F.col("s")).otherwise(0.0)).alias("wb"))
         .filter((F.col("wa") != 0) | (F.col("wb") != 0))
     )
     on = [*keys, "strip"]
-    slanted = cut.filter(F.col("ly") != F.col("ry"))
-    level = cut
+    slanted = clipped.filter(F.col("ly") != F.col("ry"))
     p = slanted.select(*on, *[F.col(c).alias(f"p{c}") for c in ("l", "r", "ly", "ry")]).join(
-        level.select(*on, *[F.col(c).alias(f"q{c}") for c in ("l", "r", "ly", "ry")]), on
+        clipped.select(*on, *[F.col(c).alias(f"q{c}") for c in ("l", "r", "ly", "ry")]), on
     )
     mp = (F.col("pry") - F.col("ply")) / (F.col("pr") - F.col("pl"))
     mq = (F.col("qry") - F.col("qly")) / (F.col("qr") - F.col("ql"))
@@ -44,10 +43,10 @@ def sweep_areas(polys: DataFrame, keys: list[str], strip: float = 256.0) -> Data
     crossing = p.withColumn("x", x).filter(
         (F.col("x") > F.greatest("pl", "ql")) & (F.col("x") < F.least("pr", "qr"))
     ).select(*on, "x")
-    ends = cut.select(*on, F.explode(F.array("l", "r")).alias("x"))
+    ends = clipped.select(*on, F.explode(F.array("l", "r")).alias("x"))
     cuts = ends.unionByName(crossing).distinct()
     slabs = cuts.withColumn("x2", F.lead("x").over(Window.partitionBy(*on).orderBy("x"))).filter(F.col("x2").isNotNull())
-    inside = slabs.join(cut, on).filter((F.col("l") <= F.col("x")) & (F.col("r") >= F.col("x2")))
+    inside = slabs.join(clipped, on).filter((F.col("l") <= F.col("x")) & (F.col("r") >= F.col("x2")))
     mid = (F.col("x") + F.col("x2")) / 2.0
     at = F.col("ly") + (F.col("ry") - F.col("ly")) * (mid - F.col("l")) / (F.col("r") - F.col("l"))
     lined = inside.withColumn("y", at)
@@ -98,12 +97,18 @@ def overlap_with_set(plots: DataFrame, others: DataFrame, cell: float = 500.0) -
     p = grid_cells(shape_classes(plots), cell)
     o = others.select("project_id", F.col("ring").alias("o_ring")).distinct()
     o = once(o, o_box=R.bbox("o_ring"))
+    o = once(o, o_is_box=R.is_box("o_ring", "o_box"))
     first_x = F.floor(F.greatest(F.col("bbox.minX"), F.col("o_box.minX")) / cell)
     first_y = F.floor(F.greatest(F.col("bbox.minY"), F.col("o_box.minY")) / cell)
     met = p.join(grid_cells(o, cell, "o_box"), ["project_id", "cx", "cy"]).filter(
         R.boxes_overlap(F.col("bbox"), F.col("o_box")) & (first_x == F.col("cx")) & (first_y == F.col("cy"))
     )
-    met = once(met, common=R.overlap_area("ring", "o_ring")).filter(F.col("common") > 0)
+    flat = R.let(
+        R.box_common(F.col("bbox"), F.col("o_box")), lambda c: F.greatest(c["w"], F.lit(0.0)) * F.greatest(c["h"], F.lit(0.0))
+    )
+    common = F.when(F.col("is_box") & F.col("o_is_box"), flat).otherwise(R.overlap_area("ring", "o_ring"))
+    # read three times below: written once, with only the columns needed
+    met = cut(once(met, common=common).filter(F.col("common") > 0).select("project_id", "shape_id", "ring", "o_ring", "common"))
     counted = met.groupBy("project_id", "shape_id").agg(F.count(F.lit(1)).alias("n"), F.max("common").alias("one"))
     several = met.join(counted.filter(F.col("n") > 1).select("project_id", "shape_id"), ["project_id", "shape_id"])
     keys = ["project_id", "shape_id"]

@@ -148,7 +148,7 @@ def nearest_road(points: DataFrame, roads: DataFrame) -> DataFrame:
 def shape_classes(df: DataFrame, keys: list[str] = ("project_id",)) -> DataFrame:
     """Rows with their distinct shape: ``shape_id`` is the first id among equal rings."""
     shapes = df.groupBy(*keys, "ring").agg(F.min("plot_id").alias("shape_id"), F.count(F.lit(1)).alias("copies"))
-    return once(shapes, bbox=R.bbox("ring"))
+    return once(once(shapes, bbox=R.bbox("ring")), is_box=R.is_box("ring", "bbox"))
 
 
 def shape_pairs(shapes: DataFrame, reach: float = 0.0, cell: float = VIEW_CELL) -> DataFrame:
@@ -169,11 +169,18 @@ def shape_pairs(shapes: DataFrame, reach: float = 0.0, cell: float = VIEW_CELL)
     )
     return a.join(b, on).select(
         F.col("a.project_id").alias("project_id"), F.col("a.shape_id").alias("a_id"), F.col("b.shape_id").alias("b_id"),
-        F.col("a.ring").alias("a_ring"), F.col("b.ring").alias("b_ring"),
-        F.col("a.copies").alias("a_copies"), F.col("b.copies").alias("b_copies"),
+        F.col("a.ring").alias("a_ring"), F.col("b.ring").alias("b_ring"), R.box_common(F.col("a.bbox"), F.col("b.bbox")).alias("common"),
+        (F.col("a.is_box") & F.col("b.is_box")).alias("boxes"), F.col("a.copies").alias("a_copies"), F.col("b.copies").alias("b_copies"),
     )
 
 
+def _overlap() -> Column:
+    """Overlap of a pair; two boxes need no edge work."""
+    zero = F.lit(0.0)
+    flat = F.greatest(F.col("common.w"), zero) * F.greatest(F.col("common.h"), zero)
+    return F.when(F.col("boxes"), flat).otherwise(R.overlap_area("a_ring", "b_ring"))
+
+
 def overlap_pairs(df: DataFrame, cell: float = VIEW_CELL) -> DataFrame:
     """Overlap of every two polygons of a project, at the level of distinct shapes.
 
@@ -182,7 +189,7 @@ def overlap_pairs(df: DataFrame, cell: float = VIEW_CELL) -> DataFrame:
     """
     shapes = shape_classes(df)
     measured = once(
-        shape_pairs(shapes, cell=cell), overlap=R.overlap_area("a_ring", "b_ring"), a_area=R.ring_area("a_ring"), b_area=R.ring_area("b_ring")
+        shape_pairs(shapes, cell=cell), overlap=_overlap(), a_area=R.ring_area("a_ring"), b_area=R.ring_area("b_ring")
     )
     cross = measured.select(
         "project_id", "a_id", "b_id", "overlap", "a_area", "b_area",
@@ -211,9 +218,12 @@ NEIGHBOR_REACH = 50.0
 
 
 def relate(pairs: DataFrame) -> DataFrame:
-    """Topological relation, distance, shared length and overlap area of polygon pairs."""
+    """Topological relation, distance, shared length and overlap area of polygon pairs.
+
+    Pairs come with ``common`` and ``boxes`` as ``shape_pairs`` makes them.
+    """
     eps = 1e-9
-    areas = once(pairs, overlap=R.overlap_area("a_ring", "b_ring"), a_area=R.ring_area("a_ring"), b_area=R.ring_area("b_ring"))
+    areas = once(pairs, overlap=_overlap(), a_area=R.ring_area("a_ring"), b_area=R.ring_area("b_ring"))
     o, tol = F.col("overlap"), lambda area: area * (1.0 - eps)
     touching = F.when(o <= eps, R.shared_length("a_ring", "b_ring"))
     common = R.ring_length(
@@ -224,9 +234,14 @@ def relate(pairs: DataFrame) -> DataFrame:
         .when(o > 1.0, "OVERLAPS").when((o > eps) & (F.col("shared_len") > 0.1), "SHARED_EDGE").when(o > eps, "INTERSECTS")
         .when(F.col("distance") == 0, "TOUCHES").when(F.col("distance") < NEIGHBOR_REACH, "NEIGHBOR").otherwise("DISJOINT")
     )
-    gap = F.when(o > 0, F.lit(0.0)).otherwise(floor_round(R.ring_distance("a_ring", "b_ring")))
-    measured = once(areas, distance=gap)
-    lengths = once(measured, shared_len=floor_round(F.when(F.col("distance") > 0, 0.0).otherwise(F.coalesce(touching, common))))
+    w, h, boxes = F.col("common.w"), F.col("common.h"), F.col("boxes")
+    side = lambda v: F.greatest(v, F.lit(0.0))
+    apart = F.when(boxes, _straight(side(-w), side(-h))).otherwise(R.ring_distance("a_ring", "b_ring"))
+    measured = once(areas, distance=F.when(o > 0, F.lit(0.0)).otherwise(floor_round(apart)))
+    flat = F.when(o > 0, (w + h) * 2.0).otherwise(F.greatest(side(w), side(h)))
+    lengths = once(
+        measured, shared_len=floor_round(F.when(F.col("distance") > 0, 0.0).when(boxes, flat).otherwise(F.coalesce(touching, common)))
+    )
     return once(lengths, relation=relation).withColumn("overlap_area", floor_round(o))
 
 
@@ -239,6 +254,7 @@ def relationship_graph(prims: DataFrame, cell: float = VIEW_CELL) -> DataFrame:
     cross = shape_pairs(shapes, NEIGHBOR_REACH, cell).withColumn("n_pairs", F.col("a_copies") * F.col("b_copies"))
     own = shapes.filter(F.col("copies") > 1).select(
         "project_id", F.col("shape_id").alias("a_id"), F.col("shape_id").alias("b_id"), F.col("ring").alias("a_ring"), F.col("ring").alias("b_ring"),
+        R.box_common(F.col("bbox"), F.col("bbox")).alias("common"), F.col("is_box").alias("boxes"),
         F.floor(F.col("copies") * (F.col("copies") - 1) / 2).alias("n_pairs"),
     )
     rel = relate(cross.drop("a_copies", "b_copies").unionByName(own)).filter(F.col("relation") != "DISJOINT")
@@ -284,9 +300,13 @@ def road_adjacency(edges: DataFrame, roads: DataFrame) -> DataFrame:
 def within_distance(plots: DataFrame, roads: DataFrame, reach: float, cell: float = VIEW_CELL) -> DataFrame:
     """Distinct plot shapes that come within ``reach`` of some road of their project."""
     p = grid_cells(shape_classes(plots), cell, reach=reach)
-    r = grid_cells(roads.select("project_id", F.col("ring").alias("road_ring"), R.bbox("ring").alias("road_box")), cell, "road_box")
+    lanes = once(roads.select("project_id", F.col("ring").alias("road_ring")), road_box=R.bbox("road_ring"))
+    r = grid_cells(once(lanes, road_is_box=R.is_box("road_ring", "road_box")), cell, "road_box")
     near = p.join(r, ["project_id", "cx", "cy"]).filter(R.boxes_overlap(F.col("bbox"), F.col("road_box"), reach))
-    return once(near, gap=R.ring_distance("ring", "road_ring")).filter(F.col("gap") <= reach).select("project_id", "ring").distinct()
+    common = R.box_common(F.col("bbox"), F.col("road_box"))
+    flat = R.let(common, lambda c: _straight(F.greatest(-c["w"], F.lit(0.0)), F.greatest(-c["h"], F.lit(0.0))))
+    gap = F.when(F.col("is_box") & F.col("road_is_box"), flat).otherwise(R.ring_distance("ring", "road_ring"))
+    return once(near, gap=gap).filter(F.col("gap") <= reach).select("project_id", "ring").distinct()
 
 
 def no_road_access(plots: DataFrame, roads: DataFrame, reach: float = 5.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acreage.functions import rings as R
 from acreage.functions.rings import floor_round, let
 from acreage.operators import scoring
-from acreage.session import first_per_key
+from acreage.session import cut, first_per_key
 
 MAIN_ROAD_FT, FEEDER_ROAD_FT, BLOCK_DEPTH_FT = 39.37, 29.53, 85.0
 
@@ -195,21 +195,22 @@ def reserve_zones(parcels: DataFrame, zone: str, target: Column, first_anchor: s
     return first_per_key(good, ["parcel_id"], [F.asc("try")]).withColumn("zone_type", F.lit(zone))
 
 
-def sweep(parcels: DataFrame, rate: float = 2500.0) -> DataFrame:
-    """Every feasible parcel × strategy × perturbation, evaluated; the best of each parcel is kept.
-
-    The variants come from an array of a few fixed entries, not from a join. A first pass that
-    already scores 60 with four plots ends the search, as it does one parcel at a time.
-    """
+def _passes(parcels: DataFrame, first: bool) -> DataFrame:
+    """Parcels × strategies × the first pass, or × the later passes."""
+    picked = [(i, sp, pw) for i, (sp, pw) in enumerate(PERTURBATIONS) if (i == 0) == first]
     options = F.array(
         *[
             F.struct(F.lit(s).alias("strategy"), F.lit(i).alias("pass_no"), F.lit(sp).alias("spacing_mult"), F.lit(pw).alias("plot_w_mult"))
-            for s in STRATEGIES for i, (sp, pw) in enumerate(PERTURBATIONS)
+            for s in STRATEGIES for i, sp, pw in picked
         ]
     )
-    tried = parcels.withColumn("o", F.explode(options)).select(*parcels.columns, "o.*").withColumn(
+    return parcels.withColumn("o", F.explode(options)).select(*parcels.columns, "o.*").withColumn(
         "layout_id", F.concat_ws("-", F.col("parcel_id").cast("string"), "strategy", F.col("pass_no").cast("string"))
     )
+
+
+def _scored(tried: DataFrame, rate: float) -> DataFrame:
+    """Evaluated layouts of the tried combinations that yield plots."""
     plots = subdivide_blocks(grid_blocks(tried), min_w=F.col("min_frontage_ft") * F.col("plot_w_mult"), rate=rate)
     per_layout = plots.select(
         "layout_id", "area_sqft", F.col("plot_w").alias("width_ft"), F.col("plot_d").alias("depth_ft"), F.lit("Internal Avenue").alias("road_name"), "is_corner"
@@ -217,6 +218,17 @@ def sweep(parcels: DataFrame, rate: float = 2500.0) -> DataFrame:
     roads = grid_roads(tried).select("layout_id", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area_sqft"), F.col("road_width_ft").alias("width_ft"))
     zones = tried.select("layout_id", F.lit("OPEN_SPACE").alias("zone_type"), (F.col("gross_sqft") * F.col("open_space_pct") / 100.0).alias("area_sqft"))
     totals = scoring.layout_totals(tried.select("layout_id", "parcel_id", "gross_sqft", "strategy", "pass_no"), per_layout, roads, zones)
-    scored = scoring.evaluate_layouts(totals, min_road_width_ft=FEEDER_ROAD_FT).filter(F.col("n_plots") > 0)
-    early = (F.col("pass_no") == 0) & (F.col("n_plots") >= 4) & (F.col("composite") >= 60.0)
-    return first_per_key(scored.withColumn("early", early), ["parcel_id", "strategy"], [F.desc("early"), F.desc("composite"), F.asc("pass_no")])
+    return scoring.evaluate_layouts(totals, min_road_width_ft=FEEDER_ROAD_FT).filter(F.col("n_plots") > 0)
+
+
+def sweep(parcels: DataFrame, rate: float = 2500.0) -> DataFrame:
+    """Every parcel × strategy × perturbation, evaluated; the best of each parcel and strategy is kept.
+
+    A first pass that already scores 60 with four plots ends the search for its parcel, so the
+    later passes run only over the parcels the first one left open.
+    """
+    first = cut(_scored(_passes(parcels, True), rate))
+    settled = first.filter((F.col("n_plots") >= 4) & (F.col("composite") >= 60.0)).select("parcel_id", "strategy")
+    later = _passes(parcels, False).join(settled, ["parcel_id", "strategy"], "left_anti")
+    best = first.unionByName(_scored(later, rate))
+    return first_per_key(best, ["parcel_id", "strategy"], [F.desc("composite"), F.asc("pass_no")])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from acreage.plans import business, layouts, streams
+from acreage.plans import business, details, layouts, streams
 
-_MODULES = [business, layouts, streams]
+_MODULES = [business, layouts, details, streams]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

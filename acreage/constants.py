@@ -31,3 +31,12 @@ OPTION_BADGES = [
     "OPTION 2 — BEST ACCESS",
     "OPTION 3 — BEST LAND UTILIZATION",
 ]
+
+# fixed values: city centres (key, latitude, longitude), searched in this order
+KNOWN_CITIES = [
+    ("pune", 18.5204, 73.8567), ("mumbai", 19.0760, 72.8777), ("thane", 19.2183, 72.9781), ("navi mumbai", 19.0330, 73.0297),
+    ("nagpur", 21.1458, 79.0882), ("nashik", 19.9975, 73.7898), ("aurangabad", 19.8762, 75.3433),
+    ("chhatrapati sambhajinagar", 19.8762, 75.3433), ("solapur", 17.6599, 75.9064), ("kolhapur", 16.7050, 74.2433),
+    ("satara", 17.6805, 74.0183), ("amravati", 20.9374, 77.7796), ("nanded", 19.1383, 77.3210), ("delhi", 28.6139, 77.2090),
+    ("bangalore", 12.9716, 77.5946), ("bengaluru", 12.9716, 77.5946), ("hyderabad", 17.3850, 78.4867),
+]

@@ -11,7 +11,7 @@ from acreage import constants as K
 from acreage.functions import scalars as S
 from acreage.functions import text as T
 from acreage.functions.rings import _c, floor_round
-from acreage.session import first_per_key
+from acreage.session import first_per_key, once
 
 MONEY = "decimal(18,2)"
 
@@ -308,20 +308,22 @@ def review_stats(plots: DataFrame) -> DataFrame:
     )
 
 
-def resolve_location(projects: DataFrame, cities: DataFrame) -> DataFrame:
+def resolve_location(projects: DataFrame, cities: list[tuple[str, float, float]]) -> DataFrame:
     """Own coordinates, else the first known city named in the text, else the first city of the list.
 
-    ``cities`` is the fixed city list (key, lat, lng, ord), a few dozen rows.
+    ``cities`` (key, lat, lng) is a short fixed list, such as ``constants.KNOWN_CITIES``; it
+    becomes a literal, so nothing is joined.
     """
     text_cols = [c for c in ("name", "location", "city_village", "district", "taluka", "state") if c in projects.columns]
     haystack = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in text_cols]))
-    listed = cities.agg(F.sort_array(F.collect_list(F.struct("ord", "key", "lat", "lng"))).alias("__cities"))
+    listed = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(float(y)).alias("lat"), F.lit(float(x)).alias("lng")) for k, y, x in cities])
     own = F.coalesce("latitude", F.lit(0.0)), F.coalesce("longitude", F.lit(0.0))
     has_own = (own[0] != 0) & (own[1] != 0)
-    joined = projects.crossJoin(F.broadcast(listed))  # one row: the fixed list as an array
-    hit = F.get(F.filter("__cities", lambda c: F.contains(haystack, c["key"])), F.lit(0))
-    default = F.get(F.col("__cities"), F.lit(0))
-    return joined.select(
+    named = F.get(F.filter(listed, lambda c: F.contains(haystack, c["key"])), F.lit(0))
+    default = F.get(listed, F.lit(0))
+    found = once(projects, __hit=named)
+    hit = F.col("__hit")
+    return found.select(
         *projects.columns,
         F.when(has_own, own[0]).otherwise(F.coalesce(hit["lat"], default["lat"])).alias("lat"),
         F.when(has_own, own[1]).otherwise(F.coalesce(hit["lng"], default["lng"])).alias("lng"),

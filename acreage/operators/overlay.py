@@ -1,9 +1,9 @@
 """Union, intersection and difference area of sets of polygons by a plane sweep in DataFrames.
 
-Edges are cut into vertical strips, so the work of one group spreads over (group, strip)
-keys. Inside a strip the x of all edge ends and crossings cut the plane into slabs in which
-no edges cross; along a slab the running winding numbers of side A and side B say which
-stretches belong to A, to B, to both.
+Polygons are clipped to square tiles, so the work of one group spreads over (group, tile)
+keys and a tile holds only what lies there. Inside a tile the x of all edge ends and crossings
+cut the plane into slabs in which no edges cross; along a slab the running winding numbers of
+side A and side B say which stretches belong to A, to B, to both.
 """
 
 from __future__ import annotations
@@ -16,23 +16,24 @@ from acreage.functions import rings as R
 from acreage.session import cut, once
 
 
-def sweep_areas(polys: DataFrame, keys: list[str], strip: float = 256.0) -> DataFrame:
+def sweep_areas(polys: DataFrame, keys: list[str], tile: float = 256.0) -> DataFrame:
     """Areas per group of rows (``side`` 'A' or 'B', ``ring``): union, A, B, A∩B, A\\B."""
-    distinct = polys.select(*keys, "side", "ring").distinct()
-    spans = distinct.withColumn("e", F.explode(R._spans("ring"))).select(*keys, "side", "e.*")
-    clipped = spans.withColumn(
-        "strip", F.explode(F.sequence(F.floor(F.col("xl") / strip), F.ceil(F.col("xr") / strip) - 1))
-    )
-    lo, hi = F.col("strip") * F.lit(strip), (F.col("strip") + 1) * F.lit(strip)
-    e = F.struct("xl", "yl", "xr", "yr")
+    from acreage.operators.spatial import grid_cells
+
+    distinct = once(polys.select(*keys, "side", "ring").distinct(), bbox=R.bbox("ring"))
+    tiles = grid_cells(distinct, tile)
+    x0, y0 = F.col("cx") * F.lit(tile), F.col("cy") * F.lit(tile)
+    b = F.col("bbox")
+    whole = (b["minX"] >= x0) & (b["maxX"] <= x0 + tile) & (b["minY"] >= y0) & (b["maxY"] <= y0 + tile)
+    part = F.when(whole, F.col("ring")).otherwise(R.clip_by_convex("ring", R.box_ring(x0, y0, x0 + tile, y0 + tile)))
+    on = [*keys, "cx", "cy"]
+    spans = once(tiles, part=part).select(*on, "side", F.explode(R._spans("part")).alias("e")).select(*on, "side", "e.*")
+    weight = lambda side: F.sum(F.when(F.col("side") == side, F.col("s")).otherwise(0.0))
     clipped = (
-        clipped.withColumn("l", F.greatest(F.col("xl"), lo)).withColumn("r", F.least(F.col("xr"), hi))
-        .withColumn("ly", R._height(e, F.col("l"))).withColumn("ry", R._height(e, F.col("r")))
-        .groupBy(*keys, "strip", "l", "r", "ly", "ry")
-        .agg(F.sum(F.when(F.col("side") == "A", F.col("s")).otherwise(0.0)).alias("wa"), F.sum(F.when(F.col("side") == "B", F.col("s")).otherwise(0.0)).alias("wb"))
-        .filter((F.col("wa") != 0) | (F.col("wb") != 0))
+        spans.groupBy(*on, F.col("xl").alias("l"), F.col("xr").alias("r"), F.col("yl").alias("ly"), F.col("yr").alias("ry"))
+        .agg(weight("A").alias("wa"), weight("B").alias("wb")).filter((F.col("wa") != 0) | (F.col("wb") != 0))
     )
-    on = [*keys, "strip"]
+    clipped = cut(clipped)  # read four times below
     slanted = clipped.filter(F.col("ly") != F.col("ry"))
     p = slanted.select(*on, *[F.col(c).alias(f"p{c}") for c in ("l", "r", "ly", "ry")]).join(
         clipped.select(*on, *[F.col(c).alias(f"q{c}") for c in ("l", "r", "ly", "ry")]), on
@@ -65,15 +66,15 @@ def sweep_areas(polys: DataFrame, keys: list[str], strip: float = 256.0) -> Data
     )
 
 
-def union_area(polys: DataFrame, keys: list[str], strip: float = 256.0) -> DataFrame:
+def union_area(polys: DataFrame, keys: list[str], tile: float = 256.0) -> DataFrame:
     """Dissolved area of the polygons of each group."""
-    return sweep_areas(polys.withColumn("side", F.lit("A")), keys, strip).select(*keys, "union_area")
+    return sweep_areas(polys.withColumn("side", F.lit("A")), keys, tile).select(*keys, "union_area")
 
 
-def set_iou(a: DataFrame, b: DataFrame, keys: list[str], strip: float = 256.0) -> DataFrame:
+def set_iou(a: DataFrame, b: DataFrame, keys: list[str], tile: float = 256.0) -> DataFrame:
     """IoU of two dissolved sets; 0 when both are empty."""
     both = a.select(*keys, F.lit("A").alias("side"), "ring").unionByName(b.select(*keys, F.lit("B").alias("side"), "ring"))
-    s = sweep_areas(both, keys, strip)
+    s = sweep_areas(both, keys, tile)
     return s.withColumn("iou", F.coalesce(F.col("both_area") / F.nullif("union_area", F.lit(0.0)), F.lit(0.0)))
 
 

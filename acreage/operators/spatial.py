@@ -124,16 +124,32 @@ def road_mids(roads: DataFrame) -> DataFrame:
     )
 
 
-def spot_nearest_road(spots: DataFrame, roads: DataFrame) -> DataFrame:
+FEW_ROADS = 64
+
+
+def spot_nearest_road(spots: DataFrame, roads: DataFrame, reach: float = 2000.0) -> DataFrame:
     """Nearest road middle of each spot, without a limit.
 
-    Equal middles are collapsed; the aggregation combines on the map side, so a project's
-    roads are compared spot by spot and nothing is gathered.
+    Where no project has more than ``FEW_ROADS`` distinct middles (counted first), a spot meets
+    all of its project. Otherwise a middle within ``reach`` is found by grid cell and is then the nearest of all. Only spots
+    farther than that from every road are compared with all distinct middles of their project,
+    reduced where the comparison happens.
     """
     mids = road_mids(roads).groupBy("project_id", "mx", "my").agg(F.min(F.struct("ord", "road_id")).alias("f"))
-    dist = _straight(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))
-    return spots.join(mids, "project_id").groupBy("project_id", "x", "y").agg(
-        F.min(F.struct(dist.alias("dist"), F.col("f.ord").alias("ord"), F.col("f.road_id").alias("road_id"))).alias("near")
+    targets = mids.select("project_id", F.col("mx").alias("tx"), F.col("my").alias("ty"), "f.ord", F.col("f.road_id").alias("plot_id"))
+    most = targets.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= FEW_ROADS:
+        return _nearest_of_all(spots, targets)
+    as_road = F.struct(F.col("near.dist").alias("dist"), F.col("near.ord").alias("ord"), F.col("near.plot_id").alias("road_id"))
+    close = spot_nearest(spots, targets, reach).select("project_id", "x", "y", as_road.alias("near"))
+    far = spots.join(close, ["project_id", "x", "y"], "left_anti")
+    return close.unionByName(_nearest_of_all(far, targets))
+
+
+def _nearest_of_all(spots: DataFrame, targets: DataFrame) -> DataFrame:
+    dist = _straight(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
+    return spots.join(targets, "project_id").groupBy("project_id", "x", "y").agg(
+        F.min(F.struct(dist.alias("dist"), "ord", F.col("plot_id").alias("road_id"))).alias("near")
     )
 
 
@@ -335,10 +351,14 @@ def segment_crossings(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def road_intersections(roads: DataFrame) -> DataFrame:
+def road_intersections(roads: DataFrame, cell: float = VIEW_CELL) -> DataFrame:
     """Distinct crossing points of the road centerlines of a project, two decimals."""
     segs = roads.select("project_id", F.col("road_id").alias("id"), F.explode(R.path_segments("centerline")).alias("s")).select("project_id", "id", "s.*")
-    hits = segment_crossings(segs, segs, ["project_id"]).filter(F.col("a_id") < F.col("b_id"))
+    span = lambda a, b: (F.least(a, b), F.greatest(a, b))
+    (x0, x1), (y0, y1) = span("x1", "x2"), span("y1", "y2")
+    boxed = segs.withColumn("bbox", F.struct(x0.alias("minX"), y0.alias("minY"), x1.alias("maxX"), y1.alias("maxY")))
+    cells = grid_cells(boxed, cell).drop("bbox")
+    hits = segment_crossings(cells, cells, ["project_id", "cx", "cy"]).filter(F.col("a_id") < F.col("b_id"))
     return hits.select("project_id", floor_round("x").alias("x"), floor_round("y").alias("y")).distinct()
 
 

@@ -40,7 +40,7 @@ def test_random_rectangles_overlap_and_union(spark):
     df = frame(spark, rows)
     pair = {r.id: r.o for r in df.select("id", R.overlap_area("a", "b").alias("o")).collect()}
     sides = df.select("id", F.lit("A").alias("side"), F.col("a").alias("ring")).unionByName(df.select("id", F.lit("B").alias("side"), F.col("b").alias("ring")))
-    swept = {r.id: r for r in O.sweep_areas(sides, ["id"], strip=16.0).collect()}
+    swept = {r.id: r for r in O.sweep_areas(sides, ["id"], tile=16.0).collect()}
     for i, (common, union) in want.items():
         assert abs(pair[i] - common) < 1e-6
         assert abs(swept[i].both_area - common) < 1e-6 and abs(swept[i].union_area - union) < 1e-6

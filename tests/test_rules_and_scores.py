@@ -64,3 +64,18 @@ def test_score_fixture(spark):
     zones = spark.createDataFrame([("l", "GREEN", 10000.0)], "layout_id string, zone_type string, area_sqft double")
     r = G.score_layouts(G.layout_totals(lay, plots, roads, zones)).first()
     assert (r.util, r.accessibility, r.green_pct) == (48.0, 100.0, 10.0) and r.ratio > 2 and r.composite > 60
+
+
+def test_nearest_road_both_ways(spark):
+    """Few roads meet every spot; many are searched by cell. Both find the nearest middle."""
+    import math
+
+    spots = spark.createDataFrame([("p", float(x), float(y)) for x, y in ((0, 0), (50, 40), (9000, 9000), (333, 777))], "project_id string, x double, y double")
+    mids = [(i, (i * 37) % 900, (i * 91) % 700) for i in range(100)]
+    for n in (10, 100):
+        roads = spark.createDataFrame([("p", f"r{i}", i, [(float(x) - 1, float(y)), (float(x) + 1, float(y))]) for i, x, y in mids[:n]], f"project_id string, road_id string, ord int, centerline {R.RING}")
+        got = {(r.x, r.y): r.near.road_id for r in P.spot_nearest_road(spots, roads, reach=200.0).collect()}
+        for x, y in got:
+            best = min(mids[:n], key=lambda m: (math.hypot(m[1] - x, m[2] - y), m[0]))
+            assert got[(x, y)] == f"r{best[0]}"
+        assert len(got) == 4

@@ -7,7 +7,7 @@ Steps
      a bucket of m classes gives m - 1 pairs and not m * m / 2. The first hub is the member met in the largest buckets, the
      original of a family of copies. Every edge is confirmed on the full sets.
   4. Links merge components. A bucket whose members lie in several components stays open; its hub leaves it and the next
-     round takes the smallest components' members as hubs, four times as many a round. A bucket closes only when all its
+     round takes the smallest components' members as hubs, sixteen times as many a round. A bucket closes only when all its
      members are in one component or all pairs across components were tried, so the stars lose no link.
 
 Recall: the chance that a pair at the limit shares no band is (1 - s**rows)**bands, below 1e-8 for the defaults.
@@ -119,6 +119,35 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return found.dropDuplicates(["rep"])
 
 
+def unique_shingles(sets: DataFrame) -> DataFrame:
+    """(rep, n, u): size of each set and how many of its shingles no other set holds, at least.
+
+    Counted on 32 bits of the hashes: two shingles that fall together only make u smaller, which keeps the bound below valid.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, own = batch.column(0).to_pylist(), batch.column(1)
+            at, size = 0, 0
+            parts: list[np.ndarray] = []
+            for i in range(batch.num_rows):
+                parts.append((np.frombuffer(own[i].as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                size += len(parts[-1])
+                if size > 1 << 20 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(reps[at : i + 1], np.int64), [len(x) for x in parts])), pa.array(np.concatenate(parts))], names=["rep", "shingle"])
+                    at, size, parts = i + 1, 0, []
+
+    alone = sets.mapInArrow(work, "rep long, shingle int").groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1")
+    count = alone.groupBy("rep").agg(F.count("*").alias("u"))
+    return sets.select("rep", (F.length("own") / 8).cast("long").alias("n")).join(count, "rep", "left").select("rep", "n", F.coalesce("u", F.lit(0)).alias("u"))
+
+
+def may_link(percent: int, n1: str, u1: str, n2: str, u2: str):
+    """Whether two sets can be linked at all: shingles that one alone holds are outside the intersection and inside the union."""
+    common = F.least(F.col(n1) - F.col(u1), F.col(n2) - F.col(u2))
+    return 100 * common >= percent * F.greatest(F.col(n1) + F.col(u2), F.col(n2) + F.col(u1))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (hub, rep) with 100 * intersection >= percent * union, counted on the full sets.
 
@@ -195,30 +224,30 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
         labels = cut(labels)
         sets = cut(full_sets(docs, classes.join(labels, "rep", "left_semi").select("rep", "set_key"), words))
         mass = open_.groupBy("rep").agg(F.sum("n").alias("mass"))
-        open_ = open_.join(mass, "rep").select("bucket", "rep", F.col("rep").alias("label"), F.col("mass"))
-        hubs = open_.groupBy("bucket").agg(F.max(F.struct("mass", -F.col("rep"))).alias("top")).select("bucket", (-F.col("top.col2")).alias("hub"))
+        facts = unique_shingles(sets).filter(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")).join(mass, "rep")
+        open_ = cut(open_.select("bucket", "rep").join(facts, "rep").select("bucket", "rep", F.col("rep").alias("label"), "n", "u", "mass"))
+        hubs = open_.groupBy("bucket").agg(F.max(F.struct("mass", (-F.col("rep")).alias("r"), "n", "u")).alias("top"))
+        hubs = hubs.select("bucket", (-F.col("top.r")).alias("hub"), (-F.col("top.r")).alias("hub_label"), F.col("top.n").alias("hub_n"), F.col("top.u").alias("hub_u"))
         tried, many = None, 1
         while True:
             hubs = cut(hubs)
-            found = open_.join(hubs, "bucket").filter(F.col("rep") != F.col("hub"))
-            if tried is not None:
-                other = labels.toDF("hub", "hub_label")
-                found = found.join(other, "hub").filter("label <> hub_label")
+            found = open_.join(hubs, "bucket").filter((F.col("rep") != F.col("hub")) & (F.col("label") != F.col("hub_label")) & may_link(percent, "n", "u", "hub_n", "hub_u"))
             pairs = found.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"), "hub", "rep").dropDuplicates(["a", "b"])
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = cut(pairs)
             tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
             labels = merge_labels(labels, confirm(pairs.select("hub", "rep"), sets, percent))
-            rest = open_.select("bucket", "rep").join(hubs.withColumnRenamed("hub", "rep"), ["bucket", "rep"], "left_anti").join(labels, "rep")
+            done = hubs.select("bucket", F.col("hub").alias("rep"))
+            rest = open_.drop("label").join(done, ["bucket", "rep"], "left_anti").join(labels, "rep")
             torn = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-            open_ = cut(rest.join(torn, "bucket", "left_semi").select("bucket", "rep", "label"))
+            open_ = cut(rest.join(torn, "bucket", "left_semi"))
             if open_.isEmpty():
                 break
-            many *= 4
+            many *= 16
             sizes = open_.groupBy("bucket", "label").agg(F.count("*").alias("size"))
             ranked = first_per_key(open_.join(sizes, ["bucket", "label"]), ["bucket"], [F.col("size"), F.col("rep")], many)
-            hubs = ranked.select("bucket", F.col("rep").alias("hub"))
+            hubs = ranked.select("bucket", F.col("rep").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("u").alias("hub_u"))
     named = classes.select("set_key", "rep").join(labels, "rep", "left").select(F.col("set_key").alias("class_key"), F.coalesce("label", "rep").alias("class_id"))
     out = drawn.join(named, drawn.set_key == named.class_key, "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from acreage.llm import text as X
@@ -148,8 +148,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
-def _tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+def _tails(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([binomial_tail(int(a), int(b), float(c)) for a, b, c in zip(k, n, p)], dtype="float64")
 
 
@@ -164,7 +163,7 @@ def cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> Data
     grid = total.select("stratum", "total", F.inline(F.array(*ladder))).join(hit, ["stratum", "rule", "step"], "left").crossJoin(F.broadcast(strata))  # one row
     run = Window.partitionBy("stratum", "rule").orderBy("step")
     tried = grid.withColumn("k", F.sum(F.coalesce("n", F.lit(0))).over(run))
-    tried = tried.withColumn("p_value", _tail("k", "total", F.lit(alpha / len(rules))))
+    tried = tried.withColumn("p_value", F.pandas_udf(_tails, DoubleType())("k", "total", F.lit(alpha / len(rules))))
     stands = tried.withColumn("stands", F.min((F.col("p_value") <= F.lit(delta) / (F.col("strata") * len(rules))).cast("int")).over(run))
     last = stands.filter("stands = 1").groupBy("stratum", "rule").agg(F.max_by("cut", "step").alias("cut"))
     return last.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cuts"))  # as many as rules

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acreage.llm import fingerprints, languages, licences, mixing, near_dedup, packing, quality, token_counts, url_filter
+from acreage.llm import fingerprints, languages, licences, mixing, near_dedup, packing, quality, suffix_dedup, token_counts, url_filter
 from acreage.session import cut
 
 
@@ -61,8 +61,13 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 _ALL = [
     op1_minhash_near_dedup, op2_url_filter, op3_licence_scan, op4_token_counts, op5_quality_rules, op6_packing, op7_language_id, op8_source_mixing, op9_fingerprints,
+    op10_suffix_dedup,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {"op2_url_filter": url_filter.oracle(), "op8_source_mixing": mixing.ORACLE}

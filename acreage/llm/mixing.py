@@ -112,3 +112,21 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, CAST(copies * size + greatest(0, least(size, budget - start)) AS BIGINT) AS taken FROM o
 """
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, the last document of a source cut to the words still wanted."""
+    names = docs.columns
+    rows = mix_sources(docs, names, size=word_count(F.col("text"))).toDF(*[f"c{i}" for i in range(len(names))], "mix").filter("mix.taken > 0")
+    text = F.col(f"c{names.index('text')}")
+    size, taken = F.col("mix.size"), F.col("mix.taken")
+    whole, rest = F.floor(taken / size).cast("int"), (taken % size).cast("int")
+    copies = F.array_repeat(F.struct(F.lit(False).alias("part")), whole)
+    parted = F.when(rest > 0, F.array_append(copies, F.struct(F.lit(True).alias("part")))).otherwise(copies)
+    dealt = rows.select("*", F.inline(parted))
+    first_words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, rest), " ")
+    new = F.when(F.col("part"), first_words).otherwise(text)
+    out = {"text": new}
+    if "n_chars" in names:
+        out["n_chars"] = F.when(F.col("part"), F.length(first_words)).otherwise(F.col(f"c{names.index('n_chars')}")).cast(docs.schema["n_chars"].dataType)
+    return dealt.select(*[out.get(n, F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])

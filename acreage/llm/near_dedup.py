@@ -252,3 +252,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     out = drawn.join(named, drawn.set_key == named.class_key, "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """One document of each class of near duplicates, with all its columns: the one with the smallest doc_id.
+
+    Repeated rows (equal doc_id and text) stay once; rows without a doc_id are not judged and stay.
+    """
+    judged = near_duplicates(docs, percent, words).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    own = docs.filter("doc_id is not null").join(judged, F.col("doc_id") == F.col("__kept"), "left_semi")
+    return own.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id is null"))

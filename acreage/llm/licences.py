@@ -74,9 +74,11 @@ def to_postfix(expression: str) -> list[str]:
             stack.pop()
         else:
             break
-    if operand:  # an operator or bracket without what follows it
-        while stack and (operand or stack[-1] == "("):
-            operand = operand and stack.pop() == "("
+    if operand:  # an operator or brackets without what follows them
+        while stack and stack[-1] == "(":
+            stack.pop()
+        if stack:
+            stack.pop()
     out += [t for t in reversed(stack) if t != "("]
     return out
 

@@ -27,6 +27,7 @@ from acreage.llm import text as X
 from acreage.session import cut, first_per_key
 
 BINS = 160
+PARITY_WORDS = 32
 EDGES_PER_TASK = 256
 
 
@@ -103,24 +104,27 @@ def sketches(docs: DataFrame, words: int = 5, rows: int = 5, id_col: str = "doc_
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rep, own): sorted shingle hashes of the classes in ``wanted`` (rep, set_key). A repeated id with another text is left out by its digest."""
+    """(rep, own, parity): sorted shingle hashes of the classes in ``wanted`` (rep, set_key), and the parity of their number in each
+    of 64 * PARITY_WORDS hash cells. A repeated id with another text is left out by its digest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, reps = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            ids, sets = [], []
+            ids, sets, parity = [], [], []
             for i, own in X.shingle_sets(X.encoded(batch.column(2).to_pylist(), lower=True), words):
                 if _digest(own) == keys[i]:
                     ids.append(reps[i])
                     sets.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "own"])
+                    cells = np.bincount((own & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS)
+                    parity.append(np.packbits(cells & 1, bitorder="little").view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(parity, pa.list_(pa.int64()))], names=["rep", "own", "parity"])
 
-    found = wanted.join(docs, wanted.rep == docs.doc_id).select("rep", "set_key", "text").mapInArrow(work, "rep long, own binary")
+    found = wanted.join(docs, wanted.rep == docs.doc_id).select("rep", "set_key", "text").mapInArrow(work, "rep long, own binary, parity array<long>")
     return found.dropDuplicates(["rep"])
 
 
 def unique_shingles(sets: DataFrame) -> DataFrame:
-    """(rep, n, u): size of each set and how many of its shingles no other set holds, at least.
+    """(rep, n, u, parity): size of each set and how many of its shingles no other set holds, at least.
 
     Counted on 32 bits of the hashes: two shingles that fall together only make u smaller, which keeps the bound below valid.
     """
@@ -137,15 +141,18 @@ def unique_shingles(sets: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(reps[at : i + 1], np.int64), [len(x) for x in parts])), pa.array(np.concatenate(parts))], names=["rep", "shingle"])
                     at, size, parts = i + 1, 0, []
 
-    alone = sets.mapInArrow(work, "rep long, shingle int").groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1")
+    alone = sets.select("rep", "own").mapInArrow(work, "rep long, shingle int").groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1")
     count = alone.groupBy("rep").agg(F.count("*").alias("u"))
-    return sets.select("rep", (F.length("own") / 8).cast("long").alias("n")).join(count, "rep", "left").select("rep", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    return sets.select("rep", "parity", (F.length("own") / 8).cast("long").alias("n")).join(count, "rep", "left").select("rep", "n", F.coalesce("u", F.lit(0)).alias("u"), "parity")
 
 
-def may_link(percent: int, n1: str, u1: str, n2: str, u2: str):
-    """Whether two sets can be linked at all: shingles that one alone holds are outside the intersection and inside the union."""
-    common = F.least(F.col(n1) - F.col(u1), F.col(n2) - F.col(u2))
-    return 100 * common >= percent * F.greatest(F.col(n1) + F.col(u2), F.col(n2) + F.col(u1))
+def may_link(percent: int, own: str = "", other: str = "hub_"):
+    """Whether two sets can be linked at all, by two exact bounds: shingles that one set alone holds are outside the intersection and
+    inside the union; and every cell whose parities differ holds a shingle of one set only."""
+    n1, n2, u1, u2 = (F.col(f"{side}{name}") for name in ("n", "u") for side in (own, other))
+    common = F.least(n1 - u1, n2 - u2)
+    apart = sum((F.bit_count(F.col(f"{own}parity")[i].bitwiseXOR(F.col(f"{other}parity")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    return (100 * common >= percent * F.greatest(n1 + u2, n2 + u1)) & ((100 + percent) * apart <= (100 - percent) * (n1 + n2))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -156,8 +163,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / EDGES_PER_TASK).alias("parts"))
     dealt = pairs.join(parts, "hub").select("hub", "rep", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"))
-    heads = dealt.select("hub", "part").distinct().join(sets.withColumnRenamed("rep", "hub"), "hub").select("hub", "part", F.lit(None).cast("long").alias("rep"), "own")
-    rows = heads.unionByName(dealt.join(sets, "rep").select("hub", "part", "rep", "own")).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("rep").asc_nulls_first())
+    heads = dealt.select("hub", "part").distinct().join(sets.select(F.col("rep").alias("hub"), "own"), "hub").select("hub", "part", F.lit(None).cast("long").alias("rep"), "own")
+    rows = heads.unionByName(dealt.join(sets.select("rep", "own"), "rep").select("hub", "part", "rep", "own")).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("rep").asc_nulls_first())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.empty(0, np.uint64)
@@ -225,13 +232,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
         sets = cut(full_sets(docs, classes.join(labels, "rep", "left_semi").select("rep", "set_key"), words))
         mass = open_.groupBy("rep").agg(F.sum("n").alias("mass"))
         facts = unique_shingles(sets).filter(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")).join(mass, "rep")
-        open_ = cut(open_.select("bucket", "rep").join(facts, "rep").select("bucket", "rep", F.col("rep").alias("label"), "n", "u", "mass"))
-        hubs = open_.groupBy("bucket").agg(F.max(F.struct("mass", (-F.col("rep")).alias("r"), "n", "u")).alias("top"))
-        hubs = hubs.select("bucket", (-F.col("top.r")).alias("hub"), (-F.col("top.r")).alias("hub_label"), F.col("top.n").alias("hub_n"), F.col("top.u").alias("hub_u"))
+        open_ = cut(open_.select("bucket", "rep").join(facts, "rep").select("bucket", "rep", F.col("rep").alias("label"), "n", "u", "parity", "mass"))
+        hubs = open_.groupBy("bucket").agg(F.max(F.struct("mass", (-F.col("rep")).alias("r"), "n", "u", "parity")).alias("top"))
+        hubs = hubs.select("bucket", (-F.col("top.r")).alias("hub"), (-F.col("top.r")).alias("hub_label"), F.col("top.n").alias("hub_n"), F.col("top.u").alias("hub_u"), F.col("top.parity").alias("hub_parity"))
         tried, many = None, 1
         while True:
             hubs = cut(hubs)
-            found = open_.join(hubs, "bucket").filter((F.col("rep") != F.col("hub")) & (F.col("label") != F.col("hub_label")) & may_link(percent, "n", "u", "hub_n", "hub_u"))
+            found = open_.join(hubs, "bucket").filter((F.col("rep") != F.col("hub")) & (F.col("label") != F.col("hub_label")) & may_link(percent))
             pairs = found.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"), "hub", "rep").dropDuplicates(["a", "b"])
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -247,7 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
             many *= 16
             sizes = open_.groupBy("bucket", "label").agg(F.count("*").alias("size"))
             ranked = first_per_key(open_.join(sizes, ["bucket", "label"]), ["bucket"], [F.col("size"), F.col("rep")], many)
-            hubs = ranked.select("bucket", F.col("rep").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("u").alias("hub_u"))
+            hubs = ranked.select("bucket", F.col("rep").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("u").alias("hub_u"), F.col("parity").alias("hub_parity"))
     named = classes.select("set_key", "rep").join(labels, "rep", "left").select(F.col("set_key").alias("class_key"), F.coalesce("label", "rep").alias("class_id"))
     out = drawn.join(named, drawn.set_key == named.class_key, "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from acreage.llm import text as X
 
-WINDOW, MOST_CHUNKS, RUN = 7, 64, 7
+WINDOW, MOST_CHUNKS, RUN = 16, 64, 7
 #: The signs of a signature.
 SIGNS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 RANGES_PER_PARTITION = 8

@@ -155,50 +155,55 @@ def apply_booking_patch(bookings: DataFrame, patches: DataFrame) -> DataFrame:
 def apply_status_patches(plots: DataFrame, bookings: DataFrame, patches: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """State patches on plots, with their effect on bookings.
 
-    SOLD or BOOKED keeps the active booking (contact updated) or opens a fully paid direct
-    one; AVAILABLE cancels the active bookings and clears the customer. Invalid states are
-    left out. One patch per plot. Returns the new plots and the new bookings.
+    A patch sets what it names: status, notes, base price, customer id (blank clears), reservation date (blank clears, an unreadable
+    one is ``as_of``). The plot's state after the patch decides about bookings, also when the patch names no state: SOLD or BOOKED
+    keeps the active booking (contact updated, a blank e-mail clears it) or opens a fully paid direct one; AVAILABLE cancels the
+    active bookings and clears the customer. A patch with an invalid state is refused as a whole. One patch per plot. Returns the
+    new plots and the new bookings.
     """
-    good = patches.filter(F.upper(F.trim("status")).isin(*K.PLOT_STATES)).select(
-        "plot_id", F.upper(F.trim("status")).alias("__status"),
-        *[(T.blank_to_null(c) if c in patches.columns else F.lit(None).cast("string")).alias(f"__{c}") for c in ("customer_name", "customer_phone", "customer_email")],
+    given = lambda c: F.col(c) if c in patches.columns else F.lit(None).cast("string")
+    named = F.upper(F.trim(given("status")))
+    good = patches.filter(named.isNull() | named.isin(*K.PLOT_STATES)).select(
+        "plot_id", named.alias("__status"), F.lit(True).alias("__patched"),
+        *[given(c).alias(f"__{c}") for c in ("notes", "customer_id", "base_price", "reservation_date", "customer_email")],
+        *[T.blank_to_null(given(c)).alias(f"__{c}") for c in ("customer_name", "customer_phone")],
     )
     live = active_bookings(bookings).select("plot_id", F.col("booking_id").alias("__active"))
-    state = plots.join(good, "plot_id", "left").join(live, "plot_id", "left")
-    taken = F.col("__status").isin("SOLD", "BOOKED")
+    price = F.coalesce(F.col("__base_price").cast("decimal(18,2)"), F.col("base_price").cast("decimal(18,2)"))
+    state = plots.join(good, "plot_id", "left").join(live, "plot_id", "left").withColumn("__state", F.coalesce("__status", F.upper("status"))).withColumn("__price", price)
+    touched = F.coalesce("__patched", F.lit(False))
     made_id = F.sha2(F.concat_ws("|", F.lit("direct"), F.col("plot_id").cast("string"), as_of.cast("string")), 256)
-    opens = taken & F.col("__active").isNull()
-    frees = F.col("__status") == "AVAILABLE"
-    new_plots = state.select(
-        *[
-            F.coalesce("__status", c).alias(c) if c == "status"
-            else F.when(frees, F.lit(None)).when(opens, made_id).otherwise(F.col(c)).alias(c) if c == "customer_id"
-            else F.when(frees, F.lit(None)).when(opens, as_of).otherwise(F.col(c)).alias(c) if c == "reservation_date"
-            else F.col(c)
-            for c in plots.columns
-        ]
-    )
-    worth = F.coalesce(F.nullif(F.col("base_price"), F.lit(0)), F.lit(K.DEFAULT_DIRECT_TOTAL)).cast("decimal(18,2)")
+    opens = touched & F.col("__state").isin("SOLD", "BOOKED") & F.col("__active").isNull()
+    frees = touched & (F.col("__state") == "AVAILABLE")
+    dated = F.col("__reservation_date").cast("string")
+    fields = {
+        "status": F.coalesce("__status", "status"),
+        "notes": F.coalesce("__notes", "notes") if "notes" in plots.columns else None,
+        "base_price": F.coalesce(F.col("__base_price").cast(plots.schema["base_price"].dataType), "base_price"),
+        "customer_id": F.when(frees, F.lit(None)).when(opens, made_id).when(F.col("__customer_id").isNotNull(), T.blank_to_null(F.col("__customer_id"))).otherwise(F.col("customer_id")),
+        "reservation_date": F.when(frees, F.lit(None)).when(opens, as_of).when(dated.isNull(), F.col("reservation_date")).when(F.trim(dated) != "", F.coalesce(F.try_to_timestamp(dated), as_of)),
+    }
+    new_plots = state.select(*[fields[c].alias(c) if fields.get(c) is not None else F.col(c) for c in plots.columns])
+    worth = F.coalesce(F.nullif(F.col("__price"), F.lit(0)), F.lit(K.DEFAULT_DIRECT_TOTAL)).cast("decimal(18,2)")
     opened = state.filter(opens).select(
         made_id.alias("booking_id"), "project_id", "plot_id",
         F.coalesce("__customer_name", F.lit("Customer")).alias("customer_name"),
         F.coalesce("__customer_phone", F.lit("N/A")).alias("customer_phone"),
-        F.col("__customer_email").alias("customer_email"),
+        T.blank_to_null(F.col("__customer_email")).alias("customer_email"),
         worth.alias("total_amount"), worth.alias("booking_amount"), worth.alias("paid_amount"),
         F.lit(0).cast("decimal(18,2)").alias("remaining_amount"),
         F.lit("PAID").alias("payment_status"), F.lit("DIRECT").alias("payment_method"),
         F.lit("BOOKED").alias("booking_status"), as_of.alias("booking_date"), as_of.alias("created_at"),
     )
-    touched = bookings.join(good, "plot_id", "left")
-    is_live = F.col("booking_status") == "BOOKED"
-    held = touched.join(live.select(F.col("__active").alias("booking_id"), F.lit(True).alias("__is_active")), "booking_id", "left")
-    contact = taken & F.col("__is_active")
-    kept = held.select(
-        *[
-            F.when(frees & is_live, "CANCELLED").otherwise(F.col(c)).alias(c) if c == "booking_status"
-            else F.when(contact, F.coalesce(f"__{c}", c)).otherwise(F.col(c)).alias(c) if c in ("customer_name", "customer_phone", "customer_email")
-            else F.col(c)
-            for c in bookings.columns
-        ]
-    )
+    decided = state.filter(touched).select("plot_id", "__state", "__customer_name", "__customer_phone", "__customer_email")
+    held = bookings.join(decided, "plot_id", "left").join(live.select(F.col("__active").alias("booking_id"), F.lit(True).alias("__is_active")), "booking_id", "left")
+    contact = F.col("__state").isin("SOLD", "BOOKED") & F.col("__is_active")
+    mail = F.when(F.col("__customer_email").isNotNull(), T.blank_to_null(F.col("__customer_email"))).otherwise(F.col("customer_email"))
+    changes = {
+        "booking_status": F.when((F.col("__state") == "AVAILABLE") & (F.col("booking_status") == "BOOKED"), "CANCELLED").otherwise(F.col("booking_status")),
+        "customer_name": F.when(contact, F.coalesce("__customer_name", "customer_name")).otherwise(F.col("customer_name")),
+        "customer_phone": F.when(contact, F.coalesce("__customer_phone", "customer_phone")).otherwise(F.col("customer_phone")),
+        "customer_email": F.when(contact, mail).otherwise(F.col("customer_email")),
+    }
+    kept = held.select(*[changes[c].alias(c) if c in changes else F.col(c) for c in bookings.columns])
     return new_plots, kept.unionByName(opened, allowMissingColumns=True)

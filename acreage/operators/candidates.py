@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acreage.functions import rings as R
 from acreage.functions.rings import floor_round, let
 from acreage.operators import scoring
-from acreage.session import cut, first_per_key
+from acreage.session import first_per_key
 
 MAIN_ROAD_FT, FEEDER_ROAD_FT, BLOCK_DEPTH_FT = 39.37, 29.53, 85.0
 
@@ -195,9 +195,9 @@ def reserve_zones(parcels: DataFrame, zone: str, target: Column, first_anchor: s
     return first_per_key(good, ["parcel_id"], [F.asc("try")]).withColumn("zone_type", F.lit(zone))
 
 
-def _passes(parcels: DataFrame, first: bool) -> DataFrame:
-    """Parcels × strategies × the first pass, or × the later passes."""
-    picked = [(i, sp, pw) for i, (sp, pw) in enumerate(PERTURBATIONS) if (i == 0) == first]
+def _passes(parcels: DataFrame) -> DataFrame:
+    """Parcels × strategies × passes."""
+    picked = [(i, sp, pw) for i, (sp, pw) in enumerate(PERTURBATIONS)]
     options = F.array(
         *[
             F.struct(F.lit(s).alias("strategy"), F.lit(i).alias("pass_no"), F.lit(sp).alias("spacing_mult"), F.lit(pw).alias("plot_w_mult"))
@@ -224,11 +224,7 @@ def _scored(tried: DataFrame, rate: float) -> DataFrame:
 def sweep(parcels: DataFrame, rate: float = 2500.0) -> DataFrame:
     """Every parcel × strategy × perturbation, evaluated; the best of each parcel and strategy is kept.
 
-    A first pass that already scores 60 with four plots ends the search for its parcel, so the
-    later passes run only over the parcels the first one left open.
+    Scores are compared at one decimal; of equal ones the earlier pass stands.
     """
-    first = cut(_scored(_passes(parcels, True), rate))
-    settled = first.filter((F.col("n_plots") >= 4) & (F.col("composite") >= 60.0)).select("parcel_id", "strategy")
-    later = _passes(parcels, False).join(settled, ["parcel_id", "strategy"], "left_anti")
-    best = first.unionByName(_scored(later, rate))
-    return first_per_key(best, ["parcel_id", "strategy"], [F.desc("composite"), F.asc("pass_no")])
+    best = _scored(_passes(parcels), rate)
+    return first_per_key(best, ["parcel_id", "strategy"], [F.desc(floor_round("composite", 1)), F.asc("pass_no")])

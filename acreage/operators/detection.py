@@ -9,7 +9,7 @@ from acreage.functions import rings as R
 from acreage.functions import scalars as S
 from acreage.functions.rings import floor_round
 from acreage.operators import overlay, spatial
-from acreage.session import first_per_key, numbered, once
+from acreage.session import numbered, once
 
 
 def normalize_primitives(prims: DataFrame) -> DataFrame:
@@ -287,10 +287,6 @@ def rank_blocks(blocks: DataFrame, min_sqft: float = 300.0) -> DataFrame:
     """Blocks of at least the minimum, numbered by area, largest first."""
     big = blocks.filter(F.col("area") >= min_sqft)
     return numbered(big, ["project_id"], [F.desc("area"), F.asc("block_no")], F.floor(F.col("area") / 100.0), "rank", descending=True).withColumn(
-        "block_id", F.concat(F.lit("block-"), F.lpad(F.col("rank").cast("string"), 3, "0"))
+        "block_id", F.concat(F.lit("block-"), F.when(F.col("rank") < 1000, F.lpad(F.col("rank").cast("string"), 3, "0")).otherwise(F.col("rank").cast("string")))
     )
 
-
-def cap_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int | None = None) -> DataFrame:
-    """At most ``n`` rows per key in order; without ``n`` every row is kept."""
-    return df if n is None else first_per_key(df, keys, order, n)

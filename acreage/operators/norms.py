@@ -51,10 +51,14 @@ def with_preset(requests: DataFrame, preset: DataFrame) -> DataFrame:
 
 
 def with_authority(parcels: DataFrame, auth: DataFrame) -> DataFrame:
-    """Authority of each parcel, statewide when unknown. The registry is a fixed short list."""
-    dim = F.broadcast(auth.select(F.col("id").alias("__id"), "short_name", "amenity_threshold_ha"))
-    effective = F.when(F.col("jurisdiction_id").isin(*[a[0] for a in AUTHORITIES]), F.col("jurisdiction_id")).otherwise(STATEWIDE)
-    return parcels.withColumn("authority_id", F.coalesce(effective, F.lit(STATEWIDE))).join(dim, F.col("authority_id") == F.col("__id"), "left").drop("__id")
+    """Authority of each parcel by the registry handed in, the statewide one where it is not listed there."""
+    facts = [F.col(c).alias(f"__{c}") for c in ("id", "short_name", "amenity_threshold_ha")]
+    own, rest = auth.select(*facts), auth.filter(F.col("id") == STATEWIDE).select(*facts)
+    found = parcels.join(own, F.col("jurisdiction_id") == F.col("__id"), "left").withColumn("__fallback", F.lit(STATEWIDE))
+    default = rest.select(*[F.col(f"__{c}").alias(f"__state_{c}") for c in ("id", "short_name", "amenity_threshold_ha")])
+    both = found.join(default, F.col("__fallback") == F.col("__state_id"), "left")
+    either = [F.when(F.col("__id").isNotNull(), F.col(f"__{c}")).otherwise(F.col(f"__state_{c}")).alias(c) for c in ("short_name", "amenity_threshold_ha")]
+    return both.select(*parcels.columns, F.coalesce("__id", "__fallback").alias("authority_id"), *either)
 
 
 def _ladder(*steps) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from acreage.functions import rings as R
 from acreage.functions.rings import floor_round
-from acreage.session import first_per_key, once
+from acreage.session import once
 
 VIEW_CELL = 500.0
 
@@ -124,22 +124,17 @@ def road_mids(roads: DataFrame) -> DataFrame:
     )
 
 
-FEW_ROADS = 64
+ROAD_SALTS = 16
 
 
 def spot_nearest_road(spots: DataFrame, roads: DataFrame, reach: float = 2000.0) -> DataFrame:
     """Nearest road middle of each spot, without a limit.
 
-    Where no project has more than ``FEW_ROADS`` distinct middles (counted first), a spot meets
-    all of its project. Otherwise a middle within ``reach`` is found by grid cell and is then the nearest of all. Only spots
-    farther than that from every road are compared with all distinct middles of their project,
-    reduced where the comparison happens.
+    A middle within ``reach`` is found by grid cell and is then the nearest of all. Only spots farther than that from every road
+    are compared with all distinct middles of their project, in salted parts and reduced where the comparison happens.
     """
     mids = road_mids(roads).groupBy("project_id", "mx", "my").agg(F.min(F.struct("ord", "road_id")).alias("f"))
     targets = mids.select("project_id", F.col("mx").alias("tx"), F.col("my").alias("ty"), "f.ord", F.col("f.road_id").alias("plot_id"))
-    most = targets.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if most <= FEW_ROADS:
-        return _nearest_of_all(spots, targets)
     as_road = F.struct(F.col("near.dist").alias("dist"), F.col("near.ord").alias("ord"), F.col("near.plot_id").alias("road_id"))
     close = spot_nearest(spots, targets, reach).select("project_id", "x", "y", as_road.alias("near"))
     far = spots.join(close, ["project_id", "x", "y"], "left_anti")
@@ -148,7 +143,9 @@ def spot_nearest_road(spots: DataFrame, roads: DataFrame, reach: float = 2000.0)
 
 def _nearest_of_all(spots: DataFrame, targets: DataFrame) -> DataFrame:
     dist = _straight(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
-    return spots.join(targets, "project_id").groupBy("project_id", "x", "y").agg(
+    salted = spots.withColumn("__part", F.pmod(F.xxhash64("x", "y"), F.lit(ROAD_SALTS)).cast("int"))
+    spread = targets.withColumn("__part", F.explode(F.array(*[F.lit(i) for i in range(ROAD_SALTS)])))
+    return salted.join(spread, ["project_id", "__part"]).groupBy("project_id", "x", "y").agg(
         F.min(F.struct(dist.alias("dist"), "ord", F.col("plot_id").alias("road_id"))).alias("near")
     )
 
@@ -417,7 +414,3 @@ def snap_points(points: DataFrame, vertices: DataFrame, tolerance: float = 12.0,
     return points.join(at.select("project_id", "x", "y", "tx", "ty"), ["project_id", "x", "y"], "left").withColumn(
         "snapped", F.col("tx").isNotNull()
     ).withColumn("sx", F.coalesce("tx", on_grid("x"))).withColumn("sy", F.coalesce("ty", on_grid("y"))).drop("tx", "ty")
-
-
-def first_shape(df: DataFrame, keys: list[str]) -> DataFrame:
-    return first_per_key(df, keys, [F.asc("ord")])

@@ -309,7 +309,7 @@ def _road_metrics(s, d):
 def _text_pairs(s, d):
     p = read_table(s, d, "part").select(F.floor(F.col("p_partkey") / v.BLOCK).alias("project_id"), F.col("p_partkey").alias("ord"), F.concat(F.lit("Plot "), F.col("p_partkey").cast("string"), F.lit(" "), F.col("p_name")).alias("t"), "p_size")
     gt = p.select("project_id", "ord", F.col("t").alias("raw_text"), F.col("ord").cast("string").alias("associated_entity_id"))
-    seen = F.when(F.col("p_size") == 7, F.concat(F.lit("Plat "), F.substring("t", 6, 200))).when(F.col("p_size") % 10 == 3, F.upper("t")).otherwise(F.col("t"))
+    seen = F.when(F.col("p_size") == 7, F.concat(F.lit("Plat "), F.expr("substring(t, 6)"))).when(F.col("p_size") % 10 == 3, F.upper("t")).otherwise(F.col("t"))
     pred = p.filter(F.col("p_size") != 13).select("project_id", "ord", seen.alias("raw_text"), F.when(F.col("p_size") % 9 != 0, F.col("ord").cast("string")).alias("associated_entity_id"))
     return gt, pred
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from acreage import schemas
 from acreage.plans import views as v
 from acreage.plans.business import _DECIDED
 from acreage.plans.sql import with_views
 from acreage.session import fresh_folder
 from acreage.streaming.bookings import last_states, stream_plot_state
-from acreage.streaming.jobs import progress_by_window, stream_job_progress
+from acreage.streaming.jobs import progress_by_window, stream_job_progress, with_open_windows
 
 
 def _source(s, d):
@@ -32,10 +31,10 @@ def _stages(events):
 
 
 def _progress(s, d):
-    """Windows the watermark has closed, as the stream emits them."""
+    """Windows as the stream emits them, then those that were open when its input ended."""
     root = fresh_folder(s, "job-progress")
     stream_job_progress(_stages(_source(s, d)), root).awaitTermination()
-    out = s.read.parquet(f"{root}/progress")
+    out = with_open_windows(s.read.parquet(f"{root}/progress"), _stages(s.read.parquet(f"{d}/events.parquet")))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -53,6 +52,6 @@ ORACLE = {
     "stream_plot_state": with_views(
         "SELECT plot_id, arg_max(state_after, (ts, seq)) AS status, count(*) AS commands, count(*) FILTER (NOT accepted) AS rejected FROM decided GROUP BY 1",
         "v_commands", extra=_DECIDED),
-    "stream_job_progress": f"SELECT * FROM ({_WINDOWS}) WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)",
+    "stream_job_progress": _WINDOWS,
     "job_progress": _WINDOWS,
 }

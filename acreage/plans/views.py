@@ -63,7 +63,7 @@ def payments(spark: SparkSession, d: str) -> DataFrame:
     return o.select(
         F.col("o_orderkey").alias("payment_id"), F.col("o_custkey").alias("customer_id"), (F.col("o_orderkey") % 100).alias("project_id"),
         (F.col("o_orderkey") % 25).alias("broker_id"), F.col("o_totalprice").alias("amount"), state.alias("status"),
-        F.substring("o_orderpriority", 3, 20).alias("method"), F.concat(F.lit("REC-"), F.col("o_orderkey").cast("string")).alias("receipt"),
+        F.expr("substring(o_orderpriority, 3)").alias("method"), F.concat(F.lit("REC-"), F.col("o_orderkey").cast("string")).alias("receipt"),
         F.col("o_orderdate").alias("due_date"), F.when(state == "Completed", F.col("o_orderdate")).alias("paid_date"),
     )
 

@@ -64,6 +64,11 @@ def once(df: DataFrame, **values: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
 
 
+def by_project(df: DataFrame, key: str = "project_id") -> DataFrame:
+    """Rows of a project together before a partitioned write, so files follow projects and not tasks; Spark splits large ones."""
+    return df.hint("rebalance", key)
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new sub-folder path of the shared folder."""
     base = shared_dir(spark).rstrip("/")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acreage.functions import rings as R
 from acreage.functions.text import fixed_text
+from acreage.session import by_project
 
 
 def plot_schedule(plots: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def plot_schedule(plots: DataFrame) -> DataFrame:
 
 
 def write_plot_schedule(plots: DataFrame, path: str) -> None:
-    plot_schedule(plots).write.mode("overwrite").partitionBy("project_id").option("header", True).csv(path)
+    by_project(plot_schedule(plots)).write.mode("overwrite").partitionBy("project_id").option("header", True).csv(path)
 
 
 def inventory_rows(view: DataFrame, customers: DataFrame, brokers: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def inventory_rows(view: DataFrame, customers: DataFrame, brokers: DataFrame) ->
 
 
 def write_inventory_csv(view: DataFrame, customers: DataFrame, brokers: DataFrame, path: str) -> None:
-    inventory_rows(view, customers, brokers).write.mode("overwrite").partitionBy("project_id").option("header", True).csv(path)
+    by_project(inventory_rows(view, customers, brokers)).write.mode("overwrite").partitionBy("project_id").option("header", True).csv(path)
 
 
 def to_geojson(entities: DataFrame, props: list[str], kind: Column | str = "entity_type") -> DataFrame:
@@ -54,7 +55,7 @@ def to_geojson(entities: DataFrame, props: list[str], kind: Column | str = "enti
 
 def write_geojson(features: DataFrame, path: str) -> None:
     """Newline-delimited features per project: streamable, and no project is gathered in one row."""
-    features.select("project_id", F.col("feature").alias("value")).write.mode("overwrite").partitionBy("project_id").text(path)
+    by_project(features.select("project_id", F.col("feature").alias("value"))).write.mode("overwrite").partitionBy("project_id").text(path)
 
 
 def report_text(df: DataFrame) -> DataFrame:

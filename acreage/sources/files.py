@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from acreage import constants as K
 from acreage.functions import text as T
 
-SCAN_BYTES = 500 * 1024
-
 # fixed values: markers of text and image content in a PDF
 FONT_MARKS = ["/Font", "/Type /Font", "/BT"]
 IMAGE_MARKS = ["/Subtype /Image", "/Filter /DCTDecode"]
@@ -24,14 +22,13 @@ def read_files(spark: SparkSession, glob: str) -> DataFrame:
 def census_files(spark: SparkSession, glob: str) -> DataFrame:
     """Format, size, vector and scan flags and the parser to use for each file.
 
-    PDF markers are looked for in the head of the file, as the format's producers put them
-    there; the census is a property of the head, not a cut of the data.
+    PDF markers and pages are looked for in the whole file.
     """
     files = read_files(spark, glob)
-    head = F.decode(F.substring("content", 1, SCAN_BYTES), "ISO-8859-1")
-    any_of = lambda marks: F.greatest(*[F.contains(head, F.lit(m)) for m in marks])
+    body = F.decode("content", "ISO-8859-1")
+    any_of = lambda marks: F.greatest(*[F.contains(body, F.lit(m)) for m in marks])
     df = files.withColumn("suffix", T.extension("path")).withColumn("fonts", any_of(FONT_MARKS)).withColumn("images", any_of(IMAGE_MARKS))
-    pages = F.greatest(F.lit(1), F.regexp_count(head, F.lit("/Type /Page")))
+    pages = F.greatest(F.lit(1), F.regexp_count(body, F.lit("/Type /Page")))
     pdf, image, cad = F.col("suffix") == "pdf", F.col("suffix").isin(*IMAGE_SUFFIXES), F.col("suffix").isin(*CAD_SUFFIXES)
     parser = (
         F.when(pdf & F.col("fonts"), "DIGITAL_PDF_VECTOR_PARSER").when(pdf & F.col("images"), "RASTER_IMAGE_OPENCV_PARSER")

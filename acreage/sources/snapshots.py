@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acreage import schemas
 from acreage.functions.rings import pairs_to_ring
+from acreage.session import by_project
 
 
 def read_layout_models(spark: SparkSession, root: str) -> DataFrame:
@@ -38,7 +39,7 @@ def model_entities(models: DataFrame) -> dict[str, DataFrame]:
 
 def write_snapshot(df: DataFrame, root: str, version: str) -> None:
     """Write one version of all projects; an existing version is refused by Spark."""
-    df.write.mode("errorifexists").partitionBy("project_id").parquet(f"{root}/version={version}")
+    by_project(df).write.mode("errorifexists").partitionBy("project_id").parquet(f"{root}/version={version}")
 
 
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame:

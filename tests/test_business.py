@@ -64,6 +64,19 @@ def test_status_patches(spark):
     assert rows["a"].payment_method == "DIRECT" and float(rows["a"].total_amount) == 500.0 and len(rows) == 3
 
 
+def test_patches_without_a_state(spark):
+    """A contact-only patch on a SOLD plot opens its booking; an invalid state refuses the whole patch."""
+    plots = spark.createDataFrame([("a", 1, "SOLD", Decimal(0), None, None, None), ("b", 1, "AVAILABLE", Decimal(5), None, None, "old")], "plot_id string, project_id int, status string, base_price decimal(18,2), customer_id string, reservation_date timestamp, notes string")
+    books = spark.createDataFrame([], "booking_id string, project_id int, plot_id string, customer_name string, customer_phone string, customer_email string, booking_status string, created_at timestamp")
+    patches = spark.createDataFrame([("a", None, " Mira ", "n", "900", "2024-03-01T10:00:00", "7"), ("b", "nope", "X", "lost", None, None, "9")], "plot_id string, status string, customer_name string, notes string, customer_phone string, reservation_date string, base_price string")
+    p, b = B.apply_status_patches(plots, books, patches, F.lit("2024-02-01").cast("timestamp"))
+    rows = {r.plot_id: r for r in p.collect()}
+    made = b.collect()
+    assert len(made) == 1 and made[0].customer_name == "Mira" and float(made[0].total_amount) == 7.0 and made[0].customer_phone == "900"
+    assert rows["a"].notes == "n" and float(rows["a"].base_price) == 7.0 and rows["a"].customer_id == made[0].booking_id
+    assert rows["b"].notes == "old" and float(rows["b"].base_price) == 5.0 and rows["b"].status == "AVAILABLE"
+
+
 def test_search_facets_sorting(spark):
     df = spark.createDataFrame([("A-10", "x"), ("a-2", "Pune"), ("B-1", "y")], "plot_number string, city string").withColumn("plot_id", F.col("plot_number"))
     assert [r.plot_number for r in C.sort_plots(df, "plotNo_asc").collect()] == ["a-2", "A-10", "B-1"]

@@ -276,6 +276,11 @@ def ring_distance(a, b) -> Column:
     return F.when(inside, F.lit(0.0)).otherwise(_edge_gap(edges(a), edges(b)))
 
 
+def rim_distance(a, b) -> Column:
+    """Distance of the rims of two polygons, also when one holds the other."""
+    return _edge_gap(edges(a), edges(b))
+
+
 def ring_line_distance(ring, line) -> Column:
     """Distance of a polygon and a polyline."""
     ring, line = _c(ring), _c(line)

@@ -190,8 +190,13 @@ def plot_candidates(prims: DataFrame, roads: DataFrame, boundary: DataFrame) ->
     return once(typed, area=floor_round(R.ring_area("ring"))).filter((F.col("area") > 100.0) & (F.col("area") < 200000.0))
 
 
-def detect_plots(cands: DataFrame, edges: DataFrame) -> DataFrame:
-    """Detected plots with measures, orientation, stable id and neighbour lists."""
+def detect_plots(cands: DataFrame, edges: DataFrame, prims: DataFrame | None = None) -> DataFrame:
+    """Detected plots with measures, orientation, stable id and neighbour lists.
+
+    ``edges`` are between distinct shapes; with ``prims``, the rows they were made of, copies of a shape get its edges as well.
+    """
+    if prims is not None:
+        edges = spatial.expand_edges(edges, prims)
     ids = cands.select("project_id", "plot_id")
     inside = edges.join(ids.withColumnRenamed("plot_id", "src"), ["project_id", "src"], "left_semi").join(
         ids.withColumnRenamed("plot_id", "dst"), ["project_id", "dst"], "left_semi"
@@ -262,20 +267,23 @@ def setback(df: DataFrame, distance: float) -> DataFrame:
 
 
 def buildable_balance(boundary: DataFrame, roads: DataFrame, greens: DataFrame, obstacles: DataFrame, setback_ft: float = 10.0) -> DataFrame:
-    """Gross, setback, road, green, obstacle and net buildable area of each convex boundary.
+    """Gross, setback, road, green, obstacle and net buildable area of each boundary.
 
-    Net is the inset boundary less the dissolved exclusions, by one sweep per project.
+    Net is the inset boundary less the dissolved exclusions, by one sweep per project. A concave boundary is swept whole and its
+    estimated setback taken off afterwards; such rows are ``approximate``.
     """
     inner = R.inset_clip("ring", "ring", F.lit(float(setback_ft)))
-    core = boundary.withColumn("inner", F.when(R.ring_area(inner) > 0, inner).otherwise(F.col("ring")))
+    core = boundary.withColumn("inner", F.when(R.is_convex("ring"), F.when(R.ring_area(inner) > 0, inner)).otherwise(F.col("ring")))
     keys = ["project_id"]
     excl = roads.select("project_id", "ring").unionByName(greens.select("project_id", "ring")).unionByName(obstacles.select("project_id", "ring"))
-    sides = core.select("project_id", F.lit("A").alias("side"), F.col("inner").alias("ring")).unionByName(excl.select("project_id", F.lit("B").alias("side"), "ring"))
+    sides = core.filter("inner is not null").select("project_id", F.lit("A").alias("side"), F.col("inner").alias("ring")).unionByName(excl.select("project_id", F.lit("B").alias("side"), "ring"))
     net = overlay.sweep_areas(sides, keys).select("project_id", F.col("a_only_area").alias("net"))
     out = setback(core, setback_ft).select("project_id", R.ring_area("ring").alias("gross"), "setback_area", "approximate").join(net, "project_id", "left")
     for name, side in (("road_area", roads), ("green_area", greens), ("obstacle_area", obstacles)):
         out = out.join(overlay.union_area(side, keys).withColumnRenamed("union_area", name), "project_id", "left")
     z = lambda c: floor_round(F.coalesce(c, F.lit(0.0)))
+    left = F.when(F.col("approximate"), F.greatest(F.coalesce("net", F.lit(0.0)) - F.col("setback_area"), F.lit(0.0))).otherwise(F.coalesce("net", F.lit(0.0)))
+    out = out.withColumn("net", left)
     return out.select(
         "project_id", floor_round("gross").alias("gross_sqft"), floor_round("setback_area").alias("setback_sqft"),
         z("road_area").alias("road_sqft"), z("green_area").alias("green_sqft"), z("obstacle_area").alias("obstacle_sqft"),

@@ -94,15 +94,21 @@ def rule_sliver(plots: DataFrame) -> DataFrame:
 
 
 def rule_setback(plots: DataFrame, boundary: DataFrame, p: dict) -> DataFrame:
-    """Exact for convex boundaries; others are not judged here (see ``setback_scope``)."""
-    b = boundary.filter(R.is_convex("ring")).select("project_id", F.col("ring").alias("b_ring"))
+    """Convex boundaries: area of a plot outside the inset boundary. Concave ones: the distance that its rim lacks to the boundary's
+    rim, the whole set-back where a plot reaches outside."""
+    sides = boundary.select("project_id", F.col("ring").alias("b_ring"), R.is_convex("ring").alias("__convex"))
+    both = plots.select("project_id", "plot_id", "ring").join(sides, "project_id")
     kept = R.ring_area(R.inset_clip("ring", "b_ring", F.lit(p["setback_ft"])))
-    df = once(plots.select("project_id", "plot_id", "ring").join(b, "project_id"), __out=R.ring_area("ring") - kept)
-    return _hit(df.filter(F.col("__out") > 5.0), "RULE_11", F.col("plot_id"), F.col("__out"))
+    flat = once(both.filter("__convex"), __out=R.ring_area("ring") - kept).filter(F.col("__out") > 5.0)
+    first = F.get(F.col("ring"), F.lit(0))
+    gap = F.when(R.point_in_ring(first["x"], first["y"], "b_ring"), R.rim_distance("ring", "b_ring")).otherwise(0.0)
+    bent = once(both.filter("not __convex"), __out=F.lit(float(p["setback_ft"])) - gap).filter(F.col("__out") > 0.01)
+    found = flat.unionByName(bent)
+    return _hit(found, "RULE_11", F.col("plot_id"), F.col("__out"))
 
 
 def setback_scope(boundary: DataFrame) -> DataFrame:
-    """Which boundaries the setback rule can judge exactly."""
+    """Where the setback rule measures area (convex boundaries) and not distance."""
     return boundary.select("project_id", R.is_convex("ring").alias("exact"))
 
 

@@ -281,6 +281,22 @@ def relationship_graph(prims: DataFrame, cell: float = VIEW_CELL) -> DataFrame:
     )
 
 
+def expand_edges(edges: DataFrame, prims: DataFrame) -> DataFrame:
+    """Edges between distinct shapes given to every row of a shape; as long as the list of row pairs is.
+
+    An edge of a shape with itself joins its copies, each ordered pair once.
+    """
+    shapes = prims.groupBy("project_id", "ring").agg(F.min("plot_id").alias("shape_id"))
+    members = prims.join(shapes, ["project_id", "ring"]).select("project_id", "shape_id", "plot_id")
+    a = members.select("project_id", F.col("shape_id").alias("src"), F.col("plot_id").alias("__a"))
+    b = members.select("project_id", F.col("shape_id").alias("dst"), F.col("plot_id").alias("__b"))
+    wide = edges.join(a, ["project_id", "src"]).join(b, ["project_id", "dst"])
+    own = F.col("src") == F.col("dst")
+    back = F.col("relation") == "INSIDE"
+    kept = wide.filter(~own | F.when(back, F.col("__a") > F.col("__b")).otherwise(F.col("__a") < F.col("__b")))
+    return kept.select("project_id", F.col("__a").alias("src"), F.col("__b").alias("dst"), *[c for c in edges.columns if c not in ("project_id", "src", "dst", "n_pairs")])
+
+
 def relationship_counts(edges: DataFrame) -> DataFrame:
     n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n_pairs"))), F.lit(0))
     r = F.col("relation")

@@ -49,6 +49,17 @@ def _review(s, d):
     return Q.review_drafts(layouts, b, plots).drop("layout_id")
 
 
+def _copied(s, d):
+    """Plot rectangles of which every tenth occurs twice in its sheet."""
+    r = v.rects(s, d).select("project_id", "plot_id", "ring")
+    return r.unionByName(r.filter(F.col("plot_id") % 10 == 0).withColumn("plot_id", F.col("plot_id") + 10**9))
+
+
+def _neighbours_of_copies(s, d):
+    r = _copied(s, d)
+    return P.neighbours(P.expand_edges(P.relationship_graph(r), r)).select("plot_id", F.array_join("neighbours", ",").alias("neighbours"))
+
+
 def _neighbours(s, d):
     return P.neighbours(P.relationship_graph(v.rects(s, d))).select("plot_id", F.array_join("neighbours", ",").alias("neighbours"))
 
@@ -142,12 +153,12 @@ def _detect(s, d):
     prim = D.classify_primitives(lay._prims(s, d)).select("project_id", "plot_id", "ord", "ring", "candidate_type")
     none = r.filter(F.lit(False)).select("project_id", "plot_id")
     cands = D.plot_candidates(prim, none, none)
-    out = D.detect_plots(cands, P.relationship_graph(r))
+    out = D.detect_plots(cands, P.relationship_graph(r), r)
     return out.select("plot_id", "area", "perimeter", "orientation", "aspect_ratio", F.size("neighbours").cast("long").alias("n_neighbours"))
 
 
 QUERIES = {
-    "customer_directory": _directory, "document_counts": _documents, "sequence_labels": _sequence, "review_drafts": _review, "neighbours": _neighbours,
+    "customer_directory": _directory, "document_counts": _documents, "sequence_labels": _sequence, "review_drafts": _review, "neighbours": _neighbours, "neighbours_of_copies": _neighbours_of_copies,
     "pick_boundary": _boundary, "convex_hull": _hull, "confirm_boundaries": _confirm, "setback_area": _setback, "drawing_layers": _layers,
     "normalize_drawing": _shifted, "primitive_counts": _counts, "blend_tiles": _blend, "classify_images": _images, "rank_blocks": _blocks, "road_facts": _road_facts,
     "resolve_location": _locations, "check_uploads": _uploads, "plot_schedule": _schedule, "label_match": _label_match, "detect_plots": _detect,
@@ -168,6 +179,10 @@ ORACLE = {
   LEFT JOIN (SELECT project_id, count(*) AS n_o FROM pairs WHERE o > 1 GROUP BY 1) o ON o.project_id = t.project_id
   LEFT JOIN (SELECT project_id, count(*) AS dn FROM (SELECT project_id, plot_id % 390 FROM v_rects GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1) x ON x.project_id = t.project_id""", "v_rects", extra=_PAIRS),
     "neighbours": with_views("SELECT p AS plot_id, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS neighbours FROM near GROUP BY 1", "v_rects", extra=_NEAR),
+    "neighbours_of_copies": with_views(
+        """SELECT plot_id, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS neighbours FROM (
+  SELECT p + f.k AS plot_id, n.o + g.k AS o FROM near n, (VALUES (0), (1000000000)) f(k), (VALUES (0), (1000000000)) g(k) WHERE (f.k = 0 OR p % 10 = 0) AND (g.k = 0 OR n.o % 10 = 0)) GROUP BY 1""",
+        "v_rects", extra=_NEAR),
     "pick_boundary": with_views("SELECT project_id, arg_max(p_type, (w * h, -ord)) AS source, max(w * h) AS area FROM v_rects GROUP BY 1 HAVING max(w * h) > 2000", "v_rects"),
     "confirm_boundaries": with_views(
         f"""SELECT plot_id, w * h AS area_sqft, {r2('w * h / 10.7639104::DOUBLE')} AS area_sqm, 2 * (w + h) AS perimeter_ft, greatest(20, w) AS length_ft, greatest(20, h) AS breadth_ft, 'RECTANGULAR' AS shape_type, true AS is_confirmable FROM v_rects""", "v_rects"),

@@ -79,3 +79,26 @@ def test_nearest_road_both_ways(spark):
             best = min(mids[:n], key=lambda m: (math.hypot(m[1] - x, m[2] - y), m[0]))
             assert got[(x, y)] == f"r{best[0]}"
         assert len(got) == 4
+
+
+def test_concave_boundaries_are_judged(spark):
+    """A plot in the inner corner of a U lacks distance; the balance takes the estimated setback off."""
+    from acreage.operators import detection as D
+
+    u = [(0.0, 0.0), (300.0, 0.0), (300.0, 300.0), (200.0, 300.0), (200.0, 100.0), (100.0, 100.0), (100.0, 300.0), (0.0, 300.0)]
+    shape = lambda ring: [{"x": x, "y": y} for x, y in ring]
+    kind = "project_id int, plot_id int, ring array<struct<x: double, y: double>>"
+    boundary = spark.createDataFrame([(1, 0, shape(u))], kind)
+    plots = spark.createDataFrame([(1, 1, shape(box(85, 120, 99, 140))), (1, 2, shape(box(30, 120, 60, 140))), (1, 3, shape(box(120, 150, 150, 180)))], kind)
+    found = {r.entity_id: r.measure for r in Q.rule_setback(plots, boundary, {"setback_ft": 10.0}).collect()}
+    assert found == {"1": 9.0, "3": 10.0}
+    none = boundary.filter("false").select("project_id", "ring")
+    row = D.buildable_balance(boundary, none, none, none, 10.0).first()
+    assert row.approximate and row.gross_sqft == 70000.0 and row.net_sqft == row.gross_sqft - row.setback_sqft
+
+
+def test_copies_get_their_neighbours(spark):
+    rows = [(1, 1, box(0, 0, 10, 10)), (1, 2, box(0, 0, 10, 10)), (1, 3, box(10, 0, 20, 10))]
+    prims = spark.createDataFrame([(p, i, [{"x": x, "y": y} for x, y in ring]) for p, i, ring in rows], "project_id int, plot_id int, ring array<struct<x: double, y: double>>")
+    near = {r.plot_id: r.neighbours for r in P.neighbours(P.expand_edges(P.relationship_graph(prims), prims)).collect()}
+    assert near == {1: [3], 2: [3], 3: [1, 2]}

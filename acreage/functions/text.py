@@ -63,8 +63,19 @@ def _number(col: Column) -> Column:
     return F.nullif(col, F.lit("")).try_cast("double")
 
 
+def _any_in(text: Column, words: list[str]) -> Column:
+    """Cheap test that spares a pattern the texts it cannot match."""
+    found = text.contains(words[0])
+    for word in words[1:]:
+        found = found | text.contains(word)
+    return found
+
+
 def parse_dimension(clean) -> Column:
-    """Width and length with feet-inches folded in; null when the label holds no ``w x l``."""
+    """Width and length with feet-inches folded in; null when the label holds no ``w x l``.
+
+    The pattern runs once over a text; its groups are read from what it found.
+    """
     clean = _c(clean)
     upper = F.upper(clean)
 
@@ -77,11 +88,12 @@ def parse_dimension(clean) -> Column:
             floor_round(width * length).alias("areaApprox"),
         )
 
-    groups = F.struct(
-        *[_number(F.regexp_extract(clean, DIMENSION, i)).alias(n) for i, n in enumerate(["w", "wi", "l", "li"], 1)]
-    )
-    hit = clean.rlike(DIMENSION) & ~upper.rlike(ROAD_WORDS)
-    return F.when(hit, let(groups, build))
+    def parts(found):
+        names = enumerate(["w", "wi", "l", "li"], 1)
+        return F.when(found != "", let(F.struct(*[_number(F.regexp_extract(found, DIMENSION, i)).alias(n) for i, n in names]), build))
+
+    may = upper.contains("X") & ~upper.rlike(ROAD_WORDS)
+    return F.when(may, let(F.regexp_extract(clean, DIMENSION, 0), parts))
 
 
 def parse_area(clean) -> Column:
@@ -93,13 +105,13 @@ def parse_area(clean) -> Column:
         .when(upper.contains("GUNTHA"), "guntha")
         .otherwise("sqft")
     )
-    value = _number(F.regexp_extract(upper, AREA, 1))
+    value = _number(F.when(_any_in(upper, ["SQ", "ACRES", "HECTARES", "CENTS", "GUNTHA"]), F.regexp_extract(upper, AREA, 1)))
     return F.when(value.isNotNull(), F.struct(value.alias("areaValue"), unit.alias("unit")))
 
 
 def parse_road(clean) -> Column:
     upper = F.upper(_c(clean))
-    width = _number(F.regexp_extract(upper, ROAD, 1))
+    width = _number(F.when(_any_in(upper, ["ROAD", "STREET", "AVENUE", "LANE", "PATHWAY", "OW", "O.W"]), F.regexp_extract(upper, ROAD, 1)))
     named = upper.contains("ROAD") | upper.contains("STREET") | upper.contains("AVENUE")
     unit = F.when(upper.contains("M") & ~upper.contains("SQ"), "m").otherwise("ft")
     return F.when(
@@ -110,7 +122,8 @@ def parse_road(clean) -> Column:
 
 def parse_plot_no(clean) -> Column:
     clean = _c(clean)
-    marked = F.nullif(F.regexp_extract(F.upper(clean), PLOT, 1), F.lit(""))
+    upper = F.upper(clean)
+    marked = F.nullif(F.when(_any_in(upper, ["P", "SITE"]), F.regexp_extract(upper, PLOT, 1)), F.lit(""))
     number = F.coalesce(marked, F.when(clean.rlike(BARE_NUMBER), clean))
     return F.when(
         number.isNotNull(),

@@ -36,7 +36,7 @@ def associate_labels(labels: DataFrame, plots: DataFrame, roads: DataFrame, boun
         upper.contains("FT") & ~upper.contains("SQ") & upper.contains("WIDE")
     )
     marked = labels.withColumn("route", F.when(is_site, "SITE").when(is_road, "ROAD").otherwise("PLOT"))
-    spots = marked.select("project_id", "x", "y").distinct()
+    spots = marked.filter(F.col("route") != "SITE").select("project_id", "x", "y").distinct()
     road_spots = marked.filter(F.col("route") == "ROAD").select("project_id", "x", "y").distinct()
     hits = P.spot_hits(spots, P._shapes(plots), max_dist)
     near = P.spot_nearest(spots, P.centres(plots), max_dist)

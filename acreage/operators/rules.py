@@ -42,9 +42,25 @@ def _hit(df: DataFrame, rule: str, entity: Column, measure: Column, weight: Colu
     )
 
 
+def _with_boundary(plots: DataFrame, boundary: DataFrame) -> DataFrame:
+    """Plots with their boundary; ``boxes`` where both are axis-parallel boxes, which need no edge work."""
+    rims = once(boundary.select("project_id", F.col("ring").alias("b_ring")), b_bbox=R.bbox("b_ring"))
+    rims = once(rims, b_box=R.is_box("b_ring", "b_bbox"), b_convex=R.is_convex("b_ring"))
+    own = once(plots.select("project_id", "plot_id", "ring"), bbox=R.bbox("ring"))
+    return once(own, is_box=R.is_box("ring", "bbox")).join(rims, "project_id").withColumn("boxes", F.col("is_box") & F.col("b_box"))
+
+
+def _common_area(a: Column, b: Column, inset: float = 0.0) -> Column:
+    """Area two boxes share, the second one drawn in by ``inset``."""
+    w = F.least(a["maxX"], b["maxX"] - inset) - F.greatest(a["minX"], b["minX"] + inset)
+    h = F.least(a["maxY"], b["maxY"] - inset) - F.greatest(a["minY"], b["minY"] + inset)
+    return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
+
+
 def rule_containment(plots: DataFrame, boundary: DataFrame) -> DataFrame:
-    joined = plots.select("project_id", "plot_id", "ring").join(boundary.select("project_id", F.col("ring").alias("b_ring")), "project_id")
-    outside = once(joined, area=R.ring_area("ring"), common=R.overlap_area("ring", "b_ring")).withColumn("outside", F.col("area") - F.col("common"))
+    joined = _with_boundary(plots, boundary)
+    common = F.when(F.col("boxes"), _common_area(F.col("bbox"), F.col("b_bbox"))).otherwise(R.overlap_area("ring", "b_ring"))
+    outside = once(joined, area=R.ring_area("ring"), common=common).withColumn("outside", F.col("area") - F.col("common"))
     return _hit(outside.filter(F.col("outside") > tolerance(F.col("area"))), "RULE_01", F.col("plot_id"), F.col("outside"))
 
 
@@ -84,8 +100,9 @@ def rule_access(plots: DataFrame, roads: DataFrame) -> DataFrame:
 
 
 def rule_validity(plots: DataFrame) -> DataFrame:
-    broken = (F.size(R.opened("ring")) < 3) | R.self_crossing("ring")
-    return _hit(plots.filter(broken), "RULE_09", F.col("plot_id"), F.lit(0.0))
+    boxed = once(plots.select("project_id", "plot_id", "ring"), bbox=R.bbox("ring"))
+    broken = F.when(R.is_box("ring", "bbox") & (R.ring_area("ring") > 0), F.lit(False)).otherwise((F.size(R.opened("ring")) < 3) | R.self_crossing("ring"))
+    return _hit(boxed.filter(broken), "RULE_09", F.col("plot_id"), F.lit(0.0))
 
 
 def rule_sliver(plots: DataFrame) -> DataFrame:
@@ -96,13 +113,13 @@ def rule_sliver(plots: DataFrame) -> DataFrame:
 def rule_setback(plots: DataFrame, boundary: DataFrame, p: dict) -> DataFrame:
     """Convex boundaries: area of a plot outside the inset boundary. Concave ones: the distance that its rim lacks to the boundary's
     rim, the whole set-back where a plot reaches outside."""
-    sides = boundary.select("project_id", F.col("ring").alias("b_ring"), R.is_convex("ring").alias("__convex"))
-    both = plots.select("project_id", "plot_id", "ring").join(sides, "project_id")
-    kept = R.ring_area(R.inset_clip("ring", "b_ring", F.lit(p["setback_ft"])))
-    flat = once(both.filter("__convex"), __out=R.ring_area("ring") - kept).filter(F.col("__out") > 5.0)
+    both = _with_boundary(plots, boundary)
+    inset = float(p["setback_ft"])
+    kept = F.when(F.col("boxes"), _common_area(F.col("bbox"), F.col("b_bbox"), inset)).otherwise(R.ring_area(R.inset_clip("ring", "b_ring", F.lit(inset))))
+    flat = once(both.filter("b_convex"), __out=R.ring_area("ring") - kept).filter(F.col("__out") > 5.0)
     first = F.get(F.col("ring"), F.lit(0))
     gap = F.when(R.point_in_ring(first["x"], first["y"], "b_ring"), R.rim_distance("ring", "b_ring")).otherwise(0.0)
-    bent = once(both.filter("not __convex"), __out=F.lit(float(p["setback_ft"])) - gap).filter(F.col("__out") > 0.01)
+    bent = once(both.filter("not b_convex"), __out=F.lit(inset) - gap).filter(F.col("__out") > 0.01)
     found = flat.unionByName(bent)
     return _hit(found, "RULE_11", F.col("plot_id"), F.col("__out"))
 

@@ -201,6 +201,11 @@ def resolve_customers(requests: DataFrame, customers: DataFrame) -> DataFrame:
     ).drop("__k")
 
 
+def new_customers(resolved: DataFrame) -> DataFrame:
+    """Customers that ``resolve_customers`` had to make, one row each: id, name as first written in order, number of requests."""
+    return resolved.filter("is_new").groupBy("customer_id").agg(F.min(F.trim("customer_name")).alias("name"), F.count(F.lit(1)).alias("requests"))
+
+
 def customer_directory(customers: DataFrame) -> DataFrame:
     return customers.agg(
         F.count(F.lit(1)).alias("customers"), money_sum("total_invested").alias("invested"),

@@ -395,9 +395,13 @@ def nearest_road_edge(plots: DataFrame, roads: DataFrame, cutoff: float = 500.0)
     return best.select("project_id", "ring", "b.road_id", "b.centerline", F.col("b.dist").alias("distance"))
 
 
-def facing8(plots: DataFrame, roads: DataFrame, rotation: Column | float = 0.0) -> DataFrame:
-    """Eight-way facing: outward normal of the road-side edge, turned by the site rotation."""
-    turn = F.lit(float(rotation)) if isinstance(rotation, (int, float)) else rotation
+def facing8(plots: DataFrame, roads: DataFrame, rotation: Column | DataFrame | float = 0.0) -> DataFrame:
+    """Eight-way facing: outward normal of the road-side edge, turned by the site rotation.
+
+    ``rotation`` is one angle, a column, or a table (project_id, rotation).
+    """
+    turns = rotation if isinstance(rotation, DataFrame) else None
+    turn = F.coalesce("rotation", F.lit(0.0)) if turns is not None else F.lit(float(rotation)) if isinstance(rotation, (int, float)) else rotation
 
     def rank(e, line):
         mid_x, mid_y = (e["x1"] + e["x2"]) / 2.0, (e["y1"] + e["y2"]) / 2.0
@@ -408,6 +412,8 @@ def facing8(plots: DataFrame, roads: DataFrame, rotation: Column | float = 0.0)
     ranked = F.transform(R.edges("ring"), lambda e, i: F.struct(rank(e, F.col("centerline")).alias("r"), i.alias("i")))
     best = F.array_min(F.transform(ranked, lambda v: F.struct(v["r"]["k"].alias("k"), v["i"].alias("i"), v["r"]["e"].alias("e"))))
     shapes = once(nearest_road_edge(plots, roads), e=best["e"], c=R.area_centroid("ring"))
+    if turns is not None:
+        shapes = shapes.join(turns, "project_id", "left")
     e, c = F.col("e"), F.col("c")
     dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
     inward = -dy * (c["x"] - (e["x1"] + e["x2"]) / 2.0) + dx * (c["y"] - (e["y1"] + e["y2"]) / 2.0) > 0

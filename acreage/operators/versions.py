@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from acreage.functions import rings as R
+from acreage.operators.inventory import editable
+from acreage.operators.spatial import facing8
 from acreage.session import first_per_key, numbered
 
 
@@ -103,9 +105,11 @@ def run_result(artifacts: DataFrame, types: list[str]) -> DataFrame:
     )
 
 
-def apply_entity_patches(entities: DataFrame, patches: DataFrame, fields: list[str]) -> DataFrame:
-    """Field-wise patches; a changed ring gets new area, perimeter and centroid."""
+def apply_entity_patches(entities: DataFrame, patches: DataFrame, fields: list[str], layouts: DataFrame | None = None) -> DataFrame:
+    """Field-wise patches; a changed ring gets new area, perimeter and centroid. Patches of approved or locked ``layouts`` are refused."""
     keys = ["project_id", "layout_id", "entity_id"]
+    if layouts is not None:
+        patches = editable(patches, layouts)
     new = patches.select(*keys, *[F.col(c).alias(f"__{c}") for c in fields])
     joined = entities.join(new, keys, "left")
     for c in fields:
@@ -120,6 +124,13 @@ def apply_entity_patches(entities: DataFrame, patches: DataFrame, fields: list[s
     return joined.drop(*[f"__{c}" for c in fields])
 
 
+def refresh_facing(plots: DataFrame, roads: DataFrame, rotations: DataFrame) -> DataFrame:
+    """Plots with their facing worked out again for the rotation of their project; an unknown one keeps what was there."""
+    turned = facing8(plots, roads, rotations.select("project_id", "rotation"))
+    now = F.when(F.col("facing8") != "UNKNOWN", F.col("facing8")).otherwise(F.coalesce("facing", F.lit("UNKNOWN")))
+    return turned.withColumn("facing", now).select(*plots.columns)
+
+
 def merge_georef(models: DataFrame, patches: DataFrame, fields: list[str]) -> DataFrame:
     """Georeference fields: patch over stored value."""
     new = patches.select("project_id", *[F.col(c).alias(f"__{c}") for c in fields])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from acreage import constants as K
+from acreage.functions import rings as R
 from acreage.functions import scalars as S
 from acreage.functions import text as T
 from acreage.functions.rings import floor_round
@@ -13,6 +14,7 @@ from acreage.operators import crm as C
 from acreage.operators import detection as D
 from acreage.operators import inventory as I
 from acreage.operators import norms as N
+from acreage.operators import versions as V
 from acreage.plans import views as v
 from acreage.plans.sql import r2, with_views
 from acreage.sources.tables import read_table
@@ -125,7 +127,54 @@ def _block_ids(s, d):
     return D.rank_blocks(blocks).select("block_no", F.col("rank").cast("long").alias("rank"), "block_id")
 
 
+def _new_customers(s, d):
+    name = F.concat(F.lit(" CUSTOMER#"), F.lpad((F.col("payment_id") % 3000).cast("string"), 9, "0"), F.lit(" "))
+    asked = v.payments(s, d).select("payment_id", name.alias("customer_name"))
+    return C.new_customers(C.resolve_customers(asked, v.customers(s, d))).select("name", "requests")
+
+
+def _reopen(s, d):
+    k = F.col("s_suppkey")
+    layouts = read_table(s, d, "supplier").select(k.alias("layout_id"), F.element_at(F.array(*map(F.lit, ["APPROVED", "DRAFT", "LOCKED"])), (k % 3 + 1).cast("int")).alias("layout_status"), F.col("s_nationkey").alias("layout_version"))
+    return V.reopen_layouts(layouts, layouts.filter(k % 2 == 0).select("layout_id").unionByName(layouts.select("layout_id").filter("layout_id = 0")))
+
+
+def _latest_job(s, d):
+    layouts = read_table(s, d, "supplier").select(F.col("s_suppkey").alias("layout_id"))
+    jobs = read_table(s, d, "events").select(F.col("user_id").alias("layout_id"), F.col("event_id").alias("job_id"), F.col("ts").alias("created_at"), F.col("event_type").alias("status"), F.col("props").alias("stage"), F.col("value").alias("progress"))
+    return V.layouts_with_latest_job(layouts, jobs)
+
+
+def _version_summaries(s, d):
+    shots = read_table(s, d, "orders").select((F.col("o_custkey") % 50).alias("project_id"), F.concat(F.lit("v"), (F.col("o_orderkey") % 23).cast("string")).alias("version")).distinct()
+    return V.version_summaries(shots).select("project_id", "version", "number", "n_versions", "is_latest")
+
+
+def _entity_patches(s, d):
+    r = v.rects(s, d)
+    keys = [F.col("project_id"), (F.col("plot_id") % 4).alias("layout_id"), F.col("plot_id").alias("entity_id")]
+    entities = r.select(*keys, "ring", F.lit("old").alias("note"), (F.col("w") * F.col("h")).alias("area"), ((F.col("w") + F.col("h")) * 2).alias("perimeter"), R.area_centroid("ring").alias("centroid"))
+    wider = R.box_ring("x0", "y0", F.col("x1") + 10, "y1")
+    patches = r.filter(F.col("plot_id") % 5 == 0).select(*keys, F.when(F.col("plot_id") % 2 == 0, wider).alias("ring"), F.lit("new").alias("note"))
+    layouts = entities.select("project_id", "layout_id").distinct().withColumn("layout_status", F.when(F.col("layout_id") == 0, "LOCKED").otherwise("DRAFT"))
+    out = V.apply_entity_patches(entities, patches, ["ring", "note"], layouts)
+    return out.select("entity_id", "note", floor_round("area").alias("area"), floor_round("perimeter").alias("perimeter"), floor_round("centroid.x").alias("cx"))
+
+
+def _broker_directory(s, d):
+    b = v.brokers(s, d).select("broker_id", (F.col("broker_id") * 2).alias("total_deals"), (F.col("commission_rate") * 10).cast("decimal(18,2)").alias("total_earned"), F.col("commission_rate").cast("decimal(18,2)").alias("pending_payout"))
+    return C.broker_directory(b)
+
+
+def _sorted_plots(s, d):
+    """Place of each plot of a project of its own in natural order of the numbers."""
+    p = v.plots(s, d).select("plot_number").distinct().withColumn("plot_id", F.col("plot_number"))
+    return C.head_n(p, [k.asc_nulls_first() for k in C.natural_key("plot_number")], 40).select("plot_number")
+
+
 QUERIES = {
+    "new_customers": _new_customers, "reopen_layouts": _reopen, "layouts_with_latest_job": _latest_job, "version_summaries": _version_summaries, "entity_patches": _entity_patches,
+    "broker_directory": _broker_directory, "first_plot_numbers": _sorted_plots,
     "status_patches": _status_patches, "plots_with_active_booking": _with_active, "bookings_with_plot": _with_plot, "invalid_status": _invalid_status, "editable_entities": _editable,
     "clean_payments": _clean_payments, "validate_projects": _validate_projects, "text_fields": _text_fields, "date_fields": _dates, "event_values": _event_values, "norm_notes": _norm_notes, "block_ids": _block_ids,
 }
@@ -136,6 +185,17 @@ _BOOKED = """books AS (
 ), own AS (SELECT DISTINCT ON (plot_id) plot_id, plot_number, status, base_price, order_id FROM v_plots)"""
 
 ORACLE = {
+    "new_customers": with_views("SELECT 'CUSTOMER#' || lpad(CAST(k AS VARCHAR), 9, '0') AS name, count(*) AS requests FROM (SELECT payment_id % 3000 AS k FROM v_payments) WHERE k NOT IN (SELECT customer_id FROM v_customers) GROUP BY k", "v_payments", "v_customers"),
+    "reopen_layouts": """SELECT s_suppkey AS layout_id, CASE WHEN s_suppkey % 6 = 0 THEN 'REVISION' ELSE ['APPROVED', 'DRAFT', 'LOCKED'][CAST(s_suppkey % 3 + 1 AS INT)] END AS layout_status,
+  CAST(s_nationkey + CASE WHEN s_suppkey % 6 = 0 THEN 1 ELSE 0 END AS INT) AS layout_version FROM supplier""",
+    "layouts_with_latest_job": """SELECT s_suppkey AS layout_id, event_id AS job_id, event_type AS job_status, props AS stage, value AS progress FROM supplier
+  LEFT JOIN (SELECT DISTINCT ON (user_id) * FROM events ORDER BY user_id, ts DESC, event_id DESC) ON user_id = s_suppkey""",
+    "version_summaries": """SELECT project_id, 'v' || n AS version, CAST(n AS INT) AS number, count(*) OVER p AS n_versions, n = max(n) OVER p AS is_latest FROM (SELECT DISTINCT o_custkey % 50 AS project_id, o_orderkey % 23 AS n FROM orders) WINDOW p AS (PARTITION BY project_id)""",
+    "entity_patches": with_views(
+        f"""SELECT plot_id AS entity_id, CASE WHEN hit THEN 'new' ELSE 'old' END AS note, {r2('(w + g) * h')} AS area, {r2('(w + g + h) * 2')} AS perimeter, {r2('x0 + (w + g) / 2')} AS cx
+  FROM (SELECT *, plot_id % 5 = 0 AND plot_id % 4 <> 0 AS hit, CASE WHEN plot_id % 5 = 0 AND plot_id % 4 <> 0 AND plot_id % 2 = 0 THEN 10 ELSE 0 END AS g FROM v_rects)""", "v_rects"),
+    "broker_directory": with_views("SELECT count(*) AS brokers, CAST(sum(broker_id * 2) AS BIGINT) AS deals, CAST(sum(commission_rate * 10) AS DOUBLE) AS earned, CAST(sum(commission_rate) AS DOUBLE) AS pending FROM v_brokers", "v_brokers"),
+    "first_plot_numbers": with_views("SELECT plot_number FROM (SELECT DISTINCT plot_number FROM v_plots) ORDER BY lower(split_part(plot_number, '-', 1)), CAST(split_part(plot_number, '-', 2) AS INT) LIMIT 40", "v_plots"),
     "status_patches": with_views(
         """SELECT o.plot_id, st AS status, CASE WHEN good AND order_id % 7 = 0 THEN 'new' ELSE 'old' END AS notes, price AS base_price,
   CASE WHEN good AND st = 'AVAILABLE' THEN 'none' WHEN opens THEN 'booking' ELSE 'old' END AS owner, coalesce(opens, false) AS reserved,

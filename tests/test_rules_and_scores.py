@@ -102,3 +102,15 @@ def test_copies_get_their_neighbours(spark):
     prims = spark.createDataFrame([(p, i, [{"x": x, "y": y} for x, y in ring]) for p, i, ring in rows], "project_id int, plot_id int, ring array<struct<x: double, y: double>>")
     near = {r.plot_id: r.neighbours for r in P.neighbours(P.expand_edges(P.relationship_graph(prims), prims)).collect()}
     assert near == {1: [3], 2: [3], 3: [1, 2]}
+
+
+def test_facing_follows_the_rotation(spark):
+    from acreage.operators import versions as V
+
+    point = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
+    plots = spark.createDataFrame([(1, 1, point(box(0, 0, 10, 10)), "WEST"), (2, 2, point(box(0, 0, 10, 10)), "WEST"), (3, 3, point(box(0, 0, 10, 10)), None)], f"project_id int, plot_id int, ring {R.RING}, facing string")
+    roads = spark.createDataFrame([(p, "r", 1, point([(-50, 15), (50, 15)])) for p in (1, 2)], f"project_id int, road_id string, ord int, centerline {R.RING}")
+    turns = spark.createDataFrame([(1, 0.0), (2, 90.0)], "project_id int, rotation double")
+    got = {r.project_id: r.facing for r in V.refresh_facing(plots, roads, turns).collect()}
+    points = ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]
+    assert got[3] == "UNKNOWN" and points.index(got[2]) == (points.index(got[1]) + 2) % 8

@@ -122,7 +122,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
+        for batch in X.pieces(batches, 3):
             part = held + list(zip(*[c.to_pylist() for c in batch.columns]))
             if len(part) < 2:
                 held = part

@@ -141,7 +141,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str], text_col: str = "te
     schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in X.pieces(batches, place):
             names, scores = shared.value.predict(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:place], pa.array(names, pa.string()), pa.array(scores)], names=[*carry, "lang_pred", "score"])
 

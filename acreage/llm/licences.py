@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acreage.llm import text as X
+
 #: The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Further notice phrases and their labels.
@@ -150,7 +152,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton()
-        for batch in batches:
+        for batch in X.pieces(batches, 1):
             rows = [scan(t, machine) for t in batch.column(1).to_pylist()]
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_TYPES)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *_NAMES])

@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, words: int = 5, rows: int = 5, id_col: str = "doc_
     """doc_id, n_shingles, set_key (digest of the whole set, null when empty), bands."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in X.pieces(batches, 1):
             count, keys, slots, sets = [], [], [], []
             for i, own in X.shingle_sets(X.encoded(batch.column(1).to_pylist(), lower=True), words):
                 count.append(len(own))
@@ -108,7 +108,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     of 64 * PARITY_WORDS hash cells. A repeated id with another text is left out by its digest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in X.pieces(batches, 2):
             keys, reps = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             ids, sets, parity = [], [], []
             for i, own in X.shingle_sets(X.encoded(batch.column(2).to_pylist(), lower=True), words):

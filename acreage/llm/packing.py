@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acreage.llm import pretokens as T
+from acreage.llm import text as X
 
 LONGEST = 4096
 TIERS = [4096, 2048, 1024, 512]
@@ -237,7 +238,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             size = 0
             return out
 
-        for batch in batches:
+        for batch in X.pieces(batches, 1):
             for key, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist())):
                 ids = np.append(ids, np.uint32(END)).astype("<u4")
                 doc_ids[counter], ids_of[counter] = key, ids

@@ -108,7 +108,7 @@ def with_features(docs: DataFrame, text_col: str = "text", name: str = "features
     schema = StructType([*docs.schema.fields, StructField(name, StructType([StructField(f, LongType()) for f in FEATURES]))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in X.pieces(batches, place):
             got = text_features(X.encoded(batch.column(place).to_pylist()))
             struct = pa.StructArray.from_arrays([pa.array(got[f], pa.int64()) for f in FEATURES], names=FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*batch.schema.names, name])

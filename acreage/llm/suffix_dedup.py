@@ -143,7 +143,7 @@ def listed(docs: DataFrame, length: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in X.pieces(batches, 1):
             texts = [t or b"" for t in X.encoded(batch.column(1).to_pylist())]
             of, anchor, digest, place, size = stretches(texts, length)
             items = pa.StructArray.from_arrays([pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32))], names=["anchor", "digest", "place", "bytes"])
@@ -165,7 +165,7 @@ def packed_texts(docs: DataFrame, length: int) -> DataFrame:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in X.pieces(batches, 0):
             texts = [t for t in X.encoded(batch.column(0).to_pylist()) if t and len(t) >= length]
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array([press.compress(t) for t in texts], pa.binary())], names=["text_key", "packed"])
 

@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOB_BYTES = 1 << 19
+PIECE_BYTES = 1 << 22
 
 #: The white space that ends a word, \x20 and \x09 to \x0D.
 SPACE = np.zeros(256, bool)
@@ -62,6 +65,16 @@ def blobs(texts: list[bytes | None], limit: int = BLOB_BYTES) -> Iterator[tuple[
         first = last
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of the given text column, so a task holds few texts as Python objects."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // limit
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0, 0]
+        for a, b in zip(edges, edges[1:]):
+            yield batch.slice(a, b - a)
+
+
 def encoded(texts: list[str | None], lower: bool = False) -> list[bytes | None]:
     """UTF-8 of every text; ``lower`` lower-cases A-Z only."""
     if lower:

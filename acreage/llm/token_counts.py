@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acreage.llm import pretokens as T
+from acreage.llm import text as X
 from acreage.session import cut
 
 HEAD = 1 << 18
@@ -119,7 +120,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, head: int = HEAD,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = table.value
         row_key = (TaskContext.get().partitionId()) << 40
-        for batch in batches:
+        for batch in X.pieces(batches, 1):
             texts = batch.column(1).to_pylist()
             known_sum = np.zeros(len(texts), np.int64)
             rest: list = [None] * len(texts)

@@ -117,8 +117,16 @@ def cross(e) -> Column:
     return e["x1"] * e["y2"] - e["x2"] * e["y1"]
 
 
+def moved(ring, origin) -> Column:
+    """The ring seen from a point near it, so that no digits are lost far from the origin."""
+    return F.transform(_c(ring), lambda p: point(p["x"] - origin["x"], p["y"] - origin["y"]))
+
+
 def signed_area(ring) -> Column:
-    return _sum(edges(ring), cross) / 2.0
+    def turned(o):
+        return _sum(edges(ring), lambda e: (e["x1"] - o["x"]) * (e["y2"] - o["y"]) - (e["x2"] - o["x"]) * (e["y1"] - o["y"])) / 2.0
+
+    return let(F.get(_c(ring), F.lit(0)), turned)
 
 
 def ring_area(ring) -> Column:
@@ -343,9 +351,14 @@ def _height(e, x) -> Column:
 
 
 def overlap_area(a, b) -> Column:
-    """Area common to two simple polygons, exact for any shape.
+    """Area common to two simple polygons, exact for any shape, measured from the first vertex of ``a``."""
+    at = F.get(_c(a), F.lit(0))
+    near = let(at, lambda o: F.struct(moved(a, o).alias("a"), moved(b, o).alias("b")))
+    return let(near, lambda v: _overlap_area(v["a"], v["b"]))
+
 
-    A polygon is the signed sum of the strips below its edges, so the common area is the
+def _overlap_area(a, b) -> Column:
+    """A polygon is the signed sum of the strips below its edges, so the common area is the
     signed sum, over edge pairs, of the integral of the lower of the two edges.
     """
 

@@ -83,18 +83,6 @@ def grid_roads(parcels: DataFrame, main_ft: float = MAIN_ROAD_FT, feeder_ft: flo
     )
 
 
-def grid_road_area(parcels: DataFrame, main_ft: float = MAIN_ROAD_FT, feeder_ft: float = FEEDER_ROAD_FT) -> DataFrame:
-    """Dissolved road area of the grid: spine plus feeders less their crossings."""
-    roads = grid_roads(parcels, main_ft, feeder_ft)
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    main = F.col("road_type") == "MAIN"
-    wide_cross = F.least(F.lit(main_ft), F.least("width_ft", "depth_ft"))
-    feeder = F.when(~main, F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) * wide_cross)
-    return roads.groupBy("parcel_id").agg(F.sum(area).alias("gross_road"), F.coalesce(F.sum(feeder), F.lit(0.0)).alias("crossings"), F.count(F.lit(1)).alias("n_roads")).select(
-        "parcel_id", (F.col("gross_road") - F.col("crossings")).alias("road_area"), "n_roads"
-    )
-
-
 def grid_blocks(parcels: DataFrame, main_ft: float = MAIN_ROAD_FT, feeder_ft: float = FEEDER_ROAD_FT, block_ft: float = BLOCK_DEPTH_FT) -> DataFrame:
     """Rectangles left between the spine and the feeders."""
     w, h = F.col("width_ft"), F.col("depth_ft")

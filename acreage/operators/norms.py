@@ -11,28 +11,28 @@ from acreage.functions.text import fixed_text
 
 STATEWIDE = "IN_MH_UDCPR_STANDARD"
 
-# fixed values: public planning authorities (id, short name, category, amenity threshold in hectares)
+# fixed values: public planning authorities (id, short name, amenity threshold in hectares)
 AUTHORITIES = [
-    ("IN_MH_PMC", "PMC Pune", "MUNICIPAL_CORPORATION", 0.4),
-    ("IN_MH_PCMC", "PCMC", "MUNICIPAL_CORPORATION", 0.4),
-    ("IN_MH_BMC", "BMC Mumbai", "MUNICIPAL_CORPORATION", 0.4),
-    ("IN_MH_PMRDA", "PMRDA", "DEVELOPMENT_AUTHORITY", 1.0),
-    ("IN_MH_MMRDA", "MMRDA", "DEVELOPMENT_AUTHORITY", 2.0),
-    ("IN_MH_NMMC", "NMMC / CIDCO", "MUNICIPAL_CORPORATION", 1.0),
-    ("IN_MH_TMC", "TMC Thane", "MUNICIPAL_CORPORATION", 0.4),
-    ("IN_MH_NMC", "NMC Nagpur", "MUNICIPAL_CORPORATION", 1.0),
-    ("IN_MH_NASHIK", "NMC Nashik", "MUNICIPAL_CORPORATION", 1.0),
-    ("IN_MH_CSN", "AMC Sambhajinagar", "MUNICIPAL_CORPORATION", 1.0),
-    ("IN_MH_COUNCILS", "MH Municipal Councils", "MUNICIPAL_COUNCIL", 2.0),
-    ("IN_MH_NAGAR_PANCHAYAT", "Nagar Panchayats", "NAGAR_PANCHAYAT", 2.0),
-    ("IN_MH_REGIONAL_PLAN", "Regional Plan / Collectorate", "REGIONAL_PLAN", 2.0),
-    (STATEWIDE, "UDCPR Standard", "MUNICIPAL_CORPORATION", 2.0),
+    ("IN_MH_PMC", "PMC Pune", 0.4),
+    ("IN_MH_PCMC", "PCMC", 0.4),
+    ("IN_MH_BMC", "BMC Mumbai", 0.4),
+    ("IN_MH_PMRDA", "PMRDA", 1.0),
+    ("IN_MH_MMRDA", "MMRDA", 2.0),
+    ("IN_MH_NMMC", "NMMC / CIDCO", 1.0),
+    ("IN_MH_TMC", "TMC Thane", 0.4),
+    ("IN_MH_NMC", "NMC Nagpur", 1.0),
+    ("IN_MH_NASHIK", "NMC Nashik", 1.0),
+    ("IN_MH_CSN", "AMC Sambhajinagar", 1.0),
+    ("IN_MH_COUNCILS", "MH Municipal Councils", 2.0),
+    ("IN_MH_NAGAR_PANCHAYAT", "Nagar Panchayats", 2.0),
+    ("IN_MH_REGIONAL_PLAN", "Regional Plan / Collectorate", 2.0),
+    (STATEWIDE, "UDCPR Standard", 2.0),
 ]
 
 
 def authorities(spark: SparkSession) -> DataFrame:
     """The registry as a dimension: fourteen rows."""
-    return spark.createDataFrame(AUTHORITIES, "id STRING, short_name STRING, category STRING, amenity_threshold_ha DOUBLE")
+    return spark.createDataFrame(AUTHORITIES, "id STRING, short_name STRING, amenity_threshold_ha DOUBLE")
 
 
 def presets(auth: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ cells AS (SELECT DISTINCT s.project_id, s.side, x, x2, y, y2 FROM src s JOIN xs
 cover AS (SELECT project_id, x, y, (x2 - x) * (y2 - y) AS area, bool_or(side = 'A') AS a, bool_or(side = 'B') AS b FROM cells GROUP BY ALL)"""
 
 
-_AUTH = ", ".join(f"({i + 1}, '{a[0]}', {a[3]}::DOUBLE)" for i, a in enumerate(norms.AUTHORITIES))
+_AUTH = ", ".join(f"({i + 1}, '{a[0]}', {a[2]}::DOUBLE)" for i, a in enumerate(norms.AUTHORITIES))
 _SQ, _MF = "10.7639104::DOUBLE", "3.2808399::DOUBLE"
 _NORMS = f"""auth(n, id, threshold) AS (VALUES {_AUTH}),
 base AS (SELECT parcel_id, coalesce(id, '{norms.STATEWIDE}') AS authority_id, coalesce(threshold, 2.0::DOUBLE) AS threshold, is_congested AS k, land_use, greatest(100.0::DOUBLE, land_area_sqm) AS a

@@ -66,3 +66,14 @@ def test_dedupe_is_idempotent_and_direction_free(spark):
     once = D.dedupe_primitives(df, ["project_id"])
     assert sorted((r.ord, r.copies) for r in once.collect()) == [(1, 2), (3, 1)]
     assert D.dedupe_primitives(once.drop("copies"), ["project_id"]).count() == 2
+
+
+def test_shapes_far_from_the_origin_keep_their_digits(spark):
+    from acreage.operators import spatial as P
+
+    far = 2.0e7
+    rows = [(1, 1, [(far, far), (far + 30, far + 10), (far + 20, far + 40), (far - 10, far + 30)]), (1, 2, [(far + 30, far + 10), (far + 60, far + 20), (far + 50, far + 50), (far + 20, far + 40)])]
+    df = spark.createDataFrame([(p, i, [{"x": x, "y": y} for x, y in ring]) for p, i, ring in rows], f"project_id int, plot_id int, ring {R.RING}")
+    edge = P.relationship_graph(df).first()
+    assert edge.relation in ("SHARED_EDGE", "TOUCHES") and abs(edge.shared_len - 1000**0.5) < 0.01 and edge.overlap_area == 0.0
+    assert [r.a for r in df.select(R.ring_area("ring").alias("a")).collect()] == [1000.0, 1000.0]

@@ -170,13 +170,19 @@ def compliance_report(boundary: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def rule_results(boundary: DataFrame, found: DataFrame) -> DataFrame:
-    """One row per project and rule, passed or not."""
+def unchecked(greens: DataFrame | None = None, obstacles: DataFrame | None = None, **params: float) -> list[str]:
+    """Rules that ``violations`` does not judge with these arguments."""
+    out = ([] if greens is not None else ["RULE_03"]) + ([] if obstacles is not None else ["RULE_04"])
+    return out + ([] if {**DEFAULTS, **params}["setback_ft"] > 0 else ["RULE_11"])
+
+
+def rule_results(boundary: DataFrame, found: DataFrame, not_judged: list[str] = ()) -> DataFrame:
+    """One row per project and rule, passed or not; null for rules that were ``not_judged``."""
     rule = F.explode(F.array(*[F.struct(F.lit(a).alias("rule_id"), F.lit(b).alias("rule_name"), F.lit(c).alias("severity")) for a, b, c in RULES]))
     every = boundary.select("project_id", rule.alias("r")).select("project_id", "r.*")
     counts = found.groupBy("project_id", "rule_id").agg(F.sum("n").alias("violations"))
     return every.join(counts, ["project_id", "rule_id"], "left").withColumn("violations", F.coalesce("violations", F.lit(0))).withColumn(
-        "passed", F.col("violations") == 0
+        "passed", F.when(~F.col("rule_id").isin(*not_judged), F.col("violations") == 0)
     )
 
 

@@ -62,8 +62,7 @@ def _words(s, d):
     c = read_table(s, d, "conversations")
     gt = c.select(F.concat_ws("-", "conv_id", F.col("turn")).alias("k"), F.col("text").alias("words"))
     pred = c.select(F.concat_ws("-", "conv_id", F.col("turn") + 1).alias("k"), F.col("text").alias("words"))
-    both = gt.join(pred.select("k"), "k", "left_semi"), pred.join(gt.select("k"), "k", "left_semi")
-    return L.word_accuracy(*both, "k").select("k", *[F.col(c).cast("long").alias(c) for c in ("n_gt", "n_pred", "n_common")], "precision", "recall", "f1")
+    return L.word_accuracy(gt, pred, "k").select("k", *[F.col(c).cast("long").alias(c) for c in ("n_gt", "n_pred", "n_common")], "precision", "recall", "f1")
 
 
 def _measures(s, d):

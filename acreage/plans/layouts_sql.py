@@ -145,8 +145,8 @@ ORACLE: dict[str, str] = {
     "text_edit_distance": """SELECT p_partkey, levenshtein(n, t) AS distance, n AS norm FROM (SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS n,
   regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS t FROM part)""",
     "word_accuracy": f"""WITH w AS (SELECT conv_id, turn, list_distinct(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: upper(trim(x)))) AS ws FROM conversations),
-  b AS (SELECT g.conv_id || '-' || g.turn AS k, len(g.ws) AS n_gt, len(p.ws) AS n_pred, len(list_intersect(g.ws, p.ws)) AS n_common FROM w g JOIN w p ON g.conv_id = p.conv_id AND g.turn = p.turn + 1)
-  SELECT k, n_gt, n_pred, n_common, {rn('n_common / n_pred::DOUBLE', 4)} AS precision, {rn('n_common / n_gt::DOUBLE', 4)} AS recall, {rn('n_common * 2.0::DOUBLE / (n_gt + n_pred)', 4)} AS f1 FROM b""",
+  b AS (SELECT coalesce(g.conv_id || '-' || g.turn, p.conv_id || '-' || (p.turn + 1)) AS k, coalesce(len(g.ws), 0) AS n_gt, coalesce(len(p.ws), 0) AS n_pred, coalesce(len(list_intersect(g.ws, p.ws)), 0) AS n_common FROM w g FULL JOIN w p ON g.conv_id = p.conv_id AND g.turn = p.turn + 1)
+  SELECT k, n_gt, n_pred, n_common, {rn('coalesce(n_common / nullif(n_pred, 0)::DOUBLE, 0)', 4)} AS precision, {rn('coalesce(n_common / nullif(n_gt, 0)::DOUBLE, 0)', 4)} AS recall, {rn('n_common * 2.0::DOUBLE / (n_gt + n_pred)', 4)} AS f1 FROM b""",
     "ring_measures": with_views(
         f"""SELECT plot_id, w * h AS area, 2 * (w + h) AS perimeter, {r2('(x0 + x1) / 2')} AS cx, {r2('(y0 + y1) / 2')} AS cy, (x0 + x1) / 2 AS vx, (y0 + y1) / 2 AS vy,
   CASE WHEN h >= w THEN 'NORTH' ELSE 'EAST' END AS orientation, {r2('w / h')} AS aspect FROM v_rects""", "v_rects"),

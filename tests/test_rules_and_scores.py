@@ -114,3 +114,11 @@ def test_facing_follows_the_rotation(spark):
     got = {r.project_id: r.facing for r in V.refresh_facing(plots, roads, turns).collect()}
     points = ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]
     assert got[3] == "UNKNOWN" and points.index(got[2]) == (points.index(got[1]) + 2) % 8
+
+
+def test_rules_without_inputs_are_not_passed(spark):
+    b = spark.createDataFrame([("p", [{"x": x, "y": y} for x, y in box(0, 0, 9, 9)])], f"project_id string, ring {R.RING}")
+    found = spark.createDataFrame([], "project_id string, rule_id string, entity_id string, measure double, n long")
+    assert Q.unchecked() == ["RULE_03", "RULE_04"] and Q.unchecked(b, b, setback_ft=0.0) == ["RULE_11"]
+    rows = {r.rule_id: r.passed for r in Q.rule_results(b, found, Q.unchecked()).collect()}
+    assert rows["RULE_03"] is None and rows["RULE_04"] is None and rows["RULE_01"] is True

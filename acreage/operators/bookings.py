@@ -16,7 +16,7 @@ def validate_bookings(df: DataFrame) -> DataFrame:
     """Adds ``error``: the first failing rule, null for good commands."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     return df.withColumn(
-        "error",
+        "error",  # fixed values: messages of the checks
         F.when(blank("customer_name"), "Customer Name is required.")
         .when(blank("customer_phone"), "Customer Phone Number is required.")
         .when(F.col("booking_amount").isNull() | (F.col("booking_amount") <= 0), "Booking amount must be greater than 0."),

@@ -95,6 +95,7 @@ def shape_class(df: DataFrame) -> DataFrame:
     return df.withColumn("shape_type", kind).withColumn("aspect_ratio", floor_round(w / h)).drop("__b", "__area", "__hull")
 
 
+# fixed values: class bounds of primitives and entities, here and in classify_entities
 def candidate_type(closed, area, aspect, w, h, canvas_area) -> Column:
     ratio = F.coalesce(area / F.nullif(canvas_area, F.lit(0.0)), F.lit(0.0))
     side = F.sqrt(canvas_area)

@@ -255,6 +255,7 @@ def association_metrics(gt: DataFrame, pred: DataFrame, strict: bool = False) ->
 
 
 # fixed values: acceptance thresholds
+# fixed values: acceptance thresholds, and below the names of failures in their order
 THRESHOLDS = {"min_plot_iou": 0.85, "min_boundary_iou": 0.90, "min_ocr_recall": 0.80, "min_label_association_accuracy": 0.85}
 
 

@@ -180,6 +180,7 @@ def with_price(df: DataFrame) -> DataFrame:
 
 def plot_view(plots: DataFrame, active_bookings: DataFrame) -> DataFrame:
     """Plot with dimensions, road and corner from its feature, else its notes, else defaults."""
+    # fixed values: display defaults of a plot
     notes = T.split_notes("notes")
     looks = notes["dimensions"].rlike("FT|×|x")
     parsed = with_price(parse_geojson(plots)).join(

@@ -78,6 +78,7 @@ def applicable_norms(parcels: DataFrame, auth: DataFrame) -> DataFrame:
     cheap = use.contains("AFFORDABLE") | use.contains("EWS")
     shop = use.contains("MIXED") | use.contains("COMMERCIAL")
     small = ha < 0.40
+    # fixed values: the ladders of each norm
     rules = {
         "open_space_pct": _ladder((tight, 5.0), (small, 0.0), 10.0),
         "min_cluster_sqm": _ladder((tight, 200.0), (small, 0.0), (ha < 1.0, 400.0), 1000.0),

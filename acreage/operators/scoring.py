@@ -58,6 +58,7 @@ def layout_totals(layouts: DataFrame, plots: DataFrame, roads: DataFrame, zones:
     return out
 
 
+# fixed values: weights, penalties and cut-offs of the two scores below
 def score_layouts(totals: DataFrame, target_plot_sqft: float = 1200.0) -> DataFrame:
     """Composite v1: six weighted sub-scores less penalties for violations and unused land.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="acreage-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)  # a local session's own folder ends with it
     spark.sparkContext.setCheckpointDir(made)
     return made
 

@@ -9,8 +9,8 @@ odds are favour * f / (1 - f), f being the share still wanted and ``favour`` a w
 their random odds u / (1 - u) divided by these odds and taken in that order until the words are used up; the last one is cut.
 u comes from a digest of seed and doc_id, so reruns agree.
 
-Scale. A source may hold a third of all rows: ranks are dealt into BINS bins of a source, bins are summed before the shuffle,
-only the bins' sums are numbered per source, and rows are ordered inside (source, bin).
+Scale. A source may hold a third of all rows: its rows meet their target in SALTS parts; ranks are dealt into BINS bins of a
+source, bins are summed before the shuffle, only the bins' sums are numbered per source, and rows are ordered inside (source, bin).
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 CAP = 3
 BINS = 1 << 14
+#: Parts a source's rows are dealt into when they meet their target.
+SALTS = 64
 SEED = "mix-1"
 #: Documents under this many words have half the inclusion odds.
 SHORT = 50
@@ -65,7 +67,9 @@ def mix_sources(docs: DataFrame, carry: list[str], id_col: str = "doc_id", sourc
         F.col("source").alias("goal_source"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long").alias("copies"), whole.cast("long").alias("__whole"),
     ).withColumn("budget", F.col("__whole") - F.col("copies") * F.col("source_size"))
-    joined = rows.join(goal, F.col("source").eqNullSafe(F.col("goal_source")))
+    spread = goal.withColumn("__goal_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("__id", "size"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(spread, F.col("source").eqNullSafe(F.col("goal_source")) & (F.col("__salt") == F.col("__goal_salt")))
     draw = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("__id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     share = F.col("budget") / F.col("source_size")
     favour = F.when(F.col("size") < SHORT, 0.5).otherwise(1.0)

@@ -61,26 +61,28 @@ def mix_sources(docs: DataFrame, carry: list[str], id_col: str = "doc_id", sourc
     columns = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)]
     size = word_count(F.col("text")) if size is None else size
     rows = docs.select(*columns, F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
-    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    rows = rows.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))  # never null, so joins and windows share one shuffle
+    sizes = rows.groupBy("__key").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"))
+    targets = source_targets(sizes)
     whole = F.floor(F.col("target") + 0.5)
     goal = targets.select(
-        F.col("source").alias("goal_source"), "source_size", "target",
+        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("__key"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long").alias("copies"), whole.cast("long").alias("__whole"),
     ).withColumn("budget", F.col("__whole") - F.col("copies") * F.col("source_size"))
-    spread = goal.withColumn("__goal_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = goal.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64("__id", "size"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(spread, F.col("source").eqNullSafe(F.col("goal_source")) & (F.col("__salt") == F.col("__goal_salt")))
+    joined = salted.join(spread, ["__key", "__salt"])
     draw = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("__id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     share = F.col("budget") / F.col("source_size")
     favour = F.when(F.col("size") < SHORT, 0.5).otherwise(1.0)
     drawn = joined.withColumn("__u", draw).withColumn("__odds", favour * share / (1.0 - share))
     ranked = drawn.withColumn("__q", F.when(F.col("budget") > 0, (F.col("__u") / (1.0 - F.col("__u"))) / F.col("__odds")).otherwise(F.col("__u")))
     ranked = ranked.withColumn("__bin", F.floor(F.col("__q") / (1.0 + F.col("__q")) * bins).cast("long"))
-    sums = ranked.groupBy("source", "__bin").agg(F.sum("size").alias("__in_bin"))
-    ahead = Window.partitionBy("source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("source").alias("__s"), F.col("__bin").alias("__b"), F.coalesce(F.sum("__in_bin").over(ahead), F.lit(0)).alias("__ahead"))
-    placed = ranked.join(offsets, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b")))
-    inside = Window.partitionBy("source", "__bin").orderBy("__q", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranked.groupBy("__key", "__bin").agg(F.sum("size").alias("__in_bin"))
+    ahead = Window.partitionBy("__key").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__key", "__bin", F.coalesce(F.sum("__in_bin").over(ahead), F.lit(0)).alias("__ahead"))
+    placed = ranked.join(offsets, ["__key", "__bin"])
+    inside = Window.partitionBy("__key", "__bin").orderBy("__q", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("__ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - start))
     mix = F.struct("size", "source_size", "target", "copies", (F.col("copies") * F.col("size") + more).alias("taken"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acreage.llm import fingerprints, languages, licences, mixing, near_dedup, packing, quality, suffix_dedup, token_counts, url_filter
+from acreage.llm import fingerprints, languages, licences, mixing, near_dedup, packing, quality, suffix_dedup, token_counts, twins, url_filter
 from acreage.session import cut
 
 
@@ -70,4 +70,6 @@ _ALL = [
     op10_suffix_dedup,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = {"op2_url_filter": url_filter.oracle(), "op8_source_mixing": mixing.ORACLE}
+ORACLE: dict[str, str] = {
+    "op1_minhash_near_dedup": twins.NEAR_DUPLICATES, "op2_url_filter": url_filter.oracle(), "op8_source_mixing": mixing.ORACLE, "op10_suffix_dedup": twins.REPEATS,
+}

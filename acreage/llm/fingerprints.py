@@ -100,7 +100,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     document follows itself. Cases: null texts are empty; empty texts have the fingerprint "3::" and likeness 1 to one another;
     repeated rows follow each other; other columns are ignored; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
+    spark = X.small_batches(docs).sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions")) * RANGES_PER_PARTITION
     found = base.select("doc_id").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)

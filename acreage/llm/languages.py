@@ -136,7 +136,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def predict(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``carry`` (the first ones), lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = X.small_batches(docs).sparkSession.sparkContext.broadcast(model)
     place = len(carry)
     schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
 

@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     doc_id gets the smallest doc_id of its equal copies' component, null if there is none, and kept is then false. An empty
     table gives an empty table. Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = X.small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = 5 if percent >= 85 else 4
     drawn = cut(sketches(docs, words, rows))
     classes = cut(drawn.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))

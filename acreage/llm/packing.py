@@ -269,4 +269,4 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         if rows:
             yield batch_out()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, _SCHEMA)
+    return X.small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, _SCHEMA)

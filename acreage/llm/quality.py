@@ -104,7 +104,7 @@ def text_features(texts: list[bytes | None]) -> dict[str, np.ndarray]:
 
 def with_features(docs: DataFrame, text_col: str = "text", name: str = "features") -> DataFrame:
     """``docs`` and a struct of the counts of each whole text."""
-    place = docs.columns.index(text_col)
+    place = X.small_batches(docs).columns.index(text_col)
     schema = StructType([*docs.schema.fields, StructField(name, StructType([StructField(f, LongType()) for f in FEATURES]))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -234,7 +234,7 @@ def counted(bytes_: DataFrame, length: int) -> DataFrame:
 def find_repeats(docs: DataFrame, length: int = LENGTH, limit: int = STRETCHES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, copies, repeats) of (doc_id, text) documents: ``rows`` as ``listed``; (text_key, n) counts of equal texts; and for
     texts that stand once (text_key, ranges), all string starts that also start elsewhere."""
-    rows = cut(listed(docs, length))
+    rows = cut(listed(X.small_batches(docs), length))
     copies = rows.groupBy("text_key").agg(F.count("*").alias("n"))
     parts = rows.filter(F.size("stretches") > 0).select("row", F.inline("stretches"))
     shared = parts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")

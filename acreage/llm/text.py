@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 BLOB_BYTES = 1 << 19
 PIECE_BYTES = 1 << 22
@@ -65,6 +66,17 @@ def blobs(texts: list[bytes | None], limit: int = BLOB_BYTES) -> Iterator[tuple[
         first = last
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lets the session hand batches of 16 MB and not 64 MB to Python, unless it was told otherwise; returns ``df``.
+
+    A batch is held by the JVM and, with its successor, by Python, for each running task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) == "67108864b":
+        df.sparkSession.conf.set(key, "16m")
+    return df
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``limit`` bytes of the given text column, so a task holds few texts as Python objects."""
     for batch in batches:
@@ -73,6 +85,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = PIECE_BY
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0, 0]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def encoded(texts: list[str | None], lower: bool = False) -> list[bytes | None]:

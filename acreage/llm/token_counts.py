@@ -108,7 +108,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, head: int = HEAD,
     inside the text are one token each. Cases: null and empty texts have 0; repeated rows and null ids stay; other columns are
     ignored; an empty table gives an empty table.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = X.small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = piece_counts(frequent(base.select("text"), head), path).toArrow()  # at most ``head`` rows
     names = known.column("token").to_pylist()
     joined_names = "".join(names)

@@ -1,8 +1,9 @@
 """Language identification with language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter has ROWS rows of 64 bits, bit l standing for language l. An n-gram is looked up at HASHES rows; the AND
-of these rows names all languages whose filter holds it, in one step for all languages. A text's languages are scored by the
-popcount of their bit over the text's n-grams, corrected for the false positives that the fill of that language's slice predicts.
+A bit-sliced Bloom filter has ROWS rows of 64 bits, bit l standing for language l; every WIDTH languages have such a plane of
+rows. An n-gram is looked up at the same HASHES rows of each plane; the AND of these rows names all languages of the plane whose
+filter holds it. A text's languages are scored by the popcount of their bit over the text's n-grams, corrected for the false
+positives that the fill of that language's slice predicts.
 
 A language's filter holds the n-grams whose relative frequency in it is at least SHARE of the sum over languages. Frequencies
 are counted on a bounded sample: about SAMPLE training documents of each language, drawn by a digest of doc_id.
@@ -25,7 +26,8 @@ ROWS, HASHES = 1 << 18, 3
 #: Training documents of a language at most (expected number of the draw).
 SAMPLE = 5_000
 SHARE, LEAST = 0.4, 3
-MOST_LANGUAGES = 63
+#: Languages of a plane.
+WIDTH = 63
 CHARS = 1 << 19
 
 
@@ -72,31 +74,38 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Languages, most frequent first, the filter's rows, and each slice's false positive rate."""
-
-    def __init__(self, languages: list[str], rows: np.ndarray):
-        self.languages, self.rows = languages, rows
-        fill = np.array([np.count_nonzero((rows >> np.uint64(i)) & np.uint64(1)) / len(rows) for i in range(len(languages))])
-        self.false_rate = np.minimum(fill**HASHES, 0.99)
+    """Languages, most frequent first, the filter's planes of rows, and each slice's false positive rate."""
+
+    def __init__(self, languages: list[str], planes: np.ndarray):
+        self.languages, self.planes = languages, planes
+        bits = ((planes[i // WIDTH] >> np.uint64(i % WIDTH)) & np.uint64(1) for i in range(len(languages)))
+        self.false_rate = np.minimum(np.array([np.count_nonzero(b) / ROWS for b in bits]) ** HASHES, 0.99)
+
+    def score(self, at: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each of ``size`` texts: its n-grams, its best language, and the share of that language's score."""
+        total = np.bincount(row, minlength=size).astype(float)
+        best, most, whole = np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
+        for first in range(0, len(self.languages), WIDTH):
+            rows = self.planes[first // WIDTH]
+            mask = rows[at[0]]
+            for line in at[1:]:
+                mask &= rows[line]
+            hit = np.flatnonzero(mask)
+            mask, of = mask[hit], row[hit]
+            for i in range(first, min(first + WIDTH, len(self.languages))):
+                hits = np.bincount(of, weights=(mask >> np.uint64(i - first)) & np.uint64(1), minlength=size)
+                right = np.maximum(0.0, hits - total * self.false_rate[i]) / (1.0 - self.false_rate[i])
+                whole += right
+                ahead = right > most
+                best[ahead], most[ahead] = i, right[ahead]
+        return total, best, np.where(whole > 0, most / np.maximum(whole, 1e-12), 0.0)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names: list[str] = []
         scores = np.zeros(len(texts))
         for first, last, keys, row in gram_keys(texts):
-            size = last - first
-            at = places(keys)
-            mask = self.rows[at[0]]
-            for line in at[1:]:
-                mask &= self.rows[line]
-            total = np.bincount(row, minlength=size).astype(float)
-            right = np.zeros((size, max(1, len(self.languages))))
-            for i in range(len(self.languages)):
-                hits = np.bincount(row, weights=(mask >> np.uint64(i)) & np.uint64(1), minlength=size)
-                right[:, i] = np.maximum(0.0, hits - total * self.false_rate[i]) / (1.0 - self.false_rate[i])
-            best = right.argmax(axis=1)
-            whole = right.sum(axis=1)
-            scores[first:last] = np.where(whole > 0, right[np.arange(size), best] / np.maximum(whole, 1e-12), 0.0)
-            for i in range(size):
+            total, best, scores[first:last] = self.score(places(keys), row, last - first)
+            for i in range(last - first):
                 text = texts[first + i]
                 known = self.languages and text and bool((T.classes()[T.code_points(text)] == T.LETTER).any() if not total[i] else True)
                 names.append(self.languages[best[i]] if known else "und")
@@ -106,32 +115,31 @@ class Model:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model of (doc_id, lang, text) rows. What reaches the driver is bounded: a row per language and the filter's rows."""
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
-    languages = sorted(counts, key=lambda x: (-counts[x], x))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a row holds {MOST_LANGUAGES}")
+    """Model of (doc_id, lang, text) rows. To the driver come a row per language and the filter's rows, 2 MB for WIDTH languages."""
+    counts = cut(docs.groupBy("lang").count())
+    languages = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").collect()]
+    planes = np.zeros((-(-len(languages) // WIDTH), ROWS), np.uint64)
     if not languages:
-        return Model([], np.zeros(ROWS, np.uint64))
-    limit = F.element_at(F.create_map(*[F.lit(v) for x in languages for v in (x, int(min(1.0, sample / counts[x]) * (1 << 30)))]), F.col("lang"))
-    drawn = docs.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(1 << 30)) < limit)
+        return Model([], planes)
+    limits = counts.select("lang", F.floor(F.least(F.lit(1.0), F.lit(sample) / F.col("count")) * (1 << 30)).alias("limit"))
+    drawn = docs.join(F.broadcast(limits), "lang").filter(F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(1 << 30)) < F.col("limit"))  # a row per language
     grams = cut(gram_counts(drawn))
     size = grams.groupBy("lang").agg(F.sum("n").alias("size"))
-    rated = grams.join(F.broadcast(size), "lang").withColumn("rate", F.col("n") / F.col("size"))  # at most MOST_LANGUAGES rows
+    rated = grams.join(F.broadcast(size), "lang").withColumn("rate", F.col("n") / F.col("size"))  # a row per language
     whole = rated.groupBy("gram").agg(F.sum("rate").alias("whole"))
     chosen = rated.join(whole, "gram").filter((F.col("rate") >= SHARE * F.col("whole")) & (F.col("n") >= LEAST))
-    bit = F.element_at(F.create_map(*[F.lit(v) for i, x in enumerate(languages) for v in (x, i)]), F.col("lang"))
+    number = {x: i for i, x in enumerate(languages)}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            mask = np.tile(np.left_shift(1, batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)), HASHES)
-            yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(mask)], names=["place", "mask"])
+            plane, bit = np.divmod(np.array([number[x] for x in batch.column(1).to_pylist()], np.int64), WIDTH)
+            columns = [np.tile(plane, HASHES), at.ravel(), np.tile(np.left_shift(1, bit), HASHES)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["plane", "place", "mask"])
 
-    cells = chosen.select("gram", bit.cast("long").alias("bit")).mapInArrow(work, "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
-    rows = np.zeros(ROWS, np.uint64)
-    rows[cells.column("place").to_numpy()] = cells.column("mask").to_numpy().view(np.uint64)
-    return Model(languages, rows)
+    cells = chosen.select("gram", "lang").mapInArrow(work, "plane long, place long, mask long").groupBy("plane", "place").agg(F.bit_or("mask").alias("mask")).toArrow()
+    planes[cells.column("plane").to_numpy(), cells.column("place").to_numpy()] = cells.column("mask").to_numpy().view(np.uint64)
+    return Model(languages, planes)
 
 
 def predict(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text") -> DataFrame:

@@ -121,6 +121,19 @@ def test_languages_on_held_out_documents(spark):
     assert languages.identify(rows.limit(0)).count() == 0
 
 
+def test_languages_of_more_than_one_plane(spark):
+    """Seventy languages of own words, and sixty labels that stand once: three planes."""
+    rng = random.Random(70)
+    words = {f"l{j:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(12)] for j in range(70)}
+    rows = [(i, " ".join(rng.choices(words[lang], k=60)), lang, "a", 0) for i, lang in enumerate(sorted(words) * 16)]
+    rows += [(5000 + i, "qq", f"stray{i}", "a", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = {r.doc_id: r for r in languages.identify(docs).collect()}
+    held = [r for r in rows[:1120] if got[r[0]].held_out]
+    assert len(got) == len(rows) and len({r[2] for r in held}) == 70
+    assert all(got[i].lang_pred == lang and got[i].score > 0.5 for i, _, lang, _, _ in held)
+
+
 def test_fingerprints_of_edited_and_next_texts(spark):
     rows = data.documents()
     got = fingerprints.fingerprint_documents(data.frame(spark, rows)).collect()

@@ -269,3 +269,20 @@ def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     judged = near_duplicates(docs, percent, words).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
     own = docs.filter("doc_id is not null").join(judged, F.col("doc_id") == F.col("__kept"), "left_semi")
     return own.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id is null"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """One document of each class of near duplicates, with all its columns: the one with the smallest doc_id, nulls last.
+
+    Rows are told apart by a key that is written first, so those without a doc_id are judged as well. Texts without a shingle are
+    alone and stay; of repeated rows among them (equal doc_id and text) one stays, unless the doc_id is null.
+    """
+    names = docs.columns
+    rows = cut(docs.select("*", F.monotonically_increasing_id().alias("__row")))
+    judged = near_duplicates(rows, percent, words, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id", (F.col("n_shingles") == 0).alias("blank"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row"))
+    # a text without a shingle is its own component, so copies of it are told by their doc_id and text
+    kept = judged.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id", "blank").agg(first.alias("first")).select(F.col("first.__row").alias("__row"), "blank")
+    own = rows.join(kept, "__row")
+    alone = own.filter("blank and doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return own.filter("not blank or doc_id is null").unionByName(alone).select(*names)

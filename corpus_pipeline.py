@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates (five-word shingles, similarity 0.8)."""
-    return near_dedup.keep_one(docs)
+    """One document of each class of near duplicates (five-word shingles, similarity 0.8), documents without an id among them."""
+    return near_dedup.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,3 +208,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in pieces} == {r.doc_id for r in mixed.collect()} and all(zlib.crc32(r.ids) == r.ids_crc32 for r in pieces)
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()  # cuts depend on the partitions
     assert sum(r.length for r in whole) == sum(r.length for r in pieces)
+
+
+def test_pipeline_keeps_a_text_that_has_a_copy_without_id(spark, tmp_path):
+    rng = random.Random(12)
+    texts = [data.sentence(rng, 120) for _ in range(8)]
+    near = texts[1].split()
+    near[60] = "edited"
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, " ".join(near)), (None, texts[7] + " end"), (None, texts[0]), (5, texts[6]), (40, "")]
+    rows += [(None, t) for t in [data.sentence(rng, 120)] * 3]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    one = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in one) == Counter([*rows[:6], (5, texts[6]), rows[7], (40, ""), rows[-1]])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in whole} == {0, 1, 2, 3, 4, 5, 7, None}

@@ -15,9 +15,11 @@ from acreage.functions import text as T
 from acreage.functions.rings import floor_round
 from acreage.operators import overlay
 from acreage.operators.spatial import grid_cells
-from acreage.session import cut, numbered, once
+from acreage.session import cut, first_per_key, numbered, once
 
 ORD_SLICE = 10000
+#: Texts that the free rows of a class without an equal text ask in a round.
+ASKED = 64
 
 
 def _slice(col: str) -> Column:
@@ -112,6 +114,37 @@ def match_by_iou(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> Data
     return _rounds(g_rows, p_rows, propose).withColumnRenamed("score", "iou")
 
 
+def _displaced(g: DataFrame, p: DataFrame) -> DataFrame:
+    """project_id, g_ord, p_ord, score of the walk that gives each approved text the nearest text left, by displacement.
+
+    All predicted texts rank the approved ones alike, by g_ord, so the walk is the only stable matching: every free row asks its
+    nearest text that no earlier row holds, a text keeps the earliest row that asked it, and the displaced row is free again. The
+    k-th free row of a class asks the k-th such text: those before it go to earlier rows. Rounds are the longest chain of displacements.
+    """
+    held, free = None, g
+    while True:
+        seats = cut((p if held is None else p.join(held.select("project_id", "p_ord", "g_ord"), ["project_id", "p_ord"], "left")).select(
+            "project_id", "p_ord", "p_class", (F.lit(2**62) if held is None else F.coalesce("g_ord", F.lit(2**62))).alias("holder")
+        ))
+        heads = cut(free.groupBy("project_id", "g_class").agg(F.min("g_ord").alias("head")))
+        within = F.col("holder") > F.col("head")
+        equal = cut(heads.withColumn("p_class", F.col("g_class")).join(seats, ["project_id", "p_class"]).filter(within).select("project_id", "g_class", "p_ord", F.lit(0).alias("score")))
+        rest = heads.join(equal.select("project_id", "g_class").distinct(), ["project_id", "g_class"], "left_anti")
+        reach = seats.groupBy("project_id", "p_class").agg(F.max("holder").alias("holder"))
+        apart = rest.join(reach, "project_id").filter(within).select("project_id", "g_class", "head", "p_class", F.levenshtein("g_class", "p_class").alias("score"))
+        nearest = apart.groupBy("project_id", "g_class", "head").agg(F.min("score").alias("score"))
+        tied = apart.join(nearest.select("project_id", "g_class", "score"), ["project_id", "g_class", "score"])
+        near = first_per_key(tied.join(seats, ["project_id", "p_class"]).filter(within), ["project_id", "g_class"], [F.col("p_ord")], ASKED).select("project_id", "g_class", "p_ord", "score")
+        asked = numbered(equal.unionByName(near), ["project_id", "g_class"], [F.asc("p_ord")], _slice("p_ord"), "rank")
+        asking = numbered(free, ["project_id", "g_class"], [F.asc("g_ord")], _slice("g_ord"), "rank")
+        asks = cut(asking.join(asked, ["project_id", "g_class", "rank"]).select("project_id", "p_ord", "g_ord", "score"))
+        if asks.isEmpty():
+            return (asks if held is None else held).select("project_id", "g_ord", "p_ord", "score")
+        held = asks if held is None else held.unionByName(asks)
+        held = cut(held.groupBy("project_id", "p_ord").agg(F.min(F.struct("g_ord", "score")).alias("b")).select("project_id", "p_ord", "b.g_ord", "b.score"))
+        free = cut(g.join(held.select("project_id", "g_ord"), ["project_id", "g_ord"], "left_anti"))
+
+
 def match_labels(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """Greedy one-to-one match of texts: equal after normalizing, else least edit distance.
 
@@ -122,20 +155,7 @@ def match_labels(gt: DataFrame, pred: DataFrame) -> DataFrame:
     g = gt.select("project_id", F.col("ord").alias("g_ord"), F.coalesce("raw_text", F.lit("")).alias("g_raw"), T.normalize_text("raw_text").alias("g_class"))
     p = pred.select("project_id", F.col("ord").alias("p_ord"), F.coalesce("raw_text", F.lit("")).alias("p_raw"), T.normalize_text("raw_text").alias("p_class"))
 
-    def propose(open_g, open_p):
-        seats = open_p.groupBy("project_id", "p_class").agg(F.min("p_ord").alias("first"))
-        asks = open_g.select("project_id", "g_class").distinct()
-        same = (F.col("g_class") == F.col("p_class"))
-        equal = asks.join(seats.withColumnRenamed("project_id", "pp"), (F.col("project_id") == F.col("pp")) & same).select(
-            "project_id", "g_class", "p_class", F.lit(0).alias("score"), F.lit(2**62).alias("n_take")
-        )
-        rest = asks.join(equal.select("project_id", "g_class"), ["project_id", "g_class"], "left_anti")
-        near = rest.join(seats, "project_id").groupBy("project_id", "g_class").agg(
-            F.min(F.struct(F.levenshtein("g_class", "p_class").alias("d"), "first", "p_class")).alias("b")
-        ).select("project_id", "g_class", "b.p_class", F.col("b.d").alias("score"), F.lit(1).cast("long").alias("n_take"))
-        return equal.unionByName(near), None
-
-    pairs = _rounds(g.select("project_id", "g_ord", "g_class"), p.select("project_id", "p_ord", "p_class"), propose)
+    pairs = _displaced(cut(g.select("project_id", "g_ord", "g_class")), cut(p.select("project_id", "p_ord", "p_class")))
     return (
         g.join(pairs, ["project_id", "g_ord"], "left").join(p.select("project_id", "p_ord", "p_raw"), ["project_id", "p_ord"], "left")
         .select(

@@ -143,9 +143,7 @@ def _schedule(s, d):
 
 
 def _label_match(s, d):
-    gt, pred = lay._text_pairs(s, d)
-    row = lambda df: df.withColumn("project_id", F.floor(F.col("ord") / v.PER_ROW))
-    return E.match_labels(row(gt), row(pred)).select("project_id", "g_ord", "p_ord", "distance", "exact", "normalized")
+    return E.match_labels(*lay._text_pairs(s, d)).select("project_id", "g_ord", "p_ord", "distance", "exact", "normalized")
 
 
 def _detect(s, d):

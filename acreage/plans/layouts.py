@@ -319,13 +319,12 @@ def _association(s, d):
 
 def _evaluate(s, d):
     gt_l, pred_l = _text_pairs(s, d)
-    row = lambda df: df.withColumn("project_id", F.floor(F.col("ord") / v.PER_ROW))  # noqa: E731  one project per row of a sheet
-    rim = row(v.rects(s, d)).groupBy("project_id").agg(*[fn(c).alias(c) for fn, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
+    rim = v.rects(s, d).groupBy("project_id").agg(*[fn(c).alias(c) for fn, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
     b = rim.select("project_id", R.box_ring("x0", "y0", "x1", "y1").alias("ring"))
     seen = rim.select("project_id", R.box_ring("x0", "y0", F.col("x1") - (F.col("project_id") % 7) * 30, "y1").alias("ring"))
     road = rim.select("project_id", R.box_ring("x0", F.col("y1") + 5, "x1", F.col("y1") + 35).alias("ring"))
-    gt = {"boundary": b, "plots": row(_approved(s, d)), "roads": road, "labels": row(gt_l)}
-    pred = {"boundary": seen, "plots": row(_detected(s, d)), "roads": road.filter(F.col("project_id") % 3 != 0), "labels": row(pred_l)}
+    gt = {"boundary": b, "plots": _approved(s, d), "roads": road, "labels": gt_l}
+    pred = {"boundary": seen, "plots": _detected(s, d), "roads": road.filter(F.col("project_id") % 3 != 0), "labels": pred_l}
     out = E.evaluate(gt, pred)
     return out.withColumn("failures", F.array_join("failures", ",")).drop("boundary_evidence", "plots_evidence", "texts_evidence", "labels_evidence")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acreage.llm import fingerprints, languages, licences, merkle, mixing, near_dedup, packing, quality, suffix_dedup, token_counts, twins, url_filter, vector_codes
+from acreage.llm import class_model, fingerprints, languages, licences, merkle, mixing, near_dedup, packing, quality, suffix_dedup, token_counts, twins, url_filter, vector_codes
 from acreage.session import cut
 
 
@@ -65,6 +65,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_model.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
 
@@ -75,7 +79,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = [
     op1_minhash_near_dedup, op2_url_filter, op3_licence_scan, op4_token_counts, op5_quality_rules, op6_packing, op7_language_id, op8_source_mixing, op9_fingerprints,
-    op10_suffix_dedup, op12_vector_codes, op13_merkle_manifest,
+    op10_suffix_dedup, op11_class_model, op12_vector_codes, op13_merkle_manifest,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {

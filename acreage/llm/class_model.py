@@ -9,9 +9,11 @@ probabilities of all words, known, unknown and END, sum to one after every class
 Training
   1. Every training text's words are counted, by 64-bit hash. The HEAD most frequent words get a rank that tasks look up in memory.
   2. One scan writes each text as ranks, two bytes a word, with the hashes of the other words beside it; later steps read this table.
-  3. Exchange. A round adds up, for half of the ranked words, the classes before and after them; every word then moves to the class that
-     raises the likelihood of the class bigrams most, by exact differences against the counts at the start of the round. Tasks emit
-     sparse blocks of 512 words, blocks are summed while they stream past, and only ranks and classes come to the driver.
+  3. Exchange. A round adds up, for half of the ranked words, the classes before and after them; every word is then offered the class
+     that raises the likelihood of the class bigrams most, by exact differences against the counts at the start of the round. Moves
+     made together may harm each other: the bigrams are counted again, and if the likelihood fell, half of the moves are taken back, and
+     so on, so it never falls. Tasks emit sparse blocks of 512 words, blocks are summed while they stream past, and only ranks, classes
+     and gains come to the driver.
   4. All other words are exchanged once, by the classes around their occurrences, shuffled by word. No word is left out.
 Scoring. Sums over ranked words need no shuffle. Occurrences of other words meet their word's class and count in a join (no such word
 is frequent) and their neighbours in a window over the text, and come back as a sum per text.
@@ -42,6 +44,8 @@ GROUPS = CLASSES + 2
 HEAD = 65_534
 END_RANK, OTHER_RANK = 65_534, 65_535
 ROUNDS = 6
+#: Times that half of a round's moves are taken back before the round is given up.
+HALVINGS = 6
 BLOCK = 512
 #: Weight of the classes' own frequencies in a transition.
 SMOOTH = 20.0
@@ -203,9 +207,13 @@ def gains(pairs: np.ndarray, own: np.ndarray, count: np.ndarray, same: np.ndarra
     return out
 
 
-def exchange(coded: DataFrame, head: Head, classes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """``classes`` (by rank) after the ranks in ``wanted`` have moved to their best class."""
-    pairs = pair_counts(coded, classes, GROUPS)
+def chosen(value: np.ndarray) -> np.ndarray:
+    """The best class of each row; classes within a millionth are alike and the lower one stands, whatever the order of the sums."""
+    return np.round(value, 6).argmax(axis=1)
+
+
+def best_moves(coded: DataFrame, head: Head, classes: np.ndarray, pairs: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ranks, classes) of the words in ``wanted`` that a move raises the likelihood for, largest gain first."""
     width = 2 * GROUPS + 1  # classes after, classes before, itself after itself
     slot = np.full(1 << 16, -1, np.int64)
     slot[wanted] = np.arange(len(wanted))
@@ -230,7 +238,10 @@ def exchange(coded: DataFrame, head: Head, classes: np.ndarray, wanted: np.ndarr
         ranks = wanted[block * BLOCK : (block + 1) * BLOCK]
         rows = total.reshape(BLOCK, width)[: len(ranks)]
         value = gains(pairs, classes[ranks].astype(np.int64), head.counts[ranks], rows[:, -1], rows[:, GROUPS : 2 * GROUPS], rows[:, :GROUPS])
-        return pa.RecordBatch.from_arrays([pa.array(ranks.astype(np.int32)), pa.array(value.argmax(axis=1).astype(np.int32))], names=["rank", "class"])
+        new, at = chosen(value), np.arange(len(ranks))
+        gain = np.round(value[at, new] - value[at, classes[ranks]], 6)
+        moving = new != classes[ranks]
+        return pa.RecordBatch.from_arrays([pa.array(c[moving]) for c in (ranks, new, gain)], names=["rank", "class", "gain"])
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, total = None, np.zeros(BLOCK * width, np.int64)
@@ -246,23 +257,40 @@ def exchange(coded: DataFrame, head: Head, classes: np.ndarray, wanted: np.ndarr
             yield best(current, total)
 
     counted = coded.select("ranks").mapInArrow(count, "block int, cells binary")
-    moved = counted.repartition("block").sortWithinPartitions("block").mapInArrow(move, "rank int, class int").toArrow()
-    out = classes.copy()
-    out[moved.column("rank").to_numpy()] = moved.column("class").to_numpy()
-    return out
+    moved = counted.repartition("block").sortWithinPartitions("block").mapInArrow(move, "rank long, class long, gain double").toArrow()
+    ranks, new, gain = (moved.column(c).to_numpy() for c in ("rank", "class", "gain"))
+    order = np.lexsort((ranks, -gain))
+    return ranks[order], new[order]
 
 
-def head_classes(coded: DataFrame, head: Head, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of every rank after exchange; END and the words without a rank keep groups of their own."""
+def likelihood(pairs: np.ndarray) -> float:
+    """The part of the log likelihood of class bigrams that classes change."""
+    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=0)).sum() - _xlogx(pairs.sum(axis=1)).sum())
+
+
+def head_classes(coded: DataFrame, head: Head, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The class of every rank after exchange, and the class bigrams; END and the words without a rank keep groups of their own."""
     classes = np.full(1 << 16, OTHER, np.uint8)
     classes[END_RANK] = END
     ranks = np.arange(len(head.keys))
     classes[ranks] = ranks % CLASSES
+    pairs = pair_counts(coded, classes, GROUPS)
     for turn in range(rounds):
         wanted = ranks[(ranks // CLASSES + turn) % 2 == 0]
-        if len(wanted):
-            classes = exchange(coded, head, classes, wanted)
-    return classes
+        if not len(wanted):
+            continue
+        moving, new = best_moves(coded, head, classes, pairs, wanted)
+        for _ in range(HALVINGS):
+            if not len(moving):
+                break
+            tried = classes.copy()
+            tried[moving] = new
+            counted = pair_counts(coded, tried, GROUPS)
+            if likelihood(counted) > likelihood(pairs):
+                classes, pairs = tried, counted
+                break
+            moving, new = moving[::2], new[::2]
+    return classes, pairs
 
 
 def occurrences(coded: DataFrame, state: np.ndarray) -> DataFrame:
@@ -292,7 +320,7 @@ def other_classes(found: DataFrame, pairs: np.ndarray) -> DataFrame:
         np.add.at(right, (word, around % GROUPS), n)
         total, none = left.sum(axis=1), np.zeros(len(first), np.int64)
         value = gains(pairs, np.full(len(first), OTHER), total, none, left, right)
-        return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(total), pa.array(value.argmax(axis=1).astype(np.int16))], names=["key", "n", "class"])
+        return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(total), pa.array(chosen(value).astype(np.int16))], names=["key", "n", "class"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, around, n = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -390,11 +418,11 @@ def score_texts(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> Data
     coded = cut(coded_texts(base, ranked))
     learnt = coded.filter("learn")
 
-    classes = head_classes(learnt, ranked, rounds)
+    classes, pairs = head_classes(learnt, ranked, rounds)
     state = classes.copy()
     state[: len(ranked.counts)][ranked.counts == 1] += GROUPS  # words seen once stand for unknown words
     found = occurrences(coded, state)
-    others = cut(other_classes(found, pair_counts(learnt, classes, GROUPS)))
+    others = cut(other_classes(found, pairs))
     middle = F.coalesce(F.col("class") + F.when(F.col("n") == 1, GROUPS).otherwise(0), F.lit(UNKNOWN)).cast("short")
     named = others.select(F.col("key").alias("__key"), "n", "class")
     met = found.join(named, F.col("key") == F.col("__key"), "left").select("row", "learn", "pos", "left", "right", middle.alias("middle"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -1,8 +1,6 @@
 """Detected layouts against approved ones: greedy matching and metrics per project.
 
-Matching is one-to-one and greedy in the order of the approved side. Instead of walking a
-project row by row, rounds settle in parallel every row whose choice no earlier open row can
-disturb; equal shapes or texts are settled as a class. The outcome is that of the walk.
+Matching is one-to-one and greedy in the order of the approved side; see ``operators.matching``.
 """
 
 from __future__ import annotations
@@ -13,58 +11,9 @@ from pyspark.sql import functions as F
 from acreage.functions import rings as R
 from acreage.functions import text as T
 from acreage.functions.rings import floor_round
-from acreage.operators import overlay
+from acreage.operators import matching, overlay
 from acreage.operators.spatial import grid_cells
-from acreage.session import cut, first_per_key, numbered, once
-
-ORD_SLICE = 10000
-#: Texts that the free rows of a class without an equal text ask in a round.
-ASKED = 64
-
-
-def _slice(col: str) -> Column:
-    return F.floor(F.col(col) / ORD_SLICE)
-
-
-def _settle(open_g: DataFrame, open_p: DataFrame, best: DataFrame, rivals: DataFrame | None) -> DataFrame:
-    """Rows of the approved side that can be settled now, with the predicted row each takes.
-
-    ``best``: project_id, g_class, p_class, score, n_take (how many rows of the class may
-    settle in one round). ``rivals``: per predicted class, the first open row that lists it
-    without proposing it; None when any open row may want any class.
-    """
-    counts = open_p.groupBy("project_id", "p_class").agg(F.count(F.lit(1)).alias("n_free"))
-    asked = open_g.join(best, ["project_id", "g_class"]).join(counts, ["project_id", "p_class"])
-    ranked = numbered(asked, ["project_id", "p_class"], [F.asc("g_ord")], _slice("g_ord"), "rank")
-    ranked = ranked.withColumn("loses", F.col("rank") > F.least("n_free", "n_take"))
-    lost = ranked.filter("loses").groupBy("project_id", "p_class").agg(F.min("g_ord").alias("class_loser"))
-    first_lost = lost.groupBy("project_id").agg(F.min("class_loser").alias("project_loser"))
-    marked = ranked.filter(~F.col("loses")).join(lost, ["project_id", "p_class"], "left").join(first_lost, "project_id", "left")
-    before = lambda c: F.col(c).isNull() | (F.col("g_ord") < F.col(c))
-    safe = before("project_loser")
-    if rivals is not None:
-        marked = marked.join(rivals, ["project_id", "p_class"], "left")
-        safe = safe | (before("rival") & before("class_loser"))
-    winners = marked.filter(safe).select("project_id", "g_ord", "p_class", "score", "rank")
-    seats = numbered(open_p, ["project_id", "p_class"], [F.asc("p_ord")], _slice("p_ord"), "rank")
-    return winners.join(seats, ["project_id", "p_class", "rank"]).select("project_id", "g_ord", "p_ord", "score")
-
-
-def _rounds(gts: DataFrame, preds: DataFrame, propose) -> DataFrame:
-    """Settle rows round by round until no open row has a candidate left."""
-    done = None
-    open_g, open_p = cut(gts), cut(preds)
-    while True:
-        best, rivals = propose(open_g, open_p)
-        won = cut(_settle(open_g, open_p, best, rivals))
-        if won.isEmpty():
-            return won if done is None else done
-        done = won if done is None else cut(done.unionByName(won))
-        open_g = cut(open_g.join(won.select("project_id", "g_ord"), ["project_id", "g_ord"], "left_anti"))
-        open_p = cut(open_p.join(won.select("project_id", "p_ord"), ["project_id", "p_ord"], "left_anti"))
-        if open_g.isEmpty() or open_p.isEmpty():
-            return done
-
+from acreage.session import cut, once
 
 def _shape_rows(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
     """Rows with their shape class, and the distinct shapes."""
@@ -91,71 +40,20 @@ def match_by_iou(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> Data
     """Greedy one-to-one match by largest IoU (columns project_id, ord, ring on both sides)."""
     g_rows, g_shapes = _shape_rows(gt, "g")
     p_rows, p_shapes = _shape_rows(pred, "p")
-    cand = cut(iou_candidates(g_shapes, p_shapes, threshold))
-
-    def propose(open_g, open_p):
-        seats = open_p.groupBy("project_id", "p_class").agg(F.min("p_ord").alias("first"), F.count(F.lit(1)).alias("free"))
-        heads = open_g.groupBy("project_id", "g_class").agg(F.min("g_ord").alias("head"))
-        live = cand.join(seats, ["project_id", "p_class"]).join(heads, ["project_id", "g_class"])
-        top = live.groupBy("project_id", "g_class").agg(
-            F.max(F.struct("score", (-F.col("first")).alias("o"), "p_class")).alias("b"), F.max("score").alias("top")
-        )
-        ties = live.join(top.select("project_id", "g_class", "top"), ["project_id", "g_class"]).filter(F.col("score") == F.col("top")).groupBy(
-            "project_id", "g_class"
-        ).agg(F.count(F.lit(1)).alias("n_best"))
-        best = top.join(ties, ["project_id", "g_class"]).select(
-            "project_id", "g_class", "b.p_class", "b.score", F.when(F.col("n_best") > 1, 1).otherwise(2**62).alias("n_take")
-        )
-        others = live.join(best.select("project_id", "g_class", F.col("p_class").alias("own")), ["project_id", "g_class"]).filter(
-            F.col("p_class") != F.col("own")
-        )
-        return best, others.groupBy("project_id", "p_class").agg(F.min("head").alias("rival"))
-
-    return _rounds(g_rows, p_rows, propose).withColumnRenamed("score", "iou")
-
-
-def _displaced(g: DataFrame, p: DataFrame) -> DataFrame:
-    """project_id, g_ord, p_ord, score of the walk that gives each approved text the nearest text left, by displacement.
-
-    All predicted texts rank the approved ones alike, by g_ord, so the walk is the only stable matching: every free row asks its
-    nearest text that no earlier row holds, a text keeps the earliest row that asked it, and the displaced row is free again. The
-    k-th free row of a class asks the k-th such text: those before it go to earlier rows. Rounds are the longest chain of displacements.
-    """
-    held, free = None, g
-    while True:
-        seats = cut((p if held is None else p.join(held.select("project_id", "p_ord", "g_ord"), ["project_id", "p_ord"], "left")).select(
-            "project_id", "p_ord", "p_class", (F.lit(2**62) if held is None else F.coalesce("g_ord", F.lit(2**62))).alias("holder")
-        ))
-        heads = cut(free.groupBy("project_id", "g_class").agg(F.min("g_ord").alias("head")))
-        within = F.col("holder") > F.col("head")
-        equal = cut(heads.withColumn("p_class", F.col("g_class")).join(seats, ["project_id", "p_class"]).filter(within).select("project_id", "g_class", "p_ord", F.lit(0).alias("score")))
-        rest = heads.join(equal.select("project_id", "g_class").distinct(), ["project_id", "g_class"], "left_anti")
-        reach = seats.groupBy("project_id", "p_class").agg(F.max("holder").alias("holder"))
-        apart = rest.join(reach, "project_id").filter(within).select("project_id", "g_class", "head", "p_class", F.levenshtein("g_class", "p_class").alias("score"))
-        nearest = apart.groupBy("project_id", "g_class", "head").agg(F.min("score").alias("score"))
-        tied = apart.join(nearest.select("project_id", "g_class", "score"), ["project_id", "g_class", "score"])
-        near = first_per_key(tied.join(seats, ["project_id", "p_class"]).filter(within), ["project_id", "g_class"], [F.col("p_ord")], ASKED).select("project_id", "g_class", "p_ord", "score")
-        asked = numbered(equal.unionByName(near), ["project_id", "g_class"], [F.asc("p_ord")], _slice("p_ord"), "rank")
-        asking = numbered(free, ["project_id", "g_class"], [F.asc("g_ord")], _slice("g_ord"), "rank")
-        asks = cut(asking.join(asked, ["project_id", "g_class", "rank"]).select("project_id", "p_ord", "g_ord", "score"))
-        if asks.isEmpty():
-            return (asks if held is None else held).select("project_id", "g_ord", "p_ord", "score")
-        held = asks if held is None else held.unionByName(asks)
-        held = cut(held.groupBy("project_id", "p_ord").agg(F.min(F.struct("g_ord", "score")).alias("b")).select("project_id", "p_ord", "b.g_ord", "b.score"))
-        free = cut(g.join(held.select("project_id", "g_ord"), ["project_id", "g_ord"], "left_anti"))
+    pairs = cut(iou_candidates(g_shapes, p_shapes, threshold))
+    return matching.match_pairs(g_rows, p_rows, pairs).withColumnRenamed("score", "iou")
 
 
 def match_labels(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """Greedy one-to-one match of texts: equal after normalizing, else least edit distance.
 
     Columns project_id, ord, raw_text on both sides. Distances are only worked out for texts
-    without an equal partner, between distinct texts, and are reduced to a minimum where the
-    pairs arise.
+    without an equal partner, between distinct texts.
     """
     g = gt.select("project_id", F.col("ord").alias("g_ord"), F.coalesce("raw_text", F.lit("")).alias("g_raw"), T.normalize_text("raw_text").alias("g_class"))
     p = pred.select("project_id", F.col("ord").alias("p_ord"), F.coalesce("raw_text", F.lit("")).alias("p_raw"), T.normalize_text("raw_text").alias("p_class"))
 
-    pairs = _displaced(cut(g.select("project_id", "g_ord", "g_class")), cut(p.select("project_id", "p_ord", "p_class")))
+    pairs = matching.match_texts(g.select("project_id", "g_ord", "g_class"), p.select("project_id", "p_ord", "p_class"))
     return (
         g.join(pairs, ["project_id", "g_ord"], "left").join(p.select("project_id", "p_ord", "p_raw"), ["project_id", "p_ord"], "left")
         .select(
@@ -274,7 +172,6 @@ def association_metrics(gt: DataFrame, pred: DataFrame, strict: bool = False) ->
     )
 
 
-# fixed values: acceptance thresholds
 # fixed values: acceptance thresholds, and below the names of failures in their order
 THRESHOLDS = {"min_plot_iou": 0.85, "min_boundary_iou": 0.90, "min_ocr_recall": 0.80, "min_label_association_accuracy": 0.85}
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from acreage.plans import business, details, layouts, records, streams
+from acreage.plans import business, details, evaluation_sql, layouts, records, streams
 
 _MODULES = [business, layouts, details, records, streams]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
-ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
+ORACLE = {name: sql for m in (*_MODULES, evaluation_sql) for name, sql in m.ORACLE.items()}

@@ -1,9 +1,11 @@
 import random
 
+import pytest
 from conftest import box
 
 from acreage.functions import rings as R
 from acreage.operators import evaluate as E
+from acreage.operators import matching
 
 RR = f"project_id string, ord int, ring {R.RING}"
 LL = "project_id string, ord int, raw_text string, associated_entity_id string"
@@ -80,30 +82,65 @@ def test_label_matching_equals_the_sequential_walk(spark):
     assert got == want
 
 
-def test_label_matching_of_a_whole_sheet_equals_the_walk(spark, monkeypatch):
-    """A sheet whose texts partly miss their partner, so one row takes another's over and over; copies share classes."""
-    import random
+def _walk(gts, preds):
+    left, want = list(enumerate(preds)), []
+    for i, t in enumerate(gts):
+        best = min(((_distance(t, x), j, x) for j, x in left), default=None)
+        if best:
+            left.remove((best[1], best[2]))
+            want.append((i, best[1], best[0]))
+    return want
+
 
-    from acreage.operators import evaluate
+def _class_frames(spark, *sides):
+    return [spark.createDataFrame([("p", i, t) for i, t in enumerate(ts)], f"project_id string, {s}_ord long, {s}_class string") for s, ts in zip("gp", sides)]
 
+
+@pytest.mark.parametrize("bound,n", [(matching.WALK_LABELS, 900), (0, 45)])
+def test_label_matching_of_a_whole_sheet_equals_the_walk(spark, monkeypatch, bound, n):
+    """A sheet whose texts partly miss their partner, so one row takes another's over and over; copies share classes.
+
+    Within the bound a task walks through it, beyond it rounds of joins settle it.
+    """
     rng = random.Random(4)
-    text = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(3, 7)))
-    gts = [text() for _ in range(90)] + ["road"] * 12
-    preds = [t if rng.random() < 0.8 else text() for t in gts if rng.random() < 0.9] + ["rode"] * 4
+    text = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(0, 9)))
+    gts = [text() for _ in range(n)] + ["road"] * 100
+    preds = [t if rng.random() < 0.8 else text() for t in gts if rng.random() < 0.9] + ["rode"] * 9
     rng.shuffle(gts)
+    rounds, plain = [], matching.numbered
+    monkeypatch.setattr(matching, "numbered", lambda *a: rounds.append(1) or plain(*a))
+    got = sorted((r.g_ord, r.p_ord, r.score) for r in matching.match_texts(*_class_frames(spark, gts, preds), bound).collect())
+    print(f"{len(gts)} labels, {sum(d > 0 for _, _, d in got)} taken with a distance: {len(rounds) // 2} rounds")
+    assert got == _walk(gts, preds)
+    assert len(rounds) // 2 < (1 if bound else 60)
+
+
+@pytest.mark.parametrize("bound", [1, 2, 4, 8])
+def test_near_texts_finds_every_pair_within_the_bound(spark, bound):
+    rng = random.Random(bound)
+    some = list({"".join(rng.choice("ab1") for _ in range(rng.randrange(0, 14))) for _ in range(60)})
+    left, right = some[:30], some[20:]
+    frame = lambda ts, c: spark.createDataFrame([("p", t) for t in ts], f"project_id string, {c} string")
+    got = {(r.g_class, r.p_class, r.score) for r in matching.near_texts(frame(left, "g_class"), frame(right, "p_class"), bound).collect()}
+    assert got == {(a, b, _distance(a, b)) for a in left for b in right if _distance(a, b) <= bound}
+
+
+@pytest.mark.parametrize("bound", [matching.WALK_PAIRS, 0])
+def test_matching_of_pairs_equals_the_walk_within_and_beyond_the_bound(spark, bound):
+    rng = random.Random(11)
+    classes = range(12)
+    gts, preds = [rng.choice(classes) for _ in range(40)], [rng.choice(classes) for _ in range(35)]
+    score = {(a, b): rng.choice([0.5, 0.6, 0.6, 0.9, 1.0]) for a in classes for b in classes if rng.random() < 0.4}
     left, want = list(enumerate(preds)), []
-    for i, t in enumerate(gts):
-        best = min(((_distance(t, x), j, x) for j, x in left), default=None)
+    for i, c in enumerate(gts):
+        best = min(((-score[c, k], j, k) for j, k in left if (c, k) in score), default=None)
         if best:
             left.remove((best[1], best[2]))
-        want.append((i, best and best[1], best[0] if best else len(t)))
-    rounds = []
-    plain = evaluate.numbered
-    monkeypatch.setattr(evaluate, "numbered", lambda *a: rounds.append(1) or plain(*a))
-    frame = lambda ts: spark.createDataFrame([("p", i, t, None) for i, t in enumerate(ts)], LL)
-    got = sorted((r.g_ord, r.p_ord, r.distance) for r in E.match_labels(frame(gts), frame(preds)).collect())
-    assert got == sorted(want)
-    assert len(rounds) // 2 < 40
+            want.append((i, best[1], -best[0]))
+    g, p = ([("p", i, c) for i, c in enumerate(side)] for side in (gts, preds))
+    frames = [spark.createDataFrame(rows, f"project_id string, {s}_ord long, {s}_class long") for s, rows in (("g", g), ("p", p))]
+    pairs = spark.createDataFrame([("p", a, b, s) for (a, b), s in score.items()], "project_id string, g_class long, p_class long, score double")
+    assert sorted((r.g_ord, r.p_ord, r.score) for r in matching.match_pairs(*frames, pairs, bound).collect()) == want
 
 
 def _distance(a, b):

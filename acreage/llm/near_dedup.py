@@ -261,28 +261,36 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """One document of each class of near duplicates, with all its columns: the one with the smallest doc_id.
-
-    Repeated rows (equal doc_id and text) stay once; rows without a doc_id are not judged and stay.
-    """
-    judged = near_duplicates(docs, percent, words).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    own = docs.filter("doc_id is not null").join(judged, F.col("doc_id") == F.col("__kept"), "left_semi")
-    return own.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id is null"))
+#: Ids beyond this many are told by a key like rows without an id, whose keys start here.
+FIRST_KEY = 1 << 62
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """One document of each class of near duplicates, with all its columns: the one with the smallest doc_id, nulls last.
 
-    Rows are told apart by a key that is written first, so those without a doc_id are judged as well. Texts without a shingle are
-    alone and stay; of repeated rows among them (equal doc_id and text) one stays, unless the doc_id is null.
+    Rows with an id of their own are told by it; only rows without an id, and those that share one, are written with a key, so that
+    they are judged as well. Texts without a shingle (null, empty, blank) are alone and stay; of repeated rows among them (equal
+    doc_id and text) one stays, unless the doc_id is null. Of other repeated rows one stays. Columns may have any names beside
+    doc_id and text. An empty table gives an empty table.
     """
     names = docs.columns
-    rows = cut(docs.select("*", F.monotonically_increasing_id().alias("__row")))
-    judged = near_duplicates(rows, percent, words, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id", (F.col("n_shingles") == 0).alias("blank"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row"))
-    # a text without a shingle is its own component, so copies of it are told by their doc_id and text
-    kept = judged.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id", "blank").agg(first.alias("first")).select(F.col("first.__row").alias("__row"), "blank")
-    own = rows.join(kept, "__row")
-    alone = own.filter("blank and doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return own.filter("not blank or doc_id is null").unionByName(alone).select(*names)
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = F.col(f"c{names.index('doc_id')}").cast("long"), F.col(f"c{names.index('text')}")
+    rows = inner.select("*", doc_id.alias("id"))
+    plain = F.col("id").isNotNull() & F.col("id").between(-FIRST_KEY, FIRST_KEY - 1)
+    shared = cut(rows.filter(plain).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("shared_id")))
+    own, odd = rows.filter(plain), rows.filter(~F.coalesce(plain, F.lit(False)))
+    if not shared.isEmpty():
+        same = F.col("id") == F.col("shared_id")
+        own, odd = own.join(shared, same, "left_anti"), odd.unionByName(rows.filter(plain).join(shared, same, "left_semi"))
+    odd = cut(odd.withColumn("key", F.monotonically_increasing_id() + FIRST_KEY))
+    nodes = own.select(F.col("id").alias("doc_id"), text.alias("text")).unionByName(odd.select(F.col("key").alias("doc_id"), text.alias("text")))
+    judged = near_duplicates(nodes, percent, words).select(F.col("doc_id").alias("node"), "component_id", (F.col("n_shingles") == 0).alias("blank"))
+    named = judged.join(odd.select("key", F.col("id").alias("odd_id")), F.col("node") == F.col("key"), "left")
+    name = F.when(F.col("key").isNull(), F.col("node")).otherwise(F.col("odd_id"))
+    first = F.min(F.struct(name.isNull().alias("unnamed"), name.alias("name"), "node"))
+    kept = cut(named.groupBy("component_id", "blank").agg(first.alias("first")).select(F.col("first.node").alias("node"), "blank"))
+    found = odd.join(kept, F.col("key") == F.col("node"))
+    alone = found.filter("blank and id is not null").dropDuplicates(["id", f"c{names.index('text')}"])
+    out = own.join(kept, F.col("id") == F.col("node"), "left_semi").select(*inner.columns)
+    return out.unionByName(found.filter("not blank or id is null").unionByName(alone).select(*inner.columns)).toDF(*names)

@@ -6,6 +6,7 @@ on whole blobs and memory stays bounded by the batch, whatever the number or the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,6 +78,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Hand memory that is free again to the system, so that idle workers of an executor hold little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``limit`` bytes of the given text column, so a task holds few texts as Python objects."""
     for batch in batches:
@@ -86,6 +95,9 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = PIECE_BY
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
         pa.default_memory_pool().release_unused()
+    batch = None
+    _POWERS.clear()
+    give_back()
 
 
 def encoded(texts: list[str | None], lower: bool = False) -> list[bytes | None]:

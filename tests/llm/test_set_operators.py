@@ -46,12 +46,15 @@ def test_near_duplicates_of_chains_and_stars(spark):
     assert got == data.components(rows, 85)[0]
 
 
-def test_near_duplicates_keep_one(spark):
-    docs = data.frame(spark, data.documents())
-    out = near_dedup.keep_one(docs)
-    want, _ = data.components(data.documents(), 80)
+def test_one_of_each_keeps_the_columns_whatever_their_names(spark):
+    names = {"lang": "blank", "source": "first", "n_chars": "component_id", "label": "id", "mix": "key", "features": "node"}
+    rows = [r for r in data.documents() if r[0] != 5] + [(1 << 62, "far away id", *[None] * 6), (-(1 << 63), "another one", *[None] * 6)]
+    docs = data.frame(spark, rows).withColumnsRenamed(names)
+    out = near_dedup.one_of_each(docs)
+    want, _ = data.components(rows, 80)
     assert out.columns == docs.columns
-    assert Counter(r.doc_id for r in out.collect()) == Counter([*(i for i, c in want.items() if i == c), None])
+    assert Counter(r.doc_id for r in out.collect()) == Counter(i for i, c in want.items() if i == c)
+    assert near_dedup.one_of_each(docs.limit(0)).count() == 0
     assert near_dedup.near_duplicates(data.frame(spark, [])).count() == 0
 
 

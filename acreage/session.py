@@ -48,13 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: A task holds a row group until it is full, so written tables have small ones.
+ROW_GROUP = 16 << 20
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a reused or iterated frame to the shared folder and read it back.
 
     The table is computed once, ends the lineage, and outlives lost executors.
     """
     path = fresh_folder(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -277,6 +277,8 @@ def head_classes(coded: DataFrame, head: Head, rounds: int = ROUNDS) -> tuple[np
     pairs = pair_counts(coded, classes, GROUPS)
     for turn in range(rounds):
         wanted = ranks[(ranks // CLASSES + turn) % 2 == 0]
+        blocks = max(1, -(-len(wanted) // BLOCK))
+        wanted = np.concatenate([wanted[b::blocks] for b in range(blocks)])  # frequent words are dealt over all blocks
         if not len(wanted):
             continue
         moving, new = best_moves(coded, head, classes, pairs, wanted)

@@ -8,20 +8,38 @@ from acreage.plans import views as v
 from acreage.plans.business import _DECIDED
 from acreage.plans.sql import with_views
 from acreage.session import fresh_folder
+from acreage.sources.tables import read_table
 from acreage.streaming.bookings import last_states, stream_plot_state
-from acreage.streaming.jobs import progress_by_window, stream_job_progress, with_open_windows
+from acreage.streaming.jobs import progress_by_window, stream_job_progress
 
+ARRIVALS = 6
+#: More than two arrivals apart: the latest event of one and the earliest of the next.
+DELAY = "11 days"
 
-def _source(s, d):
-    schema = s.read.parquet(f"{d}/events.parquet").schema
-    return s.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+
+def _arrivals(s, d, root):
+    """The event table as files that arrive one after the other, five days each; a fifth of the events comes one file late.
+
+    A last file holds one event that is no command and no stage of a job, far enough ahead for the watermark to pass all others.
+    """
+    events = read_table(s, d, "events")
+    first = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    span = (F.unix_timestamp(F.col("last").cast("timestamp")) - F.unix_timestamp(F.col("first").cast("timestamp"))) / ARRIVALS + 1
+    late = F.when(F.col("event_id") % 5 == 2, 1).otherwise(0)
+    lo, step = first.select(F.unix_timestamp(F.col("first").cast("timestamp")), span).first()
+    arrival = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - lo) / step) + late
+    for i in range(ARRIVALS + 1):
+        events.filter(arrival == i).write.mode("append").parquet(f"{root}/arrivals")
+    close = first.select((F.col("last").cast("timestamp") + F.expr(f"INTERVAL {DELAY}") + F.expr("INTERVAL 2 days")).cast(events.schema["ts"].dataType).alias("ts"))
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields if f.name != "ts"]
+    close.select("ts", *blank).select(*events.columns).write.mode("append").parquet(f"{root}/arrivals")
+    return s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/arrivals")
 
 
 def _plot_state(s, d):
     root = fresh_folder(s, "plot-state")
-    query = stream_plot_state(v.commands_of(_source(s, d)), root)
-    query.awaitTermination()
-    return last_states(s, root, query.lastProgress["batchId"] if query.lastProgress else 0)
+    stream_plot_state(v.commands_of(_arrivals(s, d, root)), root, DELAY).awaitTermination()
+    return last_states(s, root)
 
 
 def _stages(events):
@@ -31,11 +49,10 @@ def _stages(events):
 
 
 def _progress(s, d):
-    """Windows as the stream emits them, then those that were open when its input ended."""
+    """Windows as the stream put them out."""
     root = fresh_folder(s, "job-progress")
-    stream_job_progress(_stages(_source(s, d)), root).awaitTermination()
-    out = with_open_windows(s.read.parquet(f"{root}/progress"), _stages(s.read.parquet(f"{d}/events.parquet")))
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    stream_job_progress(_stages(_arrivals(s, d, root)), root, DELAY).awaitTermination()
+    return s.read.parquet(f"{root}/progress").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def _progress_batch(s, d):

@@ -20,12 +20,6 @@ def progress_by_window(events: DataFrame, width: str = "1 day", stalled_below: f
     )
 
 
-def with_open_windows(closed: DataFrame, events: DataFrame, width: str = "1 day") -> DataFrame:
-    """What the stream has put out and, once its input has ended, the windows its watermark left open, by a closing batch pass."""
-    rest = progress_by_window(events, width).join(closed.select("window_start", "job_id"), ["window_start", "job_id"], "left_anti")
-    return closed.unionByName(rest)
-
-
 def stream_job_progress(events: DataFrame, root: str, delay: str = "1 day", width: str = "1 day"):
     """Run the windows as an append stream into parquet under ``root``; windows close at the watermark."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from acreage.operators import bookings as B
 from acreage.sources import exports, files, snapshots
-from acreage.streaming.bookings import PlotStates
+from acreage.streaming.bookings import last_states, stream_plot_state
 from test_business import commands
 
 
@@ -53,14 +54,41 @@ def test_exports(spark, tmp_path):
     assert f["geometry"]["coordinates"][0][0] == f["geometry"]["coordinates"][0][-1] and f["properties"]["entityType"] == "PLOT"
 
 
-def test_stream_states_match_batch_over_ordered_batches(spark, tmp_path):
-    rows, df = commands(spark, 200)
-    store = PlotStates(spark, str(tmp_path / "s"))
-    cuts = sorted(r[1] for r in rows)
-    mid = cuts[100]
-    store.decide(df.filter(F.col("ts") < F.lit(mid)), 0)
-    store.decide(df.filter(F.col("ts") >= F.lit(mid)), 1)
-    want = sorted(tuple(r) for r in B.final_states(B.replay_bookings(df)).collect())
-    assert sorted(tuple(r) for r in store.states(1).select("plot_id", "status", "commands", "rejected").collect()) == want
-    store.decide(df.filter(F.col("ts") >= F.lit(mid)), 1)
-    assert sorted(tuple(r) for r in store.states(1).select("plot_id", "status", "commands", "rejected").collect()) == want
+def _stream(spark, root, arrivals, delay):
+    """Decisions of a stream that reads one arrival after the other."""
+    folder = f"{root}/arrivals"
+    for part in arrivals:
+        part.coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(arrivals[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream_plot_state(source, root, delay).awaitTermination()
+    return spark.read.parquet(f"{root}/decisions")
+
+
+def test_stream_decides_late_and_repeated_commands_in_their_place(spark, tmp_path):
+    """Three arrivals; every seventh command comes one later, some come twice, a tick ends the input."""
+    rows, df = commands(spark, 300)
+    times = sorted(r[1] for r in rows)
+    span = times[-1] - times[0]
+    part = F.when(F.col("ts") < F.lit(times[100]), 0).when(F.col("ts") < F.lit(times[200]), 1).otherwise(2) + F.when(F.col("seq") % 7 == 3, 1).otherwise(0)
+    tick = df.limit(1).select(*[F.lit(times[-1] + 3 * span).alias("ts") if c == "ts" else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+    arrivals = [df.filter(part == i) for i in range(4)]
+    arrivals[1] = arrivals[1].unionByName(df.filter((part == 0) & (F.col("seq") % 5 == 1)))
+    done = _stream(spark, str(tmp_path), [*arrivals, tick], f"{int(span.total_seconds()) + 1} seconds")
+    want = B.replay_bookings(df)
+    columns = ["seq", "state_before", "accepted", "state_after"]
+    assert sorted(tuple(r) for r in done.select(columns).collect()) == sorted(tuple(r) for r in want.select(columns).collect())
+    assert sorted(tuple(r) for r in last_states(spark, str(tmp_path), "string").collect()) == sorted(tuple(r) for r in B.final_states(want).collect())
+
+
+def test_stream_holds_what_the_watermark_has_not_passed_and_drops_what_is_too_late(spark, tmp_path):
+    schema = "seq long, ts timestamp, plot_id long, command string, patch_status string"
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    arrivals = [
+        [(1, at(5), 7, "book", None), (2, at(3), 7, "cancel", None), (3, at(4), 8, "book", None)],
+        [(4, at(30), 8, "book", None)],
+        [(6, at(31), 8, "cancel", None)],
+        [(5, at(2), 7, "book", None)],
+    ]
+    done = _stream(spark, str(tmp_path), [spark.createDataFrame(a, schema) for a in arrivals], "10 hours")
+    got = {r.seq: (r.state_before, r.accepted) for r in done.collect()}
+    assert got == {2: ("AVAILABLE", True), 1: ("AVAILABLE", True), 3: ("AVAILABLE", True)}

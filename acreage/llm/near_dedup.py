@@ -280,6 +280,8 @@ def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame
     plain = F.col("id").isNotNull() & F.col("id").between(-FIRST_KEY, FIRST_KEY - 1)
     shared = cut(rows.filter(plain).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("shared_id")))
     own, odd = rows.filter(plain), rows.filter(~F.coalesce(plain, F.lit(False)))
+    if odd.select("id").isEmpty():
+        odd = odd.limit(0)  # texts are not read for it
     if not shared.isEmpty():
         same = F.col("id") == F.col("shared_id")
         own, odd = own.join(shared, same, "left_anti"), odd.unionByName(rows.filter(plain).join(shared, same, "left_semi"))

@@ -73,7 +73,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     A batch is held by the JVM and, with its successor, by Python, for each running task.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(key, None) == "67108864b":
+    if df.sparkSession.conf.get(key) == "67108864b":
         df.sparkSession.conf.set(key, "16m")
     return df
 

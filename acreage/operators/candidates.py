@@ -1,4 +1,4 @@
-"""Candidate layouts on rectangular parcels: feasibility, roads, zones, plots, sweep."""
+"""Parts of candidate layouts on rectangular parcels: feasibility, roads, zones, plots. ``operators.generate`` sweeps them."""
 
 from __future__ import annotations
 
@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 
 from acreage.functions import rings as R
 from acreage.functions.rings import floor_round, let
-from acreage.operators import scoring
 from acreage.session import first_per_key
 
+# fixed values: road widths and block depth
 MAIN_ROAD_FT, FEEDER_ROAD_FT, BLOCK_DEPTH_FT = 39.37, 29.53, 85.0
 
-# fixed values: sweep of strategies and perturbations (spacing changes nothing, kept as a column)
-STRATEGIES = ["efficiency"]
-PERTURBATIONS = [(1.0, 1.0), (1.12, 0.95), (0.90, 1.05)]
-
-
 def feasible(parcels: DataFrame) -> DataFrame:
     """Is there room for a plot, its setbacks and a road? Adds the need and the reason."""
     need = F.col("min_plot_sqft") * 2.5 + F.col("feeder_ft") * F.col("min_frontage_ft")
@@ -181,38 +176,3 @@ def reserve_zones(parcels: DataFrame, zone: str, target: Column, first_anchor: s
         free = tried.join(lost, ["parcel_id", "try"], "left").withColumn("free", area - F.coalesce("lost", F.lit(0.0))).drop("lost")
     good = free.filter((F.col("free") >= F.col("target") * 0.70) & (F.col("free") >= 30.0))
     return first_per_key(good, ["parcel_id"], [F.asc("try")]).withColumn("zone_type", F.lit(zone))
-
-
-def _passes(parcels: DataFrame) -> DataFrame:
-    """Parcels × strategies × passes."""
-    picked = [(i, sp, pw) for i, (sp, pw) in enumerate(PERTURBATIONS)]
-    options = F.array(
-        *[
-            F.struct(F.lit(s).alias("strategy"), F.lit(i).alias("pass_no"), F.lit(sp).alias("spacing_mult"), F.lit(pw).alias("plot_w_mult"))
-            for s in STRATEGIES for i, sp, pw in picked
-        ]
-    )
-    return parcels.withColumn("o", F.explode(options)).select(*parcels.columns, "o.*").withColumn(
-        "layout_id", F.concat_ws("-", F.col("parcel_id").cast("string"), "strategy", F.col("pass_no").cast("string"))
-    )
-
-
-def _scored(tried: DataFrame, rate: float) -> DataFrame:
-    """Evaluated layouts of the tried combinations that yield plots."""
-    plots = subdivide_blocks(grid_blocks(tried), min_w=F.col("min_frontage_ft") * F.col("plot_w_mult"), rate=rate)
-    per_layout = plots.select(
-        "layout_id", "area_sqft", F.col("plot_w").alias("width_ft"), F.col("plot_d").alias("depth_ft"), F.lit("Internal Avenue").alias("road_name"), "is_corner"
-    )
-    roads = grid_roads(tried).select("layout_id", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area_sqft"), F.col("road_width_ft").alias("width_ft"))
-    zones = tried.select("layout_id", F.lit("OPEN_SPACE").alias("zone_type"), (F.col("gross_sqft") * F.col("open_space_pct") / 100.0).alias("area_sqft"))
-    totals = scoring.layout_totals(tried.select("layout_id", "parcel_id", "gross_sqft", "strategy", "pass_no"), per_layout, roads, zones)
-    return scoring.evaluate_layouts(totals, min_road_width_ft=FEEDER_ROAD_FT).filter(F.col("n_plots") > 0)
-
-
-def sweep(parcels: DataFrame, rate: float = 2500.0) -> DataFrame:
-    """Every parcel × strategy × perturbation, evaluated; the best of each parcel and strategy is kept.
-
-    Scores are compared at one decimal; of equal ones the earlier pass stands.
-    """
-    best = _scored(_passes(parcels), rate)
-    return first_per_key(best, ["parcel_id", "strategy"], [F.desc(floor_round("composite", 1)), F.asc("pass_no")])

@@ -12,6 +12,7 @@ from acreage.operators import candidates as N
 from acreage.operators import crm as C
 from acreage.operators import detection as D
 from acreage.operators import evaluate as E
+from acreage.operators import generate as W
 from acreage.operators import imaging as M
 from acreage.operators import labels as L
 from acreage.operators import norms as O
@@ -267,8 +268,17 @@ def _subdivide(s, d):
 
 
 def _sweep(s, d):
-    p = _site(s, d).withColumn("min_frontage_ft", F.lit(24.0)).withColumn("open_space_pct", F.lit(10.0))
-    return N.sweep(p).select("parcel_id", "strategy", F.col("pass_no").cast("long").alias("pass_no"), "n_plots", floor_round("composite", 2).alias("composite"))
+    out = W.sweep(_site(s, d), min_frontage_ft=24.0)
+    return out.select(
+        "parcel_id", "strategy", F.col("pass_no").cast("long").alias("pass_no"), "n_plots", *[floor_round(c).alias(c) for c in ("plot_area", "road_area", "open_area", "amenity_area")],
+        F.col("warnings").cast("long").alias("warnings"), floor_round("composite").alias("composite"), F.col("rank").cast("long").alias("rank"), "badge",
+    )
+
+
+def _layout_zones(s, d):
+    """Zones of every parcel and strategy."""
+    z = W.candidate_layouts(_site(s, d)).select("parcel_id", "strategy", F.inline("zones"))
+    return z.select("parcel_id", "strategy", "zone_type", "anchor", *[floor_round(c, 4).alias(c) for c in W.SIDES])
 
 
 def _zones(s, d):
@@ -403,7 +413,7 @@ QUERIES = {
     "iou_pairs": _iou_pairs, "relationship_graph": _graph, "relationship_counts": _graph_counts, "road_overlap": _road_overlap, "union_area": _union,
     "plot_union_area": _plot_union, "no_road_access": _access, "validate_layouts": _validate, "compliance_report": _report, "applicable_norms": _norms,
     "score_layouts": _score_v1, "evaluate_layouts": _score_v2, "rank_variants": _rank, "top_variants": _top, "strategy_comparison": _strategies,
-    "variant_stats": _stats, "feasible_parcels": _feasible, "grid_roads": _grid, "subdivide_blocks": _subdivide, "candidate_sweep": _sweep,
+    "variant_stats": _stats, "feasible_parcels": _feasible, "grid_roads": _grid, "subdivide_blocks": _subdivide, "candidate_sweep": _sweep, "layout_zones": _layout_zones,
     "reserve_zones": _zones, "plot_match": _match, "plot_metrics": _plot_metrics, "road_metrics": _road_metrics, "label_association": _association,
     "evaluate_projects": _evaluate, "geo_to_cad": _geo, "affine": _affine, "tile_index": _tiles, "argmax_class": _argmax, "class_pixel_counts": _pixel_counts,
     "layer_extent": _extent, "layer_stats": _layer_stats, "buildable_balance": _balance, "road_intersections": _crossings, "facing4": _facing4,

@@ -22,6 +22,7 @@ def get_session(app: str = "acreage", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # a call site per column makes long expressions slow to write
         **conf,
     }
     for key, value in settings.items():

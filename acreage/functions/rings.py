@@ -7,6 +7,8 @@ that supplies the rings.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -425,6 +427,42 @@ def inset_clip(ring, boundary, distance) -> Column:
     return _clip(ring, boundary, _c(distance))
 
 
+# fixed value: segments that stand for a quarter of a circle
+QUARTER = 16
+
+
+def rim_bands(ring, distance: float) -> Column:
+    """Rings that cover everything within ``distance`` of the rim on the inside: a rectangle along every edge, to both sides, and at
+    every concave corner the fan of an arc, whose chords stand QUARTER to the right angle."""
+    sides = F.filter(edges(ring), lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+
+    def band(e):
+        length = F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"])
+        normal = F.struct(((e["y1"] - e["y2"]) / length * distance).alias("x"), ((e["x2"] - e["x1"]) / length * distance).alias("y"))
+        return let(normal, lambda n: F.array(
+            point(e["x1"] + n["x"], e["y1"] + n["y"]), point(e["x2"] + n["x"], e["y2"] + n["y"]), point(e["x2"] - n["x"], e["y2"] - n["y"]), point(e["x1"] - n["x"], e["y1"] - n["y"])
+        ))
+
+    def corner(a, b, turn):
+        ax, ay, bx, by = a["x2"] - a["x1"], a["y2"] - a["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]
+        bend, along = (ax * by - ay * bx) * turn, ax * bx + ay * by
+        angle = F.when(bend < 0, F.atan2(-bend, along)).otherwise(0.0)
+        chords = F.greatest(F.lit(1), F.floor(angle / (math.pi / 2 / QUARTER) + 0.5).cast("int"))
+        return F.struct(a["x2"].alias("x"), a["y2"].alias("y"), F.atan2(ax * turn, -ay * turn).alias("start"), (-turn * angle / chords).alias("step"), chords.alias("chords"))
+
+    def fan(c):
+        at = lambda k: point(c["x"] + F.cos(c["start"] + c["step"] * k) * distance, c["y"] + F.sin(c["start"] + c["step"] * k) * distance)
+        return F.concat(F.array(point(c["x"], c["y"])), F.transform(F.sequence(F.lit(0), c["chords"]), at))
+
+    def around(v):
+        n = F.size(v["sides"])
+        corners = F.transform(v["sides"], lambda e, i: corner(e, F.get(v["sides"], (i + 1) % n), v["turn"]))
+        return F.concat(F.transform(v["sides"], band), F.transform(F.filter(corners, lambda c: c["step"] != 0), fan))
+
+    turn = F.when(signed_area(ring) < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return let(F.struct(sides.alias("sides"), turn.alias("turn")), around)
+
+
 def _clip(ring, window, inset: Column) -> Column:
     def plane(e, turn):
         dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]

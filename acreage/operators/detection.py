@@ -257,38 +257,29 @@ def confirm_boundaries(df: DataFrame) -> DataFrame:
     ).withColumn("is_confirmable", (F.col("vertex_count") >= 3) & (area > 10.0)).drop("__b")
 
 
-def setback(df: DataFrame, distance: float) -> DataFrame:
-    """Area lost to a boundary setback; exact for convex boundaries, ``approximate`` otherwise."""
-    gross = R.ring_area("ring")
-    inner = R.ring_area(R.inset_clip("ring", "ring", F.lit(float(distance))))
-    convex = R.is_convex("ring")
-    estimate = F.least(gross, R.ring_length("ring") * distance)
-    lost = F.when(convex, F.greatest(gross - inner, F.lit(0.0))).otherwise(estimate)
-    return df.withColumn("setback_area", lost).withColumn("approximate", ~convex)
+def setback(df: DataFrame, distance: float, keys: tuple[str, ...] = ("project_id",)) -> DataFrame:
+    """Adds setback_area, the ground within ``distance`` of the ring's rim. ``keys`` name a row."""
+    inner = overlay.inset_areas(df, list(keys), distance)
+    lost = F.greatest(R.ring_area("ring") - F.coalesce("inset", F.lit(0.0)), F.lit(0.0))
+    return df.join(inner, list(keys), "left").withColumn("setback_area", lost).drop("inset")
 
 
 def buildable_balance(boundary: DataFrame, roads: DataFrame, greens: DataFrame, obstacles: DataFrame, setback_ft: float = 10.0) -> DataFrame:
     """Gross, setback, road, green, obstacle and net buildable area of each boundary.
 
-    Net is the inset boundary less the dissolved exclusions, by one sweep per project. A concave boundary is swept whole and its
-    estimated setback taken off afterwards; such rows are ``approximate``.
+    Net is the inset boundary less the dissolved exclusions, by one sweep per project.
     """
-    inner = R.inset_clip("ring", "ring", F.lit(float(setback_ft)))
-    core = boundary.withColumn("inner", F.when(R.is_convex("ring"), F.when(R.ring_area(inner) > 0, inner)).otherwise(F.col("ring")))
     keys = ["project_id"]
     excl = roads.select("project_id", "ring").unionByName(greens.select("project_id", "ring")).unionByName(obstacles.select("project_id", "ring"))
-    sides = core.filter("inner is not null").select("project_id", F.lit("A").alias("side"), F.col("inner").alias("ring")).unionByName(excl.select("project_id", F.lit("B").alias("side"), "ring"))
-    net = overlay.sweep_areas(sides, keys).select("project_id", F.col("a_only_area").alias("net"))
-    out = setback(core, setback_ft).select("project_id", R.ring_area("ring").alias("gross"), "setback_area", "approximate").join(net, "project_id", "left")
+    net = overlay.inset_areas(boundary, keys, setback_ft, excl).withColumnRenamed("inset", "net")
+    out = setback(boundary, setback_ft).select("project_id", R.ring_area("ring").alias("gross"), "setback_area").join(net, "project_id", "left")
     for name, side in (("road_area", roads), ("green_area", greens), ("obstacle_area", obstacles)):
         out = out.join(overlay.union_area(side, keys).withColumnRenamed("union_area", name), "project_id", "left")
     z = lambda c: floor_round(F.coalesce(c, F.lit(0.0)))
-    left = F.when(F.col("approximate"), F.greatest(F.coalesce("net", F.lit(0.0)) - F.col("setback_area"), F.lit(0.0))).otherwise(F.coalesce("net", F.lit(0.0)))
-    out = out.withColumn("net", left)
     return out.select(
         "project_id", floor_round("gross").alias("gross_sqft"), floor_round("setback_area").alias("setback_sqft"),
         z("road_area").alias("road_sqft"), z("green_area").alias("green_sqft"), z("obstacle_area").alias("obstacle_sqft"),
-        z("net").alias("net_sqft"), floor_round(F.coalesce("net", F.lit(0.0)) / F.nullif("gross", F.lit(0.0)) * 100.0).alias("buildable_pct"), "approximate",
+        z("net").alias("net_sqft"), floor_round(F.coalesce("net", F.lit(0.0)) / F.nullif("gross", F.lit(0.0)) * 100.0).alias("buildable_pct"),
     )
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from acreage.functions import rings as R
 from acreage.functions import text as T
@@ -85,16 +86,41 @@ def match_errors(gt: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFram
     ).withColumn("area_error_pct", _ratio(F.abs(F.col("g_area") - F.col("p_area")) * 100.0, "g_area"))
 
 
+MEDIAN_BUCKETS = 1024
+
+
+def exact_median(values: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """key, ``name``: the median of each key, without a buffer that grows with the key.
+
+    Equal values are counted first; counts are summed per bucket of a key's range, and only the buckets with the middle rows are
+    gone through in order.
+    """
+    counted = cut(values.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    span = counted.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    share = (F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    placed = counted.join(span, key).withColumn("bucket", F.floor(F.coalesce(share, F.lit(0.0)) * MEDIAN_BUCKETS))
+    before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    lower, upper = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    sums = placed.groupBy(key, "bucket", "total").agg(F.sum("n").alias("held")).withColumn("ahead", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    middle = sums.filter((F.col("ahead") <= upper) & (F.col("ahead") + F.col("held") > lower)).select(key, "bucket", "ahead")
+    inside = Window.partitionBy(key, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.join(middle, [key, "bucket"]).withColumn("first", F.col("ahead") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    hit = lambda rank: F.max(F.when((F.col("first") <= rank) & (F.col("first") + F.col("n") > rank), F.col("v")))
+    return rows.groupBy(key).agg(((hit(lower) + hit(upper)) / 2.0).alias(name))
+
+
 def plot_metrics(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Counts and error means of plot detection per project."""
     matches = match_by_iou(gt, pred, threshold)
+    matches = cut(matches)
+    middle = exact_median(matches, "project_id", "iou", "mid")
     errors = match_errors(gt, pred, matches).groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("matched"), F.avg(F.col("iou").cast("decimal(20,12)")).cast("double").alias("iou"), F.median("iou").alias("mid"),
+        F.count(F.lit(1)).alias("matched"), F.avg(F.col("iou").cast("decimal(20,12)")).cast("double").alias("iou"),
         F.avg(F.col("centroid_error").cast("decimal(24,9)")).cast("double").alias("ce"), F.avg(F.col("area_error_pct").cast("decimal(24,9)")).cast("double").alias("ae"),
     )
     g = gt.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_gt"))
     p = pred.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_pred"))
-    df = g.join(p, "project_id", "full_outer").join(errors, "project_id", "left")
+    df = g.join(p, "project_id", "full_outer").join(errors, "project_id", "left").join(middle, "project_id", "left")
     z = lambda c: F.coalesce(c, F.lit(0))
     df = df.select(
         "project_id", z("n_gt").alias("n_gt"), z("n_pred").alias("n_pred"), z("matched").alias("matched"),

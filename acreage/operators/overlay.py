@@ -71,6 +71,27 @@ def union_area(polys: DataFrame, keys: list[str], tile: float = 256.0) -> DataFr
     return sweep_areas(polys.withColumn("side", F.lit("A")), keys, tile).select(*keys, "union_area")
 
 
+def inset_areas(rings: DataFrame, keys: list[str], distance: float, taken: DataFrame | None = None) -> DataFrame:
+    """keys, inset: the area of each row's ``ring`` that is ``distance`` or more inside its rim, less the ``taken`` rings of its keys.
+
+    A convex ring is clipped by its own moved edges. Off a concave one the sweep takes the bands along its rim, with the same rings.
+    """
+    known = once(rings.select(*keys, "ring"), convex=R.is_convex("ring"))
+    flat = once(known.filter("convex"), inner=R.inset_clip("ring", "ring", F.lit(float(distance))))
+    bent = known.filter("not convex")
+    bands = bent.select(*keys, F.explode(R.rim_bands("ring", float(distance))).alias("ring"))
+    side = lambda df, name, ring="ring": df.select(*keys, F.lit(name).alias("side"), F.col(ring).alias("ring"))
+    off = side(bands, "B") if taken is None else side(bands, "B").unionByName(side(taken, "B"))
+    if taken is None:
+        clipped = flat.select(*keys, R.ring_area("inner").alias("inset"))
+        swept = sweep_areas(side(bent, "A").unionByName(off), keys)
+    else:
+        clipped = None
+        swept = sweep_areas(side(bent, "A").unionByName(side(flat.filter(R.ring_area("inner") > 0), "A", "inner")).unionByName(off), keys)
+    swept = swept.select(*keys, F.col("a_only_area").alias("inset"))
+    return swept if clipped is None else clipped.unionByName(swept)
+
+
 def set_iou(a: DataFrame, b: DataFrame, keys: list[str], tile: float = 256.0) -> DataFrame:
     """IoU of two dissolved sets; 0 when both are empty."""
     both = a.select(*keys, F.lit("A").alias("side"), "ring").unionByName(b.select(*keys, F.lit("B").alias("side"), "ring"))

@@ -111,22 +111,26 @@ def rule_sliver(plots: DataFrame) -> DataFrame:
 
 
 def rule_setback(plots: DataFrame, boundary: DataFrame, p: dict) -> DataFrame:
-    """Convex boundaries: area of a plot outside the inset boundary. Concave ones: the distance that its rim lacks to the boundary's
-    rim, the whole set-back where a plot reaches outside."""
-    both = _with_boundary(plots, boundary)
+    """Plots with more than 5 square feet outside the inset boundary.
+
+    A convex boundary clips the plot by its moved edges. For a concave one, the part outside is the plot's area and what it shares with
+    the bands along the rim, less what it shares with bands and boundary together.
+    """
     inset = float(p["setback_ft"])
+    both = _with_boundary(plots, boundary).filter("b_convex")
     kept = F.when(F.col("boxes"), _common_area(F.col("bbox"), F.col("b_bbox"), inset)).otherwise(R.ring_area(R.inset_clip("ring", "b_ring", F.lit(inset))))
-    flat = once(both.filter("b_convex"), __out=R.ring_area("ring") - kept).filter(F.col("__out") > 5.0)
-    first = F.get(F.col("ring"), F.lit(0))
-    gap = F.when(R.point_in_ring(first["x"], first["y"], "b_ring"), R.rim_distance("ring", "b_ring")).otherwise(0.0)
-    bent = once(both.filter("not b_convex"), __out=F.lit(inset) - gap).filter(F.col("__out") > 0.01)
-    found = flat.unionByName(bent)
-    return _hit(found, "RULE_11", F.col("plot_id"), F.col("__out"))
-
-
-def setback_scope(boundary: DataFrame) -> DataFrame:
-    """Where the setback rule measures area (convex boundaries) and not distance."""
-    return boundary.select("project_id", R.is_convex("ring").alias("exact"))
+    flat = once(both, __out=R.ring_area("ring") - kept).filter(F.col("__out") > 5.0).select("project_id", "plot_id", "__out")
+    rims = boundary.select("project_id", "ring").filter(~R.is_convex("ring"))
+    bands = rims.select("project_id", F.explode(R.rim_bands("ring", inset)).alias("ring"))
+    own = plots.select("project_id", "plot_id", "ring").join(rims.select("project_id").distinct(), "project_id", "left_semi")
+    shapes = spatial.shape_classes(own).select("project_id", "ring", "shape_id")
+    shared = lambda others, name: overlay.overlap_with_set(own, others).withColumnRenamed("common", name)
+    keys = ["project_id", "shape_id"]
+    met = shapes.join(shared(bands, "near"), keys, "left").join(shared(bands.unionByName(rims), "held"), keys, "left")
+    lost = R.ring_area("ring") + F.coalesce("near", F.lit(0.0)) - F.coalesce("held", F.lit(0.0))
+    out = once(met, __out=lost).filter(F.col("__out") > 5.0).select("project_id", "ring", "__out")
+    bent = own.join(out, ["project_id", "ring"]).select("project_id", "plot_id", "__out")
+    return _hit(flat.unionByName(bent), "RULE_11", F.col("plot_id"), F.col("__out"))
 
 
 def rule_road_width(roads: DataFrame, p: dict) -> DataFrame:

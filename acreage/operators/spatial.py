@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from acreage.functions import rings as R
 from acreage.functions.rings import floor_round
-from acreage.session import once
+from acreage.session import cut, once
 
 VIEW_CELL = 500.0
 
@@ -124,30 +124,25 @@ def road_mids(roads: DataFrame) -> DataFrame:
     )
 
 
-ROAD_SALTS = 16
-
-
 def spot_nearest_road(spots: DataFrame, roads: DataFrame, reach: float = 2000.0) -> DataFrame:
-    """Nearest road middle of each spot, without a limit.
+    """Nearest road middle of each spot, however far away.
 
-    A middle within ``reach`` is found by grid cell and is then the nearest of all. Only spots farther than that from every road
-    are compared with all distinct middles of their project, in salted parts and reduced where the comparison happens.
+    A level asks the grid cells around a spot for a middle within the level's reach, which is then the nearest of all; spots without
+    one rise to the next level, where reach and cells are twice as large. So a spot meets the middles of a neighbourhood only, and
+    levels end when all spots are settled.
     """
     mids = road_mids(roads).groupBy("project_id", "mx", "my").agg(F.min(F.struct("ord", "road_id")).alias("f"))
     targets = mids.select("project_id", F.col("mx").alias("tx"), F.col("my").alias("ty"), "f.ord", F.col("f.road_id").alias("plot_id"))
     as_road = F.struct(F.col("near.dist").alias("dist"), F.col("near.ord").alias("ord"), F.col("near.plot_id").alias("road_id"))
-    close = spot_nearest(spots, targets, reach).select("project_id", "x", "y", as_road.alias("near"))
-    far = spots.join(close, ["project_id", "x", "y"], "left_anti")
-    return close.unionByName(_nearest_of_all(far, targets))
-
-
-def _nearest_of_all(spots: DataFrame, targets: DataFrame) -> DataFrame:
-    dist = _straight(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
-    salted = spots.withColumn("__part", F.pmod(F.xxhash64("x", "y"), F.lit(ROAD_SALTS)).cast("int"))
-    spread = targets.withColumn("__part", F.explode(F.array(*[F.lit(i) for i in range(ROAD_SALTS)])))
-    return salted.join(spread, ["project_id", "__part"]).groupBy("project_id", "x", "y").agg(
-        F.min(F.struct(dist.alias("dist"), "ord", F.col("plot_id").alias("road_id"))).alias("near")
-    )
+    found, open_ = None, spots.join(targets.select("project_id").distinct(), "project_id", "left_semi")
+    while True:
+        near = spot_nearest(open_, targets, reach).select("project_id", "x", "y", as_road.alias("near"))
+        near = cut(near)
+        found = near if found is None else found.unionByName(near)
+        open_ = cut(open_.join(near.select("project_id", "x", "y"), ["project_id", "x", "y"], "left_anti").filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
+        if open_.isEmpty():
+            return found
+        reach *= 2
 
 
 def nearest_road(points: DataFrame, roads: DataFrame) -> DataFrame:
@@ -364,15 +359,29 @@ def segment_crossings(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def path_cells(segs: DataFrame, cell: float) -> DataFrame:
+    """A row per grid cell that a segment (x1,y1,x2,y2) passes or comes next to: strip by strip, so their number grows with its length."""
+    near = cell * 1e-6
+    x0, x1 = F.least("x1", "x2"), F.greatest("x1", "x2")
+    strips = segs.withColumn("cx", F.explode(F.sequence(_cell(x0 - near, cell), _cell(x1 + near, cell))))
+    slope = (F.col("y2") - F.col("y1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0))
+    at = lambda x: F.col("y1") + slope * (F.least(F.greatest(x, x0), x1) - F.col("x1"))
+    ya, yb = at(F.col("cx") * cell - near), at((F.col("cx") + 1) * cell + near)
+    low = F.coalesce(F.least(ya, yb), F.least("y1", "y2")) - near
+    high = F.coalesce(F.greatest(ya, yb), F.greatest("y1", "y2")) + near
+    return strips.withColumn("cy", F.explode(F.sequence(_cell(low, cell), _cell(high, cell))))
+
+
 def road_intersections(roads: DataFrame, cell: float = VIEW_CELL) -> DataFrame:
-    """Distinct crossing points of the road centerlines of a project, two decimals."""
+    """Distinct crossing points of the road centerlines of a project, two decimals.
+
+    Segments meet in the cells they pass; a crossing belongs to the cell it lies in.
+    """
     segs = roads.select("project_id", F.col("road_id").alias("id"), F.explode(R.path_segments("centerline")).alias("s")).select("project_id", "id", "s.*")
-    span = lambda a, b: (F.least(a, b), F.greatest(a, b))
-    (x0, x1), (y0, y1) = span("x1", "x2"), span("y1", "y2")
-    boxed = segs.withColumn("bbox", F.struct(x0.alias("minX"), y0.alias("minY"), x1.alias("maxX"), y1.alias("maxY")))
-    cells = grid_cells(boxed, cell).drop("bbox")
+    cells = path_cells(segs, cell)
     hits = segment_crossings(cells, cells, ["project_id", "cx", "cy"]).filter(F.col("a_id") < F.col("b_id"))
-    return hits.select("project_id", floor_round("x").alias("x"), floor_round("y").alias("y")).distinct()
+    own = hits.filter((_cell(F.col("x"), cell) == F.col("cx")) & (_cell(F.col("y"), cell) == F.col("cy")))
+    return own.select("project_id", floor_round("x").alias("x"), floor_round("y").alias("y")).distinct()
 
 
 # fixed values: compass points in turn order

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from acreage.plans import business, details, evaluation_sql, layouts, records, streams, sweep_sql
+from acreage.plans import bent, business, details, evaluation_sql, layouts, lookups, records, streams, sweep_sql
 
-_MODULES = [business, layouts, details, records, streams]
+_MODULES = [business, layouts, details, records, streams, bent, lookups]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in (*_MODULES, evaluation_sql, sweep_sql) for name, sql in m.ORACLE.items()}

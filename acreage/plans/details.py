@@ -78,7 +78,7 @@ def _confirm(s, d):
 
 
 def _setback(s, d):
-    return D.setback(v.rects(s, d), 5.0).select("plot_id", floor_round("setback_area").alias("setback_area"), "approximate")
+    return D.setback(v.rects(s, d), 5.0, ("plot_id",)).select("plot_id", floor_round("setback_area").alias("setback_area"))
 
 
 def _layers(s, d):
@@ -184,7 +184,7 @@ ORACLE = {
     "pick_boundary": with_views("SELECT project_id, arg_max(p_type, (w * h, -ord)) AS source, max(w * h) AS area FROM v_rects GROUP BY 1 HAVING max(w * h) > 2000", "v_rects"),
     "confirm_boundaries": with_views(
         f"""SELECT plot_id, w * h AS area_sqft, {r2('w * h / 10.7639104::DOUBLE')} AS area_sqm, 2 * (w + h) AS perimeter_ft, greatest(20, w) AS length_ft, greatest(20, h) AS breadth_ft, 'RECTANGULAR' AS shape_type, true AS is_confirmable FROM v_rects""", "v_rects"),
-    "setback_area": with_views("SELECT plot_id, w * h - (w - 10) * (h - 10) AS setback_area, false AS approximate FROM v_rects", "v_rects"),
+    "setback_area": with_views("SELECT plot_id, w * h - (w - 10) * (h - 10) AS setback_area FROM v_rects", "v_rects"),
     "drawing_layers": with_views("SELECT project_id, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS layers FROM v_rects GROUP BY 1", "v_rects"),
     "normalize_drawing": with_views(
         f"""SELECT plot_id, {rn('(k * x0 - k * min(x0) OVER p) * sc + 50', 3)} AS x, {rn('(k * y0 - k * min(y0) OVER p) * sc + 50', 3)} AS y, {rn('w * h * sc * sc', 6)} AS area, sc AS scale FROM (

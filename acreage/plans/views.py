@@ -6,7 +6,7 @@ views, used by the checks, are in ``plans/sql.py``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acreage.functions import rings as R
@@ -152,3 +152,33 @@ def parcels(spark: SparkSession, d: str) -> DataFrame:
         (F.col("p_partkey") % 5 == 0).alias("is_congested"), authority.alias("jurisdiction_id"),
         (size * 10 + 200).cast("double").alias("width_ft"), ((F.col("p_partkey") % 50) * 10 + 150).cast("double").alias("depth_ft"),
     )
+
+
+def _turned(points: list[tuple], backwards: Column) -> Column:
+    """A ring through points of the upright shape, turned and moved by the row's angle and offset."""
+    cos, sin = F.cos("angle"), F.sin("angle")
+    c = lambda v: F.lit(float(v)) if isinstance(v, (int, float)) else v
+    ring = F.array(*[R.point(c(x) * cos - c(y) * sin + F.col("off"), c(x) * sin + c(y) * cos - F.col("off")) for x, y in points])
+    return F.when(backwards, F.reverse(ring)).otherwise(ring)
+
+
+def turned_box(x0, y0, x1, y1) -> Column:
+    """A box of an upright bent shape, turned with it."""
+    return _turned([(x0, y0), (x1, y0), (x1, y1), (x0, y1)], F.lit(False))
+
+
+def bent(spark: SparkSession, d: str) -> DataFrame:
+    """One L or U per part, turned by any angle, some of them clockwise, near the origin and away from it.
+
+    An L lacks its upper right corner, a U has a slot from above; m wide and n deep, beside the concave corner (vx, vy).
+    """
+    p, k = read_table(spark, d, "part"), F.col("p_partkey")
+    w, h = (F.col("p_size") * 6 + 200).cast("double"), ((k % 5) * 20 + 180).cast("double")
+    shape = p.select(
+        k.alias("project_id"), k.alias("plot_id"), (k % 2 == 0).alias("is_l"), w.alias("w"), h.alias("h"), (w / 4).alias("m"), (h / 2).alias("n"),
+        ((k % 7) * 0.3).cast("double").alias("angle"), ((k % 3) * 5000).cast("double").alias("off"), (k % 4 == 1).alias("backwards"),
+    ).withColumn("vx", F.when(F.col("is_l"), F.col("w") - F.col("m")).otherwise(F.col("w") / 3)).withColumn("vy", F.col("h") - F.col("n"))
+    w, h, m, vx, vy = (F.col(c) for c in ("w", "h", "m", "vx", "vy"))
+    ell = _turned([(0, 0), (w, 0), (w, vy), (vx, vy), (vx, h), (0, h)], F.col("backwards"))
+    cup = _turned([(0, 0), (w, 0), (w, h), (vx + m, h), (vx + m, vy), (vx, vy), (vx, h), (0, h)], F.col("backwards"))
+    return shape.withColumn("ring", F.when(F.col("is_l"), ell).otherwise(cup))

@@ -1,3 +1,5 @@
+import math
+
 from conftest import box
 from pyspark.sql import functions as F
 
@@ -82,7 +84,7 @@ def test_nearest_road_both_ways(spark):
 
 
 def test_concave_boundaries_are_judged(spark):
-    """A plot in the inner corner of a U lacks distance; the balance takes the estimated setback off."""
+    """Plots beside and in the slot of a U lose the ground in its band; the balance takes the whole band off."""
     from acreage.operators import detection as D
 
     u = [(0.0, 0.0), (300.0, 0.0), (300.0, 300.0), (200.0, 300.0), (200.0, 100.0), (100.0, 100.0), (100.0, 300.0), (0.0, 300.0)]
@@ -91,10 +93,11 @@ def test_concave_boundaries_are_judged(spark):
     boundary = spark.createDataFrame([(1, 0, shape(u))], kind)
     plots = spark.createDataFrame([(1, 1, shape(box(85, 120, 99, 140))), (1, 2, shape(box(30, 120, 60, 140))), (1, 3, shape(box(120, 150, 150, 180)))], kind)
     found = {r.entity_id: r.measure for r in Q.rule_setback(plots, boundary, {"setback_ft": 10.0}).collect()}
-    assert found == {"1": 9.0, "3": 10.0}
+    assert found == {"1": 180.0, "3": 900.0}
     none = boundary.filter("false").select("project_id", "ring")
     row = D.buildable_balance(boundary, none, none, none, 10.0).first()
-    assert row.approximate and row.gross_sqft == 70000.0 and row.net_sqft == row.gross_sqft - row.setback_sqft
+    inset = 280 * 280 - 120 * 200 + 2 * (100 - 800 * math.sin(math.pi / 32))
+    assert row.gross_sqft == 70000.0 and abs(row.net_sqft - inset) < 0.01 and abs(row.setback_sqft - 70000 + inset) < 0.01
 
 
 def test_copies_get_their_neighbours(spark):

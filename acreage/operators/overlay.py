@@ -1,7 +1,8 @@
 """Union, intersection and difference area of sets of polygons by a plane sweep in DataFrames.
 
 Polygons are clipped to square tiles, so the work of one group spreads over (group, tile)
-keys and a tile holds only what lies there. Inside a tile the x of all edge ends and crossings
+keys and a tile holds only what lies there; a tile with many edges is split by their counts
+before any two of them meet. Inside a tile the x of all edge ends and crossings
 cut the plane into slabs in which no edges cross; along a slab the running winding numbers of
 side A and side B say which stretches belong to A, to B, to both.
 """
@@ -16,17 +17,49 @@ from acreage.functions import rings as R
 from acreage.session import cut, once
 
 
-def sweep_areas(polys: DataFrame, keys: list[str], tile: float = 256.0) -> DataFrame:
-    """Areas per group of rows (``side`` 'A' or 'B', ``ring``): union, A, B, A∩B, A\\B."""
+#: Edges a tile may hold before it is split in four, and how often a tile is split at most: edges through one point stay together.
+TILE_EDGES, TILE_SPLITS = 2048, 12
+
+
+def dense_tiles(rings: DataFrame, keys: list[str], tile: float, most: int = TILE_EDGES) -> DataFrame:
+    """``rings`` (keys, ring, bbox) by the tiles they meet: cx, cy and tile, the tile's side, which is halved where edges are many."""
     from acreage.operators.spatial import grid_cells
 
+    def counted(rows: DataFrame) -> DataFrame:
+        x0, y0 = F.col("cx") * F.col("tile"), F.col("cy") * F.col("tile")
+        x1, y1 = x0 + F.col("tile"), y0 + F.col("tile")
+        here = lambda e: (F.least(e["x1"], e["x2"]) <= x1) & (F.greatest(e["x1"], e["x2"]) >= x0) & (F.least(e["y1"], e["y2"]) <= y1) & (F.greatest(e["y1"], e["y2"]) >= y0)
+        meets = (F.col("bbox.minX") <= x1) & (F.col("bbox.maxX") >= x0) & (F.col("bbox.minY") <= y1) & (F.col("bbox.maxY") >= y0)
+        return rows.filter(meets).withColumn("n", F.size(F.filter(R.edges("ring"), here)))
+
+    on = [*keys, "cx", "cy", "tile"]
+    rows, settled = counted(grid_cells(rings, tile).withColumn("tile", F.lit(float(tile)))), None
+    for _ in range(TILE_SPLITS):
+        full = cut(rows.groupBy(*on).agg(F.sum("n").alias("edges")).filter(F.col("edges") > most).select(*[F.col(c).alias(f"f_{c}") for c in on]))
+        if full.isEmpty():
+            break
+        same = F.lit(True)
+        for c in on:
+            same = same & F.col(c).eqNullSafe(F.col(f"f_{c}"))
+        done = rows.join(full, same, "left_anti").drop("n")
+        settled = done if settled is None else settled.unionByName(done)
+        quarter = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])).alias("q")
+        parts = rows.join(full, same, "left_semi").drop("n").select("*", quarter)
+        rows = cut(counted(parts.withColumn("cx", F.col("cx") * 2 + F.col("q.i")).withColumn("cy", F.col("cy") * 2 + F.col("q.j")).withColumn("tile", F.col("tile") / 2).drop("q")))
+    rows = rows.drop("n")
+    return rows if settled is None else settled.unionByName(rows)
+
+
+def sweep_areas(polys: DataFrame, keys: list[str], tile: float = 256.0, most: int = TILE_EDGES) -> DataFrame:
+    """Areas per group of rows (``side`` 'A' or 'B', ``ring``): union, A, B, A∩B, A\\B."""
     distinct = once(polys.select(*keys, "side", "ring").distinct(), bbox=R.bbox("ring"))
-    tiles = grid_cells(distinct, tile)
-    x0, y0 = F.col("cx") * F.lit(tile), F.col("cy") * F.lit(tile)
+    tiles = dense_tiles(distinct, keys, tile, most)
+    side = F.col("tile")
+    x0, y0 = F.col("cx") * side, F.col("cy") * side
     b = F.col("bbox")
-    whole = (b["minX"] >= x0) & (b["maxX"] <= x0 + tile) & (b["minY"] >= y0) & (b["maxY"] <= y0 + tile)
-    part = F.when(whole, F.col("ring")).otherwise(R.clip_by_convex("ring", R.box_ring(x0, y0, x0 + tile, y0 + tile)))
-    on = [*keys, "cx", "cy"]
+    whole = (b["minX"] >= x0) & (b["maxX"] <= x0 + side) & (b["minY"] >= y0) & (b["maxY"] <= y0 + side)
+    part = F.when(whole, F.col("ring")).otherwise(R.clip_by_convex("ring", R.box_ring(x0, y0, x0 + side, y0 + side)))
+    on = [*keys, "cx", "cy", "tile"]
     spans = once(tiles, part=part).select(*on, "side", F.explode(R._spans("part")).alias("e")).select(*on, "side", "e.*")
     weight = lambda side: F.sum(F.when(F.col("side") == side, F.col("s")).otherwise(0.0))
     clipped = (

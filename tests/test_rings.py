@@ -77,3 +77,16 @@ def test_shapes_far_from_the_origin_keep_their_digits(spark):
     edge = P.relationship_graph(df).first()
     assert edge.relation in ("SHARED_EDGE", "TOUCHES") and abs(edge.shared_len - 1000**0.5) < 0.01 and edge.overlap_area == 0.0
     assert [r.a for r in df.select(R.ring_area("ring").alias("a")).collect()] == [1000.0, 1000.0]
+
+
+def test_a_tile_with_many_edges_is_split_and_the_areas_stay(spark):
+    """Twelve thousand small triangles in one tile: exact union by a raster of their legs, no tile above the bound."""
+    rows = [(1, "A" if (i + j) % 2 else "B", [(i * 2.0, j * 2.0), (i * 2.0 + 1.5, j * 2.0), (i * 2.0, j * 2.0 + 1.5)]) for i in range(60) for j in range(60)]
+    polys = spark.createDataFrame([(k, s, [{"x": x, "y": y} for x, y in r]) for k, s, r in rows], f"project_id int, side string, ring {R.RING}")
+    boxed = polys.withColumn("bbox", R.bbox("ring"))
+    tiles = O.dense_tiles(boxed, ["project_id"], 256.0, 300)
+    sizes = tiles.groupBy("cx", "cy", "tile").count().collect()
+    assert max(r["count"] for r in sizes) * 3 <= 300 and {r["tile"] for r in sizes} < {256.0, 128.0, 64.0, 32.0, 16.0, 8.0}
+    got = O.sweep_areas(polys, ["project_id"], 256.0, 300).first()
+    assert abs(got.union_area - 3600 * 1.125) < 1e-6 and abs(got.a_area - 1800 * 1.125) < 1e-6 and got.both_area < 1e-9
+    assert O.sweep_areas(polys, ["project_id"]).first().union_area - got.union_area < 1e-6

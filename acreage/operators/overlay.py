@@ -112,6 +112,8 @@ def inset_areas(rings: DataFrame, keys: list[str], distance: float, taken: DataF
     known = once(rings.select(*keys, "ring"), convex=R.is_convex("ring"))
     flat = once(known.filter("convex"), inner=R.inset_clip("ring", "ring", F.lit(float(distance))))
     bent = known.filter("not convex")
+    if taken is None and bent.isEmpty():
+        return flat.select(*keys, R.ring_area("inner").alias("inset"))
     bands = bent.select(*keys, F.explode(R.rim_bands("ring", float(distance))).alias("ring"))
     side = lambda df, name, ring="ring": df.select(*keys, F.lit(name).alias("side"), F.col(ring).alias("ring"))
     off = side(bands, "B") if taken is None else side(bands, "B").unionByName(side(taken, "B"))
@@ -165,8 +167,11 @@ def overlap_with_set(plots: DataFrame, others: DataFrame, cell: float = 500.0) -
     # read three times below: written once, with only the columns needed
     met = cut(once(met, common=common).filter(F.col("common") > 0).select("project_id", "shape_id", "ring", "o_ring", "common"))
     counted = met.groupBy("project_id", "shape_id").agg(F.count(F.lit(1)).alias("n"), F.max("common").alias("one"))
-    several = met.join(counted.filter(F.col("n") > 1).select("project_id", "shape_id"), ["project_id", "shape_id"])
     keys = ["project_id", "shape_id"]
+    crowded = cut(counted.filter(F.col("n") > 1).select(*keys))
+    if crowded.isEmpty():
+        return counted.select(*keys, F.col("one").alias("common"))
+    several = met.join(crowded, keys)
     rows = several.select(*keys, F.lit("A").alias("side"), "ring").unionByName(
         several.select(*keys, F.lit("B").alias("side"), F.col("o_ring").alias("ring"))
     )
@@ -174,20 +179,44 @@ def overlap_with_set(plots: DataFrame, others: DataFrame, cell: float = 500.0) -
     return counted.join(swept, keys, "left").select(*keys, F.coalesce("both_area", "one").alias("common"))
 
 
+#: Points a slice of a hull holds on average.
+HULL_SLICE = 256
+
+
 def convex_hull(points: DataFrame, keys: list[str]) -> DataFrame:
     """Convex hull of each group's points as a ring.
 
-    Only the lowest and the highest point of an x can be a corner, so those are kept first
-    (combined on the map side); then hulls of slices, which are few points, then the hull of
-    the slice hulls. A large group is never gathered point by point.
+    Only the lowest and the highest point of an x can be a corner, and none strictly inside the octagon of the outermost points in
+    eight directions. What is left is dealt into slices of about HULL_SLICE points, whose hulls are dealt again, until a group fits
+    a slice or nearly all its points are corners, so no list grows with the group but the hull itself.
     """
     rims = points.groupBy(*keys, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    outer = rims.select(*keys, "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"))
-    slices = outer.withColumn("__slice", F.pmod(F.xxhash64("x"), F.lit(64)))
-    partial = slices.groupBy(*keys, "__slice").agg(F.sort_array(F.collect_set(F.struct("x", "y"))).alias("pts"))
-    corners = partial.select(*keys, F.explode(_chain("pts")).alias("p")).groupBy(*keys).agg(
-        F.sort_array(F.collect_set("p")).alias("pts")
-    )
+    outer = cut(rims.select(*keys, "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y")))
+    p, x, y = F.struct("x", "y"), F.col("x"), F.col("y")
+    around = [F.min_by(p, x), F.min_by(p, x + y), F.min_by(p, y), F.max_by(p, x - y), F.max_by(p, x), F.max_by(p, x + y), F.max_by(p, y), F.min_by(p, x - y)]
+    far = outer.groupBy(*keys).agg(*[c.alias(f"o{i}") for i, c in enumerate(around)])
+    far = far.select(*[F.col(k).alias(f"__{k}") for k in keys], *[f"o{i}" for i in range(8)])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    inside = F.lit(True)
+    for i in range(8):
+        a, b = F.col(f"o{i}"), F.col(f"o{(i + 1) % 8}")
+        left = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+        inside = inside & ((a == b) | (left > 0))
+    left = cut(outer.join(far, same).filter(~inside).select(*keys, "x", "y"))
+    sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    while largest is not None and largest > 2 * HULL_SLICE:
+        parts = sizes.select(*[F.col(k).alias(f"__{k}") for k in keys], F.ceil(F.col("n") / HULL_SLICE).alias("__parts"))
+        dealt = left.join(parts, same).withColumn("__slice", F.pmod(F.xxhash64("x", "y"), F.col("__parts")))
+        hulls = dealt.groupBy(*keys, "__slice").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("pts"))
+        left = cut(hulls.select(*keys, F.explode(_chain("pts")).alias("p")).select(*keys, "p.x", "p.y"))
+        sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        before, (total, largest) = total, sizes.agg(F.sum("n"), F.max("n")).first()
+        if total > 0.9 * before:
+            break
+    corners = left.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("pts"))
     return corners.select(*keys, _chain("pts").alias("ring"))
 
 

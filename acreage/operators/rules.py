@@ -121,6 +121,8 @@ def rule_setback(plots: DataFrame, boundary: DataFrame, p: dict) -> DataFrame:
     kept = F.when(F.col("boxes"), _common_area(F.col("bbox"), F.col("b_bbox"), inset)).otherwise(R.ring_area(R.inset_clip("ring", "b_ring", F.lit(inset))))
     flat = once(both, __out=R.ring_area("ring") - kept).filter(F.col("__out") > 5.0).select("project_id", "plot_id", "__out")
     rims = boundary.select("project_id", "ring").filter(~R.is_convex("ring"))
+    if rims.isEmpty():
+        return _hit(flat, "RULE_11", F.col("plot_id"), F.col("__out"))
     bands = rims.select("project_id", F.explode(R.rim_bands("ring", inset)).alias("ring"))
     own = plots.select("project_id", "plot_id", "ring").join(rims.select("project_id").distinct(), "project_id", "left_semi")
     shapes = spatial.shape_classes(own).select("project_id", "ring", "shape_id")
@@ -156,8 +158,9 @@ def violations(boundary: DataFrame, plots: DataFrame, roads: DataFrame, greens:
     return out
 
 
-def compliance_report(boundary: DataFrame, found: DataFrame) -> DataFrame:
-    """Errors, warnings, rules passed and overall verdict of every project with a boundary."""
+def compliance_report(boundary: DataFrame, found: DataFrame, not_judged: list[str] = ()) -> DataFrame:
+    """Errors, warnings, rules passed and overall verdict of every project with a boundary; shares are of the rules that were judged."""
+    judged = len(RULES) - len(not_judged)
     by_rule = found.groupBy("project_id", "rule_id").agg(F.sum("n").alias("n"))
     warning = F.col("rule_id").isin(*[r for r, _, s in RULES if s == "WARNING"])
     summed = by_rule.groupBy("project_id").agg(
@@ -166,11 +169,11 @@ def compliance_report(boundary: DataFrame, found: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(warning, F.col("n"))), F.lit(0)).alias("warnings"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
-    passed = F.lit(len(RULES)) - zero("failed_rules")
-    pct = floor_round(passed * 100.0 / len(RULES))
+    passed = F.lit(judged) - zero("failed_rules")
+    pct = floor_round(passed * 100.0 / judged)
     return boundary.select("project_id").join(summed, "project_id", "left").select(
         "project_id", passed.cast("long").alias("passed_rules"), zero("errors").alias("errors"), zero("warnings").alias("warnings"),
-        pct.alias("compliance_pct"), ((zero("errors") == 0) & (passed * 100.0 / len(RULES) >= 80.0)).alias("overall"),
+        pct.alias("compliance_pct"), ((zero("errors") == 0) & (passed * 100.0 / judged >= 80.0)).alias("overall"),
     )
 
 

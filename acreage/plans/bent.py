@@ -54,7 +54,19 @@ def _slanted(s, d):
     return P.road_intersections(roads)
 
 
-QUERIES = {"far_road": _far_road, "slanted_crossings": _slanted, "bent_setback": _setback, "bent_balance": _balance, "bent_setback_hits": _hits}
+def _odd(s, d):
+    """Boxes, bow ties, slivers and triangles under the rules on validity and slivers."""
+    k = F.col("plot_id")
+    w, h = F.col("w"), F.col("h")
+    kinds = [[(0, 0), (w, 0), (w, h), (0, h)], [(0, 0), (w, h), (w, 0), (0, h / 2)], [(0, 0), (0.5, 0), (0.5, 1.5), (0, 1.5)], [(0, 0), (w, 0), (0, h)]]
+    ring = F.when(F.lit(False), F.array().cast(R.RING))
+    for i, points in enumerate(kinds):
+        ring = ring.when(k % 4 == i, v._turned(points, F.lit(False)))
+    odd = v.bent(s, d).withColumn("ring", ring)
+    return Q.rule_validity(odd).unionByName(Q.rule_sliver(odd)).select("project_id", "rule_id", "entity_id", "measure")
+
+
+QUERIES = {"odd_rings": _odd, "far_road": _far_road, "slanted_crossings": _slanted, "bent_setback": _setback, "bent_balance": _balance, "bent_setback_hits": _hits}
 
 # the fan of a concave corner: 16 chords of a quarter circle
 _FAN = "(8 * 100 * sin(pi() / 32))"
@@ -62,6 +74,8 @@ _BENT = f"""bent AS (SELECT *, (w - 20) * (h - 20) - CASE WHEN is_l THEN m * n E
   SELECT *, w / 4 AS m, h / 2 AS n FROM (SELECT p_partkey AS plot_id, p_partkey % 2 = 0 AS is_l, (p_size * 6 + 200)::DOUBLE AS w, (p_partkey % 5 * 20 + 180)::DOUBLE AS h FROM part)))"""
 
 ORACLE = {
+    "odd_rings": """SELECT p_partkey AS project_id, CASE p_partkey % 4 WHEN 1 THEN 'RULE_09' ELSE 'RULE_10' END AS rule_id, p_partkey::VARCHAR AS entity_id, CASE p_partkey % 4 WHEN 1 THEN 0 ELSE 0.75 END::DOUBLE AS measure
+  FROM part WHERE p_partkey % 4 IN (1, 2)""",
     "far_road": with_views(
         f"""SELECT label_id, arg_min(road_id, (d, ord)) AS road_id, {r2('min(d)')} AS distance FROM (SELECT label_id, road_id, ord, sqrt(pow(x - (x0 + x1) / 2 - 50000, 2) + pow(y - (y0 + y1) / 2 - ord * 40000, 2)) AS d
   FROM v_points JOIN v_roads USING (project_id)) GROUP BY label_id""", "v_points", "v_roads"),

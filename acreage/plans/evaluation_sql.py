@@ -1,4 +1,4 @@
-"""SQL twins of label matching and of the whole evaluation: the walk row by row, everything else from plain definitions."""
+"""SQL twins of label matching, of the whole evaluation and of hulls: the walk row by row, everything else from plain definitions."""
 
 from __future__ import annotations
 
@@ -55,7 +55,20 @@ plots AS (
   SELECT *, road_iou AS connectivity, recall AS normalized_ratio FROM boundary JOIN plots USING (project_id) JOIN roads USING (project_id) JOIN ocr USING (project_id)
 )"""
 
+def _chain(name: str, side: str, sign: str) -> str:
+    """Edges of the lower (sign +) or upper hull: pairs of rim points with no rim point beyond their line, nor on it outside the pair."""
+    cross = "((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x))"
+    return f"""{name} AS (SELECT p.project_id, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM {side} p JOIN {side} q ON q.project_id = p.project_id AND p.x < q.x
+  WHERE NOT EXISTS (SELECT 1 FROM {side} r WHERE r.project_id = p.project_id AND ({sign}{cross} < 0 OR ({cross} = 0 AND (r.x < p.x OR r.x > q.x)))))"""
+
+
+_HULL = f"""lo AS MATERIALIZED (SELECT project_id, x, min(y) AS y FROM v_points GROUP BY 1, 2), hi AS MATERIALIZED (SELECT project_id, x, max(y) AS y FROM v_points GROUP BY 1, 2),
+{_chain('lower_edges', 'lo', '')}, {_chain('upper_edges', 'hi', '-')},
+ends AS (SELECT l.project_id, count(*) FILTER (l.y <> h.y) AS sides FROM lo l JOIN hi h ON h.project_id = l.project_id AND h.x = l.x JOIN (SELECT project_id, min(x) AS a, max(x) AS b FROM lo GROUP BY 1) e ON e.project_id = l.project_id AND l.x IN (a, b) GROUP BY 1),
+area AS (SELECT project_id, sum(s) AS area, count(*) AS n FROM (SELECT project_id, -(qx - px) * (py + qy) / 2 AS s FROM lower_edges UNION ALL SELECT project_id, (qx - px) * (py + qy) / 2 FROM upper_edges) GROUP BY 1)"""
+
 ORACLE = {
+    "convex_hull": f"WITH v_points AS ({VIEWS['v_points']}), {_HULL} SELECT project_id, n + sides AS corners, area FROM area JOIN ends USING (project_id)",
     "label_match": f"WITH RECURSIVE {_TEXTS} SELECT project_id, g_ord, p_ord, distance, exact, normalized FROM texts",
     "evaluate_projects": f"""WITH RECURSIVE v_rects AS ({VIEWS['v_rects']}), {_TEXTS}, {_STEPS}
 SELECT *, concat_ws(',', CASE WHEN boundary_iou < 0.9 THEN 'BROKEN_BOUNDARY' END, CASE WHEN merged > 0 THEN 'MERGED_PLOTS' END, CASE WHEN missing > 0 THEN 'MISSING_PLOTS' END, CASE WHEN recall < 0.8 THEN 'OCR_FAILURE' END,

@@ -180,7 +180,11 @@ def _access(s, d):
 
 
 def _violations(s, d):
-    return Q.violations(v.sheet_boundaries(s, d), v.rects(s, d), v.sheet_roads(s, d), **RULE_PARAMS)
+    """With a green and a pond on every sheet, so that all rules are judged."""
+    sheets = v.sheet_boundaries(s, d).select("project_id")
+    patch = lambda *box: sheets.withColumn("ring", R.box_ring(*[F.lit(float(x)) for x in box]))
+    green, pond = patch(300, 200, 420, 260), patch(1200, 150, 1260, 200)
+    return Q.violations(v.sheet_boundaries(s, d), v.rects(s, d), v.sheet_roads(s, d), green, pond, **RULE_PARAMS)
 
 
 def _validate(s, d):

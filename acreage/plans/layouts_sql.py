@@ -61,6 +61,8 @@ sheet AS (SELECT *, greatest(least(x1, 2400) - greatest(x0, 0), 0) * greatest(le
 found AS (
   SELECT project_id, 'RULE_01' AS rule_id FROM sheet WHERE w * h - inb > greatest(3.5, w * h * 0.005)
   UNION ALL SELECT project_id, 'RULE_02' FROM {_ROADS_U} WHERE c > greatest(3.5, area * 0.005)
+  UNION ALL SELECT project_id, 'RULE_03' FROM v_rects WHERE greatest(least(x1, 420) - greatest(x0, 300), 0) * greatest(least(y1, 260) - greatest(y0, 200), 0) > greatest(3.5, w * h * 0.005)
+  UNION ALL SELECT project_id, 'RULE_04' FROM v_rects WHERE greatest(least(x1, 1260) - greatest(x0, 1200), 0) * greatest(least(y1, 200) - greatest(y0, 150), 0) > greatest(3.5, w * h * 0.005)
   UNION ALL SELECT project_id, 'RULE_05' FROM pairs WHERE o > greatest(3.5, least(aa, ba) * 0.005)
   UNION ALL SELECT project_id, 'RULE_06' FROM v_rects WHERE w * h < 1400 * 0.9::DOUBLE
   UNION ALL SELECT project_id, 'RULE_07' FROM v_rects WHERE least(w, h) < 34

@@ -1,4 +1,4 @@
-"""SQL twins of label matching, of the whole evaluation and of hulls: the walk row by row, everything else from plain definitions."""
+"""SQL twins of label matching, of the whole evaluation, of hulls and of facing: the walk row by row, everything else from plain definitions."""
 
 from __future__ import annotations
 
@@ -67,7 +67,19 @@ _HULL = f"""lo AS MATERIALIZED (SELECT project_id, x, min(y) AS y FROM v_points
 ends AS (SELECT l.project_id, count(*) FILTER (l.y <> h.y) AS sides FROM lo l JOIN hi h ON h.project_id = l.project_id AND h.x = l.x JOIN (SELECT project_id, min(x) AS a, max(x) AS b FROM lo GROUP BY 1) e ON e.project_id = l.project_id AND l.x IN (a, b) GROUP BY 1),
 area AS (SELECT project_id, sum(s) AS area, count(*) AS n FROM (SELECT project_id, -(qx - px) * (py + qy) / 2 AS s FROM lower_edges UNION ALL SELECT project_id, (qx - px) * (py + qy) / 2 FROM upper_edges) GROUP BY 1)"""
 
+def _away(ax0: str, ay0: str, ax1: str, ay1: str) -> str:
+    """Distance of an upright segment, box or point to the line l."""
+    return f"sqrt(pow(greatest({ax0} - l.x1, l.x0 - {ax1}, 0), 2) + pow(greatest({ay0} - l.y1, l.y0 - {ay1}, 0), 2))"
+
+
+# a drawing's y grows to the south
+_FACING = f"""lines AS (SELECT project_id, ord, CASE WHEN ord < 2 THEN x0 ELSE (x0 + x1) / 2 END AS x0, CASE WHEN ord < 2 THEN (y0 + y1) / 2 ELSE y0 END AS y0, CASE WHEN ord < 2 THEN x1 ELSE (x0 + x1) / 2 END AS x1, CASE WHEN ord < 2 THEN (y0 + y1) / 2 ELSE y1 END AS y1 FROM v_roads),
+nearest AS (SELECT r.project_id, plot_id, r.x0, r.y0, r.x1, r.y1, l.ord, {_away('r.x0', 'r.y0', 'r.x1', 'r.y1')} AS d FROM v_rects r JOIN lines l USING (project_id) QUALIFY row_number() OVER (PARTITION BY plot_id ORDER BY d, l.ord) = 1),
+sides AS (SELECT project_id, plot_id, ord, d, unnest([{{'i': 0, 'f': 'N', 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y0}}, {{'i': 1, 'f': 'E', 'x0': x1, 'y0': y0, 'x1': x1, 'y1': y1}}, {{'i': 2, 'f': 'S', 'x0': x0, 'y0': y1, 'x1': x1, 'y1': y1}}, {{'i': 3, 'f': 'W', 'x0': x0, 'y0': y0, 'x1': x0, 'y1': y1}}], recursive := true) FROM nearest),
+rated AS (SELECT s.*, {_away('s.x0', 's.y0', 's.x1', 's.y1')} + {_away('(s.x0 + s.x1) / 2', '(s.y0 + s.y1) / 2', '(s.x0 + s.x1) / 2', '(s.y0 + s.y1) / 2')} * 0.001::DOUBLE AS k FROM sides s JOIN lines l ON l.project_id = s.project_id AND l.ord = s.ord)"""
+
 ORACLE = {
+    "facing8": f"WITH v_rects AS ({VIEWS['v_rects']}), v_roads AS ({VIEWS['v_roads']}), {_FACING} SELECT plot_id, CASE WHEN min(d) <= 500 THEN arg_min(f, (k, i)) ELSE 'UNKNOWN' END AS facing8 FROM rated GROUP BY plot_id",
     "convex_hull": f"WITH v_points AS ({VIEWS['v_points']}), {_HULL} SELECT project_id, n + sides AS corners, area FROM area JOIN ends USING (project_id)",
     "label_match": f"WITH RECURSIVE {_TEXTS} SELECT project_id, g_ord, p_ord, distance, exact, normalized FROM texts",
     "evaluate_projects": f"""WITH RECURSIVE v_rects AS ({VIEWS['v_rects']}), {_TEXTS}, {_STEPS}

@@ -159,4 +159,4 @@ def test_fingerprints_of_edited_and_next_texts(spark):
 
 
 def test_every_query_is_registered():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]

@@ -261,7 +261,7 @@ def setback(df: DataFrame, distance: float, keys: tuple[str, ...] = ("project_id
     """Adds setback_area, the ground within ``distance`` of the ring's rim. ``keys`` name a row."""
     inner = overlay.inset_areas(df, list(keys), distance)
     lost = F.greatest(R.ring_area("ring") - F.coalesce("inset", F.lit(0.0)), F.lit(0.0))
-    return df.join(inner, list(keys), "left").withColumn("setback_area", lost).drop("inset")
+    return df.join(inner.hint("merge"), list(keys), "left").withColumn("setback_area", lost).drop("inset")
 
 
 def buildable_balance(boundary: DataFrame, roads: DataFrame, greens: DataFrame, obstacles: DataFrame, setback_ft: float = 10.0) -> DataFrame:
@@ -272,9 +272,9 @@ def buildable_balance(boundary: DataFrame, roads: DataFrame, greens: DataFrame,
     keys = ["project_id"]
     excl = roads.select("project_id", "ring").unionByName(greens.select("project_id", "ring")).unionByName(obstacles.select("project_id", "ring"))
     net = overlay.inset_areas(boundary, keys, setback_ft, excl).withColumnRenamed("inset", "net")
-    out = setback(boundary, setback_ft).select("project_id", R.ring_area("ring").alias("gross"), "setback_area").join(net, "project_id", "left")
+    out = setback(boundary, setback_ft).select("project_id", R.ring_area("ring").alias("gross"), "setback_area").join(net.hint("merge"), "project_id", "left")
     for name, side in (("road_area", roads), ("green_area", greens), ("obstacle_area", obstacles)):
-        out = out.join(overlay.union_area(side, keys).withColumnRenamed("union_area", name), "project_id", "left")
+        out = out.join(overlay.union_area(side, keys).withColumnRenamed("union_area", name).hint("merge"), "project_id", "left")
     z = lambda c: floor_round(F.coalesce(c, F.lit(0.0)))
     return out.select(
         "project_id", floor_round("gross").alias("gross_sqft"), floor_round("setback_area").alias("setback_sqft"),

@@ -4,7 +4,8 @@ Polygons are clipped to square tiles, so the work of one group spreads over (gro
 keys and a tile holds only what lies there; a tile with many edges is split by their counts
 before any two of them meet. Inside a tile the x of all edge ends and crossings
 cut the plane into slabs in which no edges cross; along a slab the running winding numbers of
-side A and side B say which stretches belong to A, to B, to both.
+side A and side B say which stretches belong to A, to B, to both. Groups with few edges, of which
+there may be very many, are gathered into one row each and swept there, by the same steps on arrays.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from acreage.functions import rings as R
+from acreage.functions import slabs
 from acreage.session import cut, once
 
 
@@ -50,8 +52,43 @@ def dense_tiles(rings: DataFrame, keys: list[str], tile: float, most: int = TILE
     return rows if settled is None else settled.unionByName(rows)
 
 
-def sweep_areas(polys: DataFrame, keys: list[str], tile: float = 256.0, most: int = TILE_EDGES) -> DataFrame:
-    """Areas per group of rows (``side`` 'A' or 'B', ``ring``): union, A, B, A∩B, A\\B."""
+#: Vertices a group may hold, copies counted, to be swept in one row.
+GROUP_POINTS = 256
+
+
+def sweep_areas(polys: DataFrame, keys: list[str], tile: float = 256.0, most: int = TILE_EDGES, row_points: int = GROUP_POINTS) -> DataFrame:
+    """Areas per group of rows (``side`` 'A' or 'B', ``ring``): union, A, B, A∩B, A\\B.
+
+    Groups of up to ``row_points`` vertices are swept in a row each, larger ones tile by tile.
+    """
+    known = polys.select(*keys, "side", "ring").dropna(subset=keys)
+    sizes = known.groupBy(*keys).agg(F.sum(F.size("ring")).alias("n"))
+    large = cut(sizes.filter(F.col("n") > row_points).select(*keys))
+    if large.isEmpty():
+        return _sweep_rows(known, keys)
+    large = large.hint("merge")
+    return _sweep_rows(known.join(large, keys, "left_anti"), keys).unionByName(_sweep_tiles(known.join(large, keys, "left_semi"), keys, tile, most))
+
+
+def _sweep_rows(polys: DataFrame, keys: list[str]) -> DataFrame:
+    """Areas of groups with few edges: the spans of a group become one row's list."""
+    fields = polys.select(*keys).schema.fields
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], *[f"{a} double" for a in slabs.AREAS]])
+    # rings travel, being smaller than their spans
+    gathered = polys.groupBy(*keys).agg(F.collect_list(F.struct("side", "ring")).alias("rings"))
+    one = F.flatten(F.transform("rings", lambda o: _weighted_spans(o["side"], o["ring"])))
+    rows = gathered.select(*keys, one.alias("spans")).filter(F.size("spans") > 0)
+    return rows.mapInArrow(lambda batches: (slabs.sweep_batch(keys, b) for b in batches), schema).filter("union_area > 0")
+
+
+def _weighted_spans(side, ring):
+    weight = lambda name, e: F.when(side == name, e["s"]).otherwise(0.0)
+    return F.transform(R._spans(ring), lambda e: F.struct(
+        e["xl"].alias("l"), e["xr"].alias("r"), e["yl"].alias("ly"), e["yr"].alias("ry"), weight("A", e).alias("wa"), weight("B", e).alias("wb")
+    ))
+
+
+def _sweep_tiles(polys: DataFrame, keys: list[str], tile: float, most: int) -> DataFrame:
     distinct = once(polys.select(*keys, "side", "ring").distinct(), bbox=R.bbox("ring"))
     tiles = dense_tiles(distinct, keys, tile, most)
     side = F.col("tile")
@@ -157,7 +194,7 @@ def overlap_with_set(plots: DataFrame, others: DataFrame, cell: float = 500.0) -
     o = once(o, o_is_box=R.is_box("o_ring", "o_box"))
     first_x = F.floor(F.greatest(F.col("bbox.minX"), F.col("o_box.minX")) / cell)
     first_y = F.floor(F.greatest(F.col("bbox.minY"), F.col("o_box.minY")) / cell)
-    met = p.join(grid_cells(o, cell, "o_box"), ["project_id", "cx", "cy"]).filter(
+    met = p.join(grid_cells(o, cell, "o_box").hint("merge"), ["project_id", "cx", "cy"]).filter(
         R.boxes_overlap(F.col("bbox"), F.col("o_box")) & (first_x == F.col("cx")) & (first_y == F.col("cy"))
     )
     flat = R.let(
@@ -171,12 +208,12 @@ def overlap_with_set(plots: DataFrame, others: DataFrame, cell: float = 500.0) -
     crowded = cut(counted.filter(F.col("n") > 1).select(*keys))
     if crowded.isEmpty():
         return counted.select(*keys, F.col("one").alias("common"))
-    several = met.join(crowded, keys)
+    several = met.join(crowded.hint("merge"), keys)
     rows = several.select(*keys, F.lit("A").alias("side"), "ring").unionByName(
         several.select(*keys, F.lit("B").alias("side"), F.col("o_ring").alias("ring"))
     )
     swept = sweep_areas(rows, keys).select(*keys, "both_area")
-    return counted.join(swept, keys, "left").select(*keys, F.coalesce("both_area", "one").alias("common"))
+    return counted.join(swept.hint("merge"), keys, "left").select(*keys, F.coalesce("both_area", "one").alias("common"))
 
 
 #: Points a slice of a hull holds on average.

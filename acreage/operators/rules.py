@@ -47,7 +47,7 @@ def _with_boundary(plots: DataFrame, boundary: DataFrame) -> DataFrame:
     rims = once(boundary.select("project_id", F.col("ring").alias("b_ring")), b_bbox=R.bbox("b_ring"))
     rims = once(rims, b_box=R.is_box("b_ring", "b_bbox"), b_convex=R.is_convex("b_ring"))
     own = once(plots.select("project_id", "plot_id", "ring"), bbox=R.bbox("ring"))
-    return once(own, is_box=R.is_box("ring", "bbox")).join(rims, "project_id").withColumn("boxes", F.col("is_box") & F.col("b_box"))
+    return once(own, is_box=R.is_box("ring", "bbox")).join(rims.hint("merge"), "project_id").withColumn("boxes", F.col("is_box") & F.col("b_box"))
 
 
 def _common_area(a: Column, b: Column, inset: float = 0.0) -> Column:
@@ -68,8 +68,8 @@ def rule_overlap(plots: DataFrame, others: DataFrame, rule: str) -> DataFrame:
     """Plots overlapping the dissolved roads, greens or obstacles of their project."""
     shapes = spatial.shape_classes(plots).select("project_id", "ring", "shape_id")
     common = overlay.overlap_with_set(plots, others)
-    bad = shapes.join(common, ["project_id", "shape_id"]).filter(F.col("common") > tolerance(R.ring_area("ring")))
-    rows = plots.join(bad.select("project_id", "ring", "common"), ["project_id", "ring"])
+    bad = shapes.join(common.hint("merge"), ["project_id", "shape_id"]).filter(F.col("common") > tolerance(R.ring_area("ring")))
+    rows = plots.join(bad.select("project_id", "ring", "common").hint("merge"), ["project_id", "ring"])
     return _hit(rows, rule, F.col("plot_id"), F.col("common"))
 
 
@@ -124,14 +124,14 @@ def rule_setback(plots: DataFrame, boundary: DataFrame, p: dict) -> DataFrame:
     if rims.isEmpty():
         return _hit(flat, "RULE_11", F.col("plot_id"), F.col("__out"))
     bands = rims.select("project_id", F.explode(R.rim_bands("ring", inset)).alias("ring"))
-    own = plots.select("project_id", "plot_id", "ring").join(rims.select("project_id").distinct(), "project_id", "left_semi")
+    own = plots.select("project_id", "plot_id", "ring").join(rims.select("project_id").distinct().hint("merge"), "project_id", "left_semi")
     shapes = spatial.shape_classes(own).select("project_id", "ring", "shape_id")
-    shared = lambda others, name: overlay.overlap_with_set(own, others).withColumnRenamed("common", name)
+    shared = lambda others, name: overlay.overlap_with_set(own, others).withColumnRenamed("common", name).hint("merge")
     keys = ["project_id", "shape_id"]
     met = shapes.join(shared(bands, "near"), keys, "left").join(shared(bands.unionByName(rims), "held"), keys, "left")
     lost = R.ring_area("ring") + F.coalesce("near", F.lit(0.0)) - F.coalesce("held", F.lit(0.0))
     out = once(met, __out=lost).filter(F.col("__out") > 5.0).select("project_id", "ring", "__out")
-    bent = own.join(out, ["project_id", "ring"]).select("project_id", "plot_id", "__out")
+    bent = own.join(out.hint("merge"), ["project_id", "ring"]).select("project_id", "plot_id", "__out")
     return _hit(flat.unionByName(bent), "RULE_11", F.col("plot_id"), F.col("__out"))
 
 

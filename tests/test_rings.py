@@ -90,3 +90,24 @@ def test_a_tile_with_many_edges_is_split_and_the_areas_stay(spark):
     got = O.sweep_areas(polys, ["project_id"], 256.0, 300).first()
     assert abs(got.union_area - 3600 * 1.125) < 1e-6 and abs(got.a_area - 1800 * 1.125) < 1e-6 and got.both_area < 1e-9
     assert O.sweep_areas(polys, ["project_id"]).first().union_area - got.union_area < 1e-6
+
+
+def test_groups_swept_in_a_row_equal_groups_swept_by_tiles(spark):
+    rng, rows = random.Random(5), []
+    for g in range(12):
+        for _ in range(rng.randint(1, 7)):
+            x, y, n = rng.uniform(0, 300) + 5000 * (g % 3), rng.uniform(0, 300), rng.randint(3, 6)
+            ring = [(x + rng.uniform(20, 150) * c, y + rng.uniform(20, 150) * s) for c, s in [(1, 0), (0.5, 0.9), (-0.5, 0.9), (-1, 0), (-0.5, -0.9), (0.5, -0.9)][:n]]
+            rows.append((g or None, rng.choice("AB"), ring[:: rng.choice((1, -1))]))
+    df = spark.createDataFrame(rows, f"k int, side string, ring {R.RING}")
+    by_row, by_tile, mixed = ({r.k: r for r in O.sweep_areas(df, ["k"], row_points=most).collect()} for most in (256, -1, 20))
+    assert set(by_row) == set(by_tile) == set(mixed) == set(range(1, 12))
+    for k, r in by_tile.items():
+        assert all(abs(by_row[k][c] - r[c]) < 1e-6 and abs(mixed[k][c] - r[c]) < 1e-6 for c in r.asDict() if c != "k")
+
+
+def test_many_small_insets_are_no_rows_of_spans(spark):
+    df = spark.createDataFrame([(i, [(x + 9000.0 * i, y) for x, y in L_SHAPE]) for i in range(3)], f"id int, ring {R.RING}")
+    swept = O.sweep_areas(df.select("id", F.lit("A").alias("side"), "ring"), ["id"])
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and {round(r.a_area, 6) for r in swept.collect()} == {64.0}

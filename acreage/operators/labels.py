@@ -42,7 +42,7 @@ def associate_labels(labels: DataFrame, plots: DataFrame, roads: DataFrame, boun
     near = P.spot_nearest(spots, P.centres(plots), max_dist)
     by_road = P.spot_nearest_road(road_spots, roads).withColumnRenamed("near", "road")
     keys = ["project_id", "x", "y"]
-    found = marked.join(hits, keys, "left").join(near, keys, "left").join(by_road, keys, "left")
+    found = marked.hint("merge").join(hits.hint("merge"), keys, "left").join(near.hint("merge"), keys, "left").join(by_road.hint("merge"), keys, "left")
     site, road = F.col("route") == "SITE", (F.col("route") == "ROAD") & F.col("road").isNotNull()
     in_ring, in_box = F.col("in_ring").isNotNull(), F.col("in_box").isNotNull()
     is_near = F.col("near").isNotNull()

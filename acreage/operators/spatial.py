@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from acreage.functions import rings as R
 from acreage.functions.rings import floor_round
 from acreage.session import cut, once
 
 VIEW_CELL = 500.0
+#: Entries a list of a grid cell holds; a cell with more has several lists.
+CELL_LIST = 128
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -62,20 +65,33 @@ def _in_box(x, y, b) -> Column:
     return (x >= b["minX"]) & (x <= b["maxX"]) & (y >= b["minY"]) & (y <= b["maxY"])
 
 
+def cell_lists(cells: DataFrame, entry: Column) -> DataFrame:
+    """Entries of every (project, cx, cy) as lists of up to CELL_LIST, so that a spot meets a cell in few rows and no pair becomes a row.
+
+    Joined by sorting: these rows are many more than Spark's estimate, which takes an exploded frame to be as large as its source.
+    """
+    keys = ["project_id", "cx", "cy"]
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))
+    dealt = cells.select(*keys, "ord", entry.alias("entry")).withColumn("part", F.floor((at - 1) / CELL_LIST))
+    # by the part as well, so that the join shuffles the lists itself and can split a hot cell
+    return dealt.repartition(*keys, "part").groupBy(*keys, "part").agg(F.collect_list("entry").alias("entries")).drop("part").hint("merge")
+
+
 def spot_hits(spots: DataFrame, shapes: DataFrame, cell: float) -> DataFrame:
     """First shape whose box holds a spot and first whose interior does, per spot."""
-    pairs = _spot_cells(spots, cell).join(grid_cells(shapes, cell), ["project_id", "cx", "cy"])
     x, y = F.col("x"), F.col("y")
-    hits = once(pairs.filter(_in_box(x, y, F.col("bbox"))), inside=R.point_in_ring(x, y, "ring"))
-    return hits.withColumn("t", F.struct("ord", "plot_id", "c")).groupBy("project_id", "x", "y").agg(
-        F.min("t").alias("in_box"), F.min(F.when(F.col("inside"), F.col("t"))).alias("in_ring"), F.count_if("inside").alias("n_rings")
-    )
+    first = lambda found: F.array_min(F.transform(found, lambda e: F.struct(*[e[k].alias(k) for k in ("ord", "plot_id", "c")])))
+    lists = cell_lists(grid_cells(shapes, cell), F.struct("bbox", "ring", "ord", "plot_id", "c"))
+    met = once(_spot_cells(spots, cell).join(lists, ["project_id", "cx", "cy"]), boxed=F.filter("entries", lambda e: _in_box(x, y, e["bbox"])))
+    hits = once(met.filter(F.size("boxed") > 0), held=F.filter("boxed", lambda e: R.point_in_ring(x, y, e["ring"])))
+    firsts = hits.select("project_id", "x", "y", first("boxed").alias("in_box"), first("held").alias("in_ring"), F.size("held").cast("long").alias("n"))
+    return firsts.groupBy("project_id", "x", "y").agg(F.min("in_box").alias("in_box"), F.min("in_ring").alias("in_ring"), F.sum("n").alias("n_rings"))
 
 
 def contains_join(points: DataFrame, polys: DataFrame, cell: float = 200.0) -> DataFrame:
     """Points with the first polygon (by ``ord``) that holds them; points in none are left out."""
     hits = spot_hits(_spots(points), _shapes(polys), cell).filter(F.col("in_ring").isNotNull())
-    return points.join(
+    return points.hint("merge").join(
         hits.select("project_id", "x", "y", F.col("in_ring.plot_id").alias("plot_id"), "n_rings"), ["project_id", "x", "y"]
     )
 
@@ -83,7 +99,7 @@ def contains_join(points: DataFrame, polys: DataFrame, cell: float = 200.0) -> D
 def bbox_join(points: DataFrame, polys: DataFrame, cell: float = 200.0) -> DataFrame:
     """Points with the first polygon whose bounding box holds them, rim included."""
     hits = spot_hits(_spots(points), _shapes(polys), cell)
-    return points.join(hits.select("project_id", "x", "y", F.col("in_box.plot_id").alias("plot_id")), ["project_id", "x", "y"])
+    return points.hint("merge").join(hits.select("project_id", "x", "y", F.col("in_box.plot_id").alias("plot_id")), ["project_id", "x", "y"])
 
 
 def spot_nearest(spots: DataFrame, targets: DataFrame, max_dist: float) -> DataFrame:
@@ -94,11 +110,11 @@ def spot_nearest(spots: DataFrame, targets: DataFrame, max_dist: float) -> DataF
         .withColumn("cx", _cell(F.col("tx"), max_dist) + F.col("w.dx"))
         .withColumn("cy", _cell(F.col("ty"), max_dist) + F.col("w.dy"))
     )
-    pairs = _spot_cells(spots, max_dist).join(near, ["project_id", "cx", "cy"])
-    dist = _straight(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
-    return pairs.withColumn("dist", dist).filter(F.col("dist") < max_dist).groupBy("project_id", "x", "y").agg(
-        F.min(F.struct("dist", "ord", "plot_id")).alias("near")
-    )
+    lists = cell_lists(near, F.struct("tx", "ty", "ord", "plot_id"))
+    way = lambda e: F.struct(_straight(F.col("x") - e["tx"], F.col("y") - e["ty"]).alias("dist"), e["ord"].alias("ord"), e["plot_id"].alias("plot_id"))
+    ways = F.filter(F.transform("entries", way), lambda e: e["dist"] < max_dist)
+    met = once(_spot_cells(spots, max_dist).join(lists, ["project_id", "cx", "cy"]).select("project_id", "x", "y", "entries"), near=F.array_min(ways))
+    return met.filter(F.col("near").isNotNull()).groupBy("project_id", "x", "y").agg(F.min("near").alias("near"))
 
 
 def centres(polys: DataFrame) -> DataFrame:
@@ -110,7 +126,7 @@ def centres(polys: DataFrame) -> DataFrame:
 def nearest_join(points: DataFrame, polys: DataFrame, max_dist: float = 200.0) -> DataFrame:
     """Points with the polygon of nearest centroid, strictly within ``max_dist``."""
     near = spot_nearest(_spots(points), centres(polys), max_dist)
-    return points.join(
+    return points.hint("merge").join(
         near.select("project_id", "x", "y", F.col("near.plot_id").alias("plot_id"), F.col("near.dist").alias("distance")),
         ["project_id", "x", "y"],
     )
@@ -139,7 +155,7 @@ def spot_nearest_road(spots: DataFrame, roads: DataFrame, reach: float = 2000.0)
         near = spot_nearest(open_, targets, reach).select("project_id", "x", "y", as_road.alias("near"))
         near = cut(near)
         found = near if found is None else found.unionByName(near)
-        open_ = cut(open_.join(near.select("project_id", "x", "y"), ["project_id", "x", "y"], "left_anti").filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
+        open_ = cut(open_.join(near.select("project_id", "x", "y").hint("merge"), ["project_id", "x", "y"], "left_anti").filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
         if open_.isEmpty():
             return found
         reach *= 2
@@ -147,7 +163,7 @@ def spot_nearest_road(spots: DataFrame, roads: DataFrame, reach: float = 2000.0)
 
 def nearest_road(points: DataFrame, roads: DataFrame) -> DataFrame:
     near = spot_nearest_road(_spots(points), roads)
-    return points.join(
+    return points.hint("merge").join(
         near.select("project_id", "x", "y", F.col("near.road_id").alias("road_id"), F.col("near.dist").alias("distance")),
         ["project_id", "x", "y"], "left",
     )
@@ -175,7 +191,7 @@ def shape_pairs(shapes: DataFrame, reach: float = 0.0, cell: float = VIEW_CELL)
         & (F.col("a.shape_id") < F.col("b.shape_id")) & R.boxes_overlap(F.col("a.bbox"), F.col("b.bbox"), reach)
         & (_cell(first_x, cell) == F.col("a.cx")) & (_cell(first_y, cell) == F.col("a.cy"))
     )
-    return a.join(b, on).select(
+    return a.join(b.hint("merge"), on).select(
         F.col("a.project_id").alias("project_id"), F.col("a.shape_id").alias("a_id"), F.col("b.shape_id").alias("b_id"),
         F.col("a.ring").alias("a_ring"), F.col("b.ring").alias("b_ring"), R.box_common(F.col("a.bbox"), F.col("b.bbox")).alias("common"),
         (F.col("a.is_box") & F.col("b.is_box")).alias("boxes"), F.col("a.copies").alias("a_copies"), F.col("b.copies").alias("b_copies"),
@@ -326,7 +342,7 @@ def within_distance(plots: DataFrame, roads: DataFrame, reach: float, cell: floa
     p = grid_cells(shape_classes(plots), cell, reach=reach)
     lanes = once(roads.select("project_id", F.col("ring").alias("road_ring")), road_box=R.bbox("road_ring"))
     r = grid_cells(once(lanes, road_is_box=R.is_box("road_ring", "road_box")), cell, "road_box")
-    near = p.join(r, ["project_id", "cx", "cy"]).filter(R.boxes_overlap(F.col("bbox"), F.col("road_box"), reach))
+    near = p.join(r.hint("merge"), ["project_id", "cx", "cy"]).filter(R.boxes_overlap(F.col("bbox"), F.col("road_box"), reach))
     common = R.box_common(F.col("bbox"), F.col("road_box"))
     flat = R.let(common, lambda c: _straight(F.greatest(-c["w"], F.lit(0.0)), F.greatest(-c["h"], F.lit(0.0))))
     gap = F.when(F.col("is_box") & F.col("road_is_box"), flat).otherwise(R.ring_distance("ring", "road_ring"))
@@ -395,7 +411,7 @@ def nearest_road_edge(plots: DataFrame, roads: DataFrame, cutoff: float = 500.0)
     """
     lines = roads.filter(F.size("centerline") >= 2).select("project_id", "road_id", "ord", "centerline", R.bbox("centerline").alias("road_box"))
     shapes = grid_cells(shape_classes(plots), cutoff, reach=cutoff)
-    near = shapes.join(grid_cells(lines, cutoff, "road_box"), ["project_id", "cx", "cy"]).filter(
+    near = shapes.join(grid_cells(lines, cutoff, "road_box").hint("merge"), ["project_id", "cx", "cy"]).filter(
         R.boxes_overlap(F.col("bbox"), F.col("road_box"), cutoff)
     )
     best = once(near, dist=R.ring_line_distance("ring", "centerline")).filter(F.col("dist") <= cutoff).groupBy("project_id", "ring").agg(
@@ -436,12 +452,11 @@ def facing8(plots: DataFrame, roads: DataFrame, rotation: Column | DataFrame | f
 
 def snap_points(points: DataFrame, vertices: DataFrame, tolerance: float = 12.0, grid: float = 8.0) -> DataFrame:
     """Snap to the nearest model vertex within tolerance, else to the grid."""
-    targets = vertices.groupBy("project_id", F.col("x").alias("tx"), F.col("y").alias("ty")).agg(F.min("ord").alias("ord")).withColumn("plot_id", F.col("ord"))
-    pairs = spot_nearest(_spots(points), targets.select("*"), tolerance)
-    # the nearest vertex is found again by its order number
-    hit = pairs.select("project_id", "x", "y", F.col("near.ord").alias("ord"))
-    at = hit.join(targets.select("project_id", "ord", "tx", "ty"), ["project_id", "ord"])
+    at = vertices.groupBy("project_id", F.col("x").alias("tx"), F.col("y").alias("ty")).agg(F.min("ord").alias("ord"))
+    # a vertex goes by its place: the nearest needs no finding again
+    near = spot_nearest(_spots(points), at.withColumn("plot_id", F.struct("tx", "ty")), tolerance).filter(F.col("near.ord").isNotNull())
+    at = near.select("project_id", "x", "y", F.col("near.plot_id.tx").alias("tx"), F.col("near.plot_id.ty").alias("ty"))
     on_grid = lambda c: F.floor(F.col(c) / grid + 0.5) * grid
-    return points.join(at.select("project_id", "x", "y", "tx", "ty"), ["project_id", "x", "y"], "left").withColumn(
+    return points.hint("merge").join(at, ["project_id", "x", "y"], "left").withColumn(
         "snapped", F.col("tx").isNotNull()
     ).withColumn("sx", F.coalesce("tx", on_grid("x"))).withColumn("sy", F.coalesce("ty", on_grid("y"))).drop("tx", "ty")

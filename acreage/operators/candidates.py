@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from acreage.functions import rings as R
 from acreage.functions.rings import floor_round, let
-from acreage.session import first_per_key
+from acreage.session import first_per_key, once
 
 # fixed values: road widths and block depth
 MAIN_ROAD_FT, FEEDER_ROAD_FT, BLOCK_DEPTH_FT = 39.37, 29.53, 85.0
@@ -140,39 +140,52 @@ ANCHORS = ["NORTH_EAST", "SOUTH_EAST", "SOUTH_WEST", "NORTH_WEST", "CENTER"]
 SCALES = [(1.0, 1.0), (1.15, 0.9), (0.9, 1.15), (1.25, 0.8), (0.8, 1.25), (1.3, 1.3)]
 
 
-def zone_candidates(parcels: DataFrame, target: Column, first_anchor: str, setback_ft: float) -> DataFrame:
-    """Boxes tried for one reservation in the setback box of a rectangular parcel, in order."""
+def zone_boxes(target: Column, first_anchor: str, setback_ft: float) -> Column:
+    """Boxes tried for one reservation in the setback box of a rectangular parcel, in order, as one list."""
     order = [first_anchor, *[a for a in ANCHORS if a != first_anchor]]
-    tries = F.array(
-        *[
-            F.struct(F.lit(i * len(SCALES) + j).alias("try"), F.lit(a).alias("anchor"), F.lit(sw).alias("sw"), F.lit(sh).alias("sh"))
-            for i, a in enumerate(order) for j, (sw, sh) in enumerate(SCALES)
-        ]
-    )
-    df = parcels.withColumn("target", target).withColumn("t", F.explode(tries))
     dx0, dy0 = F.lit(setback_ft), F.lit(setback_ft)
     dx1, dy1 = F.col("width_ft") - setback_ft, F.col("depth_ft") - setback_ft
     dw, dh = F.greatest(F.lit(1.0), dx1 - dx0), F.greatest(F.lit(1.0), dy1 - dy0)
-    w = F.greatest(F.lit(20.0), F.sqrt("target") * 1.12)
-    cw = F.least(dw * 0.85, w * F.col("t.sw"))
-    ch = F.least(dh * 0.85, F.greatest(F.lit(20.0), F.col("target") / w) * F.col("t.sh"))
-    a = F.col("t.anchor")
+    w = F.greatest(F.lit(20.0), F.sqrt(target) * 1.12)
     mx, my = (dx0 + dx1) / 2.0, (dy0 + dy1) / 2.0
-    x0 = F.when(a.isin("NORTH_EAST", "SOUTH_EAST"), dx1 - cw).when(a == "CENTER", mx - cw / 2.0).otherwise(dx0)
-    y0 = F.when(a.isin("NORTH_EAST", "NORTH_WEST"), dy1 - ch).when(a == "CENTER", my - ch / 2.0).otherwise(dy0)
-    return df.select(*parcels.columns, "target", F.col("t.try").alias("try"), a.alias("anchor"), x0.alias("x0"), y0.alias("y0"), (x0 + cw).alias("x1"), (y0 + ch).alias("y1"))
+
+    def box(t: Column) -> Column:
+        cw = F.least(dw * 0.85, w * t["sw"])
+        ch = F.least(dh * 0.85, F.greatest(F.lit(20.0), target / w) * t["sh"])
+        a = t["anchor"]
+        x0 = F.when(a.isin("NORTH_EAST", "SOUTH_EAST"), dx1 - cw).when(a == "CENTER", mx - cw / 2.0).otherwise(dx0)
+        y0 = F.when(a.isin("NORTH_EAST", "NORTH_WEST"), dy1 - ch).when(a == "CENTER", my - ch / 2.0).otherwise(dy0)
+        return F.struct(t["try"].alias("try"), a.alias("anchor"), x0.alias("x0"), y0.alias("y0"), (x0 + cw).alias("x1"), (y0 + ch).alias("y1"))
+
+    tries = [f"named_struct('try', {i * len(SCALES) + j}, 'anchor', '{a}', 'sw', {sw}D, 'sh', {sh}D)" for i, a in enumerate(order) for j, (sw, sh) in enumerate(SCALES)]
+    return F.transform(F.expr(f"array({', '.join(tries)})"), box)
+
+
+def zone_candidates(parcels: DataFrame, target: Column, first_anchor: str, setback_ft: float) -> DataFrame:
+    """A row per box tried for one reservation."""
+    known = parcels.withColumn("target", target)
+    return known.select("*", F.inline(zone_boxes(F.col("target"), first_anchor, setback_ft)))
 
 
 def reserve_zones(parcels: DataFrame, zone: str, target: Column, first_anchor: str, setback_ft: float = 10.0, taken: DataFrame | None = None) -> DataFrame:
-    """First tried box with at least 70 % of the target free of the ``taken`` boxes (disjoint, per parcel)."""
-    tried = zone_candidates(parcels, target, first_anchor, setback_ft)
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    """First tried box with at least 70 % of the target free of the ``taken`` boxes (disjoint, per parcel).
+
+    The boxes stay in the parcel's row; only the ground that ``taken`` boxes cost each of them travels.
+    """
+    tried = once(parcels.withColumn("target", target), tries=zone_boxes(F.col("target"), first_anchor, setback_ft))
+    area = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
     if taken is None:
-        free = tried.withColumn("free", area)
+        free = F.transform("tries", lambda b: F.struct(area(b).alias("free"), b.alias("b")))
     else:
+        n = len(ANCHORS) * len(SCALES)
         t = taken.select("parcel_id", *[F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
-        common = R.rect_overlap("x0", "y0", "x1", "y1", "tx0", "ty0", "tx1", "ty1")
-        lost = tried.join(t, "parcel_id").groupBy("parcel_id", "try").agg(F.sum(common).alias("lost"))
-        free = tried.join(lost, ["parcel_id", "try"], "left").withColumn("free", area - F.coalesce("lost", F.lit(0.0))).drop("lost")
-    good = free.filter((F.col("free") >= F.col("target") * 0.70) & (F.col("free") >= 30.0))
-    return first_per_key(good, ["parcel_id"], [F.asc("try")]).withColumn("zone_type", F.lit(zone))
+        common = F.transform("tries", lambda b: R.rect_overlap(b["x0"], b["y0"], b["x1"], b["y1"], "tx0", "ty0", "tx1", "ty1"))
+        met = once(tried.select("parcel_id", "tries").join(t.hint("merge"), "parcel_id"), common=common)
+        lost = met.groupBy("parcel_id").agg(*[F.sum(F.get("common", F.lit(i))).alias(f"l{i}") for i in range(n)])
+        lost = lost.select("parcel_id", F.array(*[F.col(f"l{i}") for i in range(n)]).alias("lost"))
+        tried = tried.join(lost.hint("merge"), "parcel_id", "left")
+        free = F.transform("tries", lambda b: F.struct((area(b) - F.coalesce(F.get("lost", b["try"]), F.lit(0.0))).alias("free"), b.alias("b")))
+    good = lambda v: (v["free"] >= F.col("target") * 0.70) & (v["free"] >= 30.0)
+    found = once(tried, first=F.get(F.filter(free, good), F.lit(0))).filter(F.col("first").isNotNull())
+    flat = found.select(*parcels.columns, "target", *[F.col(f"first.b.{c}").alias(c) for c in ("try", "anchor", "x0", "y0", "x1", "y1")], F.col("first.free").alias("free"))
+    return first_per_key(flat, ["parcel_id"], [F.asc("try")]).withColumn("zone_type", F.lit(zone))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acreage.functions import rings as R
+from acreage.session import spread
 from acreage.sources.tables import read_table
 
 BLOCK = 400  # parts per synthetic project sheet
@@ -97,7 +98,7 @@ def commands_of(events: DataFrame) -> DataFrame:
 
 def rects(spark: SparkSession, d: str) -> DataFrame:
     """Plot rectangles, laid out on sheets of 400 parts; neighbours may overlap."""
-    p, k = read_table(spark, d, "part"), F.col("p_partkey")
+    p, k = spread(read_table(spark, d, "part").select("p_partkey", "p_size", "p_type", "p_brand", "p_retailprice")), F.col("p_partkey")
     local = k % BLOCK
     x0 = ((local % PER_ROW) * 60).cast("double")
     y0 = (F.floor(local / PER_ROW) * 45).cast("double")
@@ -143,7 +144,7 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parcels(spark: SparkSession, d: str) -> DataFrame:
-    p = read_table(spark, d, "part")
+    p = spread(read_table(spark, d, "part").select("p_partkey", "p_size", "p_type", "p_brand", "p_retailprice"))
     kind, size = F.col("p_type"), F.col("p_size")
     authority = F.concat(F.lit("AUTH_"), F.regexp_extract("p_brand", r"(\d+)", 1))
     return p.select(
@@ -172,7 +173,7 @@ def bent(spark: SparkSession, d: str) -> DataFrame:
 
     An L lacks its upper right corner, a U has a slot from above; m wide and n deep, beside the concave corner (vx, vy).
     """
-    p, k = read_table(spark, d, "part"), F.col("p_partkey")
+    p, k = spread(read_table(spark, d, "part").select("p_partkey", "p_size")), F.col("p_partkey")
     w, h = (F.col("p_size") * 6 + 200).cast("double"), ((k % 5) * 20 + 180).cast("double")
     shape = p.select(
         k.alias("project_id"), k.alias("plot_id"), (k % 2 == 0).alias("is_l"), w.alias("w"), h.alias("h"), (w / 4).alias("m"), (h / 2).alias("n"),

@@ -72,6 +72,11 @@ def once(df: DataFrame, **values: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the shuffle partitions: for tables that are small as files and whose rows need much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def by_project(df: DataFrame, key: str = "project_id") -> DataFrame:
     """Rows of a project together before a partitioned write, so files follow projects and not tasks; Spark splits large ones."""
     return df.hint("rebalance", key)

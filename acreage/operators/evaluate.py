@@ -19,7 +19,7 @@ from acreage.session import cut, once
 def _shape_rows(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
     """Rows with their shape class, and the distinct shapes."""
     shapes = df.groupBy("project_id", "ring").agg(F.min("ord").alias(f"{side}_class"))
-    rows = df.join(shapes, ["project_id", "ring"]).select("project_id", F.col("ord").alias(f"{side}_ord"), f"{side}_class")
+    rows = df.join(shapes.hint("merge"), ["project_id", "ring"]).select("project_id", F.col("ord").alias(f"{side}_ord"), f"{side}_class")
     return rows, shapes.withColumnRenamed("ring", f"{side}_ring")
 
 
@@ -29,7 +29,7 @@ def iou_candidates(gt_shapes: DataFrame, pred_shapes: DataFrame, threshold: floa
     p = grid_cells(once(pred_shapes, p_box=R.bbox("p_ring")), cell, "p_box")
     first_x = F.floor(F.greatest(F.col("g_box.minX"), F.col("p_box.minX")) / cell)
     first_y = F.floor(F.greatest(F.col("g_box.minY"), F.col("p_box.minY")) / cell)
-    pairs = g.join(p, ["project_id", "cx", "cy"]).filter(
+    pairs = g.join(p.hint("merge"), ["project_id", "cx", "cy"]).filter(
         R.boxes_overlap(F.col("g_box"), F.col("p_box")) & (first_x == F.col("cx")) & (first_y == F.col("cy"))
     )
     return once(pairs, score=overlay.iou("g_ring", "p_ring")).filter((F.col("score") >= threshold) & (F.col("score") > 0)).select(
@@ -56,7 +56,7 @@ def match_labels(gt: DataFrame, pred: DataFrame) -> DataFrame:
 
     pairs = matching.match_texts(g.select("project_id", "g_ord", "g_class"), p.select("project_id", "p_ord", "p_class"))
     return (
-        g.join(pairs, ["project_id", "g_ord"], "left").join(p.select("project_id", "p_ord", "p_raw"), ["project_id", "p_ord"], "left")
+        g.join(pairs.hint("merge"), ["project_id", "g_ord"], "left").join(p.select("project_id", "p_ord", "p_raw").hint("merge"), ["project_id", "p_ord"], "left")
         .select(
             "project_id", "g_ord", "p_ord", "g_raw", "p_raw", F.col("g_class").alias("g_norm"),
             F.coalesce("score", F.length("g_class")).alias("distance"), F.coalesce(F.col("g_raw") == F.col("p_raw"), F.lit(False)).alias("exact"),
@@ -72,15 +72,15 @@ def _ratio(a, b) -> Column:
 
 def missing_extra(gt: DataFrame, matches: DataFrame, pred: DataFrame) -> DataFrame:
     """Rows of either side that found no partner."""
-    g = gt.join(matches.select("project_id", F.col("g_ord").alias("ord")), ["project_id", "ord"], "left_anti")
-    p = pred.join(matches.select("project_id", F.col("p_ord").alias("ord")), ["project_id", "ord"], "left_anti")
+    g = gt.join(matches.select("project_id", F.col("g_ord").alias("ord")).hint("merge"), ["project_id", "ord"], "left_anti")
+    p = pred.join(matches.select("project_id", F.col("p_ord").alias("ord")).hint("merge"), ["project_id", "ord"], "left_anti")
     return g.select("project_id", "ord", F.lit("MISSING").alias("kind")).unionByName(p.select("project_id", "ord", F.lit("EXTRA").alias("kind")))
 
 
 def match_errors(gt: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
     """IoU, centroid distance and area error of every matched pair."""
     side = lambda df, s: df.select("project_id", F.col("ord").alias(f"{s}_ord"), R.area_centroid("ring").alias(f"{s}_c"), R.ring_area("ring").alias(f"{s}_area"))
-    joined = matches.join(side(gt, "g"), ["project_id", "g_ord"]).join(side(pred, "p"), ["project_id", "p_ord"])
+    joined = matches.join(side(gt, "g").hint("merge"), ["project_id", "g_ord"]).join(side(pred, "p").hint("merge"), ["project_id", "p_ord"])
     return joined.withColumn(
         "centroid_error", F.sqrt(F.pow(F.col("g_c.x") - F.col("p_c.x"), 2) + F.pow(F.col("g_c.y") - F.col("p_c.y"), 2))
     ).withColumn("area_error_pct", _ratio(F.abs(F.col("g_area") - F.col("p_area")) * 100.0, "g_area"))

@@ -7,6 +7,8 @@ join and fanned out after it, so a pile of copies costs one row of geometry work
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -145,19 +147,29 @@ def spot_nearest_road(spots: DataFrame, roads: DataFrame, reach: float = 2000.0)
 
     A level asks the grid cells around a spot for a middle within the level's reach, which is then the nearest of all; spots without
     one rise to the next level, where reach and cells are twice as large. So a spot meets the middles of a neighbourhood only, and
-    levels end when all spots are settled.
+    levels end when all spots are settled. A level asks only spots nearer than its reach to the box around their project's middles,
+    and one that would ask none is passed over.
     """
     mids = road_mids(roads).groupBy("project_id", "mx", "my").agg(F.min(F.struct("ord", "road_id")).alias("f"))
     targets = mids.select("project_id", F.col("mx").alias("tx"), F.col("my").alias("ty"), "f.ord", F.col("f.road_id").alias("plot_id"))
     as_road = F.struct(F.col("near.dist").alias("dist"), F.col("near.ord").alias("ord"), F.col("near.plot_id").alias("road_id"))
-    found, open_ = None, spots.join(targets.select("project_id").distinct(), "project_id", "left_semi")
+    targets = cut(targets)
+    sides = {"minX": F.min("tx"), "minY": F.min("ty"), "maxX": F.max("tx"), "maxY": F.max("ty")}
+    rims = targets.groupBy("project_id").agg(F.struct(*[v.alias(k) for k, v in sides.items()]).alias("rim"))
+    off = lambda c, lo, hi: F.greatest(F.col(f"rim.{lo}") - F.col(c), F.col(c) - F.col(f"rim.{hi}"), F.lit(0.0))
+    # no middle is nearer than its box; coordinates that are no numbers put nothing off
+    low = F.coalesce(F.nanvl(_straight(off("x", "minX", "maxX"), off("y", "minY", "maxY")), F.lit(0.0)), F.lit(0.0))
+    placed = spots.select("project_id", "x", "y").filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    found, open_ = None, cut(placed.join(rims.hint("merge"), "project_id").select("project_id", "x", "y", low.alias("low")))
     while True:
-        near = spot_nearest(open_, targets, reach).select("project_id", "x", "y", as_road.alias("near"))
-        near = cut(near)
-        found = near if found is None else found.unionByName(near)
-        open_ = cut(open_.join(near.select("project_id", "x", "y").hint("merge"), ["project_id", "x", "y"], "left_anti").filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
-        if open_.isEmpty():
+        least = open_.agg(F.min("low")).first()[0]
+        if least is None and found is not None:
             return found
+        while least is not None and reach <= least < math.inf:
+            reach *= 2
+        near = cut(spot_nearest(open_.filter(F.col("low") < reach), targets, reach).select("project_id", "x", "y", as_road.alias("near")))
+        found = near if found is None else found.unionByName(near)
+        open_ = cut(open_.join(near.select("project_id", "x", "y").hint("merge"), ["project_id", "x", "y"], "left_anti"))
         reach *= 2
 
 

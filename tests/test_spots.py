@@ -71,3 +71,16 @@ def test_reserved_zones_stay_in_the_row(spark):
         assert abs(free - b[k].free) < 1e-6 and free >= 0.7 * b[k].target
     # before, each of 30 tries was a row
     assert "Generate explode" not in second._jdf.queryExecution().executedPlan().toString()
+
+
+def test_levels_that_would_ask_no_spot_are_passed_over(spark, monkeypatch):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (1, 30.0, 40.0), (2, 5.0, 5.0), (2, None, 1.0), (3, 0.0, 0.0)], "project_id long, x double, y double")
+    line = lambda x, y: [(x - 1.0, y), (x + 1.0, y)]
+    rows = [(1, "a", 0, line(50000.0, 0.0)), (1, "b", 1, line(50000.0, 90000.0)), (2, "c", 0, line(5.0, 6.0)), (2, "d", 1, line(70000.0, 5.0))]
+    roads = spark.createDataFrame(rows, "project_id long, road_id string, ord long, centerline array<struct<x: double, y: double>>")
+    asked, plain = [], P.spot_nearest
+    monkeypatch.setattr(P, "spot_nearest", lambda spots, targets, reach: asked.append((reach, spots.count())) or plain(spots, targets, reach))
+    got = {(r.project_id, r.x, r.y): (r.near.road_id, round(r.near.dist, 6)) for r in P.spot_nearest_road(points, roads).collect()}
+    assert got == {(1, 0.0, 0.0): ("a", 50000.0), (1, 30.0, 40.0): ("a", round((49970.0**2 + 40.0**2) ** 0.5, 6)), (2, 5.0, 5.0): ("c", 1.0)}
+    assert asked == [(2000.0, 1), (64000.0, 2)]
+    assert P.spot_nearest_road(points.limit(0), roads).count() == 0

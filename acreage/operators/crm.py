@@ -9,22 +9,24 @@ from acreage.functions import text as T
 from acreage.functions.rings import floor_round
 from acreage.functions.scalars import share
 from acreage.operators.inventory import money_sum
-from acreage.session import numbered
+from acreage.session import cut, numbered
 
 ALL = "ALL"
 
 
-def search(df: DataFrame, query: str, cols: list[str], arrays: list[str] = ()) -> DataFrame:
-    """Case-insensitive substring search over several columns; a blank query keeps every row."""
+def _found(query: str, cols: list[str], arrays: list[str] = ()) -> Column:
     q = query.strip().lower()
-    if not q:
-        return df
     hit = F.lit(False)
     for c in cols:
         hit = hit | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(q)), F.lit(False))
     for c in arrays:
         hit = hit | F.coalesce(F.exists(c, lambda t: F.contains(F.lower(t), F.lit(q))), F.lit(False))
-    return df.filter(hit)
+    return hit
+
+
+def search(df: DataFrame, query: str, cols: list[str], arrays: list[str] = ()) -> DataFrame:
+    """Case-insensitive substring search over several columns; a blank query keeps every row."""
+    return df.filter(_found(query, cols, arrays)) if query.strip() else df
 
 
 def with_names(df: DataFrame, dim: DataFrame, key: str, dim_key: str, dim_name: str, out: str, fallback: str | None = None) -> DataFrame:
@@ -50,9 +52,18 @@ def search_documents(documents: DataFrame, projects: DataFrame, customers: DataF
 
 
 def search_plots(plots: DataFrame, customers: DataFrame, brokers: DataFrame, query: str) -> DataFrame:
-    named = with_names(plots, customers, "customer_id", "customer_id", "name", "customer_name", "")
-    named = with_names(named, brokers, "broker_id", "broker_id", "name", "broker_name", "")
-    return search(named, query, ["plot_number", "customer_name", "broker_name"])
+    """Plots found by their number or by the name of customer or broker.
+
+    The customers that the query names are found first, so only plots that may be found travel to the customers' names.
+    """
+    named = with_names(plots, brokers, "broker_id", "broker_id", "name", "broker_name", "")
+    order = ["broker_id", "customer_id", *[c for c in plots.columns if c not in ("broker_id", "customer_id")], "customer_name", "broker_name"]
+    if query.strip():
+        hits = cut(search(customers, query, ["name"]).select(F.col("customer_id").alias("__customer")).distinct())
+        met = named.join(hits, F.col("customer_id") == F.col("__customer"), "left")
+        named = met.filter(_found(query, ["plot_number", "broker_name"]) | F.col("__customer").isNotNull()).drop("__customer")
+    named = with_names(named, customers, "customer_id", "customer_id", "name", "customer_name", "")
+    return search(named, query, ["plot_number", "customer_name", "broker_name"]).select(order)
 
 
 def facet(

@@ -107,3 +107,24 @@ def test_project_payloads_split(spark):
     t = tables.normalize_projects(spark.createDataFrame([(doc,), ('{"name":"M","legal":{"reraNumber":"R"}}',)], "payload string"))
     assert {r.name: r.status for r in t["projects"].collect()} == {"N": "LAYOUT_PENDING", "M": "DRAFT"}
     assert sorted(r.survey_number for r in t["project_surveys"].collect()) == ["1", "2"] and t["project_legal"].count() == 1
+
+
+def test_plots_that_are_not_found_do_not_travel_to_the_customers(spark, monkeypatch):
+    plots = spark.createDataFrame([(i, i % 7 if i % 5 else None, i % 3, f"A-{i}") for i in range(60)], "plot_id long, customer_id long, broker_id long, plot_number string")
+    people = [(1, "Ann Oak"), (1, "Oak"), (2, "Bob"), (3, None), (None, "Oak")]
+    customers = spark.createDataFrame(people, "customer_id long, name string")
+    agents = {0: "Zed", 1: "Oakley"}
+    brokers = spark.createDataFrame(list(agents.items()), "broker_id long, name string")
+    seen, plain = [], C.with_names
+    monkeypatch.setattr(C, "with_names", lambda df, dim, key, *rest: seen.append((key, df.count())) or plain(df, dim, key, *rest))
+    for query in (" OAK ", "a-1", "zzz", " "):
+        want = []
+        for p in plots.collect():
+            for name in [n for k, n in people if k is not None and k == p.customer_id] or [None]:
+                texts = (p.plot_number, name or "", agents.get(p.broker_id, ""))
+                if not query.strip() or any(query.strip().lower() in t.lower() for t in texts):
+                    want.append((p.broker_id, p.customer_id, p.plot_id, p.plot_number, name or "", texts[2]))
+        got = C.search_plots(plots, customers, brokers, query)
+        assert got.columns == ["broker_id", "customer_id", "plot_id", "plot_number", "customer_name", "broker_name"]
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert [n for key, n in seen if key == "customer_id"][2] == 0

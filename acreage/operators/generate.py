@@ -153,11 +153,12 @@ def place(target: Column, tries: Column) -> Column:
         best = F.array_max(F.transform(common, lambda b: F.struct(floor_round(_area(b), 4).alias("area"), (-b["x0"]).alias("x"), (-b["y0"]).alias("y"), b.alias("box"))))
         return F.struct(best.alias("best"), t["anchor"].alias("anchor"))
 
-    sized = F.transform(tries, lambda t: F.struct(F.least(dw * 0.85, w * t["sw"]).alias("cw"), F.least(dh * 0.85, h * t["sh"]).alias("ch"), t["anchor"].alias("anchor")))
-    boxes = F.transform(F.transform(sized, box), lambda t: _box(t["x0"], t["y0"], t["x0"] + t["cw"], t["y0"] + t["ch"], anchor=t["anchor"]))
+    sized = lambda t: F.struct(F.least(dw * 0.85, w * t["sw"]).alias("cw"), F.least(dh * 0.85, h * t["sh"]).alias("ch"), t["anchor"].alias("anchor"))
+    cornered = lambda t: _box(t["x0"], t["y0"], t["x0"] + t["cw"], t["y0"] + t["ch"], anchor=t["anchor"])
+    roomy = lambda t: F.filter(F.transform(F.transform(F.transform(F.transform(F.array(t), sized), box), cornered), part), lambda p: p["best"]["area"] >= need)
     spot = "struct<best: struct<area: double, x: double, y: double, box: struct<x0: double, y0: double, x1: double, y1: double>>, anchor: string>"
-    # a box is only looked at while none before it had room
-    return F.aggregate(boxes, F.lit(None).cast(spot), lambda found, t: F.coalesce(found, F.get(F.filter(F.array(part(t)), lambda p: p["best"]["area"] >= need), F.lit(0))))
+    # a box is only made and looked at while none before it had room
+    return F.aggregate(tries, F.lit(None).cast(spot), lambda found, t: F.coalesce(found, F.get(roomy(t), F.lit(0))))
 
 
 def candidate_layouts(parcels: DataFrame, **params: float) -> DataFrame:

@@ -62,3 +62,11 @@ def test_a_first_pass_that_is_good_enough_stands(spark):
     assert all(r.pass_no == 0 for r in out if r.first_score >= 60 and r.n_plots >= 4 and r.pass_no == 0) and {r["rank"] for r in out} <= {1, 2, 3}
     every = G.candidate_layouts(frame(spark)).withColumn("plot_w_mult", F.lit(1.0)).withColumn("blocks", G.plot_blocks())
     assert every.filter("size(blocks) > 0").count() >= len(out)
+
+
+def test_a_zone_box_is_made_only_while_none_before_it_had_room(spark):
+    """The second box cannot be sized; nobody asks for it."""
+    free = spark.sql("SELECT named_struct('x0', 0D, 'y0', 0D, 'x1', 100D, 'y1', 100D) AS domain").withColumn("free", F.array("domain"))
+    tries = F.expr("array(named_struct('anchor', 'CENTER', 'sw', '1.0', 'sh', '1.0'), named_struct('anchor', 'CENTER', 'sw', 'none', 'sh', '1.0'))")
+    got = free.select(G.place(F.lit(900.0), tries).alias("z")).first().z
+    assert got.anchor == "CENTER" and 899 < got.best.area < 901

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from acreage.plans import views as v
@@ -13,27 +15,31 @@ from acreage.streaming.bookings import last_states, stream_plot_state
 from acreage.streaming.jobs import progress_by_window, stream_job_progress
 
 ARRIVALS = 6
+#: Events a file of an arrival holds, about.
+FILE_EVENTS = 250_000
 #: More than two arrivals apart: the latest event of one and the earliest of the next.
 DELAY = "11 days"
 
 
 def _arrivals(s, d, root):
-    """The event table as files that arrive one after the other, five days each; a fifth of the events comes one file late.
+    """The event table as arrivals one after the other, five days each; a fifth of the events comes one arrival late.
 
+    Every arrival has as many files, which one micro-batch reads, so the number of micro-batches does not grow with the table.
     A last file holds one event that is no command and no stage of a job, far enough ahead for the watermark to pass all others.
     """
     events = read_table(s, d, "events")
-    first = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    first = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
     span = (F.unix_timestamp(F.col("last").cast("timestamp")) - F.unix_timestamp(F.col("first").cast("timestamp"))) / ARRIVALS + 1
     late = F.when(F.col("event_id") % 5 == 2, 1).otherwise(0)
-    lo, step = first.select(F.unix_timestamp(F.col("first").cast("timestamp")), span).first()
+    lo, step, n = first.select(F.unix_timestamp(F.col("first").cast("timestamp")), span, "n").first()
+    files = max(1, math.ceil(n / ARRIVALS / FILE_EVENTS))
     arrival = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - lo) / step) + late
     for i in range(ARRIVALS + 1):
-        events.filter(arrival == i).write.mode("append").parquet(f"{root}/arrivals")
+        events.filter(arrival == i).repartition(files, "event_id").write.mode("append").parquet(f"{root}/arrivals")
     close = first.select((F.col("last").cast("timestamp") + F.expr(f"INTERVAL {DELAY}") + F.expr("INTERVAL 2 days")).cast(events.schema["ts"].dataType).alias("ts"))
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields if f.name != "ts"]
     close.select("ts", *blank).select(*events.columns).write.mode("append").parquet(f"{root}/arrivals")
-    return s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/arrivals")
+    return s.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/arrivals")
 
 
 def _plot_state(s, d):

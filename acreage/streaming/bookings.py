@@ -21,8 +21,8 @@ def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     status, *waiting = state.get if state.exists else ("AVAILABLE", [], [], [], [], [])
     held = {row[1]: row for row in zip(*waiting)}
     for batch in batches:
-        none = batch.astype(object).where(batch.notna(), None)
-        for row in zip(none["at"], none.seq, none.command, none.patch_status, none.state_after):
+        texts = [[v if isinstance(v, str) else None for v in batch[c]] for c in ("command", "patch_status", "state_after")]
+        for row in zip(batch["at"].tolist(), batch["seq"].tolist(), *texts):
             held.setdefault(row[1], row)
     rows = sorted(held.values(), key=lambda r: r[:2])
     passed = state.getCurrentWatermarkMs() * 1000
@@ -35,7 +35,8 @@ def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     state.update((status, *([list(c) for c in zip(*rest)] if rest else [[] for _ in range(5)])))
     if rest:
         state.setTimeoutTimestamp(rest[0][0] // 1000 + 1)
-    yield pd.DataFrame(out, columns=["seq", "at", "plot_id", "command", "patch_status", "state_before", "accepted", "state_after"])
+    if out:
+        yield pd.DataFrame(out, columns=["seq", "at", "plot_id", "command", "patch_status", "state_before", "accepted", "state_after"])
 
 
 def decisions(commands: DataFrame, delay: str = "1 day") -> DataFrame:

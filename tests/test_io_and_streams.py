@@ -1,10 +1,12 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from acreage.operators import bookings as B
+from acreage.plans import streams
 from acreage.sources import exports, files, snapshots
 from acreage.streaming.bookings import last_states, stream_plot_state
 from test_business import commands
@@ -92,3 +94,19 @@ def test_stream_holds_what_the_watermark_has_not_passed_and_drops_what_is_too_la
     done = _stream(spark, str(tmp_path), [spark.createDataFrame(a, schema) for a in arrivals], "10 hours")
     got = {r.seq: (r.state_before, r.accepted) for r in done.collect()}
     assert got == {2: ("AVAILABLE", True), 1: ("AVAILABLE", True), 3: ("AVAILABLE", True)}
+
+
+def test_an_arrival_of_many_files_is_one_micro_batch(spark, tmp_path, monkeypatch):
+    """Six arrivals, the late ones and the closing event: as many micro-batches as with a file each, though every arrival has five."""
+    events = spark.range(3000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 860).alias("ts"), (F.col("id") * 7 % 40).alias("user_id"),
+        F.element_at(F.array(*map(F.lit, ("purchase", "error", "signup", "view"))), (F.col("id") % 4 + 1).cast("int")).alias("event_type"), F.lit(1.0).alias("value"),
+    )
+    events.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    root = str(tmp_path / "root")
+    monkeypatch.setattr(streams, "fresh_folder", lambda s, name: root)
+    monkeypatch.setattr(streams, "FILE_EVENTS", 100, raising=False)
+    got = streams._plot_state(spark, str(tmp_path)).collect()
+    want = B.final_states(B.replay_bookings(streams.v.commands(spark, str(tmp_path)))).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 30
+    assert len([f for f in os.listdir(f"{root}/checkpoint/commits") if f.isdigit()]) <= 10

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from acreage.session import plain_reads
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -122,7 +124,7 @@ SELECT doc_id, size, source_size, target, CAST(copies * size + greatest(0, least
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, the last document of a source cut to the words still wanted."""
-    names = docs.columns
+    names = plain_reads(docs).columns
     rows = mix_sources(docs, names, size=word_count(F.col("text"))).toDF(*[f"c{i}" for i in range(len(names))], "mix").filter("mix.taken > 0")
     text = F.col(f"c{names.index('text')}")
     size, taken = F.col("mix.size"), F.col("mix.taken")

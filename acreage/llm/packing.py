@@ -32,6 +32,8 @@ END = 2
 #: Ids held by a task before it packs.
 CHUNK = 1 << 20
 CHARS = 1 << 19
+#: Bytes of ids in a batch of pieces.
+OUT_BYTES = 1 << 22
 #: Distinct words a worker remembers.
 CACHE = 1 << 20
 #: The vocabulary's special strings and their ids.
@@ -245,7 +247,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 whole = len(ids) // LONGEST
                 for j in range(whole):
                     emit(LONGEST, [(counter, j * LONGEST, LONGEST)])
-                    if size >= 1 << 24:
+                    if size >= OUT_BYTES:
                         yield batch_out()
                 if len(ids) % LONGEST:
                     pool.add((counter, whole * LONGEST, len(ids) % LONGEST))
@@ -256,7 +258,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 if held >= CHUNK:
                     for window, pieces in pack(pool, last=False):
                         emit(window, pieces)
-                        if size >= 1 << 24:
+                        if size >= OUT_BYTES:
                             yield batch_out()
                     left = {p[0] for pieces in pool.by_length for p in pieces}
                     ids_of = {d: ids_of[d] for d in left}
@@ -264,7 +266,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     held = 0
         for window, pieces in pack(pool, last=True):
             emit(window, pieces)
-            if size >= 1 << 24:
+            if size >= OUT_BYTES:
                 yield batch_out()
         if rows:
             yield batch_out()

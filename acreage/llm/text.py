@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from acreage.session import plain_reads
+
 BLOB_BYTES = 1 << 19
 PIECE_BYTES = 1 << 22
 
@@ -68,13 +70,14 @@ def blobs(texts: list[bytes | None], limit: int = BLOB_BYTES) -> Iterator[tuple[
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Lets the session hand batches of 16 MB and not 64 MB to Python, unless it was told otherwise; returns ``df``.
+    """Lets the session hand batches of 4 MB and not 64 MB to Python, unless it was told otherwise, and read plainly; returns ``df``.
 
-    A batch is held by the JVM and, with its successor, by Python, for each running task.
+    A batch is held by the JVM, twice while its buffer grows, and, with its successor, by Python, for each running task.
     """
+    plain_reads(df)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if df.sparkSession.conf.get(key) == "67108864b":
-        df.sparkSession.conf.set(key, "16m")
+        df.sparkSession.conf.set(key, "4m")
     return df
 
 

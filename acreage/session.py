@@ -53,12 +53,24 @@ def shared_dir(spark: SparkSession) -> str:
 ROW_GROUP = 16 << 20
 
 
+def plain_reads(df: DataFrame) -> DataFrame:
+    """Lets the session read parquet files through a stream, unless it was told otherwise; returns ``df``.
+
+    Vectored reads run in a pool of threads, each of which keeps a buffer outside the heap as large as the largest range it read, so
+    an executor's memory beside its heap would grow with the files read.
+    """
+    key = "parquet.hadoop.vectored.io.enabled"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, "false")
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a reused or iterated frame to the shared folder and read it back.
 
     The table is computed once, ends the lineage, and outlives lost executors.
     """
-    path = fresh_folder(df.sparkSession, "cut")
+    path = fresh_folder(plain_reads(df).sparkSession, "cut")
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,9 @@ import pytest
 
 import corpus_pipeline
 from acreage.llm import mixing, near_dedup, packing, suffix_dedup, url_filter
+from acreage.llm import text as X
 from acreage.llm.suffixes import suffix_array
+from acreage.session import cut
 from tests.llm import data
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -227,3 +229,17 @@ def test_pipeline_keeps_a_text_that_has_a_copy_without_id(spark, tmp_path):
     spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in whole} == {0, 1, 2, 3, 4, 5, 7, None}
+
+
+@pytest.mark.parametrize("stage", ["near_duplicates", "repeated_passages", "source_mix", "packed"])
+def test_stages_hold_little_beside_the_heap(spark, tmp_path, stage):
+    """A stage alone has the session read through a stream and hand small batches to Python; a caller's own choice stays."""
+    vectored, batch = "parquet.hadoop.vectored.io.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
+    own, told = spark.newSession(), spark.newSession()
+    dict(corpus_pipeline.STAGES)[stage](own, data.frame(own, data.documents(2, 10)), str(tmp_path))
+    assert own.conf.get(vectored, None) == "false"
+    assert stage == "source_mix" or own.conf.get(batch) == "4m"
+    told.conf.set(vectored, "true")
+    told.conf.set(batch, "8m")
+    cut(X.small_batches(told.range(3)))
+    assert (told.conf.get(vectored), told.conf.get(batch)) == ("true", "8m")

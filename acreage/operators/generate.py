@@ -4,17 +4,24 @@ A layout is one row. Its land is a list of free rectangles: the box inside the s
 are cut out, every cut leaving at most four rectangles; so roads, zones and plots share no ground by construction. Plots of a
 rectangle are alike, so counts, areas and rule hits are closed forms per rectangle and no plot is made before it is asked for
 (``layout_plots``). Everything up to the rank stays in the row: no shuffle but for the best pass and the rank of a parcel.
+Lists are worked on as arrays, many rows at a time (``functions.sites``), as Spark's functions on arrays are interpreted item by item.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acreage.functions import sites as A
 from acreage.functions.rings import floor_round
 from acreage.operators import scoring
 from acreage.operators.candidates import ANCHORS, BLOCK_DEPTH_FT, FEEDER_ROAD_FT, MAIN_ROAD_FT, SCALES
-from acreage.operators.rules import RULES, tolerance
+from acreage.operators.rules import RULES
 from acreage.session import first_per_key, once
 
 # fixed values: strategies in their order, and the perturbations of a pass (spacing changes nothing, kept as a column)
@@ -25,140 +32,210 @@ ZONES = [("RECREATIONAL_OPEN_SPACE", "NORTH_EAST", "open_space_pct", 100.0), ("A
 # fixed values: limits of a plot, a road and a zone
 MAX_PLOT_W, MIN_PLOT_D, MIN_ROAD_SQFT, MIN_ZONE_SQFT, MIN_ZONE_SIDE, ZONE_SHARE = 45.0, 30.0, 200.0, 30.0, 20.0, 0.70
 DEFAULTS = {"target_plot_sqft": 1200.0, "min_plot_sqft": 800.0, "min_frontage_ft": 24.0, "open_space_pct": 10.0, "amenity_pct": 5.0, "utility_pct": 1.0, "setback_ft": 10.0}
-SIDES = ("x0", "y0", "x1", "y1")
-DEC = "decimal(28,6)"
+SIDES = A.SIDES
+BOX = "x0: double, y0: double, x1: double, y1: double"
+ROADS, ZONE_LIST = f"array<struct<{BOX}, road_type: string, road_width_ft: double>>", f"array<struct<zone_type: string, anchor: string, {BOX}>>"
+BLOCKS = f"array<struct<{BOX}, n_rows: int, n_cols: int, plot_d: double, second_y: double, plot_w: double>>"
 
 
-def _box(x0, y0, x1, y1, **more: Column) -> Column:
-    c = lambda v: F.lit(float(v)) if isinstance(v, (int, float)) else v
-    return F.struct(*[c(v).alias(k) for k, v in zip(SIDES, (x0, y0, x1, y1))], *[v.alias(k) for k, v in more.items()])
+# ---- roads
 
+KINDS = ["MAIN", "FEEDER", "ARTERIAL", "PERIMETER"]
+MAIN, FEEDER, ARTERIAL, PERIMETER = range(len(KINDS))
+WIDTHS = np.array([MAIN_ROAD_FT, FEEDER_ROAD_FT, MAIN_ROAD_FT, FEEDER_ROAD_FT])
 
-def _area(b: Column) -> Column:
-    return (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
 
+def _road(w, h, x0, y0, x1, y1) -> np.ndarray:
+    """A corridor clipped to the parcel."""
+    return np.stack([np.fmax(0.0, x0), np.fmax(0.0, y0), np.fmin(w, x1), np.fmin(h, y1)])
 
-def _common(a: Column, b: Column) -> Column:
-    """The box two boxes share; turned inside out where they share none."""
-    return _box(F.greatest(a["x0"], b["x0"]), F.greatest(a["y0"], b["y0"]), F.least(a["x1"], b["x1"]), F.least(a["y1"], b["y1"]))
 
+def _across(w, h, kind, y, x0, x1) -> np.ndarray:
+    half = WIDTHS[kind] / 2.0
+    return _road(w, h, x0 + np.zeros_like(w), y - half, x1, y + half)
 
-def _real(b: Column) -> Column:
-    return (b["x1"] > b["x0"]) & (b["y1"] > b["y0"])
 
+def _down(w, h, kind, x, y0, y1) -> np.ndarray:
+    half = WIDTHS[kind] / 2.0
+    return _road(w, h, x - half, y0 + np.zeros_like(w), x + half, y1)
 
-def cut_out(free: Column, taken: Column) -> Column:
-    """Free rectangles without the ground of ``taken``: below, above, left and right of it."""
 
-    def rest(r: Column) -> Column:
-        lo, hi = F.greatest(r["y0"], taken["y0"]), F.least(r["y1"], taken["y1"])
-        parts = F.array(_box(r["x0"], r["y0"], r["x1"], taken["y0"]), _box(r["x0"], taken["y1"], r["x1"], r["y1"]), _box(r["x0"], lo, taken["x0"], hi), _box(taken["x1"], lo, r["x1"], hi))
-        return F.when(_real(_common(r, taken)), F.filter(parts, _real)).otherwise(F.array(_box(*[r[c] for c in SIDES])))
+def _grid(w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spine in the middle of the longer run and cross streets a block depth apart."""
+    wide = w >= h * 1.35
+    n = np.fmax(1.0, np.floor(np.where(wide, w, h) / BLOCK_DEPTH_FT) - 1.0).astype(np.int64)
+    row = np.repeat(np.arange(len(n)), n + 1)
+    i = np.arange(len(row)) - (np.cumsum(n + 1) - n - 1)[row]
+    kind = np.where(i == 0, MAIN, FEEDER)
+    w, h, n, wide = w[row], h[row], n[row], wide[row]
+    run, cross = np.where(wide, w, h), np.where(wide, h, w)
+    at = np.where(i == 0, cross * 0.5, run * i / (n + 1))
+    return row, kind, np.where(wide == (i == 0), _across(w, h, kind, at, 0.0, w), _down(w, h, kind, at, 0.0, h))
 
-    return F.flatten(F.transform(free, rest))
 
+def _each(roads: list[tuple], w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Roads (which parcels have it, kind, box) parcel by parcel."""
+    has = np.stack([np.broadcast_to(r[0], w.shape) for r in roads], axis=1)
+    row, k = np.nonzero(has)
+    return row, np.array([r[1] for r in roads])[k], np.stack([r[2] for r in roads], axis=2)[:, row, k]
 
-# ---- roads
 
+def _loop(w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A boulevard from the entry to the middle and a ring along the inset rim; narrow parcels get two branches instead."""
+    i = np.fmax(40.0, np.fmin(w, h) * 0.22)
+    mid, top, mx = h * 0.40, h - h * 0.18, w * 0.22
+    ring = np.fmin(w, h) > i * 2
+    flat, tall = ring & (w - i * 2 >= 20.0), ring & (h - i * 2 >= 20.0)
+    across, down = (lambda *v: _across(w, h, FEEDER, *v)), (lambda *v: _down(w, h, FEEDER, *v))
+    return _each([
+        (True, ARTERIAL, _down(w, h, ARTERIAL, w * 0.5, 0.0, mid)),
+        (flat, FEEDER, across(i, i, w - i)), (tall, FEEDER, down(w - i, i, h - i)), (flat, FEEDER, across(h - i, i, w - i)), (tall, FEEDER, down(i, i, h - i)),
+        (~ring, FEEDER, across(mid, mx, w * 0.5)), (~ring, FEEDER, down(mx, mid, top)), (~ring, FEEDER, across(top, mx, w * 0.5)),
+        (~ring, FEEDER, across(mid, w * 0.5, w - mx)), (~ring, FEEDER, down(w - mx, mid, top)), (~ring, FEEDER, across(top, w * 0.5, w - mx)),
+    ], w)
+
+
+def _courtyard(w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A ring around the middle, an avenue from the entry to it and a wing to either side."""
+    rw, rh = np.fmin(w * 0.25, 75.0), np.fmin(h * 0.25, 60.0)
+    x1, x2, y1, y2 = w * 0.5 - rw, w * 0.5 + rw, h * 0.5 - rh, h * 0.5 + rh
+    across, down = (lambda k, *v: (True, k, _across(w, h, k, *v))), (lambda k, *v: (True, k, _down(w, h, k, *v)))
+    return _each([
+        across(PERIMETER, y1, x1, x2), down(PERIMETER, x2, y1, y2), across(PERIMETER, y2, x1, x2), down(PERIMETER, x1, y1, y2),
+        down(MAIN, w * 0.5, 0.0, y1), across(FEEDER, h * 0.5, 0.0, x1), across(FEEDER, h * 0.5, x2, w),
+    ], w)
+
+
+def strategy_roads(efficiency: np.ndarray, loop: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[A.Boxes, np.ndarray]:
+    """Roads of every layout and their kinds, by its strategy; corridors under MIN_ROAD_SQFT are left out."""
+    row, kind, at = [], [], []
+    for which, build in ((efficiency, _grid), (loop, _loop), (~efficiency & ~loop, _courtyard)):
+        rows = np.flatnonzero(which)
+        r, k, b = build(w[rows], h[rows])
+        good = A.real(b) & (A.area(b) >= MIN_ROAD_SQFT)
+        row, kind, at = [*row, rows[r[good]]], [*kind, k[good]], [*at, b[:, good]]
+    row = np.concatenate(row)
+    order = np.argsort(row, kind="stable")
+    return A.Boxes(row[order], np.concatenate(at, axis=1)[:, order]), np.concatenate(kind)[order]
 
-def _road(kind: str, x0, y0, x1, y1, width: float) -> Column:
-    """A corridor clipped to the parcel."""
-    c = lambda v: F.lit(float(v)) if isinstance(v, (int, float)) else v
-    w, h, zero = F.col("width_ft"), F.col("depth_ft"), F.lit(0.0)
-    return _box(F.greatest(zero, c(x0)), F.greatest(zero, c(y0)), F.least(w, c(x1)), F.least(h, c(y1)), road_type=F.lit(kind), road_width_ft=F.lit(width))
 
+# ---- zones
 
-def _across(kind: str, y, x0, x1, width: float) -> Column:
-    return _road(kind, x0, y - width / 2.0, x1, y + width / 2.0, width)
+ORDERS = np.array([[i, *[k for k in range(len(ANCHORS)) if k != i]] for i in range(len(ANCHORS))])  # anchors as tried, by the first one
 
 
-def _down(kind: str, x, y0, y1, width: float) -> Column:
-    return _road(kind, x - width / 2.0, y0, x + width / 2.0, y1, width)
+def _place(target: np.ndarray, domain: np.ndarray, free: A.Boxes, tried: Callable) -> tuple[np.ndarray, np.ndarray]:
+    return A.place(target, domain, free, tried, ZONE_SHARE, MIN_ZONE_SQFT, MIN_ZONE_SIDE)
 
 
-def _grid(main: float, feeder: float) -> Column:
-    """A spine in the middle of the longer run and cross streets a block depth apart."""
-    w, h = F.col("width_ft"), F.col("depth_ft")
-    wide = w >= h * 1.35
-    n = F.greatest(F.lit(1), F.floor(F.when(wide, w).otherwise(h) / BLOCK_DEPTH_FT).cast("int") - 1)
-    each = lambda of: F.sequence(F.lit(1), of)
-    flat = F.concat(F.array(_across("MAIN", h * 0.5, 0, w, main)), F.transform(each(n), lambda i: _down("FEEDER", w * i / (n + 1), 0, h, feeder)))
-    tall = F.concat(F.array(_down("MAIN", w * 0.5, 0, h, main)), F.transform(each(n), lambda i: _across("FEEDER", h * i / (n + 1), 0, w, feeder)))
-    return F.when(wide, flat).otherwise(tall)
+def _sides(anchor: list | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which anchors lie east, north, in the center."""
+    names = [ANCHORS[a] if isinstance(a, int) else str(a) for a in anchor]
+    return tuple(np.array([is_so(a) for a in names], bool) for is_so in (lambda a: a.endswith("EAST"), lambda a: a.startswith("NORTH"), lambda a: a == "CENTER"))
 
 
-def _loop(main: float, feeder: float) -> Column:
-    """A boulevard from the entry to the middle and a ring along the inset rim; narrow parcels get two branches instead."""
-    w, h = F.col("width_ft"), F.col("depth_ft")
-    i = F.greatest(F.lit(40.0), F.least(w, h) * 0.22)
-    mid, top, mx = h * 0.40, h - h * 0.18, w * 0.22
-    long = lambda road, length: F.when(length >= 20.0, road)
-    ring = F.array(
-        long(_across("FEEDER", i, i, w - i, feeder), w - i * 2), long(_down("FEEDER", w - i, i, h - i, feeder), h - i * 2),
-        long(_across("FEEDER", h - i, i, w - i, feeder), w - i * 2), long(_down("FEEDER", i, i, h - i, feeder), h - i * 2),
-    )
-    branches = F.array(
-        _across("FEEDER", mid, mx, w * 0.5, feeder), _down("FEEDER", mx, mid, top, feeder), _across("FEEDER", top, mx, w * 0.5, feeder),
-        _across("FEEDER", mid, w * 0.5, w - mx, feeder), _down("FEEDER", w - mx, mid, top, feeder), _across("FEEDER", top, w * 0.5, w - mx, feeder),
-    )
-    return F.concat(F.array(_down("ARTERIAL", w * 0.5, 0, mid, main)), F.when(F.least(w, h) > i * 2, F.filter(ring, lambda r: r.isNotNull())).otherwise(branches))
+EAST, NORTH, CENTER = _sides(list(range(len(ANCHORS))))
 
 
-def _courtyard(main: float, feeder: float) -> Column:
-    """A ring around the middle, an avenue from the entry to it and a wing to either side."""
-    w, h = F.col("width_ft"), F.col("depth_ft")
-    rw, rh = F.least(w * 0.25, F.lit(75.0)), F.least(h * 0.25, F.lit(60.0))
-    x1, x2, y1, y2 = w * 0.5 - rw, w * 0.5 + rw, h * 0.5 - rh, h * 0.5 + rh
-    return F.array(
-        _across("PERIMETER", y1, x1, x2, feeder), _down("PERIMETER", x2, y1, y2, feeder), _across("PERIMETER", y2, x1, x2, feeder), _down("PERIMETER", x1, y1, y2, feeder),
-        _down("MAIN", w * 0.5, 0, y1, main), _across("FEEDER", h * 0.5, 0, x1, feeder), _across("FEEDER", h * 0.5, x2, w, feeder),
-    )
+def _in_order(first: np.ndarray) -> Callable:
+    """Every anchor with every scale, from the ``first`` anchor of each layout."""
 
+    def tried(k: int, rows: np.ndarray):
+        if k == len(ANCHORS) * len(SCALES):
+            return None
+        a = ORDERS[first[rows], k // len(SCALES)]
+        return slice(None), EAST[a], NORTH[a], CENTER[a], *SCALES[k % len(SCALES)]
 
-def strategy_roads(main: float = MAIN_ROAD_FT, feeder: float = FEEDER_ROAD_FT) -> Column:
-    """Roads of the row's ``strategy`` as a list of boxes; corridors under MIN_ROAD_SQFT are left out."""
-    s = F.col("strategy")
-    roads = F.when(s == "efficiency", _grid(main, feeder)).when(s == "loop", _loop(main, feeder)).otherwise(_courtyard(main, feeder))
-    return F.filter(roads, lambda r: _real(r) & (_area(r) >= MIN_ROAD_SQFT))
+    return tried
 
 
-# ---- zones
+def place(target: Column, tries: Column) -> Column:
+    """First of the listed tries (anchor, sw, sh) whose largest part in the row's ``free`` rectangles has ZONE_SHARE of the target, as
+    that part with its anchor.
 
+    Null if none has. Boxes lie in the row's ``domain``; of equal parts the one to the left, then the lower one counts.
+    """
 
-def _tries(first: str) -> Column:
-    """Anchors and scales in the order they are tried."""
-    order = [first, *[a for a in ANCHORS if a != first]]
-    return F.expr("array({})".format(", ".join(f"named_struct('anchor', '{a}', 'sw', {sw}D, 'sh', {sh}D)" for a in order for sw, sh in SCALES)))
+    def work(target: pa.Array, tries: pa.Array, domain: pa.Array, free: pa.Array) -> pa.Array:
+        items, sizes = tries.flatten(), tries.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        begin, part = np.cumsum(sizes) - sizes, dict(zip([f.name for f in items.type], items.flatten()))
+
+        def tried(k: int, rows: np.ndarray):
+            has = sizes[rows] > k
+            at = pa.array(begin[rows[has]] + k)
+            scales = [A.numbers(part[c].take(at).cast(pa.float64())) for c in ("sw", "sh")]
+            return (has, *_sides(part["anchor"].take(at).to_pylist()), *scales) if has.any() else None
+
+        wanted = A.numbers(target)
+        box, number = _place(wanted, np.array(A.fields(domain, list(SIDES))), A.boxes_of(free), tried)
+        found = number >= 0
+        anchor = part["anchor"].take(pa.array(begin + number, mask=~found))
+        area = np.floor(A.area(box) * 10000.0 + 0.5) / 10000.0
+        best = pa.StructArray.from_arrays([A.column(v) for v in (area, -box[0], -box[1])] + [A.struct(**dict(zip(SIDES, box)))], names=["area", "x", "y", "box"])
+        return pa.StructArray.from_arrays([best, anchor], names=["best", "anchor"], mask=pa.array(~found))
+
+    spot = f"best: struct<area: double, x: double, y: double, box: struct<{BOX}>>, anchor: string"
+    return F.arrow_udf(work, f"struct<{spot}>")(target.cast("double"), tries, F.col("domain"), F.col("free"))
+
+
+def _in_parts(work: Callable) -> Callable:
+    """``work`` on strategy, width and other columns, for some layouts at a time: by the roads their parcels may have."""
+
+    def parts(strategy: pa.Array, width: pa.Array, depth: pa.Array, *columns: pa.Array) -> pa.Array:
+        roads = np.nan_to_num(np.fmax(A.numbers(width), A.numbers(depth)) / BLOCK_DEPTH_FT, nan=0.0) + 8
+        done = [work(*[c[part] for c in (strategy, width, depth, *columns)]) for part in A.runs(roads, A.CELLS // 4)]
+        return pa.concat_arrays(done) if done else work(strategy, width, depth, *columns)
+
+    return parts
+
+
+def _land(strategy: pa.Array, *columns: pa.Array) -> pa.Array:
+    """Roads, domain, free rectangles and zones of layouts."""
+    is_a = lambda name: pc.equal(strategy, name).fill_null(False).to_numpy(zero_copy_only=False)
+    (efficiency, loop, quality), (w, h, gross, setback, *shares) = map(is_a, STRATEGIES), map(A.numbers, columns)
+    n = len(w)
+    roads, kind = strategy_roads(efficiency, loop, w, h)
+    inset = np.where((w > setback * 2) & (h > setback * 2), setback, 0.0)
+    domain = np.stack([inset, inset, w - inset, h - inset])
+    free = A.cut_all(A.Boxes(np.arange(n), domain), roads, n)
+    rows, boxes, names, anchors = [], [], [], []
+    for z, ((_, first, _, least), share) in enumerate(zip(ZONES, shares)):
+        target = gross * share / 100.0
+        start = np.full(n, ANCHORS.index(first))
+        if z == 0:
+            start[quality] = ANCHORS.index("CENTER")
+        box, number = _place(np.where(target >= least, target, np.nan), domain, free, _in_order(start))
+        has = np.flatnonzero(number >= 0)
+        free = A.cut_all(free, A.Boxes(has, box[:, has]), n)
+        rows, boxes, names, anchors = [*rows, has], [*boxes, box[:, has]], [*names, np.full(len(has), z)], [*anchors, ORDERS[start[has], number[has] // len(SCALES)]]
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    word = lambda words, which: pa.array(words, pa.string()).take(pa.array(which))
+    zones = A.struct(
+        zone_type=word([z[0] for z in ZONES], np.concatenate(names)[order]), anchor=word(ANCHORS, np.concatenate(anchors)[order]), **dict(zip(SIDES, np.concatenate(boxes, axis=1)[:, order]))
+    )
+    road = A.struct(**dict(zip(SIDES, roads.at)), road_type=word(KINDS, kind), road_width_ft=WIDTHS[kind])
+    return A.struct(
+        roads=A.listed(roads.row, road, n), domain=A.struct(**dict(zip(SIDES, domain))), free=A.listed(free.row, A.struct(**dict(zip(SIDES, free.at))), n),
+        zones=A.listed(row[order], zones, n),
+    )
 
 
-def place(target: Column, tries: Column) -> Column:
-    """First tried box whose largest part in the row's ``free`` rectangles has ZONE_SHARE of the target, as that part with its anchor.
+LAND = f"roads: {ROADS}, domain: struct<{BOX}>, free: array<struct<{BOX}>>, zones: {ZONE_LIST}"
+LAND_INPUT = ["width_ft", "depth_ft", "gross_sqft", "setback_ft", *[share for _, _, share, _ in ZONES]]
 
-    Null if none has. Boxes lie in the row's ``domain``; of equal parts the one to the left, then the lower one counts.
-    """
-    domain = F.col("domain")
-    dw, dh = F.greatest(F.lit(1.0), domain["x1"] - domain["x0"]), F.greatest(F.lit(1.0), domain["y1"] - domain["y0"])
-    w = F.greatest(F.lit(MIN_ZONE_SIDE), F.sqrt(target) * 1.12)
-    h = F.greatest(F.lit(MIN_ZONE_SIDE), target / w)
-    need = F.greatest(target * ZONE_SHARE, F.lit(MIN_ZONE_SQFT))
-
-    def box(t: Column) -> Column:
-        cw, ch, a = t["cw"], t["ch"], t["anchor"]
-        x0 = F.when(a.endswith("EAST"), domain["x1"] - cw).when(a == "CENTER", (domain["x0"] + domain["x1"]) / 2.0 - cw / 2.0).otherwise(domain["x0"])
-        y0 = F.when(a.startswith("NORTH"), domain["y1"] - ch).when(a == "CENTER", (domain["y0"] + domain["y1"]) / 2.0 - ch / 2.0).otherwise(domain["y0"])
-        return F.struct(x0.alias("x0"), y0.alias("y0"), cw.alias("cw"), ch.alias("ch"), a.alias("anchor"))
-
-    def part(t: Column) -> Column:
-        common = F.filter(F.transform("free", lambda r: _common(r, t)), _real)
-        best = F.array_max(F.transform(common, lambda b: F.struct(floor_round(_area(b), 4).alias("area"), (-b["x0"]).alias("x"), (-b["y0"]).alias("y"), b.alias("box"))))
-        return F.struct(best.alias("best"), t["anchor"].alias("anchor"))
-
-    sized = lambda t: F.struct(F.least(dw * 0.85, w * t["sw"]).alias("cw"), F.least(dh * 0.85, h * t["sh"]).alias("ch"), t["anchor"].alias("anchor"))
-    cornered = lambda t: _box(t["x0"], t["y0"], t["x0"] + t["cw"], t["y0"] + t["ch"], anchor=t["anchor"])
-    roomy = lambda t: F.filter(F.transform(F.transform(F.transform(F.transform(F.array(t), sized), box), cornered), part), lambda p: p["best"]["area"] >= need)
-    spot = "struct<best: struct<area: double, x: double, y: double, box: struct<x0: double, y0: double, x1: double, y1: double>>, anchor: string>"
-    # a box is only made and looked at while none before it had room
-    return F.aggregate(tries, F.lit(None).cast(spot), lambda found, t: F.coalesce(found, F.get(roomy(t), F.lit(0))))
+
+def _by_strategy(parcels: DataFrame, params: dict[str, float]) -> DataFrame:
+    """A row per parcel and strategy, with a column for all of DEFAULTS."""
+    given = {**DEFAULTS, **params}
+    known = parcels.select(*parcels.columns, *[F.lit(float(v)).alias(k) for k, v in given.items() if k not in parcels.columns])
+    rows = known.withColumn("strategy", F.explode(F.array(*map(F.lit, STRATEGIES)))).withColumn("ord", F.array_position(F.array(*map(F.lit, STRATEGIES)), F.col("strategy")))
+    parts = int(parcels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "parcel_id", "strategy")  # little data, much work: not left to the files' sizes
+
+
+def _doubles(names: list[str]) -> list[Column]:
+    return [F.col(c).cast("double") for c in names]
 
 
 def candidate_layouts(parcels: DataFrame, **params: float) -> DataFrame:
@@ -166,33 +243,18 @@ def candidate_layouts(parcels: DataFrame, **params: float) -> DataFrame:
 
     ``parcels``: parcel_id, width_ft, depth_ft, gross_sqft and any of the columns in DEFAULTS; ``params`` stand for missing ones.
     """
-    given = {**DEFAULTS, **params}
-    known = parcels.select(*parcels.columns, *[F.lit(float(v)).alias(k) for k, v in given.items() if k not in parcels.columns])
-    rows = known.withColumn("strategy", F.explode(F.array(*map(F.lit, STRATEGIES)))).withColumn("ord", F.array_position(F.array(*map(F.lit, STRATEGIES)), F.col("strategy")))
-    s = F.col("setback_ft")
-    roomy = (F.col("width_ft") > s * 2) & (F.col("depth_ft") > s * 2)
-    inset = F.when(roomy, s).otherwise(0.0)
-    parts = int(parcels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "parcel_id", "strategy")  # little data, much work: not left to the files' sizes
-    df = once(rows, roads=strategy_roads(), domain=_box(inset, inset, F.col("width_ft") - inset, F.col("depth_ft") - inset))
-    df = once(df, free=F.aggregate("roads", F.array(F.col("domain")), cut_out))
-    for name, first, share, least in ZONES:
-        target = F.col("gross_sqft") * F.col(share) / 100.0
-        tries = _tries(first)
-        if name == ZONES[0][0]:
-            tries = F.when(F.col("strategy") == "quality", _tries("CENTER")).otherwise(tries)
-        df = once(df, zone=F.when(target >= least, place(target, tries)))
-        found = F.struct(F.lit(name).alias("zone_type"), F.col("zone.anchor").alias("anchor"), *[F.col(f"zone.best.box.{c}").alias(c) for c in SIDES])
-        listed = F.when(F.col("zone").isNull(), F.array()).otherwise(F.array(found))
-        zones = F.concat("zones", listed) if "zones" in df.columns else listed
-        left = F.when(F.col("zone").isNull(), F.col("free")).otherwise(cut_out(F.col("free"), F.col("zone.best.box")))
-        kept = [c for c in df.columns if c not in ("zone", "zones", "free")]
-        df = once(df, new_free=left, new_zones=zones).select(*kept, F.col("new_free").alias("free"), F.col("new_zones").alias("zones"))
-    return df
+    rows = _by_strategy(parcels, params)
+    return once(rows, land=F.arrow_udf(_in_parts(_land), f"struct<{LAND}>")("strategy", *_doubles(LAND_INPUT))).select(*rows.columns, "land.*")
 
 
 # ---- plots
 
+BLOCK_INPUT = ["gross_sqft", "target_plot_sqft", "min_plot_sqft", "min_frontage_ft", "plot_w_mult"]
+
+
+def _block_list(found: dict[str, np.ndarray], rows: int) -> pa.Array:
+    return A.listed(found["row"], A.struct(**{k: v for k, v in found.items() if k != "row"}), rows)
+
 
 def plot_blocks() -> Column:
     """Free rectangles as blocks of equal plots: rows, columns, plot width, row height and where the second row starts.
@@ -200,26 +262,11 @@ def plot_blocks() -> Column:
     One or two rows; columns under 70 % of the least area merge into one plot; blocks, strips and plots that are too small or too
     slim are left out. Large parcels get larger plots.
     """
-    least = F.col("min_plot_sqft")
-    target = F.when((F.col("gross_sqft") > 120000) & (F.col("target_plot_sqft") < 1800), F.greatest(F.col("target_plot_sqft"), F.least(F.lit(2800.0), F.col("gross_sqft") / 75.0))).otherwise(F.col("target_plot_sqft"))
-    low = F.col("min_frontage_ft") * F.col("plot_w_mult")
-    tw = F.greatest(low, F.least(F.lit(MAX_PLOT_W), F.sqrt(target * 0.65)))
-    td = F.greatest(F.lit(MIN_PLOT_D), target / tw)
-    sized = F.transform(F.filter("free", lambda b: _area(b) >= least * 0.55), lambda b: F.struct(b.alias("b"), (b["x1"] - b["x0"]).alias("w"), (b["y1"] - b["y0"]).alias("h")))
-    ranked = F.transform(sized, lambda v: F.struct(v["b"].alias("b"), v["w"].alias("w"), v["h"].alias("h"), F.when(v["h"] <= td * 1.6, 1).otherwise(F.least(F.lit(2), F.greatest(F.lit(1), F.rint(v["h"] / td).cast("int")))).alias("n_rows")))
-    rowed = F.transform(ranked, lambda v: F.struct(
-        v["b"].alias("b"), v["w"].alias("w"), v["n_rows"].alias("n_rows"), F.greatest(F.lit(1), F.rint(v["w"] / tw).cast("int")).alias("cols"),
-        F.when(v["h"] > td * 2.3, F.least(td * 1.15, v["h"] / v["n_rows"])).otherwise(v["h"] / v["n_rows"]).alias("row_h"),
-    ))
-    strips = F.filter(rowed, lambda v: v["w"] * v["row_h"] >= least * 0.50)
-    merged = F.transform(strips, lambda v: F.struct(
-        *[v["b"][c].alias(c) for c in SIDES], v["n_rows"].alias("n_rows"), v["row_h"].alias("plot_d"),
-        F.when(v["w"] / v["cols"] * v["row_h"] < least * 0.70, 1).otherwise(v["cols"]).alias("n_cols"),
-        F.greatest(v["b"]["y0"] + v["row_h"], v["b"]["y1"] - v["row_h"]).alias("second_y"),
-    ))
-    blocks = F.transform(merged, lambda v: F.struct(*[v[c].alias(c) for c in (*SIDES, "n_rows", "n_cols", "plot_d", "second_y")], ((v["x1"] - v["x0"]) / v["n_cols"]).alias("plot_w")))
-    slim = lambda v: F.greatest(F.lit(1.0), v["plot_w"]) / F.greatest(F.lit(1.0), v["plot_d"])
-    return F.filter(blocks, lambda v: (v["plot_w"] * v["plot_d"] >= least * 0.50) & slim(v).between(0.10, 9.0))
+
+    def work(free: pa.Array, *columns: pa.Array) -> pa.Array:
+        return _block_list(A.blocks(A.boxes_of(free), dict(zip(BLOCK_INPUT, map(A.numbers, columns))), MAX_PLOT_W, MIN_PLOT_D), len(free))
+
+    return F.arrow_udf(work, BLOCKS)("free", *_doubles(BLOCK_INPUT))
 
 
 def layout_plots(layouts: DataFrame, rate: float = 2500.0) -> DataFrame:
@@ -241,60 +288,90 @@ def layout_plots(layouts: DataFrame, rate: float = 2500.0) -> DataFrame:
     )
 
 
-def _total(items: str | Column, value) -> Column:
-    """Sum of a double over a list, independent of its order."""
-    return F.aggregate(items, F.lit(0).cast(DEC), lambda acc, v: (acc + value(v).cast(DEC)).cast(DEC)).cast("double")
+SUMS = ["n_plots", "plot_area", "n_access", "regular_v1", "regular_v2", "n_corner", "n_roads", "n_zones", "road_area", "min_road_width", "open_area", "amenity_area", "utility_area"]
+CHECKS = ["RULE_01", "RULE_02", "RULE_03", "RULE_05", "RULE_06", "RULE_07", "RULE_10", "RULE_11"]
+
+
+def _layout_sums(b: dict[str, np.ndarray], roads: A.Boxes, widths: np.ndarray, zones: A.Boxes, zone_type: pa.Array, rows: int) -> dict[str, np.ndarray | pa.Array]:
+    """SUMS, the totals that both scores read."""
+    w, d, n = b["plot_w"], b["plot_d"], b["n_rows"].astype(float) * b["n_cols"]
+    slim = np.fmax(w / np.fmax(1.0, d), d / np.fmax(1.0, w))
+    square = np.fmax(np.fmax(1.0, w) / np.fmax(1.0, d), np.fmax(1.0, d) / np.fmax(1.0, w))
+    summed = lambda values: A.total(b["row"], values, rows)
+    count = lambda values: summed(values).astype(np.int64)
+    is_a = lambda *kinds: pc.is_in(zone_type, pa.array(kinds)).to_numpy(zero_copy_only=False)
+    covered = lambda boxes, which: A.total(boxes.row, np.where(which, A.exact(A.area(boxes.at)), 0.0), rows) / 1e6
+    narrowest = np.full(rows, np.nan)
+    np.fmin.at(narrowest, roads.row, widths)
+    return {
+        "n_plots": count(n), "plot_area": summed(A.exact(w * d) * n) / 1e6, "n_access": count(np.where(w >= 15.0, n, 0)),
+        "regular_v1": count(n * np.where(slim <= 2.2, 10, np.where(slim <= 3.0, 6, 2))), "regular_v2": count(n * np.where(square <= 2.5, 10, np.where(square <= 3.5, 5, 0))),
+        "n_corner": count(b["n_rows"] * np.minimum(2, b["n_cols"])), "n_roads": np.bincount(roads.row, minlength=rows).astype(np.int32),
+        "n_zones": np.bincount(zones.row, minlength=rows).astype(np.int32), "road_area": covered(roads, True), "min_road_width": narrowest,
+        "open_area": covered(zones, is_a("RECREATIONAL_OPEN_SPACE", "UTILITY_SERVICE")), "amenity_area": covered(zones, is_a("AMENITY_SPACE")), "utility_area": covered(zones, is_a("UTILITY_SERVICE")),
+    }
 
 
-def _count(items: str | Column, value) -> Column:
-    return F.aggregate(items, F.lit(0).cast("long"), lambda acc, v: acc + value(v).cast("long"))
+def _check_layouts(b: dict[str, np.ndarray], roads: A.Boxes, widths: np.ndarray, zones: A.Boxes, domain: np.ndarray, parcel: np.ndarray, min_plot: np.ndarray, min_frontage: np.ndarray) -> dict[str, np.ndarray]:
+    """errors, warnings, failed_rules: the rules on plots, worked out per block, whose plots are alike.
 
+    Access (RULE_08) holds as every plot names its road; plots are boxes, so they are valid and no slivers.
+    """
+    row, rows, n = b["row"], len(min_plot), b["n_rows"].astype(float) * b["n_cols"]
+    at, w, d = np.stack([b[c] for c in SIDES]), b["plot_w"], b["plot_d"]
+    size, whole = w * d, A.area(at)
+    forgiven = np.fmax(3.5, size * 0.005)  # rules.tolerance
+    hits = {
+        "RULE_01": whole - A.shared(at, parcel[:, row]) > forgiven,
+        "RULE_02": A.shared_with(at, row, roads, rows) > forgiven, "RULE_03": A.shared_with(at, row, zones, rows) > forgiven,
+        "RULE_05": (b["n_rows"] > 1) & ((b["y0"] + d - b["second_y"]) * w > forgiven),
+        "RULE_06": size < (min_plot * 0.90)[row], "RULE_07": np.fmin(w, d) < (min_frontage * 0.85)[row],
+        "RULE_10": size < 1.0, "RULE_11": whole - A.shared(at, domain[:, row]) > 5.0,
+    }
+    counted = {rule: A.total(row, np.where(hits[rule], n, 0.0), rows).astype(np.int64) for rule in CHECKS}
+    narrow = A.total(roads.row, widths < FEEDER_ROAD_FT * 0.95 - 1.0, rows).astype(np.int64)
+    warns = [r for r, _, severity in RULES if severity == "WARNING"]
+    return {
+        "errors": sum(v for r, v in counted.items() if r not in warns) + narrow, "warnings": sum(v for r, v in counted.items() if r in warns),
+        "failed_rules": sum((v > 0).astype(np.int32) for v in counted.values()) + (narrow > 0).astype(np.int32),
+    }
 
-SUMS = ["n_plots", "plot_area", "n_access", "regular_v1", "regular_v2", "n_corner", "n_roads", "n_zones", "road_area", "min_road_width", "open_area", "amenity_area", "utility_area"]
 
+def _judge(free: pa.Array, roads: pa.Array, zones: pa.Array, domain: pa.Array, parcel: np.ndarray, given: dict[str, np.ndarray]) -> dict[str, np.ndarray | pa.Array]:
+    rows, road, zone = len(free), A.boxes_of(roads), A.boxes_of(zones)
+    b = A.blocks(A.boxes_of(free), given, MAX_PLOT_W, MIN_PLOT_D)
+    widths = A.fields(roads.flatten(), ["road_width_ft"])[0]
+    zone_type = zones.flatten().flatten()[[f.name for f in zones.type.value_type].index("zone_type")]
+    sums = _layout_sums(b, road, widths, zone, zone_type, rows)
+    checks = _check_layouts(b, road, widths, zone, np.array(A.fields(domain, list(SIDES))), parcel, given["min_plot_sqft"], given["min_frontage_ft"])
+    return {"blocks": _block_list(b, rows), **sums, **checks}
 
-def layout_sums(layouts: DataFrame) -> DataFrame:
-    """Adds SUMS, the totals that both scores read, from blocks, roads and zones of the row."""
-    n = lambda v: v["n_rows"] * v["n_cols"]
-    one = F.lit(1.0)
-    slim = lambda v: F.greatest(v["plot_w"] / F.greatest(one, v["plot_d"]), v["plot_d"] / F.greatest(one, v["plot_w"]))
-    square = lambda v: F.greatest(F.greatest(one, v["plot_w"]) / F.greatest(one, v["plot_d"]), F.greatest(one, v["plot_d"]) / F.greatest(one, v["plot_w"]))
-    zone = lambda *kinds: F.filter("zones", lambda z: z["zone_type"].isin(*kinds))
-    plot_area = F.aggregate("blocks", F.lit(0).cast(DEC), lambda acc, v: (acc + ((v["plot_w"] * v["plot_d"]).cast(DEC) * n(v)).cast(DEC)).cast(DEC)).cast("double")
-    return once(
-        layouts, n_plots=_count("blocks", n), plot_area=plot_area, n_access=_count("blocks", lambda v: F.when(v["plot_w"] >= 15.0, n(v)).otherwise(0)),
-        regular_v1=_count("blocks", lambda v: n(v) * F.when(slim(v) <= 2.2, 10).when(slim(v) <= 3.0, 6).otherwise(2)),
-        regular_v2=_count("blocks", lambda v: n(v) * F.when(square(v) <= 2.5, 10).when(square(v) <= 3.5, 5).otherwise(0)),
-        n_corner=_count("blocks", lambda v: v["n_rows"] * F.least(F.lit(2), v["n_cols"])), n_roads=F.size("roads"), n_zones=F.size("zones"),
-        road_area=_total("roads", _area), min_road_width=F.array_min(F.transform("roads", lambda r: r["road_width_ft"])),
-        open_area=_total(zone("RECREATIONAL_OPEN_SPACE", "UTILITY_SERVICE"), _area), amenity_area=_total(zone("AMENITY_SPACE"), _area), utility_area=_total(zone("UTILITY_SERVICE"), _area),
-    )
 
+def _judged_land(strategy: pa.Array, *columns: pa.Array) -> pa.Array:
+    """What ``_land`` gives, and a list of the passes with what ``_judge`` gives of each."""
+    land, given = _land(strategy, *columns[: len(LAND_INPUT)]), {k: A.numbers(c) for k, c in zip([*LAND_INPUT, *BLOCK_INPUT[1:-1]], columns)}
+    n, times = len(strategy), len(PERTURBATIONS)
+    parts = dict(zip([f.name for f in land.type], land.flatten()))
+    every = {k: v.take(pa.array(np.repeat(np.arange(n), times))) for k, v in parts.items()}
+    given = {k: np.repeat(v, times) for k, v in given.items()}
+    number, (spacing, width) = np.tile(np.arange(times, dtype=np.int32), n), (np.tile(v, n) for v in zip(*PERTURBATIONS))
+    parcel = np.stack([np.zeros(n * times), np.zeros(n * times), given["width_ft"], given["depth_ft"]])
+    found = _judge(**every, parcel=parcel, given={**given, "plot_w_mult": width})
+    passes = A.struct(pass_no=number, spacing_mult=spacing, plot_w_mult=width, **found)
+    return A.struct(**parts, passes=A.listed(np.repeat(np.arange(n), times), passes, n))
 
-def check_layouts(layouts: DataFrame) -> DataFrame:
-    """Adds errors, warnings, failed_rules: the rules on plots, worked out per block, whose plots are alike.
 
-    Access (RULE_08) holds as every plot names its road; plots are boxes, so they are valid and no slivers.
+def judged_layouts(parcels: DataFrame, **params: float) -> DataFrame:
+    """``candidate_layouts`` by pass, with blocks of plots, SUMS, errors, warnings and failed_rules.
+
+    All of a layout is made in one step of a task, so that its lists do not go to Python and back in between.
     """
-    n = lambda v: v["n_rows"] * v["n_cols"]
-    size = lambda v: v["plot_w"] * v["plot_d"]
-    shared = lambda v, others: F.aggregate(others, F.lit(0.0), lambda acc, o: acc + F.when(_real(_common(v, o)), _area(_common(v, o))).otherwise(0.0))
-    parcel = _box(0, 0, F.col("width_ft"), F.col("depth_ft"))
-    hits = {
-        "RULE_01": lambda v: _area(v) - F.when(_real(_common(v, parcel)), _area(_common(v, parcel))).otherwise(0.0) > tolerance(size(v)),
-        "RULE_02": lambda v: shared(v, "roads") > tolerance(size(v)), "RULE_03": lambda v: shared(v, "zones") > tolerance(size(v)),
-        "RULE_05": lambda v: (v["n_rows"] > 1) & ((v["y0"] + v["plot_d"] - v["second_y"]) * v["plot_w"] > tolerance(size(v))),
-        "RULE_06": lambda v: size(v) < F.col("min_plot_sqft") * 0.90, "RULE_07": lambda v: F.least(v["plot_w"], v["plot_d"]) < F.col("min_frontage_ft") * 0.85,
-        "RULE_10": lambda v: size(v) < 1.0, "RULE_11": lambda v: _area(v) - F.when(_real(_common(v, F.col("domain"))), _area(_common(v, F.col("domain")))).otherwise(0.0) > 5.0,
-    }
-    counted = once(layouts, **{rule: _count("blocks", lambda v, hit=hit: F.when(hit(v), n(v)).otherwise(0)) for rule, hit in hits.items()})
-    narrow = F.size(F.filter("roads", lambda r: r["road_width_ft"] < FEEDER_ROAD_FT * 0.95 - 1.0)).cast("long")
-    warns = [r for r, _, severity in RULES if severity == "WARNING"]
-    total = lambda rules: sum((F.col(r) for r in rules), F.lit(0).cast("long"))
-    failed = sum((F.when(F.col(r) > 0, 1).otherwise(0) for r in hits), F.when(narrow > 0, 1).otherwise(0))
-    return counted.select(
-        *layouts.columns, (total([r for r in hits if r not in warns]) + narrow).alias("errors"), total([r for r in hits if r in warns]).alias("warnings"), failed.alias("failed_rules")
-    )
+    doubles = ("plot_area", "road_area", "min_road_width", "open_area", "amenity_area", "utility_area")
+    sums = ", ".join(f"{c}: {'double' if c in doubles else 'int' if c in ('n_roads', 'n_zones') else 'long'}" for c in SUMS)
+    one_pass = f"pass_no: int, spacing_mult: double, plot_w_mult: double, blocks: {BLOCKS}, {sums}, errors: long, warnings: long, failed_rules: int"
+    rows = _by_strategy(parcels, params)
+    land = F.arrow_udf(_in_parts(_judged_land), f"struct<{LAND}, passes: array<struct<{one_pass}>>>")("strategy", *_doubles([*LAND_INPUT, *BLOCK_INPUT[1:-1]]))
+    return once(rows, land=land).select(*rows.columns, *[f"land.{c}" for c in ("roads", "domain", "free", "zones")], F.inline("land.passes"))
 
 
 def sweep(parcels: DataFrame, **params: float) -> DataFrame:
@@ -303,13 +380,11 @@ def sweep(parcels: DataFrame, **params: float) -> DataFrame:
     A first pass with four plots and a composite of 60 stands; otherwise the best composite at one decimal, of equal ones the earlier.
     Layouts with an error, or under 80 % of the rules, go. The others are ranked by the second score and carry its badge.
     """
-    passes = F.array(*[F.struct(F.lit(i).alias("pass_no"), F.lit(sp).alias("spacing_mult"), F.lit(pw).alias("plot_w_mult")) for i, (sp, pw) in enumerate(PERTURBATIONS)])
-    tried = once(candidate_layouts(parcels, **params).select("*", F.inline(passes)), blocks=plot_blocks())
-    judged = scoring.evaluate_layouts(layout_sums(tried).filter(F.col("n_plots") > 0), min_road_width_ft=FEEDER_ROAD_FT)
+    tried = judged_layouts(parcels, **params)
+    judged = scoring.evaluate_layouts(tried.filter(F.col("n_plots") > 0), min_road_width_ft=FEEDER_ROAD_FT)
     early = (F.col("pass_no") == 0) & (F.col("n_plots") >= 4) & (F.col("composite") >= 60.0)
     best = first_per_key(judged, ["parcel_id", "ord"], [F.when(early, 0).otherwise(1), F.desc(floor_round("composite", 1)), F.asc("pass_no")])
-    shown = check_layouts(best.select(*tried.columns, *SUMS, F.col("composite").alias("first_score")))
-    sound = shown.filter((F.col("errors") == 0) & ((len(RULES) - F.col("failed_rules")) * 100.0 / len(RULES) >= 80.0))
-    kept = sound.select("parcel_id", "strategy", "ord", "pass_no", "gross_sqft", *SUMS, "first_score", "errors", "warnings", "roads", "zones", "blocks")
+    sound = best.filter((F.col("errors") == 0) & ((len(RULES) - F.col("failed_rules")) * 100.0 / len(RULES) >= 80.0))
+    kept = sound.select("parcel_id", "strategy", "ord", "pass_no", "gross_sqft", *SUMS, F.col("composite").alias("first_score"), "errors", "warnings", "roads", "zones", "blocks")
     scored = scoring.score_layouts(kept).withColumn("composite", floor_round("composite", 4))
-    return scoring.rank_variants(scored, "parcel_id")
+    return scoring.rank_variants(scored, "parcel_id", few=True)  # a layout per strategy

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from acreage import constants as K
 from acreage.functions.rings import floor_round
@@ -151,9 +152,16 @@ def variant_stats(totals: DataFrame) -> DataFrame:
     )
 
 
-def rank_variants(scored: DataFrame, key: str = "project_id") -> DataFrame:
-    """Rank by composite score, ties in given order; badge of the first three, else its option number."""
-    ranked = numbered(scored, [key], [F.desc("composite"), F.asc("ord")], F.floor("composite"), "rank", descending=True)
+def rank_variants(scored: DataFrame, key: str = "project_id", few: bool = False) -> DataFrame:
+    """Rank by composite score, ties in given order; badge of the first three, else its option number.
+
+    ``few``: no key has many rows, so they are numbered together, and ``scored`` is worked out once instead of twice.
+    """
+    order = [F.desc("composite"), F.asc("ord")]
+    if few:
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    else:
+        ranked = numbered(scored, [key], order, F.floor("composite"), "rank", descending=True)
     badge = F.get(F.array(*map(F.lit, K.OPTION_BADGES)), (F.col("rank") - 1).cast("int"))
     return ranked.withColumn("badge", F.coalesce(badge, F.concat(F.lit("OPTION "), F.col("rank").cast("string"))))
 

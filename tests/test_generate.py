@@ -1,5 +1,8 @@
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from acreage.functions import sites as A
 from acreage.operators import generate as G
 
 PARCELS = [(1, 400.0, 300.0), (2, 700.0, 640.0), (3, 210.0, 150.0), (4, 90.0, 400.0), (5, 15.0, 15.0), (6, 1500.0, 200.0), (7, 76.0, 76.0)]
@@ -70,3 +73,30 @@ def test_a_zone_box_is_made_only_while_none_before_it_had_room(spark):
     tries = F.expr("array(named_struct('anchor', 'CENTER', 'sw', '1.0', 'sh', '1.0'), named_struct('anchor', 'CENTER', 'sw', 'none', 'sh', '1.0'))")
     got = free.select(G.place(F.lit(900.0), tries).alias("z")).first().z
     assert got.anchor == "CENTER" and 899 < got.best.area < 901
+
+
+def test_land_of_a_layout_is_made_once(spark):
+    """The rank used to ask for all layouts twice, once for the offsets of its buckets."""
+    plan = G.sweep(frame(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_shared_ground_is_that_of_all_pairs_however_they_are_dealt():
+    rng = np.random.default_rng(5)
+    boxes = lambda n: A.Boxes(np.sort(rng.integers(0, 6, n)), np.concatenate([low := rng.integers(0, 50, (2, n)).astype(float), low + rng.integers(1, 30, (2, n))]))
+    own, others = boxes(40), boxes(30)
+    want = [sum(A.shared(own.at[:, i], others.at[:, j]) for j in np.flatnonzero(others.row == own.row[i])) for i in range(40)]
+    assert np.allclose(A.shared_with(own.at, own.row, others, 6), want)
+    sizes = rng.integers(0, 9, 50)
+    assert [i for part in A.runs(sizes, 10) for i in range(part.start, part.stop)] == list(range(50)) and max(sizes[p].sum() for p in A.runs(sizes, 10)) < 20
+
+
+def test_layouts_are_the_same_in_parts_and_together():
+    widths = [float(w) for _, w, _ in PARCELS for _ in G.STRATEGIES] + [40000.0] * 3 + [None] * 3
+    depths = [float(h) for _, _, h in PARCELS for _ in G.STRATEGIES] + [300.0] * 6
+    n = len(widths)
+    same = lambda v: pa.array([v] * n, pa.float64())
+    gross = pa.array([None if w is None else w * h for w, h in zip(widths, depths)], pa.float64())
+    columns = [pa.array(G.STRATEGIES * (n // 3)), pa.array(widths, pa.float64()), pa.array(depths), gross, *map(same, (10.0, 10.0, 5.0, 1.0, 1200.0, 800.0, 24.0))]
+    apart, whole = G._in_parts(G._judged_land)(*columns), G._judged_land(*columns)
+    assert apart.to_pylist() == whole.to_pylist() and len(apart[21]["roads"].as_py()) == 40000 // 85

@@ -9,6 +9,8 @@ import pyarrow as pa
 CELLS = 1 << 21
 PARTS = ("l", "r", "ly", "ry", "wa", "wb")
 AREAS = ("union_area", "a_area", "b_area", "both_area", "a_only_area")
+#: With a third side C: what A and C share off B.
+CLEAR_PARTS, CLEAR = (*PARTS, "wc"), ("clear_area",)
 
 
 def _cuts(l, r, ly, ry):  # noqa: E741
@@ -28,13 +30,13 @@ def _cuts(l, r, ly, ry):  # noqa: E741
     return cuts[:, : int((~np.isnan(cuts)).sum(axis=1).max(initial=0))]
 
 
-def slab_areas(l, r, ly, ry, wa, wb):  # noqa: E741
-    """AREAS of sets of spans, a row per set, filled up with spans of no width."""
+def slab_areas(l, r, ly, ry, wa, wb, wc=None):  # noqa: E741
+    """AREAS, with ``wc`` CLEAR, of sets of spans, a row per set, filled up with spans of no width."""
     ox, oy = np.where(r > l, l, np.inf).min(axis=1, initial=np.inf), np.where(r > l, ly, np.inf).min(axis=1, initial=np.inf)
     ox, oy = np.where(np.isfinite(ox), ox, 0.0)[:, None], np.where(np.isfinite(oy), oy, 0.0)[:, None]
     l, r, ly, ry = l - ox, r - ox, ly - oy, ry - oy  # noqa: E741
     cuts = _cuts(l, r, ly, ry)
-    out = np.zeros((len(l), len(AREAS)))
+    out = np.zeros((len(l), len(AREAS if wc is None else CLEAR)))
     step = max(1, CELLS // max(1, l.size))
     for at in range(0, cuts.shape[1] - 1, step):
         x = cuts[:, at : at + step + 1]
@@ -58,19 +60,19 @@ def slab_areas(l, r, ly, ry, wa, wb):  # noqa: E741
             return -(total - (total - step)[start])[:-1] > 0.5
 
         a, b, area = wound(wa), wound(wb), np.where(same, (y[1:] - y[:-1]) * width[:-1], 0.0)
-        for k, cond in enumerate((a | b, a, b, a & b, a & ~b)):
+        for k, cond in enumerate((a | b, a, b, a & b, a & ~b) if wc is None else (a & ~b & wound(wc),)):
             out[:, k] += np.bincount(row[:-1], np.where(cond, area, 0.0), len(out))
     return out
 
 
-def sweep_batch(keys: list[str], batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows (keys, spans) to rows (keys, AREAS), sets of about one size together."""
+def sweep_batch(keys: list[str], batch: pa.RecordBatch, parts: tuple[str, ...] = PARTS, areas: tuple[str, ...] = AREAS) -> pa.RecordBatch:
+    """Rows (keys, spans) to rows (keys, areas), sets of about one size together."""
     spans = batch.column(batch.schema.get_field_index("spans"))
     sizes = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = spans.flatten()
-    parts = [flat.field(flat.type.get_field_index(p)).to_numpy(zero_copy_only=False).astype(float) for p in PARTS]
+    parts = [flat.field(flat.type.get_field_index(p)).to_numpy(zero_copy_only=False).astype(float) for p in parts]
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    out, order, at = np.zeros((len(sizes), len(AREAS))), np.argsort(sizes, kind="stable"), 0
+    out, order, at = np.zeros((len(sizes), len(areas))), np.argsort(sizes, kind="stable"), 0
     while at < len(order):
         take = max(1, CELLS // 8 // max(1, int(sizes[order[at]]) ** 2))
         rows = order[at : at + take]
@@ -83,4 +85,4 @@ def sweep_batch(keys: list[str], batch: pa.RecordBatch) -> pa.RecordBatch:
             out[rows] = slab_areas(*[np.where(given, p[index], 0.0) for p in parts])
         at += len(rows)
     kept = [batch.column(batch.schema.get_field_index(k)) for k in keys]
-    return pa.RecordBatch.from_arrays([*kept, *[pa.array(out[:, k]) for k in range(len(AREAS))]], names=[*keys, *AREAS])
+    return pa.RecordBatch.from_arrays([*kept, *[pa.array(out[:, k]) for k in range(len(areas))]], names=[*keys, *areas])

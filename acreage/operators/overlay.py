@@ -88,6 +88,20 @@ def _weighted_spans(side, ring):
     ))
 
 
+def clear_areas(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and clear_area: what a row's ``ring`` shares with its list ``within`` off its list ``off``, all in the row."""
+    sides = [(F.array("ring"), "wa"), (F.col("off"), "wb"), (F.col("within"), "wc")]
+
+    def spans(rings, side):
+        weight = lambda e, name: (e["s"] if name == side else F.lit(0.0)).alias(name)
+        span = lambda e: F.struct(e["xl"].alias("l"), e["xr"].alias("r"), e["yl"].alias("ly"), e["yr"].alias("ry"), *[weight(e, w) for w in ("wa", "wb", "wc")])
+        return F.flatten(F.transform(rings, lambda r: F.transform(R._spans(r), span)))
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields], *[f"{a} double" for a in slabs.CLEAR]])
+    listed = rows.select(*keep, F.concat(*[spans(*side) for side in sides]).alias("spans"))
+    return listed.mapInArrow(lambda batches: (slabs.sweep_batch(keep, b, slabs.CLEAR_PARTS, slabs.CLEAR) for b in batches), schema)
+
+
 def _sweep_tiles(polys: DataFrame, keys: list[str], tile: float, most: int) -> DataFrame:
     distinct = once(polys.select(*keys, "side", "ring").distinct(), bbox=R.bbox("ring"))
     tiles = dense_tiles(distinct, keys, tile, most)

@@ -9,7 +9,7 @@ from acreage.functions import rings as R
 from acreage.functions.rings import floor_round
 from acreage.operators import inventory, overlay, spatial
 from acreage.operators.versions import duplicate_numbers
-from acreage.session import once
+from acreage.session import cut, once
 
 # fixed values: rule numbers, names and severities
 RULES = [
@@ -110,29 +110,61 @@ def rule_sliver(plots: DataFrame) -> DataFrame:
     return _hit(plots.filter((area < 1.0) | (R.ring_length("ring") < 5.0)), "RULE_10", F.col("plot_id"), area)
 
 
-def rule_setback(plots: DataFrame, boundary: DataFrame, p: dict) -> DataFrame:
-    """Plots with more than 5 square feet outside the inset boundary.
+#: Vertices that a plot, and the concave boundaries of a project, may have to be swept in the plot's row.
+ROW_POINTS = 64
 
-    A convex boundary clips the plot by its moved edges. For a concave one, the part outside is the plot's area and what it shares with
-    the bands along the rim, less what it shares with bands and boundary together.
-    """
-    inset = float(p["setback_ft"])
-    both = _with_boundary(plots, boundary).filter("b_convex")
-    kept = F.when(F.col("boxes"), _common_area(F.col("bbox"), F.col("b_bbox"), inset)).otherwise(R.ring_area(R.inset_clip("ring", "b_ring", F.lit(inset))))
-    flat = once(both, __out=R.ring_area("ring") - kept).filter(F.col("__out") > 5.0).select("project_id", "plot_id", "__out")
-    rims = boundary.select("project_id", "ring").filter(~R.is_convex("ring"))
-    if rims.isEmpty():
-        return _hit(flat, "RULE_11", F.col("plot_id"), F.col("__out"))
+
+def _lost_in_rows(own: DataFrame, rims: DataFrame, inset: float) -> DataFrame:
+    """Ground of each plot that is outside the inset ``rims`` of its project: plots travel once, and the bands are made in their rows."""
+    lists = rims.groupBy("project_id").agg(F.collect_list("ring").alias("rims"))
+    met = once(own.join(lists.hint("merge"), "project_id"), bbox=R.bbox("ring"), area=R.ring_area("ring"))
+    near = lambda rings: F.filter(rings, lambda r: R.let(R.bbox(r), lambda b: R.boxes_overlap(F.col("bbox"), b)))
+    bands = F.flatten(F.transform("rims", lambda r: R.rim_bands(r, inset)))
+    swept = overlay.clear_areas(once(met, off=near(bands), within=near(F.col("rims"))), ["project_id", "plot_id", "area"])
+    return swept.select("project_id", "plot_id", (F.col("area") - F.col("clear_area")).alias("__out")).filter(F.col("__out") > 5.0)
+
+
+def _lost_by_tiles(own: DataFrame, rims: DataFrame, inset: float) -> DataFrame:
+    """The same for rims or plots of any size: the plot's area and what it shares with the bands along the rim, less what it shares with
+    bands and boundary together."""
     bands = rims.select("project_id", F.explode(R.rim_bands("ring", inset)).alias("ring"))
-    own = plots.select("project_id", "plot_id", "ring").join(rims.select("project_id").distinct().hint("merge"), "project_id", "left_semi")
+    own = own.join(rims.select("project_id").distinct().hint("merge"), "project_id", "left_semi")
     shapes = spatial.shape_classes(own).select("project_id", "ring", "shape_id")
     shared = lambda others, name: overlay.overlap_with_set(own, others).withColumnRenamed("common", name).hint("merge")
     keys = ["project_id", "shape_id"]
     met = shapes.join(shared(bands, "near"), keys, "left").join(shared(bands.unionByName(rims), "held"), keys, "left")
     lost = R.ring_area("ring") + F.coalesce("near", F.lit(0.0)) - F.coalesce("held", F.lit(0.0))
     out = once(met, __out=lost).filter(F.col("__out") > 5.0).select("project_id", "ring", "__out")
-    bent = own.join(out.hint("merge"), ["project_id", "ring"]).select("project_id", "plot_id", "__out")
-    return _hit(flat.unionByName(bent), "RULE_11", F.col("plot_id"), F.col("__out"))
+    return own.join(out.hint("merge"), ["project_id", "ring"]).select("project_id", "plot_id", "__out")
+
+
+def rule_setback(plots: DataFrame, boundary: DataFrame, p: dict) -> DataFrame:
+    """Plots with more than 5 square feet outside the inset boundary.
+
+    A convex boundary clips the plot by its moved edges. Off a concave one counts what is in the bands along the rim or outside of it:
+    in the plot's row where plot and boundary have up to ROW_POINTS vertices, else tile by tile.
+    """
+    inset = float(p["setback_ft"])
+    own, known = plots.select("project_id", "plot_id", "ring"), once(boundary.select("project_id", "ring"), convex=R.is_convex("ring"))
+    n_convex, n_bent = known.agg(F.count_if("convex"), F.count_if(~F.col("convex"))).first()
+    parts = []
+    if n_convex or not n_bent:
+        both = _with_boundary(plots, boundary).filter("b_convex")
+        kept = F.when(F.col("boxes"), _common_area(F.col("bbox"), F.col("b_bbox"), inset)).otherwise(R.ring_area(R.inset_clip("ring", "b_ring", F.lit(inset))))
+        parts.append(once(both, __out=R.ring_area("ring") - kept).filter(F.col("__out") > 5.0).select("project_id", "plot_id", "__out"))
+    if n_bent:
+        rims, long = known.filter("not convex").drop("convex"), F.coalesce(F.size("ring") > ROW_POINTS, F.lit(False))
+        many = cut(rims.groupBy("project_id").agg(F.sum(F.size("ring")).alias("n")).filter(F.col("n") > ROW_POINTS).select("project_id"))
+        if many.isEmpty() and own.filter(long).isEmpty():
+            parts.append(_lost_in_rows(own, rims, inset))
+        else:
+            marked = own.join(many.withColumn("many", F.lit(True)).hint("merge"), "project_id", "left")
+            parts.append(_lost_in_rows(own.filter(~long), rims.join(many.hint("merge"), "project_id", "left_anti"), inset))
+            parts.append(_lost_by_tiles(marked.filter(long | F.col("many")).select(*own.columns), rims, inset))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return _hit(out, "RULE_11", F.col("plot_id"), F.col("__out"))
 
 
 def rule_road_width(roads: DataFrame, p: dict) -> DataFrame:

@@ -100,6 +100,33 @@ def test_concave_boundaries_are_judged(spark):
     assert row.gross_sqft == 70000.0 and abs(row.net_sqft - inset) < 0.01 and abs(row.setback_sqft - 70000 + inset) < 0.01
 
 
+def test_plots_on_concave_boundaries_are_judged_in_their_rows(spark, monkeypatch):
+    """No pair of a plot and a band is written; with many vertices the tiles give the same."""
+    from acreage.operators import overlay
+
+    u = [(0.0, 0.0), (300.0, 0.0), (300.0, 300.0), (200.0, 300.0), (200.0, 100.0), (100.0, 100.0), (100.0, 300.0), (0.0, 300.0)]
+    far = [(x + 400.0, y) for x, y in u[::-1]]
+    square = box(0, 0, 300, 300)
+    shape = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
+    kind = "project_id int, plot_id int, ring array<struct<x: double, y: double>>"
+    boundary = spark.createDataFrame([(1, 0, shape(u)), (2, 0, shape(u)), (2, 0, shape(far)), (3, 0, shape(square)), (3, 0, shape(u)), (None, 0, shape(u)), (4, 0, None)], kind)
+    dense = [(x + dx * i / 20, y + dy * i / 20) for x, y, dx, dy in [(85, 120, 14, 0), (99, 120, 0, 20), (99, 140, -14, 0), (85, 140, 0, -20)] for i in range(20)]
+    rings = [box(85, 120, 99, 140), box(30, 120, 60, 140), box(120, 150, 150, 180), box(280, 20, 430, 80), box(85, 120, 99, 140)[::-1]]
+    few = [(p, i, shape(r)) for p in (1, 2, 3, 4, 9, None) for i, r in enumerate(rings)] + [(1, 9, None)]
+    judge = lambda rows: sorted((r.project_id, r.entity_id, r.measure) for r in Q.rule_setback(spark.createDataFrame(rows, kind), boundary, {"setback_ft": 10.0}).collect())
+    want = [
+        (1, "0", 180.0), (1, "2", 900.0), (1, "3", 8400.0), (1, "4", 180.0), (2, "0", 180.0), (2, "2", 900.0), (2, "3", 7200.0), (2, "4", 180.0),
+        (3, "0", 180.0), (3, "2", 900.0), (3, "3", 8400.0), (3, "3", 8400.0), (3, "4", 180.0),
+    ]
+    with_dense = judge([*few, (1, 7, shape(dense))])
+    assert with_dense == sorted([*want, (1, "7", 180.0)])
+    monkeypatch.setattr(Q, "ROW_POINTS", 15)
+    assert judge(few) == want
+    monkeypatch.setattr(Q, "ROW_POINTS", 64)
+    monkeypatch.setattr(overlay, "cut", None)
+    assert judge(few) == want
+
+
 def test_copies_get_their_neighbours(spark):
     rows = [(1, 1, box(0, 0, 10, 10)), (1, 2, box(0, 0, 10, 10)), (1, 3, box(10, 0, 20, 10))]
     prims = spark.createDataFrame([(p, i, [{"x": x, "y": y} for x, y in ring]) for p, i, ring in rows], "project_id int, plot_id int, ring array<struct<x: double, y: double>>")

@@ -23,7 +23,8 @@ class Boxes(NamedTuple):
     at: np.ndarray
 
     def take(self, which: np.ndarray) -> Boxes:
-        return Boxes(self.row[which], self.at[:, which])
+        which = np.flatnonzero(which) if which.dtype == bool else which
+        return Boxes(self.row[which], self.at.take(which, axis=1))
 
 
 def area(b: np.ndarray) -> np.ndarray:
@@ -72,7 +73,7 @@ def cut_all(free: Boxes, taken: Boxes, rows: int) -> Boxes:
         more = sizes[free.row] > k
         done.append(free.take(~more))
         free = free.take(more)
-        free = cut_out(free, taken.at[:, begin[free.row] + k])
+        free = cut_out(free, taken.at.take(begin[free.row] + k, axis=1))
     row, at = np.concatenate([d.row for d in done]), np.concatenate([d.at for d in done], axis=1)
     order = np.argsort(row, kind="stable")
     return Boxes(row[order], at[:, order])
@@ -96,11 +97,11 @@ def place(target: np.ndarray, domain: np.ndarray, free: Boxes, tried: Callable,
         y0 = np.where(north, d[3] - ch, np.where(center, (d[1] + d[3]) / 2.0 - ch / 2.0, d[1]))
         slot = np.full(len(target), -1)
         slot[p] = np.arange(len(p))
-        near = free.take(slot[free.row] >= 0)
-        both = common(near.at, np.stack([x0, y0, x0 + cw, y0 + ch])[:, slot[near.row]])
+        free = free.take(slot[free.row] >= 0)
+        both = common(free.at, np.stack([x0, y0, x0 + cw, y0 + ch]).take(slot[free.row], axis=1))
         size = np.floor(area(both) * 10000.0 + 0.5) / 10000.0
-        good = real(both) & (size >= need[near.row])
-        row, both, size = near.row[good], both[:, good], size[good]
+        good = np.flatnonzero(real(both) & (size >= need[free.row]))
+        row, both, size = free.row[good], both[:, good], size[good]
         order = np.lexsort((both[1], both[0], -size, row))
         row, both = row[order], both[:, order]
         best = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
@@ -156,7 +157,7 @@ def shared_with(at: np.ndarray, row: np.ndarray, others: Boxes, rows: int) -> np
         if len(own):
             first = np.cumsum(n[part]) - n[part]
             other = begin[row[own]] + np.arange(len(own)) - first[own - part.start]
-            out[part] = np.bincount(own - part.start, shared(at[:, own], others.at[:, other]), part.stop - part.start)
+            out[part] = np.bincount(own - part.start, shared(at.take(own, axis=1), others.at.take(other, axis=1)), part.stop - part.start)
     return out
 
 
